@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .exact import exact_duplicates
 from .minhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,3 +23,22 @@ def query(f):
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents at a similarity of 0.85 on 5-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents")).drop("node")
+
+
+@query
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts over all documents."""
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op7_exact_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents
+), g AS (
+  SELECT doc_id, t,
+         first_value(doc_id) OVER (PARTITION BY t ORDER BY length(text) DESC, doc_id NULLS LAST) AS keep_id,
+         count(*) OVER (PARTITION BY t) AS group_size
+  FROM d
+)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256 FROM g
+"""
