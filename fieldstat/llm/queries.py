@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontam import decontaminate
 from .exact import exact_duplicates
 from .minhash import near_duplicates
 
@@ -42,3 +43,34 @@ WITH d AS (
 )
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256 FROM g
 """
+
+
+@query
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document words inside occurrences of 10-word windows of benchmark items."""
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLE["op8_benchmark_decontamination"] = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '{_WORD}') AS w FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '{_WORD}') AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, array_to_string(w[s:s + least(10, len(w)) - 1], ' ') AS p, least(10, len(w)) AS k
+  FROM i, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(s) WHERE len(w) > 0
+), k AS (SELECT DISTINCT k FROM win), grams AS (
+  SELECT doc_id, s, k, array_to_string(w[s:s + k - 1], ' ') AS p FROM d, k, unnest(range(1, len(w) - k + 2)) AS t(s) WHERE len(w) >= k
+), hit AS (
+  SELECT doc_id, item_id, s, g.k FROM grams g JOIN win USING (p, k)
+), cover AS (
+  SELECT doc_id, count(DISTINCT x) AS n_hit FROM hit, unnest(range(s, s + k)) AS t(x) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, list(DISTINCT CAST(item_id AS VARCHAR)) AS ids FROM hit GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(list_sort(ids), ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
