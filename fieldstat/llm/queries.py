@@ -12,6 +12,8 @@ from .decontam import decontaminate
 from .exact import exact_duplicates
 from .langid import fit as fit_languages
 from .langid import identify
+from .toxicity import fit as fit_toxicity
+from .toxicity import rate
 from .minhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +87,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, fit_languages(docs))
     return found.withColumn("held_out", fold_of(F.col("doc_id"), 4) == 2)
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    scored = rate(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return scored.withColumn("held_out", fold_of(F.col("doc_id"), 5) == 0)
