@@ -12,6 +12,8 @@ from .common import SPACES, Scratch, kept_whole
 ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # else each partition's store sets several MB of disk aside, whatever it holds
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 #: Digests of repeated texts above which their lookup shuffles instead of broadcasting (about 100 bytes each).
 BROADCAST_DIGESTS = 200_000
