@@ -14,6 +14,7 @@ from .langid import fit as fit_languages
 from .langid import identify
 from .toxicity import fit as fit_toxicity
 from .toxicity import rate
+from .packing import pack
 from .minhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +96,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = rate(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
     return scored.withColumn("held_out", fold_of(F.col("doc_id"), 5) == 0)
+
+
+@query
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents packed into sequences of at most 4096 tokens."""
+    return pack(table(spark, sf_dir, "documents"))
