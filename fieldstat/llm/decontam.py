@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, kept_whole, lower_ascii
 
-#: Words: runs outside these ASCII ranges, after A-Z are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same on text whose A-Z are still upper case.
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What parts words, after A-Z are lower-cased: words are runs of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]``.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Distinct terms (or anchor places, or documents) above which a lookup shuffles instead of broadcasting.
 BROADCAST_ROWS = 300_000
@@ -24,7 +22,8 @@ def fast_lower(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    return F.regexp_extract_all(fast_lower(F.coalesce(c, F.lit(""))), F.lit(WORD), F.lit(0))
+    """Splitting is linear in a text's length; extracting every match copies the text for each."""
+    return F.array_remove(F.split(fast_lower(F.coalesce(c, F.lit(""))), BETWEEN), "")
 
 
 def _bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -51,41 +50,47 @@ def item_words(items: DataFrame) -> DataFrame:
 
 
 def anchors(item_terms: DataFrame, counts: DataFrame, window: int) -> DataFrame:
-    """(item, at, term): for each window the place of its rarest term, by the index's counts.
+    """(item, at, term, at2, term2): for each window the places of its two rarest terms, by the index's counts.
 
-    A window with a term that the index lacks cannot occur and has no anchor.
+    A window with a term that the index lacks cannot occur and has no anchor; in a window of one word the two
+    are the same.
     """
     known = item_terms.join(counts, "term", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     ahead = Window.partitionBy("item").orderBy("at").rowsBetween(0, window - 1)
-    each = known.withColumn("best", F.min(F.struct("count", "at", "term")).over(ahead))
-    starts = each.filter((F.col("at") + window <= F.col("n")) | (F.col("at") == 0))
-    return starts.filter("best.count > 0").select("item", "best.at", "best.term").distinct()
+    each = known.withColumn("w", F.array_sort(F.collect_list(F.struct("count", "at", "term")).over(ahead)))
+    starts = each.filter((F.col("at") + window <= F.col("n")) | (F.col("at") == 0)).select("item", F.col("w")[0].alias("a"), F.get("w", F.lit(1)).alias("b"))
+    starts = starts.withColumn("b", F.coalesce("b", "a"))
+    return starts.filter("a.count > 0").select("item", "a.at", "a.term", F.col("b.at").alias("at2"), F.col("b.term").alias("term2")).distinct()
 
 
 def phrase_hits(index: DataFrame, item_terms: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
     """(doc_id, h, item, pos): document words inside an occurrence of a window of ``window`` item words.
 
-    The rarest term of each window gives its alignments (document place minus item place). Lists of the other
-    terms, shifted by their place in the item, are intersected with these: an alignment's expected
-    (document, place, term) is looked up in the index. Runs of at least ``window`` consecutive matched item
-    words, or the whole of a shorter item, are occurrences. Rows follow the number of rarest-term postings,
-    never pairs of documents.
+    The postings of each window's rarest term give its alignments (document place minus item place). These
+    are intersected with the list of its second rarest term, shifted by that term's place, and what is left
+    with those of all other terms of the item: an alignment's expected (document, place, term) is looked up
+    in the index. Runs of at least ``window`` consecutive matched item words, or the whole of a shorter item,
+    are occurrences. Rows follow the number of rarest-term postings, never pairs of documents.
     """
     counts = scratch.write(index.groupBy("term").count(), "counts")
     item_terms = scratch.write(item_terms, "items")
     rare = scratch.write(anchors(item_terms, counts, window), "anchors")
-    found = index.join(_bounded(rare, BROADCAST_ROWS), "term")
-    aligned = scratch.write(found.select("doc_id", "h", "item", (F.col("pos") - F.col("at")).alias("shift")).distinct(), "aligned")
-    here = scratch.write(aligned.select("doc_id", "h").distinct(), "candidates")
-    near = index.join(_bounded(here, BROADCAST_ROWS), ["doc_id", "h"], "left_semi")
-    sized = _bounded(item_terms, BROADCAST_ROWS)
-    wanted = aligned.join(sized, "item").withColumn("pos", F.col("shift") + F.col("at"))
-    met = wanted.join(near, ["doc_id", "h", "pos", "term"])
-    by = ["doc_id", "h", "item", "shift"]
+    doc = ["doc_id", "h"]
+    firsts = rare.select("item", "at", "term").distinct()
+    seconds = rare.select("item", "at", "at2", "term2").distinct()
+    found = index.join(_bounded(firsts, BROADCAST_ROWS), "term").select(*doc, "item", "at", (F.col("pos") - F.col("at")).alias("shift"))
+    wanted = found.join(_bounded(seconds, BROADCAST_ROWS), ["item", "at"]).select(*doc, "item", "shift", (F.col("shift") + F.col("at2")).alias("pos"), F.col("term2").alias("term"))
+    lists = index.join(_bounded(seconds.select(F.col("term2").alias("term")).distinct(), BROADCAST_ROWS), "term", "left_semi")
+    aligned = scratch.write(wanted.join(lists, [*doc, "pos", "term"]).select(*doc, "item", "shift").distinct(), "aligned")
+    here = scratch.write(aligned.select(*doc).distinct(), "candidates")
+    near = index.join(_bounded(here, BROADCAST_ROWS), doc, "left_semi")
+    wanted = aligned.join(_bounded(item_terms, BROADCAST_ROWS), "item").withColumn("pos", F.col("shift") + F.col("at"))
+    met = wanted.join(near, [*doc, "pos", "term"])
+    by = [*doc, "item", "shift"]
     runs = met.withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy(*by).orderBy("at")))
     spans = runs.groupBy(*by, "run").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("k"), F.first("n").alias("n"))
     spans = spans.filter(F.col("k") >= F.least(F.lit(window), F.col("n")))
-    return spans.select("doc_id", "h", "item", F.explode(F.sequence("first", "last")).alias("pos"))
+    return spans.select(*doc, "item", F.explode(F.sequence("first", "last")).alias("pos"))
 
 
 def proximity_matches(index: DataFrame, queries: DataFrame, within: int) -> DataFrame:
@@ -107,7 +112,8 @@ def proximity_matches(index: DataFrame, queries: DataFrame, within: int) -> Data
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs``.
 
-    docs: doc_id bigint, text string; items: item_id, text. A-Z are lower-cased, words are runs of ``WORD``.
+    docs: doc_id bigint, text string; items: item_id, text. A-Z are lower-cased, words are
+    runs of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]``.
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window.
     A document word inside any occurrence of a window is hit. Null and wordless texts have no words and no
     hits; such items have no windows. A null doc_id is kept. Rows with the same doc_id and text get the same answer, rows with the
@@ -127,7 +133,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     named = named.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
     per_doc = n.join(named, ["doc_id", "h"]).withColumnsRenamed({"doc_id": "hit_id", "h": "hit_h"})
     per_doc = scratch.write(per_doc, "per_doc")
-    light = docs.select("doc_id", F.xxhash64("text").alias("h"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(ANY_CASE_WORD)).cast("long").alias("n_words"))
+    light = docs.select("doc_id", F.xxhash64("text").alias("h"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     out = light.join(per_doc, (F.col("doc_id") == F.col("hit_id")) & (F.col("h") == F.col("hit_h")), "left")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     out = out.select(
