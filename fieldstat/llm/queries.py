@@ -15,6 +15,7 @@ from .langid import identify
 from .toxicity import fit as fit_toxicity
 from .toxicity import rate
 from .packing import pack
+from .lm import katz_scores
 from .minhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +103,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents packed into sequences of at most 4096 tokens."""
     return pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Katz bigram and add-one unigram scores of all documents."""
+    return katz_scores(table(spark, sf_dir, "documents"))
