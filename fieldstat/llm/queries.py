@@ -16,6 +16,7 @@ from .toxicity import fit as fit_toxicity
 from .toxicity import rate
 from .packing import pack
 from .lm import katz_scores
+from .warc import round_trip
 from .minhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +110,24 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Katz bigram and add-one unigram scores of all documents."""
     return katz_scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written to zstandard archives and read back."""
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+ORACLE["op5_warc_round_trip"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+), g AS (
+  SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p
+)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + ((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM g
+"""
