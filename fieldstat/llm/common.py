@@ -70,6 +70,25 @@ def kept_whole(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Stands for a null id in joins.
+NO_ID = -(2**63)
+#: Keys of dropped rows above which the anti join shuffles instead of broadcasting (about 40 bytes each).
+BROADCAST_KEYS = 300_000
+
+
+def row_key() -> list[Column]:
+    """(k_id, k_h): tells rows by doc_id and text; repeated rows share it."""
+    return [F.coalesce("doc_id", F.lit(NO_ID)).alias("k_id"), F.xxhash64("text").alias("k_h")]
+
+
+def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose :func:`row_key` is in ``bad`` (k_id, k_h); all columns stay."""
+    bad = kept_whole(bad.select("k_id", "k_h").distinct())
+    few = bad.count() <= BROADCAST_KEYS
+    k_id, k_h = row_key()
+    return docs.join(F.broadcast(bad) if few else bad, (k_id == bad["k_id"]) & (k_h == bad["k_h"]), "left_anti")
+
+
 class WordHash(dict):
     """Bytes of a word -> 64-bit hash, computed once for each distinct word of a worker.
 

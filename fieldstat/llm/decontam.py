@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, kept_whole, lower_ascii
+from .common import NO_ID, Scratch, kept_whole, lower_ascii
 
 #: What parts words, after A-Z are lower-cased: words are runs of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]``.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Distinct terms (or anchor places, or documents) above which a lookup shuffles instead of broadcasting.
 BROADCAST_ROWS = 300_000
-#: Stands for a null id within the operator, so that joins keep the row.
-NO_ID = -(2**63)
 
 
 def fast_lower(c: Column) -> Column:
@@ -110,9 +108,9 @@ def proximity_matches(index: DataFrame, queries: DataFrame, within: int) -> Data
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs``.
+    """(doc_id, h, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs``.
 
-    docs: doc_id bigint, text string; items: item_id, text. A-Z are lower-cased, words are
+    docs: doc_id bigint, text string; items: item_id, text. h: the text's xxhash64. A-Z are lower-cased, words are
     runs of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]``.
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window.
     A document word inside any occurrence of a window is hit. Null and wordless texts have no words and no
@@ -137,7 +135,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     out = light.join(per_doc, (F.col("doc_id") == F.col("hit_id")) & (F.col("h") == F.col("hit_h")), "left")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     out = out.select(
-        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
+        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), light["h"], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
     out = kept_whole(out)

@@ -77,9 +77,9 @@ def collided(docs: DataFrame, repeated: DataFrame, digest) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame, digest=sha256) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256) for every row of ``docs`` (doc_id bigint, text string).
+    """(doc_id, h, keep_id, group_size, kept, text_sha256) for every row of ``docs`` (doc_id bigint, text string).
 
-    Texts are equal when identical after deleting every character of ``[\\x20\\x09-\\x0D]``; null counts as
+    h: the text's xxhash64. Texts are equal when identical after deleting every character of ``[\\x20\\x09-\\x0D]``; null counts as
     empty. Of equal texts the row with the most code points in its original text, then the smallest doc_id,
     stays; a null doc_id loses to any other. Repeated rows (same doc_id, same text) all name that doc_id and
     all count in group_size. Extra columns are not read. An empty table gives an empty table.
@@ -91,22 +91,22 @@ def exact_duplicates(docs: DataFrame, digest=sha256) -> DataFrame:
     text = normalised(F.col("text"))
     chars = F.length(F.coalesce("text", F.lit(""))).cast("long")
     record = F.struct(chars.alias("chars"), F.bitwise_not("doc_id").alias("order"), F.input_file_name().alias("place"))
-    light = scratch.write(docs.select("doc_id", digest(text).alias("digest"), sha256(text).alias("text_sha256"), record.alias("record")), "records")
+    light = scratch.write(docs.select("doc_id", F.xxhash64("text").alias("h"), digest(text).alias("digest"), sha256(text).alias("text_sha256"), record.alias("record")), "records")
     if light.isEmpty():
         scratch.drop()
-        return light.selectExpr("doc_id", "doc_id AS keep_id", "0L AS group_size", "true AS kept", "text_sha256").limit(0)
+        return light.selectExpr("doc_id", "h", "doc_id AS keep_id", "0L AS group_size", "true AS kept", "text_sha256").limit(0)
     run_stream(spark, scratch.path("records"), light.schema, scratch.path("state"))
     state = scratch.write(read_state(spark, scratch.path("state")).drop("place"), "held")
     clash = scratch.write(collided(docs, state.filter("group_size > 1").select("digest"), digest), "clash")
     out = light.join(state, "digest")
     if not clash.isEmpty():  # the digest is extended by the text for these
         out = out.join(clash, "digest", "left_anti")
-        inner = docs.select("doc_id", chars.alias("chars"), text.alias("t"), digest(text).alias("digest"), sha256(text).alias("text_sha256")).join(clash, "digest", "left_semi")
+        inner = docs.select("doc_id", F.xxhash64("text").alias("h"), chars.alias("chars"), text.alias("t"), digest(text).alias("digest"), sha256(text).alias("text_sha256")).join(clash, "digest", "left_semi")
         best = inner.groupBy("t").agg(F.max(F.struct("chars", F.bitwise_not("doc_id").alias("order"))).alias("best"), F.count("*").alias("group_size"))
         inner = inner.withColumn("record", F.struct("chars", F.bitwise_not("doc_id").alias("order"), F.lit("").alias("place"))).join(best, "t")
-        inner = inner.select("digest", "doc_id", "text_sha256", "record", F.bitwise_not("best.order").alias("keep_id"), F.col("best.chars").alias("keep_chars"), "group_size")
+        inner = inner.select("digest", "doc_id", "h", "text_sha256", "record", F.bitwise_not("best.order").alias("keep_id"), F.col("best.chars").alias("keep_chars"), "group_size")
         out = out.unionByName(inner)
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("record.chars") == F.col("keep_chars"))
-    out = kept_whole(out.select("doc_id", "keep_id", "group_size", stays.alias("kept"), "text_sha256"))
+    out = kept_whole(out.select("doc_id", "h", "keep_id", "group_size", stays.alias("kept"), "text_sha256"))
     scratch.drop()
     return out

@@ -154,29 +154,47 @@ class WordLogits(dict):
             self.update(zip(new, range(start, start + k)))
 
 
+def _named(model: Model, known: WordLogits, texts: list[str | None]):
+    """(language, score, rejected) of each text."""
+    words = [words_of(t) if t and any(map(str.isalpha, t)) else [] for t in texts]
+    known.learn([w for ws in words for w in ws])
+    for ws in words:
+        if not ws or not model.langs:
+            yield "und", 0.0, True
+            continue
+        v = known.rows[np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))].sum(0)
+        z = (v[:-1] / v[-1] + model.bias) / model.temperature
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        k = int(p.argmax())
+        yield model.langs[k], float(p[k]), bool(p[k] < model.threshold)
+
+
 def _predict(model: Model):
     def run(batches):
         known = WordLogits(model)
         for b in small_batches(batches):
-            ids, texts = b.column(0), b.column(1).to_pylist()
-            words = [words_of(t) if t and any(map(str.isalpha, t)) else [] for t in texts]
-            known.learn([w for ws in words for w in ws])
-            langs, scores, rejected = [], [], []
-            for ws in words:
-                if not ws or not model.langs:
-                    langs.append("und"), scores.append(0.0), rejected.append(True)
-                    continue
-                v = known.rows[np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))].sum(0)
-                z = (v[:-1] / v[-1] + model.bias) / model.temperature
-                p = np.exp(z - z.max())
-                p /= p.sum()
-                k = int(p.argmax())
-                langs.append(model.langs[k]), scores.append(float(p[k])), rejected.append(bool(p[k] < model.threshold))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
+            langs, scores, rejected = zip(*_named(model, known, b.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
     return run
 
 
+def _accept(model: Model, text: int):
+    def run(batches):
+        known = WordLogits(model)
+        for b in small_batches(batches):
+            rejected = [r for _, _, r in _named(model, known, b.column(text).to_pylist())]
+            yield b.filter(pa.array([not r for r in rejected], pa.bool_()))
+
+    return run
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text :func:`identify` doesn't reject."""
+    return docs.mapInArrow(_accept(model, docs.columns.index("text")), docs.schema)
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) for every row of ``docs`` (doc_id bigint, text string), from the text alone.
 

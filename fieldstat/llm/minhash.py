@@ -57,10 +57,11 @@ def _sign(batches):
     hashes = WordHash()
     for b in small_batches(batches):
         rows = []
-        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        for doc_id, text, h in zip(*(c.to_pylist() for c in b.columns)):
             s = shingle_set(text, hashes)
-            rows.append((doc_id, len(s), node_of(s), band_keys(signature(s)).view(np.int64).tolist() if len(s) else None))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["doc_id", "n_shingles", "node", "bands"])
+            rows.append((doc_id, h, len(s), node_of(s), band_keys(signature(s)).view(np.int64).tolist() if len(s) else None))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], ["doc_id", "h", "n_shingles", "node", "bands"])
 
 
 def _sets(batches):
@@ -170,9 +171,9 @@ BROADCAST_IDS = 500_000
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, chunk: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, node, component_id, kept) for every row of ``docs`` (doc_id bigint, text string).
+    """(doc_id, h, n_shingles, node, component_id, kept) for every row of ``docs`` (doc_id bigint, text string).
 
-    Words: A-Z lower-cased, runs of ``[^\\x20\\x09-\\x0D]``. A document's set holds the hashes of its distinct
+    h: the text's xxhash64; node: the shingle set's. Words: A-Z lower-cased, runs of ``[^\\x20\\x09-\\x0D]``. A document's set holds the hashes of its distinct
     5-word shingles; one of fewer words has its whole sequence as one shingle; null, empty or blank texts have
     an empty set (n_shingles 0) and stand alone. Documents are linked where
     100 * intersection >= percent * union, and component_id is the smallest doc_id reachable by links.
@@ -189,8 +190,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, chunk: int = 100) -> Dat
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
-    docs = docs.select("doc_id", "text")
-    signed = scratch.write(docs.mapInArrow(_sign, "doc_id bigint, n_shingles bigint, node bigint, bands array<bigint>"), "signed")
+    docs = docs.select(F.col("doc_id").cast("bigint"), "text")
+    signed = scratch.write(docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(_sign, "doc_id bigint, h bigint, n_shingles bigint, node bigint, bands array<bigint>"), "signed")
     names = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
 
     # 2. buckets of several nodes; bands of equal sets are equal, so a node is one row in a bucket
@@ -228,9 +229,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, chunk: int = 100) -> Dat
     named = names.join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     named = named.join(least, "comp").select("node", "component_id")
-    out = signed.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    out = signed.select("doc_id", "h", "n_shingles", "node").join(named, "node", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    out = kept_whole(out.select("doc_id", "n_shingles", "node", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")))
+    out = kept_whole(out.select("doc_id", "h", "n_shingles", "node", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")))
     scratch.drop()
     return out
 

@@ -12,6 +12,8 @@ from .decontam import decontaminate
 from .exact import exact_duplicates
 from .langid import fit as fit_languages
 from .langid import identify
+from .shards import materialise
+from .spans import remove_repeats
 from .toxicity import fit as fit_toxicity
 from .toxicity import rate
 from .packing import pack
@@ -31,13 +33,13 @@ def query(f):
 @query
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents at a similarity of 0.85 on 5-word shingles."""
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("node")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("node", "h")
 
 
 @query
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts over all documents."""
-    return exact_duplicates(table(spark, sf_dir, "documents"))
+    return exact_duplicates(table(spark, sf_dir, "documents")).drop("h")
 
 
 ORACLE["op7_exact_dedup"] = r"""
@@ -56,7 +58,7 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 @query
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document words inside occurrences of 10-word windows of benchmark items."""
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("h")
 
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -131,3 +133,15 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM g
 """
+
+
+@query
+def op3_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without sentences that repeat a span seen before."""
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_training_order_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token sequences in shards in training order, read back."""
+    return materialise(table(spark, sf_dir, "documents"))

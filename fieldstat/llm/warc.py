@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, kept_whole, small_batches
+from .common import NO_ID, Scratch, kept_whole, small_batches
 
 #: Magic number of the skippable frame that holds the dictionary, and of ordinary frames (fixed values of the formats).
 DICT_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
@@ -24,7 +24,6 @@ ROLL_BYTES, DICT_PAGES, DICT_BYTES = 16 << 20, 400, 64 << 10
 #: Revisits above which their lookup shuffles instead of broadcasting (about 60 bytes each).
 BROADCAST_REVISITS = 500_000
 CHUNK = 1 << 14
-NO_ID = -(2**63)
 RECORDS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
 
