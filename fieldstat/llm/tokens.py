@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import re
+from itertools import islice
+
 import numpy as np
 
+#: Letters that stay one letter each when normalised and lower-cased (Latin, without the dotted capital I).
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
+#: Marks that may stand behind a word; none of them begins a contraction.
+MARKS = b".,;:!?"
+
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -15,49 +24,88 @@ class WordIds(dict):
     """Word (bytes between ASCII white space) -> its ids as little-endian uint32 bytes.
 
     Holds for tokenizers that drop white space and never merge across it, as the word BPE does: then the ids
-    of a text are those of its words in order. New words are encoded together, parted by a mark. The table
-    is emptied at ``limit`` words, which bounds memory and changes no result.
+    of a text are those of its words in order. Words of letters alone, with or without marks behind, are
+    looked up by their letters; new ones are encoded together and told apart by the ids that end a word.
+    Other words are encoded each by itself. At ``limit`` words all but the first ``keep`` (the most frequent
+    ones come early) are dropped, which bounds memory and changes no result.
     """
 
-    MARK = "\x01"
-
-    def __init__(self, path: str, limit: int = 600_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, limit: int = 600_000, keep: int = 150_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer, self.limit, self.keep = Tokenizer.from_file(path), limit, keep
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
+        with open(path, encoding="utf-8") as f:
+            suffix = json.load(f)["model"].get("end_of_word_suffix")
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        for token, i in vocab.items():
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
+        self.marks: dict[bytes, bytes] = {b"": b""}
+        # for lower-case Latin letters between spaces the full normaliser and patterns do nothing
+        self.bare, self.bytewise = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.bare.normalizer = self.bytewise.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.bytewise.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        # a tokenizer of another kind has every word encoded by itself
+        probe = "thereupon überaus. Straße"
+        self.joint = bool(suffix) and self._encode(probe).tolist() == [x for w in ("thereupon", "überaus", ".", "straße") for x in self.bytewise.encode(w, add_special_tokens=False).ids]
 
     def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def learn(self, words: list[bytes]) -> None:
-        new = list({w for w in words if w not in self})
-        if len(self) + len(new) > self.limit:
+    def _plain(self, cores: list[bytes], tokenizer) -> None:
+        for i in range(0, len(cores), 4000):
+            part = cores[i : i + 4000]
+            ids = np.array(tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.nonzero(self.ends[ids])[0] + 1
+            raw = ids.tobytes()
+            if len(ends) != len(part):
+                raise ValueError("words and ends of words don't agree")
+            cut = (4 * np.append(0, ends)).tolist()
+            self.update(zip(part, (raw[a:b] for a, b in zip(cut[:-1], cut[1:]))))
+
+    def learn(self, new: set[bytes]) -> None:
+        """Add words that are not yet known."""
+        if len(self) + 2 * len(new) > self.limit:
+            first = list(islice(self.items(), self.keep))
             self.clear()
-            new = list(set(words))
-        plain = []
+            self.update(first)
+        ascii_, latin, marked, odd = set(), set(), [], []
         for w in new:
-            if self.mark is None or b"\x01" in w or len(w) > 1000:
-                self[w] = self._encode(w.decode("utf-8", "replace")).tobytes()
+            core = w.rstrip(MARKS)
+            if self.joint and core.isalpha():  # of bytes: A-Z and a-z alone
+                low = core.lower()
+                ascii_.add(low)
             else:
-                plain.append(w)
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            ids = self._encode(b" \x01 ".join(part).decode("utf-8", "replace"))
-            ends = np.append(np.nonzero(ids == self.mark)[0], len(ids))
-            assert len(ends) == len(part)
-            starts = np.append(0, ends[:-1] + 1)
-            raw = ids.tobytes()
-            for w, a, b in zip(part, starts.tolist(), ends.tolist()):
-                self[w] = raw[4 * a : 4 * b]
+                low = core.decode("utf-8", "replace")
+                if not (self.joint and _LATIN.fullmatch(low)):
+                    odd.append(w)
+                    continue
+                low = low.lower().encode()
+                latin.add(low)
+            if low != w:
+                marked.append((w, low, w[len(core) :]))
+        for w, e in zip(odd, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in odd], add_special_tokens=False)):
+            self[w] = np.array(e.ids, dtype="<u4").tobytes()
+        self._plain([c for c in ascii_ if c not in self], self.bare)
+        self._plain([c for c in latin if c not in self], self.bytewise)
+        for w, core, mark in marked:
+            if mark not in self.marks:
+                self.marks[mark] = self._encode(mark.decode()).tobytes()
+            self[w] = self[core] + self.marks[mark]
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes; null has none."""
         split = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
-        self.learn([w for ws in split for w in ws])
-        get = self.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        words = [w for ws in split for w in ws]
+        found = list(map(self.get, words))
+        new = {w for w, x in zip(words, found) if x is None}
+        if new:
+            self.learn(new)
+            fresh = {w: self[w] for w in new}
+            found = [fresh[w] if x is None else x for w, x in zip(words, found)]
+        ends = np.cumsum([0, *map(len, split)]).tolist()
+        return [b"".join(found[i:j]) for i, j in zip(ends[:-1], ends[1:])]
