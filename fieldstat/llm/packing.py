@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, kept_whole, small_batches
-from .tokens import WordIds, default_tokenizer
+from .tokens import default_tokenizer, shared_ids
 
 LENGTH, END, OPEN = 4096, 1, 64
 #: Pieces packed by one task; the open sequences left at its end are all that more tasks cost.
@@ -28,7 +28,7 @@ def pieces_of(ids: bytes, length: int = LENGTH, end: int = END):
 
 def _cut(path: str, length: int):
     def run(batches):
-        known = WordIds(path)
+        known = shared_ids(path)
         for b in small_batches(batches):
             rows = [(d, *p) for d, ids in zip(b.column(0).to_pylist(), known.texts(b.column(1).to_pylist())) for p in pieces_of(ids, length)]
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())

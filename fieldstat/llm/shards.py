@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, kept_whole, mix64, small_batches
-from .tokens import WordIds, default_tokenizer
+from .tokens import default_tokenizer, shared_ids
 
 LENGTH, END, PAD = 2048, 1, 0
 #: Sequences of a shard (16 MB of 2-byte ids at 2048 tokens).
@@ -49,7 +49,7 @@ def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 def _sequences(path: str, length: int, dtype: str):
     def run(batches):
-        known, part, k = WordIds(path), TaskContext.get().partitionId(), 0
+        known, part, k = shared_ids(path), TaskContext.get().partitionId(), 0
         ids, owners = np.empty(0, dtype), []  # tokens not yet out; (doc_id, tokens left) of the documents they are of
 
         def out(n):

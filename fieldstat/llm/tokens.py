@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -30,7 +31,7 @@ class WordIds(dict):
     ones come early) are dropped, which bounds memory and changes no result.
     """
 
-    def __init__(self, path: str, limit: int = 600_000, keep: int = 150_000):
+    def __init__(self, path: str, limit: int = 1_200_000, keep: int = 300_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
@@ -109,3 +110,9 @@ class WordIds(dict):
             found = [fresh[w] if x is None else x for w, x in zip(words, found)]
         ends = np.cumsum([0, *map(len, split)]).tolist()
         return [b"".join(found[i:j]) for i, j in zip(ends[:-1], ends[1:])]
+
+
+@lru_cache(maxsize=1)
+def shared_ids(path: str) -> WordIds:
+    """One table for each Python worker, kept from task to task."""
+    return WordIds(path)
