@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -64,6 +65,12 @@ class Scratch:
             p.getFileSystem(conf).delete(p, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results have been written: it does so once the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def kept_whole(df: DataFrame) -> DataFrame:
     """Cut lineage by a reliable checkpoint; its files go when the DataFrame is no longer referenced."""
     shared_dir(df.sparkSession)
