@@ -102,7 +102,7 @@ class WordHash(dict):
     The table is emptied at ``limit`` words, which bounds memory and changes no result.
     """
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 

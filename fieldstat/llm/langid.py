@@ -14,7 +14,9 @@ from .common import fold_of, mix64, small_batches, words_of
 #: Subwords: runs of 2 to 5 bytes of a word between marks; 2**16 buckets of 16 numbers.
 GRAMS, BUCKETS, DIM = (2, 3, 4, 5), 1 << 16, 16
 #: Training rows are a sample: about this many for each language, by hash of doc_id.
-ROWS_PER_LANG = 1200
+ROWS_PER_LANG = 600
+#: New words are worked out so many at a time.
+PART = 10_000
 #: Languages beyond this many (the most frequent stay) are not learned: it bounds the model.
 MOST_LANGS = 256
 
@@ -48,7 +50,7 @@ class Model:
 def _features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     _, b = word_grams(words)
     idx, n = np.unique(b, return_counts=True)
-    return idx, (n / n.sum()).astype(np.float32)
+    return idx.astype(np.int32), (n / n.sum()).astype(np.float32)
 
 
 def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.5, seed: int = 7, lose: float = 0.001) -> Model:
@@ -131,7 +133,7 @@ def fit(docs: DataFrame, folds: int = 4, held: int = 2, per_lang: int = ROWS_PER
 class WordLogits(dict):
     """Word -> row of a growing table of summed logits and subword counts; emptied at ``limit`` words."""
 
-    def __init__(self, model: Model, limit: int = 300_000):
+    def __init__(self, model: Model, limit: int = 200_000):
         super().__init__()
         self.model, self.limit = model, limit
         self.rows = np.zeros((limit + 1, model.table.shape[1] + 1))
@@ -144,14 +146,14 @@ class WordLogits(dict):
             if len(new) > self.limit:
                 self.limit = len(new)
                 self.rows = np.zeros((self.limit + 1, self.rows.shape[1]))
-        if new:
-            owner, bucket = word_grams(new)
-            start, k = len(self), len(new)
-            at = self.model.table[bucket]
-            for c in range(at.shape[1]):
-                self.rows[start : start + k, c] = np.bincount(owner, at[:, c], k)
+        for i in range(0, len(new), PART):
+            part = new[i : i + PART]
+            owner, bucket = word_grams(part)
+            start, k = len(self), len(part)
+            for c in range(self.model.table.shape[1]):
+                self.rows[start : start + k, c] = np.bincount(owner, self.model.table[bucket, c], k)
             self.rows[start : start + k, -1] = np.bincount(owner, minlength=k)
-            self.update(zip(new, range(start, start + k)))
+            self.update(zip(part, range(start, start + k)))
 
 
 def _named(model: Model, known: WordLogits, texts: list[str | None]):
