@@ -36,16 +36,17 @@ def fit_models(df: DataFrame, formula: str, by: list[str] | None = None, respons
     schema = "".join(f"`{b}` {kinds[b]}, " for b in by) + FIT
     if not by:
         df, by, schema = df.withColumn("_all", F.lit(0)), ["_all"], "_all int, " + FIT
-    names = [list(c) for c in z]
+    names, x_names = [list(c) for c in z], list(x)
+    groups = [r.group for r in f.random]
     one = len(f.random) == 1
 
     def rows(fit, key):
         head = dict(zip(by, key if isinstance(key, tuple) else (key,)))
         if fit is None:
             return pd.DataFrame([{**head, "term": None, "beta": None, "se": None, "t": None, "loglik": None, "var_resid": None, "re_name": None, "re_var": None}])
-        var, _ = random_effects(fit, names, [r.group for r in f.random])
+        var, _ = random_effects(fit, names, groups)
         re = {"re_name": [v["Name"] for v in var[:-1]], "re_var": [v["Var"] for v in var[:-1]]}
-        return pd.DataFrame([{**head, "term": t, "beta": fit.beta[i], "se": fit.se[i], "t": fit.t[i], "loglik": fit.loglik, "var_resid": fit.sigma2, **re} for i, t in enumerate(x)])
+        return pd.DataFrame([{**head, "term": t, "beta": fit.beta[i], "se": fit.se[i], "t": fit.t[i], "loglik": fit.loglik, "var_resid": fit.sigma2, **re} for i, t in enumerate(x_names)])
 
     if one:
         cols = [*z[0].values(), *x.values(), F.col(y).cast("double")]

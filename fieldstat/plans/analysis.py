@@ -1,0 +1,152 @@
+"""Queries: clusters, enhancement, decomposition, mixed models and the whole analysis."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.columns import fisher_z, tidy
+from ..operators import clusters, frames, linalg, mixed
+from ..sources.files import read_tables
+from .catalogue import query
+from .data import CELLS, FEATURES, SHAPE, frame, long, tidy_sql
+from .model import FieldModel
+
+GRID = """edges AS (SELECT CAST(i AS INTEGER) AS src, CAST(i + 1 AS INTEGER) AS dst FROM unnest(range(0, 64)) AS t(i) WHERE i % 8 < 7
+UNION ALL SELECT CAST(i AS INTEGER), CAST(i + 8 AS INTEGER) FROM unnest(range(0, 56)) AS t(i)), near AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges)"""
+MAPS = CELLS + ", maps AS (SELECT grp, feature, avg(x) * 10 AS x FROM cells GROUP BY grp, feature)"
+
+
+def _maps(spark, sf):
+    return long(spark, sf, "beh").groupBy("grp", "feature").agg((F.avg("x") * 10).alias("x"))
+
+
+@query("grid_edges", f"WITH {GRID} SELECT src, dst FROM edges")
+def grid_edges(spark, sf):
+    return clusters.grid_edges(spark, SHAPE)
+
+
+@query("path_and_product_edges", f"WITH {GRID}, p AS (SELECT CAST(i AS INTEGER) AS src, CAST(i + 1 AS INTEGER) AS dst FROM unnest(range(0, 7)) AS t(i)) SELECT 'grid' AS kind, src, dst FROM edges UNION ALL SELECT 'path', src, dst FROM p")
+def path_and_product_edges(spark, sf):
+    p = clusters.path_edges(spark, 8)
+    return clusters.product_edges([p, p], [8, 8]).select(F.lit("grid").alias("kind"), "src", "dst").union(p.select(F.lit("path"), "src", "dst"))
+
+
+@query("masked_edges", f"WITH {GRID} SELECT src, dst FROM edges WHERE src % 3 <> 0 AND dst % 3 <> 0")
+def masked_edges(spark, sf):
+    keep = spark.range(FEATURES).select(F.col("id").cast("int").alias("feature")).filter("feature % 3 <> 0")
+    return clusters.inside(clusters.grid_edges(spark, SHAPE), keep)
+
+
+LABELS = f"""WITH RECURSIVE {GRID}, {MAPS}, n AS (SELECT grp, feature, x FROM maps WHERE abs(x) >= 0.2e0),
+reach AS (SELECT grp, feature, feature AS lab FROM n UNION SELECT r.grp, e.dst, r.lab FROM reach r JOIN near e ON e.src = r.feature JOIN n ON n.grp = r.grp AND n.feature = e.dst),
+lab AS (SELECT grp, feature, min(lab) AS cluster FROM reach GROUP BY grp, feature),
+c AS (SELECT grp, cluster, CAST(count(*) AS INTEGER) AS size, sum(x) AS total FROM lab JOIN maps USING (grp, feature) GROUP BY grp, cluster)"""
+
+
+@query("cluster_label_sum", f"{LABELS} SELECT grp, feature, cluster, size, {tidy_sql('total')} AS total FROM lab JOIN c USING (grp, cluster)")
+def cluster_label_sum(spark, sf):
+    c = clusters.find_clusters(_maps(spark, sf), ["grp"], clusters.Graph.grid(SHAPE), 0.2, 0)
+    return c.withColumn("total", tidy(F.col("total")))
+
+
+@query("cluster_size_lookup", f"{LABELS} SELECT grp, cluster, size, round(1e0 / (1 + least(size, 5)), 6) AS p FROM c")
+def cluster_size_lookup(spark, sf):
+    c = clusters.find_clusters(_maps(spark, sf), ["grp"], clusters.Graph.grid(SHAPE), 0.2, 0).select("grp", "cluster", "size").distinct()
+    table = spark.range(1, 6).select(F.col("id").cast("int").alias("size"), F.round(1 / (1 + F.col("id")), 6).alias("p"))
+    return clusters.sized_pvalues(c, table)
+
+
+@query("tfce_exact", f"""WITH RECURSIVE {GRID}, {MAPS}, s AS (SELECT grp, feature, x * sg AS x, sg FROM maps, (VALUES (1), (-1)) AS v(sg) WHERE x * sg > 0),
+l AS (SELECT grp, sg, x AS lev, lag(x, 1, 0) OVER (PARTITION BY grp, sg ORDER BY x) AS below FROM (SELECT DISTINCT grp, sg, x FROM s)),
+n AS (SELECT l.grp, l.sg, lev, below, feature FROM l JOIN s ON s.grp = l.grp AND s.sg = l.sg AND s.x >= lev),
+reach AS (SELECT grp, sg, lev, feature, feature AS lab FROM n UNION SELECT r.grp, r.sg, r.lev, e.dst, r.lab FROM reach r JOIN near e ON e.src = r.feature JOIN n ON n.grp = r.grp AND n.sg = r.sg AND n.lev = r.lev AND n.feature = e.dst),
+lab AS (SELECT grp, sg, lev, feature, min(lab) AS c FROM reach GROUP BY ALL), sz AS (SELECT grp, sg, lev, c, count(*) AS k FROM lab GROUP BY ALL),
+v AS (SELECT lab.grp, lab.feature, sum(lab.sg * pow(k, 2e0 / 3) * (pow(lab.lev, 3) - pow(below, 3)) / 3) AS tfce FROM lab JOIN sz USING (grp, sg, lev, c) JOIN l USING (grp, sg, lev) GROUP BY ALL)
+SELECT grp, feature, {tidy_sql('coalesce(tfce, 0)')} AS tfce FROM maps LEFT JOIN v USING (grp, feature)""")
+def tfce_exact(spark, sf):
+    return clusters.enhance(_maps(spark, sf), ["grp"], clusters.Graph.grid(SHAPE), e=2 / 3, h=2.0).withColumn("tfce", tidy(F.col("tfce")))
+
+
+@query("tfce_step", f"""WITH RECURSIVE {GRID}, {MAPS}, s AS (SELECT grp, feature, abs(x) AS x FROM maps), m AS (SELECT grp, min(x) FILTER (x > 0) AS lo, max(x) AS hi FROM s GROUP BY grp),
+l AS (SELECT grp, i, lo + i * 0.05e0 AS lev FROM m, unnest(range(0, 1000)) AS t(i) WHERE i < ceil((hi + 0.05e0 - lo) / 0.05e0)),
+n AS (SELECT l.grp, i, lev, feature FROM l JOIN s ON s.grp = l.grp AND s.x >= lev),
+reach AS (SELECT grp, i, feature, feature AS lab FROM n UNION SELECT r.grp, r.i, e.dst, r.lab FROM reach r JOIN near e ON e.src = r.feature JOIN n ON n.grp = r.grp AND n.i = r.i AND n.feature = e.dst),
+lab AS (SELECT grp, i, feature, min(lab) AS c FROM reach GROUP BY ALL), sz AS (SELECT grp, i, c, count(*) AS k FROM lab GROUP BY ALL),
+v AS (SELECT grp, feature, sum(pow(k, 2e0 / 3) * pow(lev, 2) * 0.05e0) AS tfce FROM lab JOIN sz USING (grp, i, c) JOIN l USING (grp, i) GROUP BY ALL)
+SELECT grp, feature, {tidy_sql('coalesce(tfce, 0)')} AS tfce FROM maps LEFT JOIN v USING (grp, feature)""")
+def tfce_step(spark, sf):
+    return clusters.enhance(_maps(spark, sf), ["grp"], clusters.Graph.grid(SHAPE), exact=False, dt=0.05, e=2 / 3, h=2.0, tail=0).withColumn("tfce", tidy(F.col("tfce")))
+
+
+def _z(spark, sf):
+    z = frames.group_correlations(long(spark, sf, "beh"), ["beh"])
+    return z.select(F.col("grp").alias("row"), "feature", F.coalesce(fisher_z(F.col("r")), F.lit(0.0)).alias("x"))
+
+
+@query("svd_components")
+def svd_components(spark, sf):
+    """Components of the subjects' z maps (held against a dense decomposition in the tests)."""
+    return linalg.svd_components(_z(spark, sf)).withColumns({c: tidy(F.col(c)) for c in ("s", "share", "v")})
+
+
+@query("svd_total", f"""WITH {CELLS}, r AS (SELECT grp, feature, coalesce(atanh(covar_pop(x, beh) / sqrt(var_pop(x) * var_pop(beh))), 0e0) AS z FROM cells GROUP BY grp, feature) SELECT {tidy_sql('sum(z * z)')} AS total FROM r""")
+def svd_total(spark, sf):
+    """Squared singular values add up to the matrix's sum of squares."""
+    c = linalg.svd_components(_z(spark, sf)).select("comp", "s").distinct()
+    return c.agg(tidy(F.sum(F.col("s") * F.col("s"))).alias("total"))
+
+
+@query("backproject")
+def backproject(spark, sf):
+    c = linalg.svd_components(_z(spark, sf))
+    fits = c.select("comp").distinct().select("comp", F.lit("beh").alias("term"), (F.col("comp") + 1.0).alias("beta"), (1 / (F.col("comp") + 1)).alias("t"))
+    return linalg.backproject(c, fits).withColumns({"beta": tidy(F.col("beta"), 4), "t": tidy(F.col("t"), 4)})
+
+
+BALANCED = f"""{CELLS}, b AS (SELECT feature, grp, x FROM (SELECT *, row_number() OVER (PARTITION BY grp, feature ORDER BY row_id) AS k FROM cells) WHERE k <= 30),
+g AS (SELECT feature, grp, avg(x) AS m, sum(x * x) AS xx FROM b GROUP BY feature, grp),
+s AS (SELECT feature, avg(m) AS mu, count(*) AS a, 30 * var_samp(m) AS msb, (sum(xx) - 30 * sum(m * m)) / (count(*) * 29) AS msw, (sum(xx) - 30 * count(*) * avg(m) * avg(m)) / (count(*) * 30 - 1) AS mst FROM g GROUP BY feature)"""
+
+
+@query("lmm_random_intercept", f"""WITH {BALANCED} SELECT feature, round(mu, 5) + 0e0 AS beta, round(sqrt(CASE WHEN msb > msw THEN msb ELSE mst END / (a * 30)), 5) AS se, round(CASE WHEN msb > msw THEN msw ELSE mst END, 5) AS var_resid, round(CASE WHEN msb > msw THEN (msb - msw) / 30 ELSE 0 END, 5) + 0e0 AS var_group FROM s""")
+def lmm_random_intercept(spark, sf):
+    """One mixed model for each feature on balanced subjects, where restricted maximum likelihood has a closed form."""
+    x = long(spark, sf, "beh").withColumn("k", F.row_number().over(_w().orderBy("row_id"))).filter("k <= 30")
+    m = mixed.fit_models(x, "x ~ 1 + (1|grp)", ["feature"])
+    return m.select("feature", tidy(F.col("beta"), 5).alias("beta"), tidy(F.col("se"), 5).alias("se"), tidy(F.col("var_resid"), 5).alias("var_resid"), tidy(F.col("re_var")[0], 5).alias("var_group"))
+
+
+def _w():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("grp", "feature")
+
+
+@query("lmm_random_slope")
+def lmm_random_slope(spark, sf):
+    m = mixed.fit_models(long(spark, sf).filter("feature < 8"), "x ~ beh*cont + (beh|grp)", ["feature"])
+    return m.select("feature", "term", tidy(F.col("beta"), 4).alias("beta"), tidy(F.col("t"), 3).alias("t"))
+
+
+@query("lmm_orders")
+def lmm_orders(spark, sf):
+    """Prices by priority with a random intercept of customers: any number of rows becomes one sum for each customer."""
+    o = read_tables(spark, sf, "orders").select("o_custkey", "o_orderpriority", "o_totalprice")
+    m = mixed.fit_models(o, "o_totalprice ~ o_orderpriority + (1|o_custkey)")
+    return m.select("term", F.round("beta", 1).alias("beta"), F.round("t", 2).alias("t"))
+
+
+def _model(spark, sf):
+    return FieldModel(frame(spark, sf), "val ~ beh + cont + (1|subj)", shape=SHAPE, feat_nboot=200, feat_thresh=0.2)
+
+
+@query("pipeline_perm")
+def pipeline_perm(spark, sf):
+    """Corrected p-values of the whole analysis by permutation."""
+    return _model(spark, sf).run_perms(10).p_features().withColumn("p", F.round("p", 6))
+
+
+@query("pipeline_boot")
+def pipeline_boot(spark, sf):
+    """Corrected p-values of the whole analysis by bootstrap, enhanced."""
+    return _model(spark, sf).run_boots(5).p_features().withColumn("p", F.round("p", 6))

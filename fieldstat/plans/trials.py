@@ -1,0 +1,128 @@
+"""Queries: trial tables, joins and generators."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions.columns import tidy
+from ..operators import generate, tables
+from ..sources.files import read_tables
+from .catalogue import query
+from .data import FEATURES, TMAP, p9_sql, tidy_sql
+
+
+def _events(spark, sf):
+    """Events with onset in whole seconds and a duration from the id."""
+    return read_tables(spark, sf, "events").select("event_id", "user_id", "event_type", "value", F.unix_timestamp("ts").alias("ts"))
+
+
+EV = "ev AS (SELECT event_id, user_id, event_type, value, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events)"
+
+
+@query("interval_bins", f"""WITH {EV}, z AS (SELECT user_id, event_id, s - min(s) OVER (PARTITION BY user_id) AS onset, event_id % 4 * 1.5e0 AS dur FROM ev),
+b AS (SELECT user_id, event_id, CAST(trunc(onset / 2e0) AS INTEGER) AS a, CAST(trunc((onset + dur) / 2e0) AS INTEGER) AS e FROM z)
+SELECT user_id, event_id, CAST(bin AS INTEGER) AS bin FROM b, unnest(range(a, e)) AS t(bin)""")
+def interval_bins(spark, sf):
+    e = _events(spark, sf)
+    first = e.groupBy("user_id").agg(F.min("ts").alias("first"))
+    e = e.join(F.broadcast(first), "user_id").withColumn("onset", (F.col("ts") - F.col("first")).cast("double"))
+    return tables.interval_bins(e, ["user_id", "event_id"], F.col("onset"), F.col("event_id") % 4 * 1.5, 2.0)
+
+
+@query("design_matrix_text", "SELECT user_id, string_agg(event_type || ':' || (event_id % 10), ' ' ORDER BY event_id) AS line FROM events GROUP BY user_id")
+def design_matrix_text(spark, sf):
+    return tables.joined_text(read_tables(spark, sf, "events"), ["user_id"], ["event_id"], [F.col("event_type"), F.col("event_id") % 10])
+
+
+@query("failed_runs", "SELECT DISTINCT user_id, event_type FROM events e WHERE NOT EXISTS (SELECT 1 FROM events d WHERE d.user_id = e.user_id AND d.event_type = e.event_type AND d.value > 150)")
+def failed_runs(spark, sf):
+    e = read_tables(spark, sf, "events").select("user_id", "event_type", "value")
+    return tables.missing(e.select("user_id", "event_type").distinct(), e.filter("value > 150"), ["user_id", "event_type"])
+
+
+@query("shard_union", """WITH s AS (SELECT shard, CASE WHEN rk = 1 THEN 0 ELSE shard + 1 END AS run, value FROM (SELECT event_id % 4 AS shard, value, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) AS rk FROM events WHERE event_id < 8))
+SELECT run, round(value, 6) AS value FROM s WHERE shard = 0 OR run <> 0""")
+def shard_union(spark, sf):
+    e = read_tables(spark, sf, "events").filter("event_id < 8").select((F.col("event_id") % 4).alias("shard"), "event_id", "value")
+    e = e.withColumn("rk", F.row_number().over(Window.partitionBy("shard").orderBy("event_id")))
+    e = e.select("shard", F.when(F.col("rk") == 1, 0).otherwise(F.col("shard") + 1).alias("run"), F.round("value", 6).alias("value"))
+    return tables.recombine([e.filter(F.col("shard") == i).select("run", "value") for i in range(4)])
+
+
+@query("left_merge", """WITH a AS (SELECT c_nationkey AS run_n, round(avg(c_acctbal), 4) AS dice_full FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS run_n, round(avg(s_acctbal), 4) AS dice_half FROM supplier GROUP BY 1)
+SELECT run_n, dice_full, dice_half FROM a LEFT JOIN b USING (run_n)""")
+def left_merge(spark, sf):
+    a = read_tables(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("run_n")).agg(F.round(F.avg("c_acctbal"), 4).alias("dice_full"))
+    b = read_tables(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("run_n")).agg(F.round(F.avg("s_acctbal"), 4).alias("dice_half"))
+    return a.join(b, "run_n", "left")
+
+
+@query("positional_zip", """WITH v AS (SELECT user_id, event_id AS view_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events WHERE event_type = 'view'),
+c AS (SELECT user_id, event_id AS click_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events WHERE event_type = 'click')
+SELECT user_id, view_id, click_id FROM v JOIN c USING (user_id, p)""")
+def positional_zip(spark, sf):
+    e = read_tables(spark, sf, "events")
+    one = lambda kind, name: e.filter(F.col("event_type") == kind).select("user_id", F.col("event_id").alias(name))
+    return tables.zip_by_position(one("view", "view_id"), one("click", "click_id"), ["user_id"], "view_id", "click_id")
+
+
+@query("lookup_noise", """SELECT o_orderkey, round(o_totalprice + c_acctbal * 0.5e0 + coalesce(n_regionkey, 0) * 100, 4) AS noisy FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey""")
+def lookup_noise(spark, sf):
+    """Subject and item shifts looked up for each row; the optimiser broadcasts a side only within its size limit."""
+    o = read_tables(spark, sf, "orders").join(read_tables(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = o.join(F.broadcast(read_tables(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return o.select("o_orderkey", F.round(F.col("o_totalprice") + F.col("c_acctbal") * 0.5 + F.coalesce(F.col("n_regionkey"), F.lit(0)) * 100, 4).alias("noisy"))
+
+
+@query("collect_lists", "SELECT user_id, event_type, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS onsets FROM events GROUP BY user_id, event_type")
+def collect_lists(spark, sf):
+    ids = F.array_sort(F.collect_list("event_id"))
+    return read_tables(spark, sf, "events").groupBy("user_id", "event_type").agg(F.array_join(F.transform(ids, lambda v: v.cast("string")), ",").alias("onsets"))
+
+
+@query("path_fields", r"SELECT page_id, regexp_extract(url, '^https?://([^/]+)/', 1) AS host, string_split(url, '/')[-1] AS last, lpad(CAST(page_id AS VARCHAR), 8, '0') AS code FROM pages")
+def path_fields(spark, sf):
+    return read_tables(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)/", 1).alias("host"), F.element_at(F.split("url", "/"), -1).alias("last"), F.lpad(F.col("page_id").cast("string"), 8, "0").alias("code"))
+
+
+@query("threshold_scatter", f"""WITH {TMAP}, p AS (SELECT feature, t, {p9_sql('t')} AS p FROM tmap WHERE feature % 3 <> 0), f AS (SELECT CAST(i AS INTEGER) AS feature FROM unnest(range(0, 64)) AS t(i))
+SELECT feature, {tidy_sql('coalesce(t, 0)')} AS t, {tidy_sql('coalesce(p, 1)')} AS p, {tidy_sql('CASE WHEN coalesce(p, 1) < 0.3e0 THEN coalesce(t, 0) ELSE 0 END')} AS shown FROM f LEFT JOIN p USING (feature)""")
+def threshold_scatter(spark, sf):
+    """A masked map put back on the grid, and what passes the threshold."""
+    from ..functions.columns import t_two_tailed
+    from ..operators.frames import fisher_t, group_correlations
+    from .data import long
+
+    t = fisher_t(group_correlations(long(spark, sf, "beh"), ["beh"])).filter("feature % 3 <> 0")
+    t = t.select("feature", "t", t_two_tailed(F.col("t"), (F.col("n") - 1).cast("int")).alias("p"))
+    whole = tables.scatter(t, spark.range(FEATURES).select(F.col("id").cast("int").alias("feature")))
+    return whole.select("feature", tidy(F.col("t")).alias("t"), tidy(F.col("p")).alias("p"), tidy(tables.thresholded(F.col("t"), F.col("p"), 0.3)).alias("shown"))
+
+
+@query("hide_blobs", """WITH r AS (SELECT 'central' AS name, 45 AS y, 45 AS x, 10 AS h, 10 AS w UNION ALL SELECT 'split10', y, x, 10, 25 FROM (VALUES (30), (60)) AS a(y), (VALUES (15), (60)) AS b(x)
+UNION ALL SELECT 'dispersed', y, x, 2, 2 FROM (VALUES (10), (30), (50), (70), (90)) AS a(y), (VALUES (10), (30), (50), (70), (90)) AS b(x))
+SELECT name, CAST(y + dy AS INTEGER) AS i, CAST(x + dx AS INTEGER) AS j, 1e0 AS signal FROM r, unnest(range(0, h)) AS t(dy), unnest(range(0, w)) AS u(dx)""")
+def hide_blobs(spark, sf):
+    out = None
+    for name in ("central", "split10", "dispersed"):
+        one = generate.pattern_frame(spark, generate.named_pattern(name)).filter("signal <> 0").select(F.lit(name).alias("name"), "i", "j", "signal")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("synth_data")
+def synth_data(spark, sf):
+    """Generated trials: mean of each condition by subject and feature."""
+    pattern = generate.pattern_frame(spark, generate.block_pattern((8, 8), 2, 2, generate.np.ones((3, 3))))
+    x = generate.trials(spark, 8, 50, pattern, slope=2.0, seed=9)
+    cells = x.select("subj", "beh", F.posexplode("y").alias("feature", "x"))
+    return cells.groupBy("subj", "beh", "feature").agg(tidy(F.avg("x")).alias("mean"))
+
+
+@query("synth_design", """WITH r AS (SELECT id, CAST(id // 10 AS INTEGER) AS subj, CAST(id % 10 AS INTEGER) AS item FROM unnest(range(0, 80)) AS t(id))
+SELECT id AS row_id, subj, item, CASE WHEN item % 2 = 0 THEN -0.5e0 ELSE 0.5e0 END AS beh FROM r""")
+def synth_design(spark, sf):
+    """An odd number of observations is rounded down, each item has one condition."""
+    pattern = generate.pattern_frame(spark, generate.np.ones((1, 1)))
+    return generate.trials(spark, 8, 11, pattern, slope=1.0).select("row_id", "subj", "item", "beh")
