@@ -21,8 +21,8 @@ _M_INVERSE = pow(_M, -1, 2**64)
 _RUNS = "doc_id bigint, h bigint, n_sentences bigint, runs array<struct<key:bigint,first:int,last:int,again:boolean>>"
 _RUN_TYPE = pa.list_(pa.struct([("key", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("again", pa.bool_())]))
 NO_ID = 2**63 - 1
-#: Documents with repeated spans above which their lookup shuffles instead of broadcasting.
-BROADCAST_DOCS = 100_000
+#: Repeated spans above which their lookup shuffles instead of broadcasting (some 16 bytes each).
+BROADCAST_SPANS = 500_000
 
 
 def sentences(text: str | None) -> list[str]:
@@ -111,7 +111,7 @@ def remove_repeats(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, leas
     spans = each.join(firsts, "key").filter((F.col("doc_id") != F.col("first_doc")) | F.col("again"))
     spans = spans.groupBy("doc_id", "h").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     spans = scratch.write(spans.withColumnsRenamed({"doc_id": "s_id", "h": "s_h"}), "spans")
-    few = spans.count() <= BROADCAST_DOCS
+    few = (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_SPANS
     rows = docs.join(F.broadcast(spans) if few else spans, (F.col("doc_id") == F.col("s_id")) & (F.col("h") == F.col("s_h")), "left")
     out = rows.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", "spans")
     out = kept_whole(out.mapInArrow(_remove, "doc_id bigint, text string, n_sentences bigint, n_removed bigint, removed array<int>"))
