@@ -12,6 +12,10 @@ from .common import SPACES, Scratch, kept_whole
 ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # all stores of an executor share this much memory, however many partitions of state it holds
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
     # else each partition's store sets several MB of disk aside, whatever it holds
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
