@@ -90,4 +90,4 @@ def blockwise_product(left: DataFrame, right: np.ndarray, y: str = "y", block: i
 
     from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-    return left.mapInArrow(run, StructType(left.schema.fields).add("product", ArrayType(DoubleType())))
+    return left.mapInArrow(run, StructType(list(left.schema.fields)).add("product", ArrayType(DoubleType())))

@@ -69,10 +69,10 @@ def fit_models(df: DataFrame, formula: str, by: list[str] | None = None, respons
         zs = [c.alias(f"z{i}_{j}") for i, d in enumerate(z) for j, c in enumerate(d.values())]
         gs = [F.col(r.group).cast("string").alias(f"g{i}") for i, r in enumerate(f.random)]
         flat = df.select(*by, *xs, *zs, *gs, F.col(y).cast("double").alias("_y"))
-        widths = [len(d) for d in z]
+        widths, nx = [len(d) for d in z], len(xs)
 
         def solve_rows(key, pdf):
-            fx = pdf[[f"x{i}" for i in range(len(xs))]].to_numpy(float)
+            fx = pdf[[f"x{i}" for i in range(nx)]].to_numpy(float)
             fs = [(pdf[[f"z{i}_{j}" for j in range(w)]].to_numpy(float), np.unique(pdf[f"g{i}"], return_inverse=True)[1]) for i, w in enumerate(widths)]
             return rows(fit_crossed(fx, pdf["_y"].to_numpy(float), fs), key)
 

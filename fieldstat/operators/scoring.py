@@ -67,13 +67,13 @@ def roc(df: DataFrame, by: list[str], score: Column, true: Column, num: int = 10
     # floor may be off by one where the division rounds; thresholds decide
     k = F.when(start + (k + 1) * step <= score, k + 1).when(start + k * step > score, k - 1).otherwise(k)
     k = F.least(F.when(score >= stop + (start + step), F.lit(num)).otherwise(F.least(k, F.lit(num - 1))), F.lit(num)).cast("int")
-    binned = df.groupBy(*by, k.alias("k")).agg(F.count_if(true).alias("p"), F.count_if(~true).alias("n"))
-    grid = spark.range(num + 1).select(F.col("id").cast("int").alias("k"), F.when(F.col("id") < num, start + F.col("id") * step).otherwise(stop + (start + step)).alias("thr"))
+    binned = df.groupBy(*by, k.alias("_bin")).agg(F.count_if(true).alias("p"), F.count_if(~true).alias("n"))
+    grid = spark.range(num + 1).select(F.col("id").cast("int").alias("_bin"), F.when(F.col("id") < num, start + F.col("id") * step).otherwise(stop + (start + step)).alias("thr"))
     keys = df.select(*by).distinct() if by else spark.range(1).select()
     grid = keys.crossJoin(F.broadcast(grid))
     whole = binned.groupBy(*by).agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    at = grid.join(binned, [*by, "k"], "left").fillna(0, ["p", "n"])
-    w = Window.partitionBy(*by).orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
+    at = grid.join(binned, [*by, "_bin"], "left").fillna(0, ["p", "n"])
+    w = Window.partitionBy(*by).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, 0)
     at = at.withColumn("tp", F.sum("p").over(w).cast("double")).withColumn("fp", F.sum("n").over(w).cast("double"))
     at = at.join(F.broadcast(whole), by) if by else at.crossJoin(F.broadcast(whole))
     at = at.withColumn("fn", F.col("all_p") - F.col("tp")).withColumn("tn", F.col("all_n") - F.col("fp"))
