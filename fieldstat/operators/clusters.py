@@ -236,3 +236,29 @@ def sized_pvalues(clusters: DataFrame, table: DataFrame) -> DataFrame:
     last = table.agg(F.max("size").alias("last"))
     capped = clusters.crossJoin(F.broadcast(last)).withColumn("_s", F.least("size", "last"))
     return capped.join(F.broadcast(table.withColumnRenamed("size", "_s")), "_s", "left").drop("_s", "last")
+
+
+def alpha_map(maps: DataFrame, by: list[str], graph: Graph, threshold: float, table: DataFrame, value: str = "x") -> DataFrame:
+    """(by, feature, side, cluster, size, p): clusters above and below the threshold apart, their p by size from table (size, p)."""
+    up = find_clusters(maps, by, graph, threshold, 1, value).withColumn("side", F.lit(1))
+    down = find_clusters(maps, by, graph, -threshold, -1, value).withColumn("side", F.lit(-1))
+    return sized_pvalues(up.unionByName(down), table).select(*by, "feature", "side", "cluster", "size", "p")
+
+
+def smooth(frame: DataFrame, shape: tuple[int, ...], sigma: tuple[float, ...], y: str = "y") -> DataFrame:
+    """Each row's map convolved with a Gaussian along every axis whose sigma is above 0; edges are mirrored, the kernel ends at 4 sigma."""
+    if len(shape) != len(sigma):
+        raise ValueError("one sigma for each axis")
+
+    def run(batches):
+        for pdf in batches:
+            a = np.array(pdf[y].tolist(), float).reshape(-1, *shape)
+            for axis, s in enumerate(sigma, 1):
+                if s > 0:
+                    k = int(4 * s + 0.5)
+                    w = np.exp(-0.5 * (np.arange(-k, k + 1) / s) ** 2)
+                    pad = np.pad(a, [(k, k) if i == axis else (0, 0) for i in range(a.ndim)], mode="symmetric")
+                    a = sum(c * np.take(pad, range(i, i + a.shape[axis]), axis) for i, c in enumerate(w / w.sum()))
+            yield pdf.assign(**{y: a.reshape(len(pdf), -1).tolist()})
+
+    return frame.mapInPandas(run, frame.schema)

@@ -57,3 +57,27 @@ def permuted_correlations(frame: DataFrame, perms: DataFrame, terms: list[str],
     t = len(terms)
     name = F.element_at(F.array(*[F.lit(x) for x in terms]), (F.col("k") % t + 1).cast("int"))
     return both.select(F.floor(F.col("k") / t).cast("int").alias("run"), "grp", name.alias("term"), F.col("j").alias("feature"), F.when((F.col("n") > 1) & (vx > least) & (va > 1e-12), r).alias("r"))
+
+
+def permutation_test(rows: DataFrame, side: str, runs: int, seed: int = 1) -> DataFrame:
+    """(run, feature, t, df, z): pooled two-sample t and its one-sided normal deviate, run 0 as observed.
+
+    rows: row_id, y and ``side``, 1 for the first sample and 0 for the second; runs deal rows to the samples
+    anew. One scan serves all runs: with an indicator as design, the sums give both samples' means and spread.
+    """
+    from .frames import one_sided_z
+    from .resample import permutations
+
+    whole = rows.withColumn("grp", F.lit(0))
+    design = permuted_designs(whole, permutations(whole, runs, seed), [side])
+    s = cross_products(whole.select("row_id", "grp", "y").join(design, "row_id"))
+    one = lambda cond, *names: s.filter(cond).select(*names)
+    n = one("k = -1 and j = -1", F.col("s").alias("n"))
+    x = one("k = -1 and j >= 0", "j", F.col("s").alias("sx")).join(one("k = -2", "j", F.col("s").alias("sxx")), "j")
+    a = one("k >= 0 and j = -1", "k", F.col("s").alias("na"))
+    both = one("k >= 0 and j >= 0", "k", "j", "s").join(x, "j").join(a, "k").crossJoin(F.broadcast(n)).withColumn("nb", F.col("n") - F.col("na"))
+    rest = F.col("sx") - F.col("s")
+    within = F.col("sxx") - F.col("s") * F.col("s") / F.col("na") - rest * rest / F.col("nb")
+    t = (F.col("s") / F.col("na") - rest / F.col("nb")) / F.sqrt(within / (F.col("n") - 2) * (1 / F.col("na") + 1 / F.col("nb")))
+    out = both.select(F.col("k").alias("run"), F.col("j").alias("feature"), F.when(within > 0, t).alias("t"), (F.col("n") - 2).cast("int").alias("df"))
+    return out.withColumn("z", one_sided_z(F.col("t"), F.col("df")))

@@ -91,3 +91,12 @@ def peak(points: DataFrame, by: list[str]) -> DataFrame:
     """(by, thr, mcc): the first threshold with the highest correlation."""
     best = points.groupBy(*by).agg(F.max(F.struct("mcc", (-F.col("thr")).alias("back"))).alias("best"))
     return best.select(*by, (-F.col("best.back")).alias("thr"), F.col("best.mcc").alias("mcc"))
+
+
+def roc_at_values(df: DataFrame, by: list[str], score: Column, true: Column) -> DataFrame:
+    """(by, thr, confusion rates) at every distinct score, a score at a threshold counting as above."""
+    at = df.groupBy(*by, score.alias("thr")).agg(F.count_if(true).alias("_p"), F.count_if(~true).alias("_n"))
+    down, whole = Window.partitionBy(*by).orderBy(F.desc("thr")), Window.partitionBy(*by)
+    at = at.withColumns({"tp": F.sum("_p").over(down).cast("double"), "fp": F.sum("_n").over(down).cast("double")})
+    at = at.withColumns({"fn": F.sum("_p").over(whole) - F.col("tp"), "tn": F.sum("_n").over(whole) - F.col("fp")})
+    return with_rates(at.select(*by, "thr", "tp", "fp", "fn", "tn"))

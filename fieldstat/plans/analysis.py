@@ -150,3 +150,29 @@ def pipeline_perm(spark, sf):
 def pipeline_boot(spark, sf):
     """Corrected p-values of the whole analysis by bootstrap, enhanced."""
     return _model(spark, sf).run_boots(5).p_features().withColumn("p", F.round("p", 6))
+
+
+@query("alpha_map", f"""WITH RECURSIVE {GRID}, {MAPS}, n AS (SELECT grp, feature, CAST(sign(x) AS INTEGER) AS side FROM maps WHERE abs(x) >= 0.1e0),
+reach AS (SELECT grp, feature, side, feature AS lab FROM n UNION SELECT r.grp, e.dst, r.side, r.lab FROM reach r JOIN near e ON e.src = r.feature JOIN n ON n.grp = r.grp AND n.feature = e.dst AND n.side = r.side),
+lab AS (SELECT grp, feature, side, min(lab) AS cluster FROM reach GROUP BY ALL), c AS (SELECT grp, side, cluster, CAST(count(*) AS INTEGER) AS size FROM lab GROUP BY ALL)
+SELECT grp, feature, side, cluster, size, round(1e0 / (1 + least(size, 5)), 6) AS p FROM lab JOIN c USING (grp, side, cluster)""")
+def alpha_map(spark, sf):
+    table = spark.range(1, 6).select(F.col("id").cast("int").alias("size"), F.round(1 / (1 + F.col("id")), 6).alias("p"))
+    return clusters.alpha_map(_maps(spark, sf), ["grp"], clusters.Graph.grid(SHAPE), 0.1, table)
+
+
+@query("smoothed_maps")
+def smoothed_maps(spark, sf):
+    """Maps smoothed along both axes (held against a direct convolution in the tests)."""
+    from ..operators.frames import cells
+
+    x = cells(clusters.smooth(frame(spark, sf).select("row_id", "grp", "y"), SHAPE, (1.0, 1.0)))
+    return x.groupBy("grp", "feature").agg(tidy(F.avg("x")).alias("x"))
+
+
+@query("simulation")
+def simulation(spark, sf):
+    """Methods compared on generated trials with a known signal."""
+    from .simulate import simulate
+
+    return simulate(spark, shape=(6, 6), perms=5).drop("seconds")

@@ -154,3 +154,24 @@ def boot_gather(spark, sf):
     boots = resample.balanced_boots(frame(spark, sf).select("grp"), 5, seed=8)
     m = long(spark, sf, "beh").groupBy("grp", "feature").agg(F.avg("x").alias("m"))
     return m.join(F.broadcast(boots), "grp").groupBy("run", "feature").agg(tidy(F.avg("m")).alias("mean"), F.countDistinct("slot").alias("slots"))
+
+
+def _two_samples(spark, sf):
+    from ..operators.permuted import permutation_test
+
+    x = frame(spark, sf).withColumn("side", (F.col("beh") < 0).cast("double"))
+    return permutation_test(x, "side", 10, seed=12)
+
+
+@query("permutation_test", f"""WITH {CELLS}, flat AS (SELECT 0 AS grp, row_id FROM emb), {_perm_sql('flat', 10, 12)},
+px AS (SELECT p.run, e.beh, c.feature, c.x FROM perms p JOIN emb e ON e.row_id = p.row_id JOIN cells c ON c.row_id = p.src_row_id),
+s AS (SELECT run, feature, count(*) FILTER (beh < 0) AS na, count(*) FILTER (beh > 0) AS nb, avg(x) FILTER (beh < 0) AS ma, avg(x) FILTER (beh > 0) AS mb, var_samp(x) FILTER (beh < 0) AS va, var_samp(x) FILTER (beh > 0) AS vb FROM px GROUP BY run, feature)
+SELECT run, feature, {tidy_sql('(ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1e0 / na + 1e0 / nb))')} AS t, CAST(na + nb - 2 AS INTEGER) AS df FROM s""")
+def permutation_test_query(spark, sf):
+    """Two samples dealt anew over all rows."""
+    return _two_samples(spark, sf).select("run", "feature", tidy(F.col("t")).alias("t"), "df")
+
+
+@query("permutation_test_z")
+def permutation_test_z(spark, sf):
+    return _two_samples(spark, sf).select("run", "feature", tidy(F.col("z")).alias("z"))

@@ -291,3 +291,15 @@ def gram_matrix(spark, sf):
 def normal_quantiles(spark, sf):
     """Quantiles at the percents (held against the standard library in the tests)."""
     return spark.range(1, 100).select((F.col("id") / 100).alias("p"), tidy(normal_quantile(F.col("id") / 100)).alias("z"))
+
+
+@query("roc_at_values", f"""WITH s AS (SELECT lang, n_chars AS thr, quality = 1 AS y FROM documents JOIN labels USING (doc_id)), a AS (SELECT lang, thr, count(*) FILTER (y) AS p, count(*) FILTER (NOT y) AS n FROM s GROUP BY lang, thr)
+SELECT lang, thr, CAST(sum(p) OVER w AS DOUBLE) AS tp, CAST(sum(n) OVER w AS DOUBLE) AS fp, CAST(sum(p) OVER (PARTITION BY lang) - sum(p) OVER w AS DOUBLE) AS fn, CAST(sum(n) OVER (PARTITION BY lang) - sum(n) OVER w AS DOUBLE) AS tn FROM a WINDOW w AS (PARTITION BY lang ORDER BY thr DESC)""")
+def roc_at_values(spark, sf):
+    return scoring.roc_at_values(scored(spark, sf), ["lang"], F.col("n_chars"), F.col("quality") == 1).select("lang", "thr", "tp", "fp", "fn", "tn")
+
+
+@query("first_n", "SELECT page_id, url FROM pages ORDER BY url, page_id LIMIT 20")
+def first_n(spark, sf):
+    """The first of a sorted listing."""
+    return read_tables(spark, sf, "pages").select("page_id", "url").orderBy("url", "page_id").limit(20)

@@ -233,3 +233,22 @@ def test_tables(spark):
     assert abs(t["t"] + 4 / math.sqrt(0.5)) < 1e-9 and t["df"] == 2
     m = frames.multiple_regression(spark.createDataFrame([(1, float(i), float(i * i), 2.0 + 3 * i - i * i) for i in range(8)], "k int, a double, b double, y double"), ["k"], ["a", "b"], "y").toPandas()
     assert np.allclose(m.coef, [2, 3, -1], atol=1e-6)
+
+
+def test_smoothing(spark):
+    x = np.zeros((1, 5, 5))
+    x[0, 2, 2] = 1
+    out = clusters.smooth(spark.createDataFrame([(x.ravel().tolist(),)], "y array<double>"), (5, 5), (0.0, 1.0)).first()["y"]
+    w = np.exp(-0.5 * np.arange(-4, 5) ** 2)
+    w /= w.sum()
+    got = np.array(out).reshape(5, 5)
+    assert abs(got[2, 2] - (w[4] + 0)) < 1e-2 and np.allclose(got[[0, 1, 3, 4]], 0) and abs(got.sum() - 1) < 1e-9
+    with pytest.raises(ValueError):
+        clusters.smooth(spark.createDataFrame([([1.0],)], "y array<double>"), (1, 1), (1.0,))
+
+
+def test_simulation_prefers_methods_that_find_the_signal(spark):
+    from fieldstat.plans.simulate import simulate
+
+    out = {r["method"]: r for r in simulate(spark, subjects=8, observations=20, slope=2.0, shape=(6, 6), perms=19).collect()}
+    assert set(out) == {"field", "glm", "lmm"} and all(r["auc"] > 0.9 for r in out.values())
