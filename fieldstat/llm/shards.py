@@ -7,6 +7,7 @@ import uuid
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
@@ -87,15 +88,14 @@ def _sequences(path: str, length: int, dtype: str):
     return run
 
 
-def _place(offsets: dict[int, int], n: int, key: int, shard: int):
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                index = np.array([offsets[p] for p in b.column("part").to_pylist()], np.int64) + b.column("k").to_numpy()
-                slot = feistel(index, n, key)
-                yield pa.RecordBatch.from_arrays([pa.array(slot // shard), pa.array(slot), b.column("n_tokens"), b.column("ids"), b.column("doc_ids")], ["shard", "slot", "n_tokens", "ids", "doc_ids"])
+def _slot(offsets: dict[int, int], n: int, key: int):
+    """Slot of a sequence by its partition and number there; only these two columns go to Python."""
 
-    return run
+    @F.pandas_udf("bigint")
+    def slot(part: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series(feistel(part.map(offsets).to_numpy(np.int64) + k.to_numpy(np.int64), n, key))
+
+    return slot("part", "k")
 
 
 def _write(folder: str, n: int, key: int, shard: int, length: int, size: int):
@@ -145,8 +145,10 @@ def write_shards(docs: DataFrame, folder: str, scratch: Scratch, key: int = 2024
     offsets, n = {}, 0
     for p in sorted(counts):
         offsets[p], n = n, n + counts[p]
-    placed = rows.mapInArrow(_place(offsets, n, key, shard), "shard bigint, slot bigint, n_tokens bigint, ids binary, doc_ids array<bigint>")
-    placed = placed.repartitionByRange(max(1, -(-n // shard)), "shard").sortWithinPartitions("slot")
+    placed = rows.withColumn("slot", _slot(offsets, n, key)).withColumn("shard", F.floor(F.col("slot") / shard))
+    placed = placed.select("shard", "slot", "n_tokens", "ids", "doc_ids")
+    # a shard is a range of slots; each goes to a task of its own
+    placed = placed.repartitionById(max(1, -(-n // shard)), F.col("shard").cast("int")).sortWithinPartitions("slot")
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
     return scratch.write(placed.mapInArrow(_write(folder, n, key, shard, length, np.dtype(dtype).itemsize), "slot bigint, doc_ids array<bigint>"), "index")

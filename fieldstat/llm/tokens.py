@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from functools import lru_cache
@@ -105,7 +106,11 @@ class WordIds(dict):
         found = list(map(self.get, words))
         new = {w for w, x in zip(words, found) if x is None}
         if new:
-            self.learn(new)
+            gc.disable()  # nothing here is cyclic, and looking for cycles walks the whole table
+            try:
+                self.learn(new)
+            finally:
+                gc.enable()
             fresh = {w: self[w] for w in new}
             found = [fresh[w] if x is None else x for w, x in zip(words, found)]
         ends = np.cumsum([0, *map(len, split)]).tolist()
