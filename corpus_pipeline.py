@@ -11,6 +11,7 @@ from fieldstat.llm.decontam import decontaminate
 from fieldstat.llm.exact import exact_duplicates
 from fieldstat.llm.minhash import near_duplicates
 from fieldstat.llm.packing import pack
+from fieldstat.session import ship_package
 
 #: Several stages can't be expressed in SQL; tests hold the rows against a brute-force version.
 ORACLE_SQL = None
@@ -22,6 +23,7 @@ def _dropped(found: DataFrame, gone) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is recognised with enough confidence; all columns."""
+    ship_package(spark)
     return langid.accepted(docs, langid.fit(docs))
 
 
