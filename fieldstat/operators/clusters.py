@@ -40,8 +40,8 @@ def path_edges(spark: SparkSession, n: int, both_ways: bool = False) -> DataFram
 
 def inside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among ``nodes`` (feature)."""
-    one = edges.join(F.broadcast(nodes.select(F.col("feature").alias("src"))), "src", "left_semi")
-    return one.join(F.broadcast(nodes.select(F.col("feature").alias("dst"))), "dst", "left_semi").select("src", "dst")
+    one = edges.join(nodes.select(F.col("feature").alias("src")), "src", "left_semi")
+    return one.join(nodes.select(F.col("feature").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
 def triangulation_edges(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
@@ -235,7 +235,7 @@ def sized_pvalues(clusters: DataFrame, table: DataFrame) -> DataFrame:
     """Adds p by cluster size from table (size, p); sizes past its end take its last entry."""
     last = table.agg(F.max("size").alias("last"))
     capped = clusters.crossJoin(F.broadcast(last)).withColumn("_s", F.least("size", "last"))
-    return capped.join(F.broadcast(table.withColumnRenamed("size", "_s")), "_s", "left").drop("_s", "last")
+    return capped.join(table.withColumnRenamed("size", "_s"), "_s", "left").drop("_s", "last")
 
 
 def alpha_map(maps: DataFrame, by: list[str], graph: Graph, threshold: float, table: DataFrame, value: str = "x") -> DataFrame:

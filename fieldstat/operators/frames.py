@@ -19,7 +19,7 @@ def model_frame(df: DataFrame, row_id: str, grp: str, y: str, predictors: dict[s
 def cells(frame: DataFrame, *keep: str, features: DataFrame | None = None) -> DataFrame:
     """One row for each value: row_id, grp, the columns kept, feature, x. ``features`` (feature) restricts by semi join."""
     out = frame.select("row_id", "grp", *keep, F.posexplode("y").alias("feature", "x"))
-    return out if features is None else out.join(F.broadcast(features), "feature", "left_semi")
+    return out if features is None else out.join(features, "feature", "left_semi")
 
 
 def group_correlations(long: DataFrame, terms: list[str], use_norm: bool = True) -> DataFrame:

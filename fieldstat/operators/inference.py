@@ -46,7 +46,7 @@ def _at_least(null: Column, x: Column) -> Column:
 def max_stat_pvalues(maps: DataFrame, by: list[str], stat: str = "t") -> DataFrame:
     """(by, run, feature, p): share of runs whose largest |stat| over features is at least this one's."""
     null = _null_arrays(maps.groupBy(*by, "run").agg(F.max(F.abs(stat)).alias("m")), by, "m")
-    out = maps.join(F.broadcast(null), by)
+    out = maps.join(null, by)
     return out.select(*by, "run", "feature", (_at_least(F.col("null"), F.abs(stat)) / F.size("null")).alias("p"))
 
 
@@ -72,7 +72,8 @@ def _min_p(first: DataFrame, keep: list[str]) -> DataFrame:
 def histogram_pvalue(stats: DataFrame, null: DataFrame, tail: int, value: str = "t", null_value: str = "h") -> DataFrame:
     """Adds p = (count + 1) / (n + 1): null values at or below (-1), at or above (1), or at either end (0) of each statistic.
 
-    Both sides are sorted together once; the counts are running sums, so the null may have any number of rows.
+    null: one value for each resampling run (or feature and run). Equal values are counted first; the sorted
+    distinct ones are one array, which is as long as there are runs and doesn't grow with the data.
     """
     if tail not in (-1, 0, 1):
         raise ValueError("tail is -1, 0 or 1")
@@ -104,8 +105,8 @@ def stable_features(z: DataFrame, boots: DataFrame, alpha: float = 0.05) -> Data
 
     weights = boots.groupBy("run", "grp").agg(F.count("*").alias("w"))
     slots = boots.groupBy("run").agg(F.count("*").alias("slots"))
-    means = z.join(F.broadcast(weights), "grp").groupBy("term", "feature", "run").agg(F.sum(F.col("w") * F.col("z")).alias("s"))
-    means = means.join(F.broadcast(slots), "run").withColumn("m", F.col("s") / F.col("slots"))
+    means = z.join(weights, "grp").groupBy("term", "feature", "run").agg(F.sum(F.col("w") * F.col("z")).alias("s"))
+    means = means.join(slots, "run").withColumn("m", F.col("s") / F.col("slots"))
     spread = means.groupBy("term", "feature").agg(F.stddev_pop("m").alias("se"))
     whole = z.groupBy("term", "feature").agg(F.avg("z").alias("mz"), F.count("*").alias("k"))
     out = whole.join(spread, ["term", "feature"])

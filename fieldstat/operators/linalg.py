@@ -50,14 +50,14 @@ def svd_components(long: DataFrame, row: str = "row", col: str = "feature", valu
     spark = long.sparkSession
     weights = spark.createDataFrame([(n, c, float(u[i, c] / s[c])) for n, i in at.items() for c in range(len(s))], f"{row} {dict(long.dtypes)[row]}, comp int, w double")
     sizes = spark.createDataFrame([(c, float(s[c]), float(share[c])) for c in range(len(s))], "comp int, s double, share double")
-    v = long.join(F.broadcast(weights), row).groupBy("comp", col).agg(F.sum(F.col("w") * F.col(value)).alias("v"))
+    v = long.join(weights, row).groupBy("comp", col).agg(F.sum(F.col("w") * F.col(value)).alias("v"))
     sign = v.groupBy("comp").agg(F.signum(F.max_by("v", F.abs("v"))).alias("sign"))
     return v.join(F.broadcast(sign), "comp").join(F.broadcast(sizes), "comp").select("comp", "s", "share", F.col(col).alias("feature"), (F.col("v") * F.col("sign")).alias("v"))
 
 
 def backproject(components: DataFrame, fits: DataFrame) -> DataFrame:
     """(term, feature, beta, t): component fits (comp, term, beta, t) spread over features; t weighted by s, beta not."""
-    both = components.join(F.broadcast(fits), "comp")
+    both = components.join(fits, "comp")
     return both.groupBy("term", "feature").agg(F.sum(F.col("beta") * F.col("v")).alias("beta"), F.sum(F.col("t") * F.col("s") * F.col("v")).alias("t"))
 
 
@@ -65,7 +65,7 @@ def term_summaries(components: DataFrame, fits: DataFrame) -> DataFrame:
     """(term, beta, t): component fits weighted by each component's share of the singular values."""
     s = components.select("comp", "s").distinct()
     total = s.agg(F.sum("s").alias("all"))
-    both = fits.join(F.broadcast(s), "comp").crossJoin(F.broadcast(total))
+    both = fits.join(s, "comp").crossJoin(F.broadcast(total))
     w = F.col("s") / F.col("all")
     return both.groupBy("term").agg(F.sum(F.col("beta") * w).alias("beta"), F.sum(F.col("t") * w).alias("t"))
 

@@ -49,7 +49,7 @@ def permuted_correlations(frame: DataFrame, perms: DataFrame, terms: list[str],
     n = s.filter("k = -1 and j = -1").select("grp", F.col("s").alias("n"))
     xs = s.filter("k = -1 and j >= 0").select("grp", "j", F.col("s").alias("sx")).join(s.filter("k = -2").select("grp", "j", F.col("s").alias("sxx")), ["grp", "j"])
     as_ = s.filter("k >= 0 and j = -1").select("grp", "k", F.col("s").alias("sa")).join(s.filter("j = -2").select("grp", "k", F.col("s").alias("saa")), ["grp", "k"])
-    both = s.filter("k >= 0 and j >= 0").join(F.broadcast(n), "grp").join(xs, ["grp", "j"]).join(as_, ["grp", "k"])
+    both = s.filter("k >= 0 and j >= 0").join(n, "grp").join(xs, ["grp", "j"]).join(as_, ["grp", "k"])
     vx, va = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n"), F.col("saa") - F.col("sa") * F.col("sa") / F.col("n")
     cov = F.col("s") - F.col("sx") * F.col("sa") / F.col("n")
     least = 1e-12 * F.greatest(F.col("sxx"), F.lit(1e-300))

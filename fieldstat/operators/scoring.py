@@ -33,7 +33,7 @@ def error_rates(maps: DataFrame, pvals: DataFrame, truth: DataFrame, threshold:
     maps: (term, feature, b); pvals: (term, p); truth: (feature, signal). The gate is 0.05 if ``full``, else 1 - threshold.
     """
     gate = 0.05 if full else 1 - threshold
-    rows = maps.filter(~F.col("term").isin("Intercept", "(Intercept)")).join(F.broadcast(pvals), "term").join(F.broadcast(truth), "feature")
+    rows = maps.filter(~F.col("term").isin("Intercept", "(Intercept)")).join(pvals, "term").join(truth, "feature")
     hit, true = (F.col("p") <= gate) & (F.abs("b") >= threshold), F.col("signal") != 0
     out = with_rates(rows.agg(*counts(hit, true)))
     return out.select("tpr", "fpr", F.col("spc").alias("tnr"), "fnr") if full else out.select("tpr", "fpr")
@@ -75,7 +75,7 @@ def roc(df: DataFrame, by: list[str], score: Column, true: Column, num: int = 10
     at = grid.join(binned, [*by, "_bin"], "left").fillna(0, ["p", "n"])
     w = Window.partitionBy(*by).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, 0)
     at = at.withColumn("tp", F.sum("p").over(w).cast("double")).withColumn("fp", F.sum("n").over(w).cast("double"))
-    at = at.join(F.broadcast(whole), by) if by else at.crossJoin(F.broadcast(whole))
+    at = at.join(whole, by) if by else at.crossJoin(F.broadcast(whole))
     at = at.withColumn("fn", F.col("all_p") - F.col("tp")).withColumn("tn", F.col("all_n") - F.col("fp"))
     return with_rates(at.select(*by, "thr", "tp", "fp", "fn", "tn"))
 

@@ -10,7 +10,7 @@ def histogram_mode(df: DataFrame, by: list[str], value: str, bins: int = 500) ->
     """(by, mode): left edge of the first of ``bins`` equal bins that holds the most values."""
     ends = df.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
-    at = df.join(F.broadcast(ends), by) if by else df.crossJoin(F.broadcast(ends))
+    at = df.join(ends, by) if by else df.crossJoin(F.broadcast(ends))
     k = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col(value) - F.col("lo")) / width), F.lit(bins - 1))).otherwise(0)
     n = at.groupBy(*by, "lo", "hi", k.alias("k")).agg(F.count("*").alias("n"))
     best = n.groupBy(*by, "lo", "hi").agg(F.max(F.struct("n", (-F.col("k")).alias("back"))).alias("b"))

@@ -153,7 +153,7 @@ def boot_gather(spark, sf):
     """Group results gathered by resampled group, repeated groups as groups of their own."""
     boots = resample.balanced_boots(frame(spark, sf).select("grp"), 5, seed=8)
     m = long(spark, sf, "beh").groupBy("grp", "feature").agg(F.avg("x").alias("m"))
-    return m.join(F.broadcast(boots), "grp").groupBy("run", "feature").agg(tidy(F.avg("m")).alias("mean"), F.countDistinct("slot").alias("slots"))
+    return m.join(boots, "grp").groupBy("run", "feature").agg(tidy(F.avg("m")).alias("mean"), F.countDistinct("slot").alias("slots"))
 
 
 def _two_samples(spark, sf):

@@ -212,7 +212,7 @@ def map_agreement(spark, sf):
     """Each trial's map against the first of its subject."""
     x = long(spark, sf, "beh")
     first = x.groupBy("grp", "feature").agg(F.min_by("x", "row_id").alias("y"))
-    both = x.join(F.broadcast(first), ["grp", "feature"])
+    both = x.join(first, ["grp", "feature"])
     cut = lambda c: F.when(F.abs(c) > 0.1, F.col(c)).otherwise(0.0)
     return scoring.agreement(both, ["row_id"], cut("x"), cut("y")).withColumns({"dice": tidy(F.col("dice")), "mcc": tidy(F.col("mcc"))})
 

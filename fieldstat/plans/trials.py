@@ -26,7 +26,7 @@ SELECT user_id, event_id, CAST(bin AS INTEGER) AS bin FROM b, unnest(range(a, e)
 def interval_bins(spark, sf):
     e = _events(spark, sf)
     first = e.groupBy("user_id").agg(F.min("ts").alias("first"))
-    e = e.join(F.broadcast(first), "user_id").withColumn("onset", (F.col("ts") - F.col("first")).cast("double"))
+    e = e.join(first, "user_id").withColumn("onset", (F.col("ts") - F.col("first")).cast("double"))
     return tables.interval_bins(e, ["user_id", "event_id"], F.col("onset"), F.col("event_id") % 4 * 1.5, 2.0)
 
 
@@ -71,7 +71,7 @@ def positional_zip(spark, sf):
 def lookup_noise(spark, sf):
     """Subject and item shifts looked up for each row; the optimiser broadcasts a side only within its size limit."""
     o = read_tables(spark, sf, "orders").join(read_tables(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    o = o.join(F.broadcast(read_tables(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    o = o.join(read_tables(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
     return o.select("o_orderkey", F.round(F.col("o_totalprice") + F.col("c_acctbal") * 0.5 + F.coalesce(F.col("n_regionkey"), F.lit(0)) * 100, 4).alias("noisy"))
 
 
