@@ -13,8 +13,8 @@ from .common import fold_of, mix64, small_batches, words_of
 
 #: Subwords: runs of 2 to 5 bytes of a word between marks; 2**16 buckets of 16 numbers.
 GRAMS, BUCKETS, DIM = (2, 3, 4, 5), 1 << 16, 16
-#: Training rows are a sample: about this many for each language, by hash of doc_id.
-ROWS_PER_LANG = 600
+#: Training rows are a sample by hash of doc_id: about this many for each language, and in all.
+ROWS_PER_LANG, MOST_ROWS = 600, 30_000
 #: New words are worked out so many at a time.
 PART = 10_000
 #: Languages beyond this many (the most frequent stay) are not learned: it bounds the model.
@@ -123,6 +123,7 @@ def fit(docs: DataFrame, folds: int = 4, held: int = 2, per_lang: int = ROWS_PER
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
     if not counts:
         return Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros(1, np.float32), 1.0, 0.0)
+    per_lang = min(per_lang, MOST_ROWS // len(counts))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_lang / n))])
     dice = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) / 1_000_000
     rows = usable.filter(dice < share[F.col("lang")]).select("text", "lang").toPandas()

@@ -19,8 +19,8 @@ from .common import NO_ID, Scratch, kept_whole, small_batches
 #: Magic number of the skippable frame that holds the dictionary, and of ordinary frames (fixed values of the formats).
 DICT_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: An archive is closed at this many compressed bytes; the dictionary is learned from at most DICT_PAGES pages.
-ROLL_BYTES, DICT_PAGES, DICT_BYTES = 16 << 20, 400, 64 << 10
+#: An archive is closed at this many compressed bytes; the dictionary is learned from at most DICT_PAGES pages of at most DICT_PAGE_BYTES.
+ROLL_BYTES, DICT_PAGES, DICT_PAGE_BYTES, DICT_BYTES = 16 << 20, 400, 64 << 10, 64 << 10
 #: Revisits above which their lookup shuffles instead of broadcasting (about 60 bytes each).
 BROADCAST_REVISITS = 500_000
 CHUNK = 1 << 14
@@ -132,7 +132,7 @@ def frames(data, where: str):
 
 def learn_dictionary(pages: DataFrame) -> bytes | None:
     """A dictionary from whole pages, at most DICT_PAGES of those with the least hash of page_id; None from too few."""
-    rows = pages.select("page_id", "html").filter(F.octet_length("html").between(1, 1 << 18)).orderBy(F.xxhash64("page_id"), "page_id", "html").limit(DICT_PAGES)
+    rows = pages.select("page_id", "html").filter(F.octet_length("html").between(1, DICT_PAGE_BYTES)).orderBy(F.xxhash64("page_id"), "page_id", "html").limit(DICT_PAGES)
     texts = [r["html"].encode() for r in rows.collect()]
     try:
         return zstandard.train_dictionary(DICT_BYTES, texts).as_bytes() if len(texts) >= 8 else None
