@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -96,6 +97,30 @@ def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(bad) if few else bad, (k_id == bad["k_id"]) & (k_h == bad["k_h"]), "left_anti")
 
 
+_TABLE: dict = {}
+
+
+def worker_table(kind, make):
+    """A Python worker's table of words, kept from task to task; a task of another kind drops it first.
+
+    Workers outlive tasks and serve all operators, so each holds one table at a time.
+    """
+    if kind not in _TABLE:
+        _TABLE.clear()
+        give_back()
+        _TABLE[kind] = make()
+    return _TABLE[kind]
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker between tasks would keep it from its executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU C library
+        pass
+
+
 class WordHash(dict):
     """Bytes of a word -> 64-bit hash, computed once for each distinct word of a worker.
 
@@ -142,6 +167,8 @@ def small_batches(batches, rows: int = 256, chars: int = 4_000_000):
             total += n
         if start < b.num_rows:
             yield b.slice(start)
+        del b
+    give_back()
 
 
 def safe(name: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, mix64, small_batches, words_of
+from .common import fold_of, mix64, small_batches, words_of, worker_table
 
 #: Subwords: runs of 2 to 5 bytes of a word between marks; 2**16 buckets of 16 numbers.
 GRAMS, BUCKETS, DIM = (2, 3, 4, 5), 1 << 16, 16
@@ -173,9 +174,15 @@ def _named(model: Model, known: WordLogits, texts: list[str | None]):
         yield model.langs[k], float(p[k]), bool(p[k] < model.threshold)
 
 
+def _mark(model: Model) -> int:
+    return zlib.crc32(model.table.tobytes())
+
+
 def _predict(model: Model):
+    mark = _mark(model)
+
     def run(batches):
-        known = WordLogits(model)
+        known = worker_table(("logits", mark), lambda: WordLogits(model))
         for b in small_batches(batches):
             langs, scores, rejected = zip(*_named(model, known, b.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
@@ -184,8 +191,10 @@ def _predict(model: Model):
 
 
 def _accept(model: Model, text: int):
+    mark = _mark(model)
+
     def run(batches):
-        known = WordLogits(model)
+        known = worker_table(("logits", mark), lambda: WordLogits(model))
         for b in small_batches(batches):
             rejected = [r for _, _, r in _named(model, known, b.column(text).to_pylist())]
             yield b.filter(pa.array([not r for r in rejected], pa.bool_()))

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHash, kept_whole, mix64, small_batches, words_of
+from .common import Scratch, WordHash, kept_whole, mix64, small_batches, words_of, worker_table
 from .graph import components
 
 WIDTH, PERMS, BANDS, ROWS = 5, 96, 32, 6
@@ -54,7 +54,7 @@ def node_of(s: np.ndarray) -> int | None:
 
 
 def _sign(batches):
-    hashes = WordHash()
+    hashes = worker_table("hashes", WordHash)
     for b in small_batches(batches):
         rows = []
         for doc_id, text, h in zip(*(c.to_pylist() for c in b.columns)):
@@ -65,7 +65,7 @@ def _sign(batches):
 
 
 def _sets(batches):
-    hashes = WordHash()
+    hashes = worker_table("hashes", WordHash)
     for b in small_batches(batches):
         sets = [shingle_set(t, hashes) for t in b.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"])

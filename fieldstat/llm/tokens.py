@@ -5,11 +5,12 @@ from __future__ import annotations
 import gc
 import json
 import re
-from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 
+from .common import worker_table
+
 #: Letters that stay one letter each when normalised and lower-cased (Latin, without the dotted capital I).
 _LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
 #: Marks that may stand behind a word; none of them begins a contraction.
@@ -117,7 +118,6 @@ class WordIds(dict):
         return [b"".join(found[i:j]) for i, j in zip(ends[:-1], ends[1:])]
 
 
-@lru_cache(maxsize=1)
 def shared_ids(path: str) -> WordIds:
     """One table for each Python worker, kept from task to task."""
-    return WordIds(path)
+    return worker_table(("ids", path), lambda: WordIds(path))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, fold_of, small_batches
+from .common import WordHash, fold_of, small_batches, worker_table
 
 #: Training rows are samples by hash of doc_id: about this many confirmed toxic and unlabelled documents.
 POSITIVES, UNLABELLED = 4000, 8000
@@ -126,7 +126,7 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
 
 
 def _word_sets(batches):
-    hashes = WordHash()
+    hashes = worker_table("hashes", WordHash)
     for b in small_batches(batches):
         sets = [word_set(t, hashes).tobytes() for t in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["positive", "words"])
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, posit
 
 def _score(model: Model):
     def run(batches):
-        hashes = WordHash()
+        hashes = worker_table("hashes", WordHash)
         for b in small_batches(batches):
             scores = [model.score(word_set(t, hashes)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
