@@ -33,7 +33,7 @@ class WordIds(dict):
     ones come early) are dropped, which bounds memory and changes no result.
     """
 
-    def __init__(self, path: str, limit: int = 800_000, keep: int = 250_000):
+    def __init__(self, path: str, limit: int = 1_200_000, keep: int = 400_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
