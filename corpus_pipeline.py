@@ -38,8 +38,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies."""
-    found = near_duplicates(docs)
+    """One document of each component of near copies, linked at a similarity of 0.8 or more."""
+    found = near_duplicates(docs, percent=80)
     return without(docs, _dropped(found, ~F.col("kept")))
 
 

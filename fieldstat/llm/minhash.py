@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, chunk: int = 100) -> Dat
     Other columns, whatever their names, are not read. An empty table gives an empty table.
 
     1. One pass hashes each text: each of 96 permutations is evaluated once and leaves its minimum and its
-       maximum, 192 values in 32 bands of 6. A pair at the threshold shares no band with probability 3e-7.
+       maximum, 192 values in 32 bands of 6. A pair shares no band with probability 3e-7 at a similarity of 0.85, and 6e-5 at 0.8.
     2. In each band's bucket every node is compared with the least node of the bucket, on full sets.
     3. Buckets joined by shared nodes are families. Where a family still has several components, the pairs
        across them are compared on full sets, in blocks of two chunks of about ``chunk`` nodes, within tasks.

@@ -53,6 +53,21 @@ def test_near_duplicates_lose_no_link_in_a_large_family(spark):
         assert got == brute_near(rows)
 
 
+def test_near_duplicates_match_brute_force_at_0_8(spark):
+    rng = random.Random(6)
+    rows = awkward()
+    for f in range(12):
+        base = prose(300 + f, 120).split()
+        for i in range(6):
+            w = list(base)
+            for k in range(rng.choice((0, 1, 2, 3))):
+                w[10 + 35 * k + rng.randrange(20)] = f"edit{rng.random()}"
+            rows.append((2000 + 10 * f + i, " ".join(w)))
+    want = brute_near(rows, 80)
+    assert want != brute_near(rows)
+    assert table(minhash.near_duplicates(docs(spark, rows), percent=80), "doc_id", "n_shingles", "component_id") == want
+
+
 def test_near_duplicates_of_nothing(spark):
     out = minhash.near_duplicates(docs(spark, []))
     assert out.count() == 0 and "kept" in out.columns

@@ -28,6 +28,16 @@ def test_stages_keep_columns_and_clean_documents(spark, tmp_path):
     assert rerun == 1  # a repeated row stays once
 
 
+def test_near_stage_drops_copies_of_similarity_0_8(spark, tmp_path):
+    """Two scattered edits in 120 words: 106 of 126 shingles are shared, 0.84."""
+    base, rows = prose(800, 120).split(), [(900, prose(800, 120)), (950, prose(801, 120))]
+    for i in range(1, 6):
+        w = list(base)
+        w[30], w[80] = f"one{i}", f"two{i}"
+        rows.append((900 + i, " ".join(w)))
+    assert {r["doc_id"] for r in cp.near(spark, docs(spark, rows), str(tmp_path)).collect()} == {900, 950}
+
+
 def test_registered():
     assert [n.split("_")[0] for n in sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
     assert set(queries.ORACLE) == {"op5_warc_round_trip", "op7_exact_dedup", "op8_benchmark_decontamination"}
