@@ -68,7 +68,8 @@ def phrase_hits(index: DataFrame, item_terms: DataFrame, scratch: Scratch, windo
     are intersected with the list of its second rarest term, shifted by that term's place, and what is left
     with those of all other terms of the item: an alignment's expected (document, place, term) is looked up
     in the index. Runs of at least ``window`` consecutive matched item words, or the whole of a shorter item,
-    are occurrences. Rows follow the number of rarest-term postings, never pairs of documents.
+    are occurrences. Rows follow the number of rarest-term postings, never pairs of documents. Repeated rows have
+    equal postings, which count once here.
     """
     counts = scratch.write(index.groupBy("term").count(), "counts")
     item_terms = scratch.write(item_terms, "items")
@@ -77,11 +78,11 @@ def phrase_hits(index: DataFrame, item_terms: DataFrame, scratch: Scratch, windo
     firsts = rare.select("item", "at", "term").distinct()
     seconds = rare.select("item", "at", "at2", "term2").distinct()
     found = index.join(_bounded(firsts, BROADCAST_ROWS), "term").select(*doc, "item", "at", (F.col("pos") - F.col("at")).alias("shift"))
-    wanted = found.join(_bounded(seconds, BROADCAST_ROWS), ["item", "at"]).select(*doc, "item", "shift", (F.col("shift") + F.col("at2")).alias("pos"), F.col("term2").alias("term"))
+    wanted = found.join(_bounded(seconds, BROADCAST_ROWS), ["item", "at"]).select(*doc, "item", "shift", (F.col("shift") + F.col("at2")).alias("pos"), F.col("term2").alias("term")).distinct()
     lists = index.join(_bounded(seconds.select(F.col("term2").alias("term")).distinct(), BROADCAST_ROWS), "term", "left_semi")
     aligned = scratch.write(wanted.join(lists, [*doc, "pos", "term"]).select(*doc, "item", "shift").distinct(), "aligned")
     here = scratch.write(aligned.select(*doc).distinct(), "candidates")
-    near = index.join(_bounded(here, BROADCAST_ROWS), doc, "left_semi")
+    near = index.join(_bounded(here, BROADCAST_ROWS), doc, "left_semi").distinct()
     wanted = aligned.join(_bounded(item_terms, BROADCAST_ROWS), "item").withColumn("pos", F.col("shift") + F.col("at"))
     met = wanted.join(near, [*doc, "pos", "term"])
     by = [*doc, "item", "shift"]

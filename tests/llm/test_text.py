@@ -46,6 +46,16 @@ def test_decontamination_matches_brute_force(spark):
     assert decontam.decontaminate(docs(spark, []), bench).count() == 0
 
 
+def test_contaminated_rows_that_repeat_keep_their_hits(spark):
+    passage = prose(70, 25)
+    text = prose(75, 20) + " " + passage
+    items = [(1, passage), (5, "one two three")]
+    rows = [(400, text)] * 2 + [(401, passage)] * 3 + [(402, text), (None, text), (None, text), (403, "one two three"), (403, "one two three"), (404, prose(76, 40))]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = table(decontam.decontaminate(docs(spark, rows), bench), *COLS)
+    assert got == brute_hits(rows, items) and sum(r[5] for r in got) == 10
+
+
 def test_proximity(spark):
     d = docs(spark, [(1, "a b c d e"), (2, "a x x x x b"), (3, "b a"), (4, "a")])
     index = Scratch(spark, "prox").write(decontam.postings(d), "index")
