@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,8 @@ from .common import WordHash, fold_of, small_batches, worker_table
 
 #: Training rows are samples by hash of doc_id: about this many confirmed toxic and unlabelled documents.
 POSITIVES, UNLABELLED = 4000, 8000
-#: The model has at most this many features, each in LEAST_ROWS positives at least.
-MOST_WORDS, LEAST_ROWS, LEAST_Z, NEAR_BEST = 20_000, 3, 5.0, 0.25
+#: The model has at most this many features, each in LEAST_ROWS positives at least. CHANCE: of any feature passing by chance.
+MOST_WORDS, LEAST_ROWS, LEAST_Z, CHANCE = 20_000, 3, 5.0, 0.05
 #: Leading bytes of longer words that count as features besides the whole word.
 STEMS = (3, 4, 5, 6)
 #: Marks that are cut off either end of a word.
@@ -59,7 +60,8 @@ def _csr(sets: list[np.ndarray], words: np.ndarray) -> list[np.ndarray]:
 def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
     """Sorted hashes of the features that are more frequent among positives than chance explains.
 
-    The standard score of the difference in document frequency is at least LEAST_Z and NEAR_BEST of the best one's; the MOST_WORDS highest stay.
+    The standard score of the difference in document frequency is at least LEAST_Z, and more where as many features are tried
+    that one would pass by chance with probability CHANCE (Bonferroni); the MOST_WORDS highest stay.
     """
     a, na = np.unique(np.concatenate([*positive, np.empty(0, np.uint64)]), return_counts=True)
     b, nb = np.unique(np.concatenate([*unlabelled, np.empty(0, np.uint64)]), return_counts=True)
@@ -70,7 +72,8 @@ def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndar
     n, m = len(positive), len(unlabelled)
     both = (na + other + 1) / (n + m + 2)
     z = (na / n - other / m) / np.sqrt(both * (1 - both) * (1 / n + 1 / m))
-    keep = np.nonzero((na >= LEAST_ROWS) & (z >= max(LEAST_Z, NEAR_BEST * z.max())))[0]
+    tried = na >= LEAST_ROWS
+    keep = np.nonzero(tried & (z >= max(LEAST_Z, NormalDist().inv_cdf(1 - CHANCE / max(1, tried.sum())))))[0]
     return np.sort(a[keep[np.argsort(-z[keep], kind="stable")[:MOST_WORDS]]])
 
 

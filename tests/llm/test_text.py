@@ -111,6 +111,20 @@ def test_nnpu_risk_does_not_go_below_zero():
     assert min(m.score(s) for s in pos) > 0.5 > max(m.score(s) for s in neg)
 
 
+def test_toxicity_keeps_rare_words_beside_frequent_ones():
+    """One word is in 90 % of toxic documents; the others have one of five rarer words alone."""
+    rng = np.random.default_rng(2)
+    words = rng.permutation(np.unique(rng.integers(0, 2**63, 420, dtype=np.uint64)))
+    lexicon, common = words[:6], words[6:]
+    one = lambda i: lexicon[0] if i % 10 else lexicon[1 + i // 10 % 5]
+    text = lambda *more: np.sort(np.append(rng.choice(common, 20, False), np.array(more, np.uint64)))
+    pos = [text(one(i)) for i in range(4000)]
+    unl = [text(one(i)) if i < 880 else text() for i in range(8000)]
+    assert set(lexicon.tolist()) <= set(toxicity.telling(pos, unl).tolist())
+    m = toxicity.train_nnpu(pos, unl, 0.11)
+    assert min(m.score(s) for s in pos) > 0.3 > 0.05 > max(m.score(s) for s in unl[880:])
+
+
 def brute_lm(rows):
     tok = lambda t: (t or "").encode().lower().split()
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
