@@ -179,6 +179,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, chunk: int = 100) -> Dat
     100 * intersection >= percent * union, and component_id is the smallest doc_id reachable by links.
     Equal sets are one node, so exact copies cost one row each. Rows that share a doc_id share a component
     only if their texts link; a null doc_id is never a component's name unless all its ids are null.
+    kept: the row has its component's id; where all ids are null, it has the text of the least h.
     Other columns, whatever their names, are not read. An empty table gives an empty table.
 
     1. One pass hashes each text: each of 96 permutations is evaluated once and leaves its minimum and its
@@ -192,7 +193,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, chunk: int = 100) -> Dat
     scratch = Scratch(spark, "minhash")
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
     signed = scratch.write(docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(_sign, "doc_id bigint, h bigint, n_shingles bigint, node bigint, bands array<bigint>"), "signed")
-    names = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+    names = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("h").alias("first_h"))
 
     # 2. buckets of several nodes; bands of equal sets are equal, so a node is one row in a bucket
     rows = signed.filter("node is not null").select("node", F.explode("bands").alias("key")).distinct()
@@ -227,11 +228,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, chunk: int = 100) -> Dat
 
     # the smallest doc_id of each component, then one lookup by node
     named = names.join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    named = named.join(least, "comp").select("node", "component_id")
+    least = named.groupBy("comp").agg(F.min("first_id").alias("component_id"), F.min("first_h").alias("least_h"))
+    named = named.join(least, "comp").select("node", "component_id", "least_h")
     out = signed.select("doc_id", "h", "n_shingles", "node").join(named, "node", "left")
+    # a component without any id keeps the text of the least hash
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("doc_id").isNotNull() | F.col("node").isNull() | (F.col("h") == F.col("least_h")))
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    out = kept_whole(out.select("doc_id", "h", "n_shingles", "node", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")))
+    out = kept_whole(out.select("doc_id", "h", "n_shingles", "node", "component_id", kept.alias("kept")))
     scratch.drop()
     return out
 

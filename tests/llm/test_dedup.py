@@ -68,6 +68,16 @@ def test_near_duplicates_match_brute_force_at_0_8(spark):
     assert table(minhash.near_duplicates(docs(spark, rows), percent=80), "doc_id", "n_shingles", "component_id") == want
 
 
+def test_rows_without_an_id_are_kept_once_a_component(spark):
+    base, lone = prose(400, 120), prose(401, 120)
+    edit = lambda t, k: t.replace(t.split()[40], f"changed{k}", 1)
+    rows = [(1, base), (None, edit(base, 1)), (None, base + " "), (None, lone), (None, edit(lone, 1)), (None, edit(lone, 2)), (None, prose(402, 50)), (None, None), (None, ""), (2, None)]
+    found = minhash.near_duplicates(docs(spark, rows))
+    assert table(found, "doc_id", "n_shingles", "component_id") == brute_near(rows)
+    kept = table(found.filter("kept"), "doc_id", "n_shingles")
+    assert kept == sorted([(1, 116), (None, 116), (None, 46), (None, 0), (None, 0), (2, 0)], key=repr)
+
+
 def test_near_duplicates_of_nothing(spark):
     out = minhash.near_duplicates(docs(spark, []))
     assert out.count() == 0 and "kept" in out.columns
