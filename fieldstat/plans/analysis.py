@@ -110,8 +110,18 @@ s AS (SELECT feature, avg(m) AS mu, count(*) AS a, 30 * var_samp(m) AS msb, (sum
 
 @query("lmm_random_intercept", f"""WITH {BALANCED} SELECT feature, round(mu, 5) + 0e0 AS beta, round(sqrt(CASE WHEN msb > msw THEN msb ELSE mst END / (a * 30)), 5) AS se, round(CASE WHEN msb > msw THEN msw ELSE mst END, 5) AS var_resid, round(CASE WHEN msb > msw THEN (msb - msw) / 30 ELSE 0 END, 5) + 0e0 AS var_group FROM s""")
 def lmm_random_intercept(spark, sf):
-    """One mixed model for each feature on balanced subjects, where restricted maximum likelihood has a closed form."""
+    """One mixed model for each feature on the first 30 rows of each subject, where restricted maximum likelihood has a closed form."""
     x = long(spark, sf, "beh").withColumn("k", F.row_number().over(_w().orderBy("row_id"))).filter("k <= 30")
+    return _intercepts(x)
+
+
+@query("lmm_random_intercept_all")
+def lmm_random_intercept_all(spark, sf):
+    """The same on all rows of every subject, however many each has (held against dense fits in the tests)."""
+    return _intercepts(long(spark, sf, "beh"))
+
+
+def _intercepts(x):
     m = mixed.fit_models(x, "x ~ 1 + (1|grp)", ["feature"])
     return m.select("feature", tidy(F.col("beta"), 5).alias("beta"), tidy(F.col("se"), 5).alias("se"), tidy(F.col("var_resid"), 5).alias("var_resid"), tidy(F.col("re_var")[0], 5).alias("var_group"))
 

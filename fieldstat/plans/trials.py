@@ -50,6 +50,17 @@ def shard_union(spark, sf):
     return tables.recombine([e.filter(F.col("shard") == i).select("run", "value") for i in range(4)])
 
 
+@query("shard_union_all", """WITH s AS (SELECT shard, CASE WHEN rk = 1 THEN 0 ELSE shard + 1 END AS run, value FROM (SELECT event_id % 4 AS shard, value, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) AS rk FROM events))
+SELECT run, round(value, 6) AS value FROM s WHERE shard = 0 OR run <> 0""")
+def shard_union_all(spark, sf):
+    """shard_union on all events; event_id is unique. A shard's first event comes from an aggregation, so no shard is one task's."""
+    e = read_tables(spark, sf, "events").select((F.col("event_id") % 4).alias("shard"), "event_id", "value")
+    first = e.groupBy("shard").agg(F.min("event_id").alias("first"))
+    e = e.join(F.broadcast(first), "shard")
+    e = e.select("shard", F.when(F.col("event_id") == F.col("first"), 0).otherwise(F.col("shard") + 1).alias("run"), F.round("value", 6).alias("value"))
+    return tables.recombine([e.filter(F.col("shard") == i).select("run", "value") for i in range(4)])
+
+
 @query("left_merge", """WITH a AS (SELECT c_nationkey AS run_n, round(avg(c_acctbal), 4) AS dice_full FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS run_n, round(avg(s_acctbal), 4) AS dice_half FROM supplier GROUP BY 1)
 SELECT run_n, dice_full, dice_half FROM a LEFT JOIN b USING (run_n)""")
 def left_merge(spark, sf):

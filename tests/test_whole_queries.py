@@ -34,3 +34,14 @@ def test_random_slopes_of_all_features(spark, trials):
         want = fit_crossed(d, x[:, f], [(d[:, :2], label)])
         have = np.array(sorted(got[f].values()))
         assert np.allclose(have, sorted(zip(want.beta, want.t)), atol=2e-3, rtol=2e-3)
+
+
+def test_random_intercepts_of_all_rows(spark, trials):
+    path, label, _, _, x = trials
+    got = {r["feature"]: r for r in entry.queries()["lmm_random_intercept_all"](spark, path).collect()}
+    assert sorted(got) == list(range(FEATURES))
+    one = np.ones((len(label), 1))
+    for f in range(FEATURES):
+        want = fit_crossed(one, x[:, f], [(one, label)])
+        have = [got[f][k] for k in ("beta", "se", "var_resid", "var_group")]
+        assert np.allclose(have, [want.beta[0], want.se[0], want.sigma2, want.cov[0][0, 0]], atol=1e-3, rtol=1e-3)
