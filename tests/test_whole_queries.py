@@ -45,3 +45,10 @@ def test_random_intercepts_of_all_rows(spark, trials):
         want = fit_crossed(one, x[:, f], [(one, label)])
         have = [got[f][k] for k in ("beta", "se", "var_resid", "var_group")]
         assert np.allclose(have, [want.beta[0], want.se[0], want.sigma2, want.cov[0][0, 0]], atol=1e-3, rtol=1e-3)
+
+
+def test_shards_of_all_events(spark, tmp_path):
+    rows = [(i, float(i) / 8) for i in range(1001)]
+    spark.createDataFrame(rows, "event_id bigint, value double").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted((r["run"], r["value"]) for r in entry.queries()["shard_union_all"](spark, str(tmp_path)).collect())
+    assert got == sorted((0 if i == 0 else i % 4 + 1, v) for i, v in rows if i == 0 or i >= 4)
