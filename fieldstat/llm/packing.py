@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, kept_whole, small_batches
-from .tokens import default_tokenizer, shared_ids
+from .tokens import ROWS, default_tokenizer, shared_ids
 
 LENGTH, END, OPEN = 4096, 1, 64
 #: Pieces packed by one task; the open sequences left at its end are all that more tasks cost.
@@ -18,19 +19,23 @@ PIECES_PER_TASK = 200_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-def pieces_of(ids: bytes, length: int = LENGTH, end: int = END):
+def pieces_of(ids: np.ndarray, length: int = LENGTH, end: int = END):
     """(piece, start, length, crc32) of a document's ids and the end id, cut only where longer than ``length``."""
-    ids += end.to_bytes(4, "little")
-    for k, i in enumerate(range(0, len(ids), 4 * length)):
-        part = ids[i : i + 4 * length]
-        yield k, i // 4, len(part) // 4, zlib.crc32(part)
+    n = len(ids) + 1
+    for k, i in enumerate(range(0, n, length)):
+        crc = zlib.crc32(ids[i : i + length])
+        if i + length >= n:
+            crc = zlib.crc32(end.to_bytes(4, "little"), crc)
+        yield k, i, min(length, n - i), crc
 
 
 def _cut(path: str, length: int):
     def run(batches):
         known = shared_ids(path)
-        for b in small_batches(batches):
-            rows = [(d, *p) for d, ids in zip(b.column(0).to_pylist(), known.texts(b.column(1).to_pylist())) for p in pieces_of(ids, length)]
+        for b in small_batches(batches, ROWS):
+            ids, bounds = known.encode(b.column(1))
+            ids, bounds = ids.astype("<u4", copy=False), bounds.tolist()
+            rows = [(d, *p) for d, i, j in zip(b.column(0).to_pylist(), bounds[:-1], bounds[1:]) for p in pieces_of(ids[i:j], length)]
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
@@ -63,7 +68,7 @@ class OpenBins:
             f = n + (fits & -fits).bit_length() - 1
             s = self._take(f)
         else:
-            if self.open == self.most:
+            if n < self.length and self.open == self.most:  # a piece that fills its sequence never keeps one open
                 self._take((self.free & -self.free).bit_length() - 1)
             f, s = self.length, self.next
             self.next += 1
@@ -90,8 +95,8 @@ def _pack(length: int, most: int):
 def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, most_open: int = OPEN) -> DataFrame:
     """Pieces of every document and their places: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    docs: doc_id bigint, text string (null and empty: only the end id). Texts are encoded whole, in the place
-    where they are read; what is shuffled is one short row a piece. Each task packs its share, taken in an
+    docs: doc_id bigint, text string (null and empty: only the end id; a null doc_id stays null). Texts are
+    encoded whole, in the place where they are read; what is shuffled is one short row a piece. Each task packs its share, taken in an
     order fixed by a hash of the ids, so a task run again gives the same sequences. Repeated rows are packed
     each. Other columns are not read. An empty table gives an empty table.
     """

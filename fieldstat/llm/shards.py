@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, kept_whole, mix64, small_batches
-from .tokens import default_tokenizer, shared_ids
+from .tokens import ROWS, default_tokenizer, shared_ids
 
 LENGTH, END, PAD = 2048, 1, 0
 #: Sequences of a shard (16 MB of 2-byte ids at 2048 tokens).
@@ -51,39 +51,35 @@ def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
 def _sequences(path: str, length: int, dtype: str):
     def run(batches):
         known, part, k = shared_ids(path), TaskContext.get().partitionId(), 0
-        ids, owners = np.empty(0, dtype), []  # tokens not yet out; (doc_id, tokens left) of the documents they are of
+        # tokens not yet out, and the documents they are of with the place behind each one's last token
+        ids, owners, ends = np.empty(0, dtype), [], np.empty(0, np.int64)
 
         def out(n):
-            nonlocal ids, owners, k
-            row = np.full(length, PAD, dtype)
+            """The first ``n`` tokens as sequences; the rest is kept."""
+            nonlocal ids, owners, ends, k
+            starts = np.arange(0, n, length)
+            stops = np.minimum(starts + length, n)
+            row = np.full(len(starts) * length, PAD, dtype)
             row[:n] = ids[:n]
-            ids, docs, room = ids[n:], [], n
-            while room:
-                doc, m = owners[0]
-                docs.append(doc)
-                if m <= room:
-                    owners.pop(0)
-                else:
-                    owners[0] = (doc, m - room)
-                room -= min(m, room)
-            k += 1
-            return part, k - 1, n, row.tobytes(), docs
-
-        def batch(rows):
+            first, last = np.searchsorted(ends, starts, "right").tolist(), np.searchsorted(ends, stops - 1, "right").tolist()
+            raw, stride = row.tobytes(), length * row.itemsize
+            m = len(starts)
+            cols = [[part] * m, range(k, k + m), (stops - starts).tolist(), [raw[i * stride : (i + 1) * stride] for i in range(m)], [owners[x : y + 1] for x, y in zip(first, last)]]
+            done = int(np.searchsorted(ends, n, "right"))
+            ids, owners, ends, k = ids[n:], owners[done:], ends[done:] - n, k + m
             types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["part", "k", "n_tokens", "ids", "doc_ids"])
-
-        for b in small_batches(batches):
-            new = []
-            for doc_id, raw in zip(b.column(0).to_pylist(), known.texts(b.column(1).to_pylist())):
-                new += [np.frombuffer(raw, "<u4").astype(dtype), np.array([END], dtype)]
-                owners.append((doc_id, len(raw) // 4 + 1))
-            ids = np.concatenate([ids, *new])
-            rows = [out(length) for _ in range(len(ids) // length)]
-            if rows:
-                yield batch(rows)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["part", "k", "n_tokens", "ids", "doc_ids"])
+
+        for b in small_batches(batches, ROWS):
+            new, bounds = known.encode(b.column(1))
+            ends = np.concatenate([ends, len(ids) + bounds[1:] + np.arange(1, len(bounds))])
+            owners += b.column(0).to_pylist()
+            ids = np.concatenate([ids, np.insert(new.astype(dtype), bounds[1:], END)])
+            whole = len(ids) // length * length
+            if whole:
+                yield out(whole)
         if len(ids):
-            yield batch([out(len(ids))])
+            yield out(len(ids))
 
     return run
 
@@ -204,8 +200,8 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
 def materialise(docs: DataFrame, key: int = 20240501, length: int = LENGTH, shard: int = SHARD, tokenizer: str | None = None) -> DataFrame:
     """(slot, shard, n_tokens, ids_crc32, doc_ids): every sequence of the shards written from ``docs``, as read back.
 
-    docs: doc_id bigint, text string (null and empty: only the end id). ids_crc32: of the ids as stored,
-    padding apart. doc_ids: the documents that have tokens in the sequence, in order; a long document is in
+    docs: doc_id bigint, text string (null and empty: only the end id; a null doc_id is null in doc_ids).
+    ids_crc32: of the ids as stored, padding apart. doc_ids: the documents that have tokens in the sequence, in order; a long document is in
     several. Repeated rows are written each. Other columns are not read. An empty table gives an empty table.
     """
     spark = docs.sparkSession

@@ -1,20 +1,22 @@
-"""Token ids of whole texts by a public tokenizer, each distinct word encoded once for each worker."""
+"""Token ids of whole texts by a public tokenizer: words of a batch by Arrow, each new word encoded once for each worker."""
 
 from __future__ import annotations
 
-import gc
-import json
-import re
-from itertools import islice
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 
-from .common import worker_table
+from .common import mix64, worker_table
 
 #: Letters that stay one letter each when normalised and lower-cased (Latin, without the dotted capital I).
-_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
+_LATIN = "^[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž]+$"
 #: Marks that may stand behind a word; none of them begins a contraction.
-MARKS = b".,;:!?"
+MARKS = ".,;:!?"
+#: Words a worker's table holds, about 60 bytes each; texts are encoded so many at a time, as the more are looked at together the fewer words are distinct.
+MOST_WORDS, ROWS = 1_000_000, 2048
 
 
 def default_tokenizer() -> str:
@@ -23,99 +25,257 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds(dict):
-    """Word (bytes between ASCII white space) -> its ids as little-endian uint32 bytes.
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of ``size`` each, one range after the other."""
+    ends = np.cumsum(size)
+    out = np.repeat(start - (ends - size), size)
+    out += np.arange(len(out))
+    return out
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    return mix64(key[:, 0] ^ mix64(key[:, 1]))
+
+
+class WordTable:
+    """Word -> its token ids, by the word's 128-bit name, in flat arrays: an open-addressed table and one pool of ids.
+
+    At ``limit`` words the half that is used most stays, which bounds memory and changes no result.
+    """
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self._new(1024)
+
+    def _new(self, room: int) -> None:
+        self.n = 0
+        self.key, self.start, self.size = np.zeros((room, 2), np.uint64), np.zeros(room, np.int64), np.zeros(room, np.int32)
+        self.uses, self.pool, self.used = np.zeros(room, np.float32), np.zeros(2 * room, np.uint32), 0
+        self.slots = np.full(4 * room, -1, np.int32)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Row of each key, -1 for those that are not held."""
+        row = np.full(len(key), -1, np.int64)
+        todo, mask = np.arange(len(key)), np.uint64(len(self.slots) - 1)
+        at = _slot(key) & mask
+        while len(todo):
+            r = self.slots[at]
+            held = r >= 0
+            todo, at, r = todo[held], at[held], r[held]
+            same = (self.key[r] == key[todo]).all(1)
+            row[todo[same]] = r[same]
+            todo, at = todo[~same], (at[~same] + np.uint64(1)) & mask
+        return row
+
+    def _place(self, rows: np.ndarray) -> None:
+        mask = np.uint64(len(self.slots) - 1)
+        at = _slot(self.key[rows]) & mask
+        while len(rows):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = rows[free]  # of several rows that want a slot one gets it
+            lost = self.slots[at] != rows
+            rows, at = rows[lost], (at[lost] + np.uint64(1)) & mask
+
+    def add(self, key: np.ndarray, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Rows of new, distinct keys with ``size`` ids each, that stand one after the other in ``ids``."""
+        n, k = self.n + len(key), len(self.key)
+        if n > k:
+            k = max(n, 2 * k)
+            for name in ("key", "start", "size", "uses"):
+                old = getattr(self, name)
+                new = np.zeros((k, *old.shape[1:]), old.dtype)
+                new[: self.n] = old[: self.n]
+                setattr(self, name, new)
+        if self.used + len(ids) > len(self.pool):
+            new = np.zeros(max(self.used + len(ids), 2 * len(self.pool)), np.uint32)
+            new[: self.used] = self.pool[: self.used]
+            self.pool = new
+        rows = np.arange(self.n, n)
+        self.key[rows], self.size[rows], self.start[rows] = key, size, self.used + np.cumsum(size) - size
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.n, self.used = n, self.used + len(ids)
+        if 2 * n > len(self.slots):
+            self.slots = np.full(1 << (4 * n - 1).bit_length(), -1, np.int32)
+            rows_in = np.arange(n)
+        else:
+            rows_in = rows
+        self._place(rows_in)
+        return rows
+
+    def ids(self, rows: np.ndarray) -> np.ndarray:
+        return self.pool[spread(self.start[rows], self.size[rows])]
+
+    def make_room(self, more: int) -> bool:
+        """Drop the less used half if ``more`` words would not fit; rows change."""
+        if self.n + more <= self.limit or not self.n:
+            return False
+        rows = np.argsort(-self.uses[: self.n], kind="stable")[: max(0, min(self.n // 2, self.limit - more))]
+        key, ids, size, uses = self.key[rows], self.ids(rows), self.size[rows], self.uses[rows]
+        self._new(1024)
+        rows = self.add(key, ids, size)
+        self.uses[rows] = uses / 2
+        return True
+
+
+class WordIds:
+    """Token ids of texts, word (between ASCII white space) by word.
 
     Holds for tokenizers that drop white space and never merge across it, as the word BPE does: then the ids
-    of a text are those of its words in order. Words of letters alone, with or without marks behind, are
-    looked up by their letters; new ones are encoded together and told apart by the ids that end a word.
-    Other words are encoded each by itself. At ``limit`` words all but the first ``keep`` (the most frequent
-    ones come early) are dropped, which bounds memory and changes no result.
+    of a text are those of its words in order. A batch is split and its words are told apart by Arrow; only
+    distinct ones are looked up. New words of letters alone, with or without marks behind, are encoded by
+    their letters, many at a time, and told apart by the ids that end a word. Other words are encoded each
+    by itself.
     """
 
-    def __init__(self, path: str, limit: int = 1_200_000, keep: int = 400_000):
+    def __init__(self, path: str, limit: int = MOST_WORDS):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
-        self.tokenizer, self.limit, self.keep = Tokenizer.from_file(path), limit, keep
+        self.table, self.tokenizer = WordTable(limit), Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        with open(path, encoding="utf-8") as f:
-            suffix = json.load(f)["model"].get("end_of_word_suffix")
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        for token, i in vocab.items():
-            self.ends[i] = bool(suffix) and token.endswith(suffix)
-        self.marks: dict[bytes, bytes] = {b"": b""}
+        self.ends[[i for token, i in vocab.items() if suffix and token.endswith(suffix)]] = True
         # for lower-case Latin letters between spaces the full normaliser and patterns do nothing
-        self.bare, self.bytewise = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.bare.normalizer = self.bytewise.normalizer = None
-        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.bytewise.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         # a tokenizer of another kind has every word encoded by itself
         probe = "thereupon überaus. Straße"
-        self.joint = bool(suffix) and self._encode(probe).tolist() == [x for w in ("thereupon", "überaus", ".", "straße") for x in self.bytewise.encode(w, add_special_tokens=False).ids]
+        self.joint = bool(suffix) and self._each([probe])[0].tolist() == [x for w in ("thereupon", "überaus", ".", "straße") for x in self.bare.encode(w, add_special_tokens=False).ids]
 
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word), every word by itself."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int32, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())), size
 
-    def _plain(self, cores: list[bytes], tokenizer) -> None:
-        for i in range(0, len(cores), 4000):
-            part = cores[i : i + 4000]
-            ids = np.array(tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.nonzero(self.ends[ids])[0] + 1
-            raw = ids.tobytes()
+    def _plain(self, cores: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids, size = [np.empty(0, np.uint32)], [np.empty(0, np.int32)]
+        for i in range(0, len(cores), 1000):
+            part = cores.slice(i, 1000)
+            x = np.array(self.bare.encode_batch_fast([" ".join(part.to_pylist())], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.nonzero(self.ends[x])[0] + 1
             if len(ends) != len(part):
                 raise ValueError("words and ends of words don't agree")
-            cut = (4 * np.append(0, ends)).tolist()
-            self.update(zip(part, (raw[a:b] for a, b in zip(cut[:-1], cut[1:]))))
-
-    def learn(self, new: set[bytes]) -> None:
-        """Add words that are not yet known."""
-        if len(self) + 2 * len(new) > self.limit:
-            first = list(islice(self.items(), self.keep))
-            self.clear()
-            self.update(first)
-        ascii_, latin, marked, odd = set(), set(), [], []
-        for w in new:
-            core = w.rstrip(MARKS)
-            if self.joint and core.isalpha():  # of bytes: A-Z and a-z alone
-                low = core.lower()
-                ascii_.add(low)
-            else:
-                low = core.decode("utf-8", "replace")
-                if not (self.joint and _LATIN.fullmatch(low)):
-                    odd.append(w)
-                    continue
-                low = low.lower().encode()
-                latin.add(low)
-            if low != w:
-                marked.append((w, low, w[len(core) :]))
-        for w, e in zip(odd, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in odd], add_special_tokens=False)):
-            self[w] = np.array(e.ids, dtype="<u4").tobytes()
-        self._plain([c for c in ascii_ if c not in self], self.bare)
-        self._plain([c for c in latin if c not in self], self.bytewise)
-        for w, core, mark in marked:
-            if mark not in self.marks:
-                self.marks[mark] = self._encode(mark.decode()).tobytes()
-            self[w] = self[core] + self.marks[mark]
-
-    def texts(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as bytes; null has none."""
-        split = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
-        words = [w for ws in split for w in ws]
-        found = list(map(self.get, words))
-        new = {w for w, x in zip(words, found) if x is None}
-        if new:
-            gc.disable()  # nothing here is cyclic, and looking for cycles walks the whole table
-            try:
-                self.learn(new)
-            finally:
-                gc.enable()
-            fresh = {w: self[w] for w in new}
-            found = [fresh[w] if x is None else x for w, x in zip(words, found)]
-        ends = np.cumsum([0, *map(len, split)]).tolist()
-        return [b"".join(found[i:j]) for i, j in zip(ends[:-1], ends[1:])]
+            ids.append(x)
+            size.append(np.diff(ends, prepend=0).astype(np.int32))
+        return np.concatenate(ids), np.concatenate(size)
+
+    def _rows(self, words: pa.Array) -> np.ndarray:
+        """Rows of distinct words, new ones added."""
+        key = _keys(words)
+        rows = self.table.find(key)
+        if self.table.make_room(2 * int((rows < 0).sum())):  # a new word may bring its letters along
+            rows = self.table.find(key)
+        new = np.nonzero(rows < 0)[0]
+        if len(new):
+            rows[new] = self._learn(words.take(pa.array(new)), key[new])
+        return rows
+
+    def _learn(self, words: pa.Array, key: np.ndarray) -> np.ndarray:
+        core = pc.ascii_rtrim(words, characters=MARKS)
+        plain = _mask(pc.ascii_is_alpha(core))
+        low = pc.ascii_lower(core)
+        if self.joint:
+            other = np.nonzero(~plain)[0]
+            rest = core.take(pa.array(other))
+            latin = other[_mask(pc.match_substring_regex(rest, _LATIN))]
+            if len(latin):
+                low = pc.replace_with_mask(low, pa.array(_where(latin, len(words))), pc.utf8_lower(core.take(pa.array(latin))))
+                plain[latin] = True
+        else:
+            plain[:] = False
+        rows = np.full(len(words), -1, np.int64)
+        odd = np.nonzero(~plain)[0]
+        if len(odd):
+            texts = [w.decode("utf-8", "replace") for w in words.take(pa.array(odd)).cast(pa.binary()).to_pylist()]
+            rows[odd] = self.table.add(key[odd], *self._each(texts))
+        at = np.nonzero(plain)[0]
+        if not len(at):
+            return rows
+        words, low, key = words.take(pa.array(at)), low.take(pa.array(at)), key[at]
+        cores = low.dictionary_encode()
+        core_key = _keys(cores.dictionary)
+        of_core = self.table.find(core_key)
+        new = np.nonzero(of_core < 0)[0]
+        of_core[new] = self.table.add(core_key[new], *self._plain(cores.dictionary.take(pa.array(new))))
+        mine = of_core[cores.indices.to_numpy()]
+        own = (self.table.key[mine] == key).all(1)  # the word is its letters, in lower case
+        marked = np.nonzero(~own)[0]
+        if len(marked):
+            mark, which = self._marks(words.take(pa.array(marked)), low.take(pa.array(marked)))
+            table, r = self.table, mine[marked]
+            size = table.size[r] + np.array([len(m) for m in mark], np.int64)[which]
+            ids = np.empty(int(size.sum()), np.uint32)
+            first = np.cumsum(size) - size
+            ids[spread(first, table.size[r])] = table.ids(r)
+            behind = np.concatenate([*mark, np.empty(0, np.uint32)])
+            sizes = np.array([len(m) for m in mark], np.int64)
+            starts = np.cumsum(sizes) - sizes
+            ids[spread(first + table.size[r], sizes[which])] = behind[spread(starts[which], sizes[which])]
+            mine[marked] = table.add(key[marked], ids, size)
+        rows[at] = mine
+        return rows
+
+    def _marks(self, words: pa.Array, low: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+        """The ids of each kind of marks behind words, and which kind each word has."""
+        n = pc.subtract(pc.binary_length(words), pc.binary_length(low)).to_numpy()
+        kinds: dict[str, int] = {"": 0}
+        which = np.zeros(len(words), np.int64)
+        for k in np.unique(n[n > 0]).tolist():
+            some = np.nonzero(n == k)[0]
+            tail = pc.utf8_slice_codeunits(words.take(pa.array(some)), -k).dictionary_encode()
+            codes = np.array([kinds.setdefault(m, len(kinds)) for m in tail.dictionary.to_pylist()])
+            which[some] = codes[tail.indices.to_numpy()]
+        ids, size = self._each(list(kinds))
+        return np.split(ids, np.cumsum(size)[:-1]), which
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds): text i has ids[bounds[i]:bounds[i + 1]]; null has none."""
+        words = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        each = words.values.dictionary_encode()
+        rows, which = self._rows(each.dictionary), each.indices.to_numpy()
+        self.table.uses[rows] += np.bincount(which, minlength=len(rows)).astype(np.float32)
+        size = self.table.size[rows].astype(np.int64)[which]
+        ids = self.table.pool[spread(self.table.start[rows][which], size)]
+        return ids, np.append(0, np.cumsum(size))[words.offsets.to_numpy()]
+
+
+def _mask(found: pa.Array) -> np.ndarray:
+    return found.to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _where(at: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n, bool)
+    out[at] = True
+    return out
+
+
+def _keys(words: pa.Array) -> np.ndarray:
+    """A 128-bit name of each word: its bytes and their number up to 15 bytes, a 120-bit hash of longer ones."""
+    words = words.cast(pa.large_binary())
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+    at, size = ends[:-1], np.diff(ends)
+    first, last = (int(ends[0]), int(ends[-1])) if len(words) else (0, 0)
+    eight = np.zeros(last - first + 16, np.uint64)
+    if data is not None:
+        eight[: last - first] = np.frombuffer(data, np.uint8)[first:last]
+    for k in (1, 2, 4):  # 2, 4, then 8 bytes from each on
+        eight[:-k] |= eight[k:] << np.uint64(8 * k)
+    key = np.empty((len(words), 2), np.uint64)
+    for lane in (0, 1):
+        bits = (8 * np.clip(size - 8 * lane, 0, 8)).astype(np.uint64)
+        key[:, lane] = np.where(bits > 0, eight[at - first + 8 * lane * (size > 8 * lane)] << (np.uint64(64) - bits) % np.uint64(64) >> (np.uint64(64) - bits) % np.uint64(64), np.uint64(0))
+    key[:, 1] |= size.astype(np.uint64) << np.uint64(56)
+    long = np.nonzero(size > 15)[0]
+    if len(long):
+        raw = b"".join(map(xxhash.xxh3_128_digest, words.take(pa.array(long)).to_pylist()))
+        key[long] = np.frombuffer(raw, np.uint64).reshape(-1, 2)
+        key[long, 1] |= np.uint64(0xFF << 56)
+    return key
 
 
 def shared_ids(path: str) -> WordIds:

@@ -2,13 +2,16 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 
+from pyspark.sql import functions as F
+
 from fieldstat.llm import shards, warc
 from fieldstat.llm.common import Scratch
 from fieldstat.llm.packing import OpenBins, pack
-from fieldstat.llm.tokens import WordIds, default_tokenizer
+from fieldstat.llm.tokens import WordIds, WordTable, default_tokenizer
 
 from .helpers import awkward, docs, prose, table
 
@@ -21,11 +24,27 @@ def ids_of(texts):
 
 
 def test_word_ids_equal_whole_text_ids():
-    odd = ["<|endoftext|>x <|ENDOFTEXT|> a\x01b \x01 \x1c c İstanbul ΣΑΣ Σ. it's don't, 3.5 x.,! ab12 क़ é Å ŉ ſ É!!    x", "a" * 5000 + " b"]
+    odd = ["<|endoftext|>x <|ENDOFTEXT|> a\x01b \x01 \x1c c İstanbul ΣΑΣ Σ. it's don't, 3.5 x.,! ab12 क़ é Å ŉ ſ É!!    x", "a" * 5000 + " b", "abcdefghijklmno abcdefghijklmnop abcdefgh\x00 abcdefgh a\x00 a Straße,", " lead trail "]
+    odd += [chr(c) + " x" + chr(c) + "y" + chr(c) + "." for c in range(1, 0x250)]
     texts = [t for _, t in awkward()] + odd
     for limit in (10**6, 100):
-        got = WordIds(default_tokenizer(), limit, limit // 4).texts(texts)
-        assert [np.frombuffer(g, "<u4").tolist() for g in got] == ids_of(texts)
+        known = WordIds(default_tokenizer(), limit)
+        for some in (texts, texts[::-1], texts[::3], []):
+            ids, bounds = known.encode(pa.array(some, pa.string()))
+            assert [ids[i:j].tolist() for i, j in zip(bounds[:-1], bounds[1:])] == ids_of(some)
+            part = pa.array([None, *some, "z"], pa.string()).slice(1, len(some))
+            assert known.encode(part)[0].tolist() == ids.tolist()
+
+
+def test_word_table_keeps_the_words_used_most():
+    t = WordTable(100)
+    key = np.stack([np.arange(80, dtype=np.uint64), np.arange(80, dtype=np.uint64) % np.uint64(3)], 1)
+    rows = t.add(key, np.arange(160, dtype=np.uint32), np.full(80, 2, np.int32))
+    t.uses[rows[60:]] += 5
+    assert not t.make_room(20) and t.make_room(40)
+    found = t.find(key)
+    assert (found[60:] >= 0).all() and (found >= 0).sum() == 40
+    assert t.ids(found[60:]).tolist() == list(range(120, 160))
 
 
 def test_packing(spark):
@@ -45,11 +64,36 @@ def test_packing(spark):
     assert pack(docs(spark, [])).count() == 0
 
 
+def test_packing_equals_a_plain_simulation(spark):
+    """Pieces in the order of their hashes; each to the open sequence with the least room that does, the latest of equals."""
+    rows = [(i, prose(i, 1 + 37 * i % 400)) for i in range(150)]
+    got = pack(docs(spark, rows), length=300, most_open=4).withColumn("o", F.xxhash64("doc_id", "piece", F.lit(3))).orderBy("o", "doc_id", "piece").collect()
+    opened, n, places, want = [], 0, {}, []  # opened: [room, sequence], latest last
+    for r in got:
+        fits = [b for b in opened if b[0] >= r["length"]]
+        if fits:
+            least = min(b[0] for b in fits)
+            b = [b for b in fits if b[0] == least][-1]
+            opened.remove(b)
+        else:
+            b, n = [300, n], n + 1
+            if r["length"] < 300 and len(opened) == 4:
+                fullest = min(x[0] for x in opened)
+                opened.remove([x for x in opened if x[0] == fullest][-1])
+        want.append((b[1], 300 - b[0]))
+        b = [b[0] - r["length"], b[1]]
+        if b[0]:
+            opened.append(b)
+    assert [(r["sequence_id"], r["offset"]) for r in got] == want
+
+
 def test_open_bins_take_the_best_fit_and_close_the_fullest():
     b = OpenBins(10, 2)
     assert [b.put(n) for n in (6, 7, 3, 4)] == [(0, 0), (1, 0), (1, 7), (0, 6)]
     b = OpenBins(10, 2)
     assert [b.put(n) for n in (6, 8, 5, 2, 5)] == [(0, 0), (1, 0), (2, 0), (0, 6), (2, 5)]  # the one with 8 closed
+    b = OpenBins(10, 1)
+    assert [b.put(n) for n in (6, 10, 4)] == [(0, 0), (1, 0), (0, 6)]  # a full piece closes no open sequence
 
 
 def pages(spark):
@@ -125,6 +169,49 @@ def test_shards_hold_every_token_in_order_of_slot(spark, tmp_path):
     assert len(sizes) == 1
 
 
+def plain_slot(i, n, key):
+    """The keyed Feistel network on Python integers, walked until inside 0..n-1."""
+    m64 = 2**64 - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & m64
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & m64
+        return x ^ (x >> 31)
+
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    while True:
+        left, right = i >> half, i & ((1 << half) - 1)
+        for k in range(1, shards.ROUNDS + 1):
+            left, right = right, left ^ (mix((right + mix((k * 0x9E3779B97F4A7C15 + key) & m64)) & m64) & ((1 << half) - 1))
+        i = left << half | right
+        if i < n:
+            return i
+
+
+def test_every_slot_holds_the_ids_and_documents_of_a_plain_version(spark, tmp_path):
+    docs(spark, clash=True).write.parquet(f"{tmp_path}/docs")
+    df = spark.read.parquet(f"{tmp_path}/docs")  # files fix what a partition holds
+    parts = {}
+    for r in df.withColumn("p", F.spark_partition_id()).collect():
+        parts.setdefault(r["p"], []).append((r["doc_id"], r["text"]))
+    sequences = []
+    for p in sorted(parts):
+        flat = [(x, d) for (d, _), ids in zip(parts[p], ids_of([t for _, t in parts[p]])) for x in [*ids, 1]]
+        ends, at = [], 0
+        for (d, _), ids in zip(parts[p], ids_of([t for _, t in parts[p]])):
+            ends.append((at, at + len(ids) + 1, d))
+            at += len(ids) + 1
+        for i in range(0, len(flat), 64):
+            sequences.append(([x for x, _ in flat[i : i + 64]], [d for a, b, d in ends if a < i + 64 and b > i]))
+    want = {plain_slot(i, len(sequences), 99): s for i, s in enumerate(sequences)}
+    folder = f"file://{tmp_path}/s"
+    index = shards.write_shards(df, folder, Scratch(spark, "shards-test"), key=99, length=64, shard=50).collect()
+    assert {r["slot"]: r["doc_ids"] for r in index} == {k: d for k, (_, d) in want.items()}
+    assert {k: ids.tolist() for k, ids in shards.read_from(folder)} == {k: ids for k, (ids, _) in want.items()}
+    back = {r["slot"]: (r["n_tokens"], r["ids_crc32"], r["shard"]) for r in shards.read_shards(spark, folder).collect()}
+    assert back == {k: (len(ids), zlib.crc32(np.array(ids, "<u2").tobytes()), k // 50) for k, (ids, _) in want.items()}
+
+
 def test_materialise(spark):
     out = shards.materialise(docs(spark), length=128, shard=20)
     r = out.collect()
