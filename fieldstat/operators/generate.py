@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,21 +18,22 @@ def normal(seed: int, *keys: str | Column) -> Column:
     return normal_quantile(u)
 
 
-def centre_pattern(shape: tuple[int, int], fraction: int) -> np.ndarray:
-    """A central rectangle of ``fraction`` features (its sides the middle divisors) and small blobs on a lattice until 100."""
-    out = np.zeros(shape)
-    d = sorted({i for i in range(1, fraction + 1) if fraction % i == 0})
-    a, b = (d[len(d) // 2 - 1], d[len(d) // 2]) if len(d) % 2 == 0 else (d[len(d) // 2],) * 2
-    r, c = shape[0] // 2 - a // 2, shape[1] // 2 - b // 2
-    out[r : r + a, c : c + b] = 1
-    left = 100 - fraction
-    for y in range(10, 100, 20):
-        for x in range(10, 100, 20):
-            if (x, y) != (50, 50) and left > 0:
-                h, w = (2, 2) if left >= 4 else (left, 1)
-                out[y : y + h, x : x + w] = 1
-                left -= h * w
-    return out
+def centre_pattern(shape: tuple[int, int], fraction: int, total: int = 100) -> np.ndarray:
+    """``fraction`` signal cells in a rectangle as square as its divisors allow, in the middle of the field; the rest of
+    ``total`` in blobs of 2 x 2 at the places of a 5 x 5 lattice but its centre, in order of rows. The last blob is a
+    column of the cells that are left."""
+    tall = max(d for d in range(1, math.isqrt(fraction) + 1) if fraction % d == 0)
+    sides = np.array([tall, fraction // tall])
+    cell = np.indices(shape)
+    off = cell - (np.array(shape) // 2 - sides // 2)[:, None, None]
+    middle = ((off >= 0) & (off < sides[:, None, None])).all(0)
+    # place on the lattice, its rank, and how many cells the places before it leave
+    (y, x), (dy, dx) = np.divmod(cell - 10, 20)
+    rank = 5 * y + x - (5 * y + x > 12)
+    left = total - fraction - 4 * rank
+    place = (y >= 0) & (y < 5) & (x >= 0) & (x < 5) & ((y != 2) | (x != 2))
+    blob = place & np.where(left >= 4, (dy < 2) & (dx < 2), (dx == 0) & (dy < left))
+    return (middle | blob).astype(float)
 
 
 def pattern_frame(spark: SparkSession, field: np.ndarray) -> DataFrame:
@@ -100,32 +103,83 @@ def field_summary(frame: DataFrame, pattern: DataFrame) -> DataFrame:
     return x.agg(F.avg("x").alias("ave"), F.stddev_pop("x").alias("sigma"), F.max("x").alias("high"), F.min("x").alias("low"))
 
 
-def diamond(row: int, col: int, radius: int, value: float) -> list[tuple]:
-    return [(row + d, col - (radius - abs(d)), 1, 2 * (radius - abs(d)) + 1, value) for d in range(-radius, radius + 1)]
-
-
-def _graded() -> list[tuple]:
-    """Shapes of 1 to 6 cells at full strength and blocks of 6 cells at 1/6 to 6/6, then all again below zero."""
-    sized = [(1, 0, 1, 1), (1, 4, 1, 2), (1, 8, 1, 2), (2, 9, 1, 1), (1, 12, 2, 2), (1, 16, 2, 2), (0, 17, 1, 1), (0, 20, 3, 2)]
-    up = [(*r, 1.0) for r in sized] + [(5, 4 * (k - 1), 3, 2, round(k / 6, 9)) for k in range(1, 7)]
-    down = [(r + 15, c, h, w, -1.0) for r, c, h, w in sized] + [(10, 4 * (k - 1), 3, 2, -round(k / 6, 9)) for k in range(1, 7)]
-    return up + down
-
-
-#: Rectangles (row, column, height, width, value) of the patterns that are placed at x, y.
+#: Patterns that are placed at x, y.
 PLACED = {
-    "small": [
-        (1, 3, 2, 2, 1), (1, 7, 2, 2, 1), (1, 11, 2, 1, 1), (2, 12, 1, 1, 1), (1, 15, 2, 1, 1), (3, 4, 1, 1, 1), (4, 1, 3, 2, 1), (5, 5, 2, 2, 1), (6, 4, 1, 1, 1), (7, 4, 1, 2, 1),
-        *diamond(12, 13, 2, -1), (12, 0, 2, 1, -1), (12, 3, 1, 2, -1), (13, 4, 1, 1, -1), (12, 7, 2, 2, -1),
-    ],
-    "final": _graded(),
-    "vbig": [(0, 0, 7, 6, 1), (0, 11, 6, 4, 1), (10, 10, 6, 6, -1), (11, 1, 5, 4, -1)],
-    "ten": [(0, 1, 4, 2, 1), (1, 3, 2, 1, 1)],
-    "hundo": [(0, 1, 6, 5, 1), (0, 11, 5, 4, 1), (9, 10, 6, 5, -1), (10, 1, 5, 4, -1)],
-    "big": [*diamond(2, 2, 2, 1), (1, 12, 2, 2, 1), *diamond(12, 13, 2, -1), (12, 2, 2, 2, -1)],
-}
-#: Height and width of each pattern above, blank margins included.
-EXTENT = {"small": (15, 16), "final": (18, 22), "vbig": (16, 16), "ten": (4, 4), "hundo": (15, 16), "big": (15, 16)}
+    "small": """
+0 0 0 0 0 0 0 0 0 0 0 0 0 0 0 0
+0 0 0 1 1 0 0 1 1 0 0 1 0 0 0 1
+0 0 0 1 1 0 0 1 1 0 0 1 1 0 0 1
+0 0 0 0 1 0 0 0 0 0 0 0 0 0 0 0
+0 1 1 0 0 0 0 0 0 0 0 0 0 0 0 0
+0 1 1 0 0 1 1 0 0 0 0 0 0 0 0 0
+0 1 1 0 1 1 1 0 0 0 0 0 0 0 0 0
+0 0 0 0 1 1 0 0 0 0 0 0 0 0 0 0
+0 0 0 0 0 0 0 0 0 0 0 0 0 0 0 0
+0 0 0 0 0 0 0 0 0 0 0 0 0 0 0 0
+0 0 0 0 0 0 0 0 0 0 0 0 0 -1 0 0
+0 0 0 0 0 0 0 0 0 0 0 0 -1 -1 -1 0
+-1 0 0 -1 -1 0 0 -1 -1 0 0 -1 -1 -1 -1 -1
+-1 0 0 0 -1 0 0 -1 -1 0 0 0 -1 -1 -1 0
+0 0 0 0 0 0 0 0 0 0 0 0 0 -1 0 0
+""",
+    "vbig": """
+1 1 1 1 1 1 0 0 0 0 0 1 1 1 1 0
+1 1 1 1 1 1 0 0 0 0 0 1 1 1 1 0
+1 1 1 1 1 1 0 0 0 0 0 1 1 1 1 0
+1 1 1 1 1 1 0 0 0 0 0 1 1 1 1 0
+1 1 1 1 1 1 0 0 0 0 0 1 1 1 1 0
+1 1 1 1 1 1 0 0 0 0 0 0 0 0 0 0
+0 0 0 0 0 0 0 0 0 0 0 0 0 0 0 0
+0 0 0 0 0 0 0 0 0 0 0 0 0 0 0 0
+0 0 0 0 0 0 0 0 0 0 0 0 0 0 0 0
+0 0 0 0 0 0 0 0 0 0 -1 -1 -1 -1 -1 -1
+0 -1 -1 -1 -1 0 0 0 0 0 -1 -1 -1 -1 -1 -1
+0 -1 -1 -1 -1 0 0 0 0 0 -1 -1 -1 -1 -1 -1
+0 -1 -1 -1 -1 0 0 0 0 0 -1 -1 -1 -1 -1 -1
+0 -1 -1 -1 -1 0 0 0 0 0 -1 -1 -1 -1 -1 -1
+0 -1 -1 -1 -1 0 0 0 0 0 -1 -1 -1 -1 -1 -1
+""",
+    "ten": """
+0 1 1 0
+0 1 1 1
+0 1 1 1
+0 1 1 0
+""",
+    "hundo": """
+0 1 1 1 1 1 0 0 0 0 0 1 1 1 1 0
+0 1 1 1 1 1 0 0 0 0 0 1 1 1 1 0
+0 1 1 1 1 1 0 0 0 0 0 1 1 1 1 0
+0 1 1 1 1 1 0 0 0 0 0 1 1 1 1 0
+0 1 1 1 1 1 0 0 0 0 0 1 1 1 1 0
+0 1 1 1 1 1 0 0 0 0 0 0 0 0 0 0
+0 0 0 0 0 0 0 0 0 0 0 0 0 0 0 0
+0 0 0 0 0 0 0 0 0 0 0 0 0 0 0 0
+0 0 0 0 0 0 0 0 0 0 0 0 0 0 0 0
+0 0 0 0 0 0 0 0 0 0 -1 -1 -1 -1 -1 0
+0 -1 -1 -1 -1 0 0 0 0 0 -1 -1 -1 -1 -1 0
+0 -1 -1 -1 -1 0 0 0 0 0 -1 -1 -1 -1 -1 0
+0 -1 -1 -1 -1 0 0 0 0 0 -1 -1 -1 -1 -1 0
+0 -1 -1 -1 -1 0 0 0 0 0 -1 -1 -1 -1 -1 0
+0 -1 -1 -1 -1 0 0 0 0 0 -1 -1 -1 -1 -1 0
+""",
+    "big": """
+0 0 1 0 0 0 0 0 0 0 0 0 0 0 0 0
+0 1 1 1 0 0 0 0 0 0 0 0 1 1 0 0
+1 1 1 1 1 0 0 0 0 0 0 0 1 1 0 0
+0 1 1 1 0 0 0 0 0 0 0 0 0 0 0 0
+0 0 1 0 0 0 0 0 0 0 0 0 0 0 0 0
+0 0 0 0 0 0 0 0 0 0 0 0 0 0 0 0
+0 0 0 0 0 0 0 0 0 0 0 0 0 0 0 0
+0 0 0 0 0 0 0 0 0 0 0 0 0 0 0 0
+0 0 0 0 0 0 0 0 0 0 0 0 0 0 0 0
+0 0 0 0 0 0 0 0 0 0 0 0 0 0 0 0
+0 0 0 0 0 0 0 0 0 0 0 0 0 -1 0 0
+0 0 0 0 0 0 0 0 0 0 0 0 -1 -1 -1 0
+0 0 -1 -1 0 0 0 0 0 0 0 -1 -1 -1 -1 -1
+0 0 -1 -1 0 0 0 0 0 0 0 0 -1 -1 -1 0
+0 0 0 0 0 0 0 0 0 0 0 0 0 -1 0 0
+""",
+}
 #: Rows, columns and block size of the patterns that have their own place (rows are y, columns x; in a central one x is the row).
 CENTRAL = {"central01": (49, 47, 5, 2), "central": (45, 45, 10, 10), "central10": (37, 30, 25, 40)}
 LATTICE = {
@@ -134,16 +188,23 @@ LATTICE = {
 }
 
 
+def graded_pattern(steps: int = 6, block: tuple[int, int] = (3, 2), gap: int = 2) -> np.ndarray:
+    """Blocks side by side: their strength rises from 1 / steps to 1, and below them falls to -1."""
+    strength = np.arange(1, steps + 1) / steps
+    tile = np.zeros((block[0] + gap, block[1] + gap))
+    tile[: block[0], : block[1]] = 1
+    return np.kron(np.array([strength, -strength]), tile)
+
+
 def named_pattern(name: str = "big", shape: tuple[int, int] = (100, 100), x: int = 0, y: int = 0) -> np.ndarray:
-    """A field with a named pattern; an unknown name means big."""
+    """A field with a named pattern; an unknown name means big. ``final`` is this library's own :func:`graded_pattern`."""
     if name in CENTRAL:
         r, c, h, w = CENTRAL[name]
         return block_pattern(shape, r, c, np.ones((h, w)))
     if name in LATTICE:
         rows, cols, h, w = LATTICE[name]
         return scattered_pattern(shape, rows, cols, np.ones((h, w)))
-    name = name if name in PLACED else "big"
-    block = np.zeros(EXTENT[name])
-    for r, c, h, w, v in PLACED[name]:
-        block[r : r + h, c : c + w] = v
+    if name == "final":
+        return block_pattern(shape, x, y, graded_pattern())
+    block = np.array([line.split() for line in PLACED.get(name, PLACED["big"]).split("\n") if line], float)
     return block_pattern(shape, x, y, block)

@@ -111,13 +111,25 @@ def threshold_scatter(spark, sf):
     return whole.select("feature", tidy(F.col("t")).alias("t"), tidy(F.col("p")).alias("p"), tidy(tables.thresholded(F.col("t"), F.col("p"), 0.3)).alias("shown"))
 
 
-@query("hide_blobs", """WITH r AS (SELECT 'central' AS name, 45 AS y, 45 AS x, 10 AS h, 10 AS w UNION ALL SELECT 'split10', y, x, 10, 25 FROM (VALUES (30), (60)) AS a(y), (VALUES (15), (60)) AS b(x)
-UNION ALL SELECT 'dispersed', y, x, 2, 2 FROM (VALUES (10), (30), (50), (70), (90)) AS a(y), (VALUES (10), (30), (50), (70), (90)) AS b(x))
-SELECT name, CAST(y + dy AS INTEGER) AS i, CAST(x + dx AS INTEGER) AS j, 1e0 AS signal FROM r, unnest(range(0, h)) AS t(dy), unnest(range(0, w)) AS u(dx)""")
+_RECTANGLES = [("central01", 49, 47, 5, 2), ("central", 45, 45, 10, 10), ("central10", 37, 30, 25, 40)]
+_RECTANGLES += [(name, y, x, h, w) for name, (ys, xs, h, w) in generate.LATTICE.items() for y in ys for x in xs]
+_PICTURES = ", ".join(f"('{name}', '{text.strip()}')" for name, text in generate.PLACED.items())
+
+
+@query("hide_blobs", f"""WITH r AS (SELECT * FROM (VALUES {", ".join(map(str, _RECTANGLES))}) AS t(name, y, x, h, w)),
+p AS (SELECT name, string_split(text, chr(10)) AS lines FROM (VALUES {_PICTURES}) AS t(name, text)),
+l AS (SELECT name, i, string_split(lines[i + 1], ' ') AS cells FROM p, unnest(range(0, len(lines))) AS t(i)),
+c AS (SELECT name, i, j, CAST(cells[j + 1] AS DOUBLE) AS signal FROM l, unnest(range(0, len(cells))) AS t(j)),
+g AS (SELECT 'final' AS name, 5 * half + dy AS i, 4 * k + dx AS j, (1 - 2 * half) * (k + 1) / 6e0 AS signal
+      FROM unnest(range(0, 2)) AS a(half), unnest(range(0, 6)) AS b(k), unnest(range(0, 3)) AS c(dy), unnest(range(0, 2)) AS d(dx))
+SELECT name, CAST(y + dy AS INTEGER) AS i, CAST(x + dx AS INTEGER) AS j, 1e0 AS signal FROM r, unnest(range(0, h)) AS t(dy), unnest(range(0, w)) AS u(dx)
+UNION ALL SELECT name, CAST(i AS INTEGER), CAST(j AS INTEGER), signal FROM c WHERE signal <> 0
+UNION ALL SELECT name, CAST(i AS INTEGER), CAST(j AS INTEGER), {tidy_sql('signal')} FROM g""")
 def hide_blobs(spark, sf):
+    """The signal cells of every named pattern."""
     out = None
-    for name in ("central", "split10", "dispersed"):
-        one = generate.pattern_frame(spark, generate.named_pattern(name)).filter("signal <> 0").select(F.lit(name).alias("name"), "i", "j", "signal")
+    for name in [*generate.CENTRAL, *generate.LATTICE, *generate.PLACED, "final"]:
+        one = generate.pattern_frame(spark, generate.named_pattern(name)).filter("signal <> 0").select(F.lit(name).alias("name"), "i", "j", tidy(F.col("signal")).alias("signal"))
         out = one if out is None else out.union(one)
     return out
 
