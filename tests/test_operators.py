@@ -220,7 +220,7 @@ def test_patterns():
     assert corner[:5, :5].tolist() == [[0, 0, 1, 0, 0], [0, 1, 1, 1, 0], [1, 1, 1, 1, 1], [0, 1, 1, 1, 0], [0, 0, 1, 0, 0]] and corner.sum() == 13
     for fraction in (1, 4, 7, 12, 36, 50, 64, 97, 100):
         p = generate.centre_pattern((100, 100), fraction)
-        assert p.sum() == min(100, fraction + 24 * 4) and p[10:12, 10:12].sum() == min(4, 100 - fraction)
+        assert p.sum() == min(100, fraction + 24 * 4) and p[10:13, 10:12].sum() == min(4, 100 - fraction)
     g = generate.named_pattern("final")
     assert sorted(set(np.round(g[g > 0] * 6).astype(int))) == [1, 2, 3, 4, 5, 6] and g.sum() == 0 and (g != 0).sum() == 72
 
