@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, kept_whole, small_batches
-from .tokens import ROWS, default_tokenizer, shared_ids
+from .tokens import default_tokenizer, shared_ids
+from .words import ROWS
 
 LENGTH, END, OPEN = 4096, 1, 64
 #: Pieces packed by one task; the open sequences left at its end are all that more tasks cost.

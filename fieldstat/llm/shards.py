@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, kept_whole, mix64, small_batches
-from .tokens import ROWS, default_tokenizer, shared_ids
+from .tokens import default_tokenizer, shared_ids
+from .words import ROWS
 
 LENGTH, END, PAD = 2048, 1, 0
 #: Sequences of a shard (16 MB of 2-byte ids at 2048 tokens).

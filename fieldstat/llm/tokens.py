@@ -7,16 +7,16 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 
-from .common import mix64, worker_table
+from .common import worker_table
+from .words import KeyTable, keys, split_words, spread
 
 #: Letters that stay one letter each when normalised and lower-cased (Latin, without the dotted capital I).
 _LATIN = "^[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž]+$"
 #: Marks that may stand behind a word; none of them begins a contraction.
 MARKS = ".,;:!?"
-#: Words a worker's table holds, about 60 bytes each; texts are encoded so many at a time, as the more are looked at together the fewer words are distinct.
-MOST_WORDS, ROWS = 1_000_000, 2048
+#: Words a worker's table holds, about 60 bytes each.
+MOST_WORDS = 1_000_000
 
 
 def default_tokenizer() -> str:
@@ -25,91 +25,35 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The numbers start, start + 1, ... of ``size`` each, one range after the other."""
-    ends = np.cumsum(size)
-    out = np.repeat(start - (ends - size), size)
-    out += np.arange(len(out))
-    return out
-
-
-def _slot(key: np.ndarray) -> np.ndarray:
-    return mix64(key[:, 0] ^ mix64(key[:, 1]))
+class WordTable(KeyTable):
+    """Word -> its token ids, which stand in one pool."""
 
-
-class WordTable:
-    """Word -> its token ids, by the word's 128-bit name, in flat arrays: an open-addressed table and one pool of ids.
-
-    At ``limit`` words the half that is used most stays, which bounds memory and changes no result.
-    """
-
-    def __init__(self, limit: int):
-        self.limit = limit
-        self._new(1024)
+    arrays = ("key", "uses", "start", "size")
 
     def _new(self, room: int) -> None:
-        self.n = 0
-        self.key, self.start, self.size = np.zeros((room, 2), np.uint64), np.zeros(room, np.int64), np.zeros(room, np.int32)
-        self.uses, self.pool, self.used = np.zeros(room, np.float32), np.zeros(2 * room, np.uint32), 0
-        self.slots = np.full(4 * room, -1, np.int32)
-
-    def find(self, key: np.ndarray) -> np.ndarray:
-        """Row of each key, -1 for those that are not held."""
-        row = np.full(len(key), -1, np.int64)
-        todo, mask = np.arange(len(key)), np.uint64(len(self.slots) - 1)
-        at = _slot(key) & mask
-        while len(todo):
-            r = self.slots[at]
-            held = r >= 0
-            todo, at, r = todo[held], at[held], r[held]
-            same = (self.key[r] == key[todo]).all(1)
-            row[todo[same]] = r[same]
-            todo, at = todo[~same], (at[~same] + np.uint64(1)) & mask
-        return row
-
-    def _place(self, rows: np.ndarray) -> None:
-        mask = np.uint64(len(self.slots) - 1)
-        at = _slot(self.key[rows]) & mask
-        while len(rows):
-            free = self.slots[at] < 0
-            self.slots[at[free]] = rows[free]  # of several rows that want a slot one gets it
-            lost = self.slots[at] != rows
-            rows, at = rows[lost], (at[lost] + np.uint64(1)) & mask
+        super()._new(room)
+        self.start, self.size = np.zeros(room, np.int64), np.zeros(room, np.int32)
+        self.pool, self.used = np.zeros(2 * room, np.uint32), 0
 
     def add(self, key: np.ndarray, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Rows of new, distinct keys with ``size`` ids each, that stand one after the other in ``ids``."""
-        n, k = self.n + len(key), len(self.key)
-        if n > k:
-            k = max(n, 2 * k)
-            for name in ("key", "start", "size", "uses"):
-                old = getattr(self, name)
-                new = np.zeros((k, *old.shape[1:]), old.dtype)
-                new[: self.n] = old[: self.n]
-                setattr(self, name, new)
+        """Rows of new, distinct names with ``size`` ids each, that stand one after the other in ``ids``."""
+        rows = self.new_rows(key)
         if self.used + len(ids) > len(self.pool):
             new = np.zeros(max(self.used + len(ids), 2 * len(self.pool)), np.uint32)
             new[: self.used] = self.pool[: self.used]
             self.pool = new
-        rows = np.arange(self.n, n)
-        self.key[rows], self.size[rows], self.start[rows] = key, size, self.used + np.cumsum(size) - size
+        self.size[rows], self.start[rows] = size, self.used + np.cumsum(size) - size
         self.pool[self.used : self.used + len(ids)] = ids
-        self.n, self.used = n, self.used + len(ids)
-        if 2 * n > len(self.slots):
-            self.slots = np.full(1 << (4 * n - 1).bit_length(), -1, np.int32)
-            rows_in = np.arange(n)
-        else:
-            rows_in = rows
-        self._place(rows_in)
+        self.used += len(ids)
         return rows
 
     def ids(self, rows: np.ndarray) -> np.ndarray:
         return self.pool[spread(self.start[rows], self.size[rows])]
 
     def make_room(self, more: int) -> bool:
-        """Drop the less used half if ``more`` words would not fit; rows change."""
-        if self.n + more <= self.limit or not self.n:
+        rows = self.used_most(more)
+        if rows is None:
             return False
-        rows = np.argsort(-self.uses[: self.n], kind="stable")[: max(0, min(self.n // 2, self.limit - more))]
         key, ids, size, uses = self.key[rows], self.ids(rows), self.size[rows], self.uses[rows]
         self._new(1024)
         rows = self.add(key, ids, size)
@@ -165,7 +109,7 @@ class WordIds:
 
     def _rows(self, words: pa.Array) -> np.ndarray:
         """Rows of distinct words, new ones added."""
-        key = _keys(words)
+        key = keys(words)
         rows = self.table.find(key)
         if self.table.make_room(2 * int((rows < 0).sum())):  # a new word may bring its letters along
             rows = self.table.find(key)
@@ -197,7 +141,7 @@ class WordIds:
             return rows
         words, low, key = words.take(pa.array(at)), low.take(pa.array(at)), key[at]
         cores = low.dictionary_encode()
-        core_key = _keys(cores.dictionary)
+        core_key = keys(cores.dictionary)
         of_core = self.table.find(core_key)
         new = np.nonzero(of_core < 0)[0]
         of_core[new] = self.table.add(core_key[new], *self._plain(cores.dictionary.take(pa.array(new))))
@@ -234,13 +178,12 @@ class WordIds:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): text i has ids[bounds[i]:bounds[i + 1]]; null has none."""
-        words = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
-        each = words.values.dictionary_encode()
-        rows, which = self._rows(each.dictionary), each.indices.to_numpy()
+        words, which, bounds = split_words(texts, lower=False)
+        rows = self._rows(words)
         self.table.uses[rows] += np.bincount(which, minlength=len(rows)).astype(np.float32)
         size = self.table.size[rows].astype(np.int64)[which]
         ids = self.table.pool[spread(self.table.start[rows][which], size)]
-        return ids, np.append(0, np.cumsum(size))[words.offsets.to_numpy()]
+        return ids, np.append(0, np.cumsum(size))[bounds]
 
 
 def _mask(found: pa.Array) -> np.ndarray:
@@ -253,31 +196,6 @@ def _where(at: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _keys(words: pa.Array) -> np.ndarray:
-    """A 128-bit name of each word: its bytes and their number up to 15 bytes, a 120-bit hash of longer ones."""
-    words = words.cast(pa.large_binary())
-    _, offsets, data = words.buffers()
-    ends = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
-    at, size = ends[:-1], np.diff(ends)
-    first, last = (int(ends[0]), int(ends[-1])) if len(words) else (0, 0)
-    eight = np.zeros(last - first + 16, np.uint64)
-    if data is not None:
-        eight[: last - first] = np.frombuffer(data, np.uint8)[first:last]
-    for k in (1, 2, 4):  # 2, 4, then 8 bytes from each on
-        eight[:-k] |= eight[k:] << np.uint64(8 * k)
-    key = np.empty((len(words), 2), np.uint64)
-    for lane in (0, 1):
-        bits = (8 * np.clip(size - 8 * lane, 0, 8)).astype(np.uint64)
-        key[:, lane] = np.where(bits > 0, eight[at - first + 8 * lane * (size > 8 * lane)] << (np.uint64(64) - bits) % np.uint64(64) >> (np.uint64(64) - bits) % np.uint64(64), np.uint64(0))
-    key[:, 1] |= size.astype(np.uint64) << np.uint64(56)
-    long = np.nonzero(size > 15)[0]
-    if len(long):
-        raw = b"".join(map(xxhash.xxh3_128_digest, words.take(pa.array(long)).to_pylist()))
-        key[long] = np.frombuffer(raw, np.uint64).reshape(-1, 2)
-        key[long, 1] |= np.uint64(0xFF << 56)
-    return key
-
-
 def shared_ids(path: str) -> WordIds:
     """One table for each Python worker, kept from task to task."""
     return worker_table(("ids", path), lambda: WordIds(path))
