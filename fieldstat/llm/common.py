@@ -7,6 +7,7 @@ import gc
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +36,35 @@ def fold_of(doc_id: Column, folds: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a fresh temporary one only where it is unset (local tests)."""
+    """The folder in spark.checkpoint.dir; a fresh temporary one only where it is unset and all runs in one JVM (local tests)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="fieldstat-")
         spark.sparkContext.setCheckpointDir(base)
     return base
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings that hold for a while."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: Texts are sent to Python so many at a time: a batch is held whole by Spark and by Python.
+SMALL = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2048"}
+
+
 class Scratch:
     """A folder of intermediate tables under :func:`shared_dir`, dropped by name once no longer read."""
 
@@ -55,7 +75,8 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        with settings(self.spark, SMALL):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -75,26 +96,22 @@ def settle(spark: SparkSession) -> None:
 def kept_whole(df: DataFrame) -> DataFrame:
     """Cut lineage by a reliable checkpoint; its files go when the DataFrame is no longer referenced."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    with settings(df.sparkSession, SMALL):
+        return df.checkpoint()
 
 
-#: Stands for a null id in joins.
-NO_ID = -(2**63)
 #: Keys of dropped rows above which the anti join shuffles instead of broadcasting (about 40 bytes each).
 BROADCAST_KEYS = 300_000
 
 
-def row_key() -> list[Column]:
-    """(k_id, k_h): tells rows by doc_id and text; repeated rows share it."""
-    return [F.coalesce("doc_id", F.lit(NO_ID)).alias("k_id"), F.xxhash64("text").alias("k_h")]
-
-
 def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose :func:`row_key` is in ``bad`` (k_id, k_h); all columns stay."""
-    bad = kept_whole(bad.select("k_id", "k_h").distinct())
+    """``docs`` without the rows whose doc_id, null or not, and xxhash64 of the text are in ``bad`` (doc_id, h); all columns stay.
+
+    Repeated rows go together. Columns of ``docs`` may have any names.
+    """
+    bad = kept_whole(bad.select(F.col("doc_id").alias("k_id"), F.col("h").alias("k_h")).distinct())
     few = bad.count() <= BROADCAST_KEYS
-    k_id, k_h = row_key()
-    return docs.join(F.broadcast(bad) if few else bad, (k_id == bad["k_id"]) & (k_h == bad["k_h"]), "left_anti")
+    return docs.join(F.broadcast(bad) if few else bad, docs["doc_id"].eqNullSafe(bad["k_id"]) & (F.xxhash64(docs["text"]) == bad["k_h"]), "left_anti")
 
 
 _TABLE: dict = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Scratch, kept_whole, lower_ascii
+from .common import Scratch, kept_whole, lower_ascii
 
 #: What parts words, after A-Z are lower-cased: words are runs of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]``.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -29,13 +29,18 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """The index: (term, doc_id, h, pos), h being a hash of the text; within each segment sorted by term.
+def keyed(docs: DataFrame) -> DataFrame:
+    """(id, doc_id, h, text): id is the row's own; doc_id, which is never null, and h tell rows apart by id and text."""
+    return docs.select(F.col("doc_id").alias("id"), F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("doc_id"), F.xxhash64("text", F.col("doc_id").isNull()).alias("h"), "text")
+
+
+def postings(rows: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """The index of :func:`keyed` rows: (term, doc_id, h, pos); within each segment sorted by term.
 
     Each input partition makes its own segment, so building it shuffles nothing but a ``terms`` table (column
-    term) too large to broadcast. With ``terms`` only their postings are stored.
+    term) too large to broadcast. With ``terms`` only their postings are stored. Null and wordless texts have none.
     """
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(words(F.col("text"))).alias("pos", "term"))
+    rows = rows.select("doc_id", "h", F.posexplode(words(F.col("text"))).alias("pos", "term"))
     if terms is not None:
         rows = rows.join(terms, "term", "left_semi")
     return rows.select("term", "doc_id", "h", "pos").sortWithinPartitions("term", "doc_id", "pos")
@@ -95,7 +100,9 @@ def phrase_hits(index: DataFrame, item_terms: DataFrame, scratch: Scratch, windo
 def proximity_matches(index: DataFrame, queries: DataFrame, within: int) -> DataFrame:
     """(query_id, doc_id, h, pos): places of a query's rarest term with every other term at most ``within`` words away.
 
-    queries: (query_id, term); repeated terms count once; a query with a term the index lacks matches nothing.
+    queries: (query_id, term); repeated terms count once; a query with a term the index lacks matches nothing. A null
+    term is in no document, so its query matches nothing; a null query_id is a query like others. An empty
+    index or no queries give no rows.
     """
     q = queries.select("query_id", "term").distinct()
     known = q.join(index.groupBy("term").count(), "term", "left").withColumn("count", F.coalesce("count", F.lit(0)))
@@ -108,7 +115,7 @@ def proximity_matches(index: DataFrame, queries: DataFrame, within: int) -> Data
     return both.select("query_id", "doc_id", "h", "pos").union(at.filter("terms = 1").select("query_id", "doc_id", "h", "pos"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, full_index: bool = False) -> DataFrame:
     """(doc_id, h, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs``.
 
     docs: doc_id bigint, text string; items: item_id, text. h: the text's xxhash64. A-Z are lower-cased, words are
@@ -117,13 +124,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     A document word inside any occurrence of a window is hit. Null and wordless texts have no words and no
     hits; such items have no windows. A null doc_id is kept. Rows with the same doc_id and text get the same answer, rows with the
     same doc_id and other texts their own. Items with the same item_id count once. Other columns are not
-    read. Empty tables: no documents give no rows, no items give no hits.
+    read. Empty tables: no documents give no rows, no items give no hits. The index holds the postings of the
+    items' terms, which are all that is looked up; with ``full_index`` those of every term, with equal results.
     """
     scratch = Scratch(docs.sparkSession, "decontam")
-    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
+    docs = keyed(docs)
     item_terms = scratch.write(item_words(items), "words")
     terms = scratch.write(item_terms.select("term").distinct(), "terms")
-    index = scratch.write(postings(docs, _bounded(terms, BROADCAST_ROWS)), "index")
+    index = scratch.write(postings(docs, None if full_index else _bounded(terms, BROADCAST_ROWS)), "index")
     hits = phrase_hits(index, item_terms, scratch, window)
     ids = item_terms.select("item", F.col("item_id").cast("string").alias("item_id")).distinct()
     hits = scratch.write(hits, "hits")
@@ -132,11 +140,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     named = named.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
     per_doc = n.join(named, ["doc_id", "h"]).withColumnsRenamed({"doc_id": "hit_id", "h": "hit_h"})
     per_doc = scratch.write(per_doc, "per_doc")
-    light = docs.select("doc_id", F.xxhash64("text").alias("h"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    light = docs.select("id", "doc_id", "h", F.xxhash64("text").alias("text_h"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     out = light.join(per_doc, (F.col("doc_id") == F.col("hit_id")) & (F.col("h") == F.col("hit_h")), "left")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     out = out.select(
-        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), light["h"], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
+        F.col("id").alias("doc_id"), F.col("text_h").alias("h"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
     out = kept_whole(out)

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, kept_whole
+from .common import SPACES, Scratch, kept_whole, settings
 
 ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -23,18 +21,6 @@ ROCKS = {
 BROADCAST_DIGESTS = 200_000
 
 
-@contextmanager
-def _settings(spark: SparkSession, values: dict[str, str]):
-    before = {k: spark.conf.get(k, None) for k in values}
-    try:
-        for k, v in values.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def normalised(text: Column) -> Column:
     """Null counts as empty; spaces, tabs and line breaks are deleted."""
     return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
@@ -54,14 +40,14 @@ def run_stream(spark: SparkSession, records: str, schema, state: str, options: d
     """
     rows = spark.readStream.schema(schema).options(**(options or {})).parquet(records)
     held = rows.groupBy("digest").agg(F.max("record").alias("best"), F.count("*").alias("n"))
-    with _settings(spark, ROCKS):
+    with settings(spark, ROCKS):
         q = held.writeStream.format("noop").outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start()
         q.awaitTermination()
 
 
 def read_state(spark: SparkSession, state: str) -> DataFrame:
     """digest, keep_id, keep_chars, place, group_size: the state store's content."""
-    with _settings(spark, ROCKS):
+    with settings(spark, ROCKS):
         held = spark.read.format("statestore").load(state)
     best, n = (c for c in held.schema["value"].dataType.names)
     held = held.select(F.col("key")["digest"].alias("digest"), F.col("value")[best].alias("best"), F.col("value")[n].alias("group_size"))

@@ -7,19 +7,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, mix64, small_batches, words_of, worker_table
+from .common import fold_of, kept_whole, mix64, small_batches, without, words_of, worker_table
+from .words import ROWS, KeyTable, keys, split_words
 
 #: Subwords: runs of 2 to 5 bytes of a word between marks; 2**16 buckets of 16 numbers.
 GRAMS, BUCKETS, DIM = (2, 3, 4, 5), 1 << 16, 16
-#: Training rows are a sample by hash of doc_id: about this many for each language, and in all.
-ROWS_PER_LANG, MOST_ROWS = 600, 30_000
-#: New words are worked out so many at a time.
-PART = 10_000
-#: Languages beyond this many (the most frequent stay) are not learned: it bounds the model.
-MOST_LANGS = 256
+#: Words a worker's table holds (about 100 bytes each); new ones are worked out so many at a time.
+MOST_WORDS, PART = 200_000, 10_000
 
 
 def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -42,7 +40,8 @@ def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Model:
     langs: list[str]
-    table: np.ndarray  # bucket -> logits (embedding times softmax weights)
+    table: np.ndarray  # embedding of each bucket
+    weights: np.ndarray  # DIM x languages
     bias: np.ndarray
     temperature: float
     threshold: float  # confidence below which a document is rejected
@@ -94,11 +93,10 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.5
             bias -= lr * 0.01 * p
             emb[idx] = e - lr * 10 * share[:, None] * back
             steps += 1
-    table = emb @ w
 
     def logits(words):
         idx, share = _features(words)
-        return share @ table[idx] + bias
+        return share @ emb[idx] @ w + bias
 
     z = np.array([logits(x) for i in held for x in (rows[i][0], short(rows[i][0]))]).reshape(-1, c)
     y = np.array([rows[i][1] for i in held for _ in range(2)], np.int64)
@@ -115,104 +113,109 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.5
         threshold = float(min(0.5, np.quantile(right, lose))) if len(right) else 0.0
     else:
         temperature, threshold = 1.0, 0.0
-    return Model(names, table.astype(np.float32), bias, temperature, threshold)
+    return Model(names, emb, w, bias, temperature, threshold)
 
 
-def fit(docs: DataFrame, folds: int = 4, held: int = 2, per_lang: int = ROWS_PER_LANG) -> Model:
-    """Learn from text and non-null lang of rows outside the held-out fold: a sample of about ``per_lang`` rows a language."""
+def fit(docs: DataFrame, folds: int = 4, held: int = 2, per_lang: int = 600, most_rows: int = 30_000, most_bytes: int = 64_000_000) -> Model:
+    """Learn from text and non-null lang of rows outside the held-out fold; every lang value there is learned.
+
+    A sample of labelled rows by hash of doc_id: about ``per_lang`` rows a language, fewer where that makes more than
+    ``most_rows`` rows or ``most_bytes`` bytes of text in all (but, as far as bytes allow, one a language). The
+    texts go to the driver, so these bound its memory.
+    """
+    spark = docs.sparkSession
     usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id"), folds) != held))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
+    counts = [tuple(r) for r in usable.groupBy("lang").agg(F.count("*"), F.sum(F.octet_length("text").cast("bigint"))).collect()]  # one row a language
     if not counts:
-        return Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros(1, np.float32), 1.0, 0.0)
-    per_lang = min(per_lang, MOST_ROWS // len(counts))
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_lang / n))])
+        return Model([], np.zeros((BUCKETS, DIM), np.float32), np.zeros((DIM, 1), np.float32), np.zeros(1, np.float32), 1.0, 0.0)
+    per_lang = max(1, min(per_lang, most_rows // len(counts)))
+    shares = [(lang, min(1.0, per_lang / n)) for lang, n, _ in counts]
+    less = min(1.0, most_bytes / max(1.0, sum(share * size for (_, share), (_, _, size) in zip(shares, counts))))
+    shares = spark.createDataFrame([(lang, share * less) for lang, share in shares], "lang string, share double")
     dice = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) / 1_000_000
-    rows = usable.filter(dice < share[F.col("lang")]).select("text", "lang").toPandas()
+    rows = usable.join(F.broadcast(shares), "lang").filter(dice < F.col("share")).select("text", "lang").toPandas()
     rows = rows.sort_values(["lang", "text"])  # the same model whatever order the rows came in
     return train(rows["text"].tolist(), rows["lang"].tolist())
 
 
-class WordLogits(dict):
-    """Word -> row of a growing table of summed logits and subword counts; emptied at ``limit`` words."""
+class WordVectors(KeyTable):
+    """Word -> the sum of its subwords' embeddings and their number."""
+
+    arrays = ("key", "uses", "sums")
+
+    def __init__(self, model: Model, limit: int = MOST_WORDS):
+        self.model = model
+        super().__init__(limit)
 
-    def __init__(self, model: Model, limit: int = 200_000):
-        super().__init__()
-        self.model, self.limit = model, limit
-        self.rows = np.zeros((limit + 1, model.table.shape[1] + 1))
+    def _new(self, room: int) -> None:
+        super()._new(room)
+        self.sums = np.zeros((room, DIM + 1), np.float32)
 
-    def learn(self, words: list[bytes]) -> None:
-        new = list({w for w in words if w not in self})
-        if len(self) + len(new) > self.limit:
-            self.clear()
-            new = list(set(words))
-            if len(new) > self.limit:
-                self.limit = len(new)
-                self.rows = np.zeros((self.limit + 1, self.rows.shape[1]))
+    def rows_of(self, words: pa.Array) -> np.ndarray:
+        key = keys(words)
+        rows = self.find(key)
+        if self.make_room(int((rows < 0).sum())):
+            rows = self.find(key)
+        new = np.nonzero(rows < 0)[0]
         for i in range(0, len(new), PART):
             part = new[i : i + PART]
-            owner, bucket = word_grams(part)
-            start, k = len(self), len(part)
-            for c in range(self.model.table.shape[1]):
-                self.rows[start : start + k, c] = np.bincount(owner, self.model.table[bucket, c], k)
-            self.rows[start : start + k, -1] = np.bincount(owner, minlength=k)
-            self.update(zip(part, range(start, start + k)))
-
-
-def _named(model: Model, known: WordLogits, texts: list[str | None]):
-    """(language, score, rejected) of each text."""
-    words = [words_of(t) if t and any(map(str.isalpha, t)) else [] for t in texts]
-    known.learn([w for ws in words for w in ws])
-    for ws in words:
-        if not ws or not model.langs:
-            yield "und", 0.0, True
-            continue
-        v = known.rows[np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))].sum(0)
-        z = (v[:-1] / v[-1] + model.bias) / model.temperature
-        p = np.exp(z - z.max())
-        p /= p.sum()
-        k = int(p.argmax())
-        yield model.langs[k], float(p[k]), bool(p[k] < model.threshold)
-
-
-def _mark(model: Model) -> int:
-    return zlib.crc32(model.table.tobytes())
+            rows[part] = self.new_rows(key[part])
+            owner, bucket = word_grams(words.take(pa.array(part)).cast(pa.large_binary()).to_pylist())
+            for c in range(DIM):
+                self.sums[rows[part], c] = np.bincount(owner, self.model.table[bucket, c], len(part))
+            self.sums[rows[part], DIM] = np.bincount(owner, minlength=len(part))
+        return rows
+
+
+def _named(model: Model, known: WordVectors, texts: pa.Array):
+    """(languages, scores, rejected) of texts."""
+    n = len(texts)
+    if not model.langs:
+        return ["und"] * n, np.zeros(n), np.ones(n, bool)
+    words, which, bounds = split_words(texts)
+    rows = known.rows_of(words)
+    known.uses[rows] += np.bincount(which, minlength=len(rows)).astype(np.float32)
+    rows[pc.equal(words, "").to_numpy(zero_copy_only=False)] = -1  # among split words, not a word
+    rows = rows[which]
+    sums, owner = np.zeros((n, DIM + 1)), np.repeat(np.arange(n), np.diff(bounds))
+    for i in range(0, len(rows), 50_000):  # what a text's words add up to, so many words at a time
+        r, o = rows[i : i + 50_000], owner[i : i + 50_000]
+        starts = np.nonzero(np.diff(o, prepend=-1))[0]
+        sums[o[starts]] += np.add.reduceat(known.sums[r] * (r >= 0)[:, None], starts, 0, dtype=np.float64)
+    lettered = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False) & (sums[:, DIM] > 0)
+    z = (sums[:, :DIM] / np.maximum(sums[:, DIM:], 1) @ model.weights + model.bias) / model.temperature
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    best = p.argmax(1)
+    score = np.where(lettered, p.max(1), 0.0)
+    return [model.langs[k] if ok else "und" for k, ok in zip(best.tolist(), lettered.tolist())], score, ~lettered | (score < model.threshold)
 
 
 def _predict(model: Model):
-    mark = _mark(model)
+    mark = zlib.crc32(model.table.tobytes() + model.weights.tobytes())
 
     def run(batches):
-        known = worker_table(("logits", mark), lambda: WordLogits(model))
-        for b in small_batches(batches):
-            langs, scores, rejected = zip(*_named(model, known, b.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
+        known = worker_table(("vectors", mark), lambda: WordVectors(model))
+        for b in small_batches(batches, ROWS):
+            langs, scores, rejected = _named(model, known, b.column(2))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "h", "lang_pred", "score", "rejected"])
 
     return run
 
 
-def _accept(model: Model, text: int):
-    mark = _mark(model)
-
-    def run(batches):
-        known = worker_table(("logits", mark), lambda: WordLogits(model))
-        for b in small_batches(batches):
-            rejected = [r for _, _, r in _named(model, known, b.column(text).to_pylist())]
-            yield b.filter(pa.array([not r for r in rejected], pa.bool_()))
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, h, lang_pred, score, rejected) for every row of ``docs`` (doc_id bigint, text string), from the text alone.
 
-    return run
+    h: the text's xxhash64. Whole texts are read. Null texts and texts without a letter get ``und``, score 0,
+    rejected; so does every text if no language was learned. Otherwise lang_pred is the likeliest learned
+    language and score its calibrated probability; rejected says that it lies below the model's threshold.
+    A null doc_id stays null. Repeated rows get equal answers; other columns are not read; an empty table gives
+    an empty table.
+    """
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text"), "text")
+    return kept_whole(rows.mapInArrow(_predict(model), "doc_id bigint, h bigint, lang_pred string, score double, rejected boolean"))
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, all columns, whose text :func:`identify` doesn't reject."""
-    return docs.mapInArrow(_accept(model, docs.columns.index("text")), docs.schema)
-
-
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score, rejected) for every row of ``docs`` (doc_id bigint, text string), from the text alone.
-
-    Whole texts are read. Null texts and texts without a letter get ``und``, score 0, rejected; so does every
-    text if no language was learned. Otherwise lang_pred is the likeliest learned language and score its
-    calibrated probability; rejected says that it lies below the model's threshold. Repeated rows get equal
-    answers; other columns are not read; an empty table gives an empty table.
-    """
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_predict(model), "doc_id bigint, lang_pred string, score double, rejected boolean")
+    return without(docs, identify(docs, model).filter("rejected"))

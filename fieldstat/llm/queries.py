@@ -91,7 +91,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, fit_languages(docs))
-    return found.withColumn("held_out", fold_of(F.col("doc_id"), 4) == 2)
+    return found.select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 @query
@@ -99,7 +99,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     docs = table(spark, sf_dir, "documents")
     scored = rate(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
-    return scored.withColumn("held_out", fold_of(F.col("doc_id"), 5) == 0)
+    return scored.select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
 @query

@@ -20,7 +20,6 @@ _M = 0x9E3779B97F4A7C15
 _M_INVERSE = pow(_M, -1, 2**64)
 _RUNS = "doc_id bigint, h bigint, n_sentences bigint, runs array<struct<key:bigint,first:int,last:int,again:boolean>>"
 _RUN_TYPE = pa.list_(pa.struct([("key", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("again", pa.bool_())]))
-NO_ID = 2**63 - 1
 #: Repeated spans above which their lookup shuffles instead of broadcasting (some 16 bytes each).
 BROADCAST_SPANS = 500_000
 
@@ -103,17 +102,19 @@ def remove_repeats(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, leas
     partial minimum, and the join back to its occurrences is by key with rows of a few bytes.
     """
     scratch = Scratch(docs.sparkSession, "spans")
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     found = scratch.write(docs.mapInArrow(_find(least_sentences, least_words), _RUNS), "runs")
     each = found.select("doc_id", "h", F.inline("runs"))
     firsts = each.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).filter("n > 1").drop("n")
     firsts = scratch.write(firsts, "firsts")
-    spans = each.join(firsts, "key").filter((F.col("doc_id") != F.col("first_doc")) | F.col("again"))
+    few = firsts.count() <= BROADCAST_SPANS
+    # the first document is the smallest id; null only if no occurrence has one
+    spans = each.join(F.broadcast(firsts) if few else firsts, "key").filter(~F.col("doc_id").eqNullSafe(F.col("first_doc")) | F.col("again"))
     spans = spans.groupBy("doc_id", "h").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     spans = scratch.write(spans.withColumnsRenamed({"doc_id": "s_id", "h": "s_h"}), "spans")
     few = (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_SPANS
-    rows = docs.join(F.broadcast(spans) if few else spans, (F.col("doc_id") == F.col("s_id")) & (F.col("h") == F.col("s_h")), "left")
-    out = rows.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", "spans")
+    rows = docs.join(F.broadcast(spans) if few else spans, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("h") == F.col("s_h")), "left")
+    out = rows.select("doc_id", "text", "spans")
     out = kept_whole(out.mapInArrow(_remove, "doc_id bigint, text string, n_sentences bigint, n_removed bigint, removed array<int>"))
     scratch.drop()
     return out

@@ -2,91 +2,123 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, fold_of, small_batches, worker_table
+from .common import SMALL, Scratch, fold_of, kept_whole, settings, small_batches, worker_table
+from .words import ROWS, KeyTable, folded, keys, split_words, spread
 
-#: Training rows are samples by hash of doc_id: about this many confirmed toxic and unlabelled documents.
-POSITIVES, UNLABELLED = 4000, 8000
-#: The model has at most this many features, each in LEAST_ROWS positives at least. CHANCE: of any feature passing by chance.
-MOST_WORDS, LEAST_ROWS, LEAST_Z, CHANCE = 20_000, 3, 5.0, 0.05
 #: Leading bytes of longer words that count as features besides the whole word.
 STEMS = (3, 4, 5, 6)
 #: Marks that are cut off either end of a word.
-EDGES = b".,;:!?\"'()[]{}<>"
+EDGES = ".,;:!?\"'()[]{}<>"
+#: Words a worker's table holds, about 40 bytes each.
+MOST_WORDS = 500_000
 
 
-def word_set(text: str | None, hashes: WordHash) -> np.ndarray:
-    """Sorted distinct hashes of a text's words, A-Z lower-cased, without marks at their ends, and of their stems."""
-    if not text:
-        return np.empty(0, np.uint64)
-    words = {w.strip(EDGES) for w in set(text.encode("utf-8", "surrogatepass").lower().split())}
-    words.discard(b"")
+def features_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the word, 64-bit feature) of every word without the marks at its ends, and of its stems."""
+    bare = pc.ascii_trim(words.cast(pa.large_string()), characters=EDGES).cast(pa.large_binary())
+    size = pc.binary_length(bare).to_numpy()
+    owner, found = [np.nonzero(size)[0]], [folded(keys(bare))[size > 0]]
     for k in STEMS:
-        words |= {w[:k] + b"\x00" for w in words if len(w) > k and w[-1:] != b"\x00"}
-    s = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    s.sort()
-    return s
+        longer = np.nonzero(size > k)[0]
+        owner.append(longer)
+        stem = keys(pc.binary_slice(bare.take(pa.array(longer)), 0, k))
+        stem[:, 1] |= np.uint64(0x80 << 56)  # no word's name has this bit and so few bytes
+        found.append(folded(stem))
+    return np.concatenate(owner), np.concatenate(found)
 
 
 @dataclass
 class Model:
-    words: np.ndarray  # sorted hashes
+    words: np.ndarray  # sorted features
     weights: np.ndarray
     bias: float
 
-    def score(self, s: np.ndarray) -> float:
-        z = self.bias
-        if len(self.words) and len(s):
-            i = np.minimum(np.searchsorted(self.words, s), len(self.words) - 1)
-            z += float(self.weights[i[self.words[i] == s]].sum())
-        return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
+class WordFeatures(KeyTable):
+    """Word -> the numbers of its features among a sorted list of wanted ones, in one pool."""
 
-def _csr(sets: list[np.ndarray], words: np.ndarray) -> list[np.ndarray]:
-    out = []
-    for s in sets:
-        i = np.minimum(np.searchsorted(words, s), len(words) - 1) if len(words) else np.empty(0, np.int64)
-        out.append(i[words[i] == s] if len(words) else i)
-    return out
+    arrays = ("key", "uses", "start", "size")
 
+    def __init__(self, wanted: np.ndarray, limit: int = MOST_WORDS):
+        self.wanted = wanted
+        super().__init__(limit)
 
-def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """Sorted hashes of the features that are more frequent among positives than chance explains.
+    def _new(self, room: int) -> None:
+        super()._new(room)
+        self.start, self.size, self.pool = np.zeros(room, np.int64), np.zeros(room, np.int32), np.empty(0, np.int32)
 
-    The standard score of the difference in document frequency is at least LEAST_Z, and more where as many features are tried
-    that one would pass by chance with probability CHANCE (Bonferroni); the MOST_WORDS highest stay.
+    def make_room(self, more: int) -> bool:
+        pool = self.pool
+        out = super().make_room(more)
+        if out:  # the kept words' numbers move together
+            rows = np.arange(self.n)
+            self.pool = pool[spread(self.start[rows], self.size[rows])]
+            self.start[rows] = np.cumsum(self.size[rows]) - self.size[rows]
+        return out
+
+    def sets(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(text, number) of each wanted feature of each text, once, in order."""
+        words, which, bounds = split_words(texts)
+        key = keys(words)
+        rows = self.find(key)
+        if self.make_room(int((rows < 0).sum())):
+            rows = self.find(key)
+        new = np.nonzero(rows < 0)[0]
+        if len(new):
+            owner, f = features_of(words.take(pa.array(new)))
+            at = np.minimum(np.searchsorted(self.wanted, f), max(0, len(self.wanted) - 1))
+            hit = self.wanted[at] == f if len(self.wanted) else np.zeros(len(f), bool)
+            owner, at = owner[hit], at[hit]
+            order = np.argsort(owner, kind="stable")
+            rows[new] = r = self.new_rows(key[new])
+            self.size[r] = np.bincount(owner, minlength=len(new))
+            self.start[r] = len(self.pool) + np.cumsum(self.size[r]) - self.size[r]
+            self.pool = np.concatenate([self.pool, at[order].astype(np.int32)])
+        self.uses[rows] += np.bincount(which, minlength=len(rows)).astype(np.float32)
+        size = self.size[rows].astype(np.int64)
+        told = np.nonzero(size[which])[0]  # words with a wanted feature
+        text = np.searchsorted(bounds, told, "right") - 1
+        n = size[which[told]]
+        number = self.pool[spread(self.start[rows][which[told]], n)].astype(np.int64)
+        both = np.unique(np.repeat(text, n) * np.int64(max(1, len(self.wanted))) + number)
+        return both // max(1, len(self.wanted)), both % max(1, len(self.wanted))
+
+
+def telling(n: np.ndarray, positives: int, other: np.ndarray, rows: int, least_rows: int, least_z: float, chance: float) -> np.ndarray:
+    """Which features are more frequent among positives than chance explains.
+
+    n, other: in how many of the ``positives`` and of the ``rows`` unlabelled documents each one is. The standard score of
+    the difference in document frequency is at least ``least_z``, and more where as many features are tried
+    that one would pass by chance with probability ``chance`` (Bonferroni).
     """
-    a, na = np.unique(np.concatenate([*positive, np.empty(0, np.uint64)]), return_counts=True)
-    b, nb = np.unique(np.concatenate([*unlabelled, np.empty(0, np.uint64)]), return_counts=True)
-    if not len(a) or not len(b):
-        return a[:0]
-    i = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    other = np.where(b[i] == a, nb[i], 0)
-    n, m = len(positive), len(unlabelled)
-    both = (na + other + 1) / (n + m + 2)
-    z = (na / n - other / m) / np.sqrt(both * (1 - both) * (1 / n + 1 / m))
-    tried = na >= LEAST_ROWS
-    keep = np.nonzero(tried & (z >= max(LEAST_Z, NormalDist().inv_cdf(1 - CHANCE / max(1, tried.sum())))))[0]
-    return np.sort(a[keep[np.argsort(-z[keep], kind="stable")[:MOST_WORDS]]])
-
-
-def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 300, batch: int = 8192, rate: float = 0.05, decay: float = 3e-4, seed: int = 5) -> Model:
+    if not positives or not rows or not len(n):
+        return np.zeros(len(n), bool)
+    both = (n + other + 1) / (positives + rows + 2)
+    z = (n / positives - other / rows) / np.sqrt(both * (1 - both) * (1 / positives + 1 / rows))
+    tried = n >= least_rows
+    return tried & (z >= max(least_z, NormalDist().inv_cdf(1 - chance / max(1, tried.sum()))))
+
+
+def train_nnpu(words: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 300, batch: int = 8192, rate: float = 0.05, decay: float = 3e-4, seed: int = 5) -> Model:
     """Minimise prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)) with the logistic loss.
 
     Where a batch's estimate of the negative risk falls below 0 the step goes up its gradient instead, which
-    keeps a flexible model from fitting the unlabelled rows. Steps are Adam's, with weight decay.
+    keeps a flexible model from fitting the unlabelled rows. Steps are Adam's, with weight decay. A row is
+    the numbers of its features among ``words``.
     """
-    words = telling(positive, unlabelled)
     if not positive or not unlabelled:
         return Model(words[:0], np.zeros(0), float(np.log((prior + 1e-6) / (1 - prior + 1e-6))))
-    xp, xu = _csr(positive, words), _csr(unlabelled, words)
+    xp, xu = positive, unlabelled
     d = len(words)
     w = np.zeros(d + 1)
     w[d] = np.log((prior + 1e-6) / (1 - prior + 1e-6))
@@ -128,43 +160,109 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
     return Model(words, w[:d], float(w[d]))
 
 
-def _word_sets(batches):
-    hashes = worker_table("hashes", WordHash)
-    for b in small_batches(batches):
-        sets = [word_set(t, hashes).tobytes() for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["positive", "words"])
+def _count_all(batches):
+    """(feature, n) of a task: in how many texts each feature is, for a sample of texts."""
+    total: dict[int, int] = {}
+    for b in small_batches(batches, ROWS):
+        words, which, bounds = split_words(b.column(0))
+        owner, f = features_of(words)
+        order = np.argsort(owner, kind="stable")
+        f, size = f[order], np.bincount(owner, minlength=len(words))
+        start = np.cumsum(size) - size
+        text = np.repeat(np.repeat(np.arange(b.num_rows), np.diff(bounds)), size[which])
+        names, number = np.unique(f[spread(start[which], size[which])], return_inverse=True)
+        _, number = np.divmod(np.unique(text * np.int64(max(1, len(names))) + number), max(1, len(names)))
+        for k, n in zip(names.tolist(), np.bincount(number, minlength=len(names)).tolist()):
+            total[k] = total.get(k, 0) + n
+    yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(total.keys(), np.uint64, len(total)).view(np.int64)), pa.array(list(total.values()), pa.int64())], ["feature", "n"])
+
+
+def _count_wanted(wanted):
+    def run(batches):
+        """One row a task: how many texts, and in how many of them each wanted feature is."""
+        names = wanted.value
+        known = worker_table(("counts", zlib.crc32(names.tobytes())), lambda: WordFeatures(names))
+        n, rows = np.zeros(len(names), np.int64), 0
+        for b in small_batches(batches, ROWS):
+            n += np.bincount(known.sets(b.column(0))[1], minlength=len(names))
+            rows += b.num_rows
+        at = np.nonzero(n)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[at], rows))], ["number", "n"])
+
+    return run
+
+
+def _rows(wanted):
+    def run(batches):
+        names = wanted.value
+        known = worker_table(("rows", zlib.crc32(names.tobytes())), lambda: WordFeatures(names))
+        for b in small_batches(batches, ROWS):
+            text, number = known.sets(b.column(1))
+            cut = np.searchsorted(text, np.arange(b.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(number, pa.int32()))], ["positive", "features"])
 
+    return run
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, positives: int = POSITIVES, unlabelled: int = UNLABELLED, prior: float | None = None) -> Model:
+
+def fit(
+    docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, prior: float | None = None,
+    positives: int = 4000, unlabelled: int = 8000, most_bytes: int = 16_000_000, least_rows: int = 3, least_z: float = 5.0, chance: float = 0.05,
+) -> Model:
     """Learn from rows outside the held-out fold. Confirmed toxic: labels.toxic = 1; the labels of other rows are not used as negatives.
 
-    The class prior is the share of toxic rows among the labelled ones of these folds, unless given. Samples
-    are drawn by hash of doc_id from all rows; what reaches the driver is word hashes of the sampled texts.
-    """
+    The class prior is the share of toxic rows among the labelled ones of these folds, unless given. Features
+    are tried if ``least_rows`` sampled positives have them; in how many documents each of them is, is counted
+    over all rows. All that :func:`telling` finds are used. The classifier is fitted on samples by hash of
+    doc_id of about ``positives`` confirmed and ``unlabelled`` unlabelled rows, fewer where the positives' texts would
+    come to more than ``most_bytes`` bytes. The driver receives the features tried, with counts, and the sampled
+    rows' feature numbers, never texts. Null texts and ids are not learned from; a doc_id with several labels is toxic if one says so.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "toxicity")
     learn = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (fold_of(F.col("doc_id"), folds) != held))
     marked = labels.select("doc_id", "toxic").filter(F.col("toxic").isNotNull() & (fold_of(F.col("doc_id"), folds) != held))
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n, toxic = marked.agg(F.count("*"), F.sum("toxic")).first()
-    total = learn.count()
-    toxic = toxic or 0
+    n, toxic = (int(x or 0) for x in marked.agg(F.count("*"), F.sum((F.col("toxic") == 1).cast("int"))).first())
     if prior is None:
         prior = min(0.95, max(0.001, toxic / n)) if n else 0.01
     dice = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1_000_000)) / 1_000_000
     yes = learn.join(marked.filter((F.col("toxic") == 1) & (dice < positives / max(1, toxic))).select("doc_id"), "doc_id", "left_semi")
+    yes = scratch.write(yes.withColumn("dice", F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1_000_000)) / 1_000_000), "positives")
+    size = yes.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    yes = yes.filter(F.col("dice") < most_bytes / max(1, size))
+    tried = yes.select("text").mapInArrow(_count_all, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_rows)
+    with settings(spark, SMALL):
+        tried = tried.toPandas().sort_values("feature")  # at most most_bytes features in all, of which most are rare
+    names = tried["feature"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(names)
+    names, among = names[order], tried["n"].to_numpy(np.int64)[order]
+    counts = learn.select("text").mapInArrow(_count_wanted(spark.sparkContext.broadcast(names)), "number bigint, n bigint").groupBy("number").agg(F.sum("n").alias("n"))
+    with settings(spark, SMALL):
+        counts = dict(counts.toPandas().itertuples(index=False))
+    total = int(counts.pop(-1, 0))
+    other = np.zeros(len(names), np.int64)
+    other[list(map(int, counts))] = list(map(int, counts.values()))
+    words = names[telling(among, yes.count(), other, total, least_rows, least_z, chance)]
     any_ = learn.filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) / 1_000_000 < unlabelled / max(1, total))
-    rows = yes.select(F.lit(True).alias("positive"), "text").union(any_.select(F.lit(False), "text")).mapInArrow(_word_sets, "positive boolean, words binary")
+    rows = yes.select(F.lit(True).alias("positive"), "text").union(any_.select(F.lit(False), "text"))
+    rows = rows.mapInArrow(_rows(spark.sparkContext.broadcast(words)), "positive boolean, features array<int>")
     p, u = [], []
-    for r in sorted(rows.collect(), key=lambda r: bytes(r["words"])):
-        (p if r["positive"] else u).append(np.frombuffer(r["words"], np.uint64))
-    return train_nnpu(p, u, prior)
+    with settings(spark, SMALL):
+        for r in sorted(rows.collect(), key=lambda r: (len(r["features"]), r["features"])):
+            (p if r["positive"] else u).append(np.array(r["features"], np.int64))
+    scratch.drop()
+    return train_nnpu(words, p, u, prior)
 
 
 def _score(model: Model):
+    mark = zlib.crc32(model.words.tobytes() + model.weights.tobytes())
+
     def run(batches):
-        hashes = worker_table("hashes", WordHash)
-        for b in small_batches(batches):
-            scores = [model.score(word_set(t, hashes)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+        known = worker_table(("score", mark), lambda: WordFeatures(model.words))
+        for b in small_batches(batches, ROWS):
+            text, number = known.sets(b.column(1))
+            z = np.bincount(text, model.weights[number], b.num_rows) + model.bias
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], ["doc_id", "score"])
 
     return run
 
@@ -174,8 +272,8 @@ def rate(docs: DataFrame, model: Model) -> DataFrame:
 
     score: estimated probability of label 1; predicted: 1 if score >= 0.5, else 0. Whole texts are read. Null
     and empty texts have no words and get the score of the bias. Without positives or unlabelled rows to
-    learn from, every text gets the class prior. Repeated rows get equal scores; other columns are not read;
-    an empty table gives an empty table.
+    learn from, every text gets the class prior. A null doc_id stays null. Repeated rows get equal scores;
+    other columns are not read; an empty table gives an empty table.
     """
     out = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_score(model), "doc_id bigint, score double")
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return kept_whole(out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")))

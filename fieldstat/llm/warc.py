@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Scratch, kept_whole, small_batches
+from .common import Scratch, kept_whole, small_batches
 
 #: Magic number of the skippable frame that holds the dictionary, and of ordinary frames (fixed values of the formats).
 DICT_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
@@ -131,9 +131,16 @@ def frames(data, where: str):
 
 
 def learn_dictionary(pages: DataFrame) -> bytes | None:
-    """A dictionary from whole pages, at most DICT_PAGES of those with the least hash of page_id; None from too few."""
-    rows = pages.select("page_id", "html").filter(F.octet_length("html").between(1, DICT_PAGE_BYTES)).orderBy(F.xxhash64("page_id"), "page_id", "html").limit(DICT_PAGES)
-    texts = [r["html"].encode() for r in rows.collect()]
+    """A dictionary from whole pages: about DICT_PAGES of them by a hash of page_id, each of at most DICT_PAGE_BYTES; None from too few.
+
+    Only pages drawn by their hash are read whole and sent to the driver, so it receives at most some 2 *
+    DICT_PAGES * DICT_PAGE_BYTES = 26 MB, however many pages there are. The dictionary shortens archives, no record depends on it.
+    """
+    fit = pages.select("page_id", "html").filter(F.octet_length("html").between(1, DICT_PAGE_BYTES))
+    share = DICT_PAGES / 2 / max(1, fit.count())
+    dice = F.pmod(F.xxhash64("page_id", F.lit(7)), F.lit(1 << 40)) / (1 << 40)
+    rows = fit.filter(dice < share).limit(DICT_PAGES) if share < 1 else fit.limit(DICT_PAGES)
+    texts = sorted(r["html"].encode() for r in rows.collect())
     try:
         return zstandard.train_dictionary(DICT_BYTES, texts).as_bytes() if len(texts) >= 8 else None
     except zstandard.ZstdError:
@@ -184,13 +191,13 @@ def write_archives(pages: DataFrame, folder: str, scratch: Scratch, least: int =
     # partial minima: a payload that fills a third of the table leaves each task as one row
     firsts = light.groupBy("k").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("k").alias("fk"), "first")
     again = light.join(firsts, F.col("k") == F.col("fk")).filter(~F.col("page_id").eqNullSafe(F.col("first")))
-    again = again.select(F.coalesce("page_id", F.lit(NO_ID)).alias("r_id"), F.col("k").alias("rk"), F.col("first").alias("refers_to")).distinct()
+    again = again.select(F.col("page_id").alias("r_id"), F.col("k").alias("rk"), F.col("first").alias("refers_to")).distinct()
     again = scratch.write(again, "revisits")
     few = again.count() <= BROADCAST_REVISITS
     # joined by page, not by payload: no page is hot
-    on = (F.coalesce("page_id", F.lit(NO_ID)) == F.col("r_id")) & (key == F.col("rk"))
+    on = F.col("page_id").eqNullSafe(F.col("r_id")) & (key == F.col("rk"))
     rows = pages.select("page_id", "url", "html").join(F.broadcast(again) if few else again, on, "left")
-    rows = rows.select("page_id", "url", "html", F.col("r_id").isNotNull().alias("revisit"), "refers_to")
+    rows = rows.select("page_id", "url", "html", F.col("rk").isNotNull().alias("revisit"), "refers_to")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
     return scratch.write(rows.mapInArrow(_write(folder, learn_dictionary(pages)), "archive string, records bigint, bytes bigint"), "manifest")

@@ -1,9 +1,11 @@
 import hashlib
 import math
 import re
+import struct
 import zlib
 
 import numpy as np
+import xxhash
 
 from fieldstat.llm import decontam, langid, lm, toxicity
 from fieldstat.llm.common import Scratch
@@ -58,7 +60,7 @@ def test_contaminated_rows_that_repeat_keep_their_hits(spark):
 
 def test_proximity(spark):
     d = docs(spark, [(1, "a b c d e"), (2, "a x x x x b"), (3, "b a"), (4, "a")])
-    index = Scratch(spark, "prox").write(decontam.postings(d), "index")
+    index = Scratch(spark, "prox").write(decontam.postings(decontam.keyed(d)), "index")
     q = spark.createDataFrame([(1, "a"), (1, "b"), (2, "zzz"), (3, "a")], "query_id bigint, term string")
     assert sorted({(r["query_id"], r["doc_id"]) for r in decontam.proximity_matches(index, q, 2).collect()}) == [(1, 1), (1, 3), (3, 1), (3, 2), (3, 3), (3, 4)]
 
@@ -102,27 +104,120 @@ def test_toxicity(spark):
     assert toxicity.rate(df.limit(0), model).count() == 0
 
 
+def model_scores(m, rows):
+    return [1 / (1 + np.exp(-(m.bias + m.weights[r].sum()))) for r in rows]
+
+
 def test_nnpu_risk_does_not_go_below_zero():
     rng = np.random.default_rng(1)
-    words = np.sort(rng.integers(0, 2**63, 400, dtype=np.uint64))
-    pos = [np.sort(np.append(rng.choice(words[1:], 20, False), words[0])) for _ in range(60)]
-    neg = [np.sort(rng.choice(words[1:], 20, False)) for _ in range(540)]
-    m = toxicity.train_nnpu(pos, neg + pos, 0.1)
-    assert min(m.score(s) for s in pos) > 0.5 > max(m.score(s) for s in neg)
+    pos = [np.sort(np.append(rng.choice(np.arange(1, 400), 20, False), 0)) for _ in range(60)]
+    neg = [np.sort(rng.choice(np.arange(1, 400), 20, False)) for _ in range(540)]
+    every = neg + pos
+    n, other = (np.bincount(np.concatenate(x), minlength=400) for x in (pos, every))
+    keep = np.nonzero(toxicity.telling(n, 60, other, 600, 3, 5.0, 0.05))[0]
+    assert keep.tolist() == [0]
+    pos, every = ([np.nonzero(np.isin(keep, r))[0] for r in x] for x in (pos, every))
+    m = toxicity.train_nnpu(keep.astype(np.uint64), pos, every, 0.1)
+    assert min(model_scores(m, pos)) > 0.5 > max(model_scores(m, every[:540]))
 
 
 def test_toxicity_keeps_rare_words_beside_frequent_ones():
     """One word is in 90 % of toxic documents; the others have one of five rarer words alone."""
     rng = np.random.default_rng(2)
-    words = rng.permutation(np.unique(rng.integers(0, 2**63, 420, dtype=np.uint64)))
-    lexicon, common = words[:6], words[6:]
-    one = lambda i: lexicon[0] if i % 10 else lexicon[1 + i // 10 % 5]
-    text = lambda *more: np.sort(np.append(rng.choice(common, 20, False), np.array(more, np.uint64)))
+    one = lambda i: 0 if i % 10 else 1 + i // 10 % 5
+    text = lambda *more: np.sort(np.append(rng.choice(np.arange(6, 420), 20, False), np.array(more, np.int64)))
     pos = [text(one(i)) for i in range(4000)]
     unl = [text(one(i)) if i < 880 else text() for i in range(8000)]
-    assert set(lexicon.tolist()) <= set(toxicity.telling(pos, unl).tolist())
-    m = toxicity.train_nnpu(pos, unl, 0.11)
-    assert min(m.score(s) for s in pos) > 0.3 > 0.05 > max(m.score(s) for s in unl[880:])
+    n, other = (np.bincount(np.concatenate(x), minlength=420) for x in (pos, unl))
+    keep = np.nonzero(toxicity.telling(n, 4000, other, 8000, 3, 5.0, 0.05))[0]
+    assert set(range(6)) <= set(keep.tolist())
+    pos, unl = ([np.nonzero(np.isin(keep, r))[0] for r in x] for x in (pos, unl))
+    m = toxicity.train_nnpu(keep.astype(np.uint64), pos, unl, 0.11)
+    assert min(model_scores(m, pos)) > 0.3 > 0.05 > max(model_scores(m, unl[880:]))
+
+
+def mix(x):
+    m64 = 2**64 - 1
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & m64
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & m64
+    return x ^ (x >> 31)
+
+
+def plain_features(text):
+    """64-bit features of a text's words and stems, on Python integers."""
+
+    def name(w, stem=False):
+        if len(w) > 15:
+            lo, hi = struct.unpack("<QQ", xxhash.xxh3_128_digest(w))
+            hi |= 0xFF << 56
+        else:
+            lo, hi = int.from_bytes(w[:8], "little"), int.from_bytes(w[8:], "little") | len(w) << 56 | (0x80 << 56 if stem else 0)
+        return mix(lo ^ mix(hi))
+
+    words = {w.strip(b".,;:!?\"'()[]{}<>") for w in (text or "").encode().lower().split()} - {b""}
+    return {name(w) for w in words} | {name(w[:k], True) for w in words for k in (3, 4, 5, 6) if len(w) > k}
+
+
+def test_toxicity_equals_a_plain_version(spark):
+    rows = [(i, prose(i, 40) + (" Horrid! vileword" if i % 4 == 0 else "")) for i in range(300)]
+    rows += [(5, prose(5, 40)), (1000, None), (1001, ""), (1002, "horrid, " * 3000 + "incomprehensibilities \"(vile)\" über"), (None, "horrid"), *awkward()]
+    df = docs(spark, rows, clash=True)
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(300)] + [(4, 1, 0), (None, 1, 1), (3, 1, None)], "doc_id bigint, quality int, toxic int")
+    model = toxicity.fit(df, labels, least_z=3.0)
+    learn = [(i, t) for i, t in rows if t is not None and not (i is not None and zlib.crc32(str(i).encode()) % 5 == 0)]
+    learn = [(i, t) for i, t in learn]
+    pos = [plain_features(t) for i, t in learn if i is not None and i < 300 and i % 4 == 0 and i in range(300)]
+    count = lambda sets: {f: sum(f in s for s in sets) for f in set().union(*sets)}
+    n, other = count(pos), count([plain_features(t) for _, t in learn])
+    names = sorted(f for f in n if n[f] >= 3)
+    keep = toxicity.telling(np.array([n[f] for f in names]), len(pos), np.array([other[f] for f in names]), len(learn), 3, 3.0, 0.05)
+    assert model.words.tolist() == [f for f, k in zip(names, keep) if k] and len(model.words) >= 2
+    weight = dict(zip(model.words.tolist(), model.weights))
+    got = sorted(((r["doc_id"], round(r["score"], 9), r["predicted"]) for r in toxicity.rate(df, model).collect()), key=repr)
+    want = [(i, 1 / (1 + math.exp(-(model.bias + sum(weight.get(f, 0) for f in plain_features(t)))))) for i, t in rows]
+    assert got == sorted(((i, round(float(s), 9), int(s >= 0.5)) for i, s in want), key=repr)
+
+
+def test_languages_equal_a_plain_version(spark):
+    rows = [*lang_rows(), *[(i, t, None) for i, t in awkward()], (600, "  \x0b Über-Straße,\tDER x", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    for c in ("h", "score", "k_id", "rejected"):
+        df = df.withColumn(c, df["doc_id"])
+    model = langid.fit(df)
+
+    def plain(text):
+        words = (text or "").encode().lower().split()
+        if not any(map(str.isalpha, text or "")) or not words:
+            return "und", 0.0, True
+        total, n = np.zeros(16), 0
+        for w in words:
+            w = b"<" + w + b">"
+            for k in (2, 3, 4, 5):
+                for i in range(len(w) - k + 1):
+                    total += model.table[mix(int.from_bytes(w[i : i + k], "little") + k & 2**64 - 1) >> 48]
+                    n += 1
+        z = (total / n @ model.weights + model.bias) / model.temperature
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        return model.langs[p.argmax()], float(p.max()), bool(p.max() < model.threshold)
+
+    want = sorted(((i, x[0], round(x[1], 4), x[2]) for i, t, _ in rows for x in [plain(t)]), key=repr)
+    assert sorted(((r["doc_id"], r["lang_pred"], round(r["score"], 4), r["rejected"]) for r in langid.identify(df, model).collect()), key=repr) == want
+    kept = langid.accepted(df, model)
+    assert kept.columns == df.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == sorted(i or 0 for i, t, _ in rows if not plain(t)[2])
+
+
+def test_every_language_is_learned(spark):
+    abc = "abcdefghijklmnopqrstuvwxyz"
+    name = lambda k: (abc[k % 26] + abc[k // 26]) * 2
+    rows = [(1000 * k + i, " ".join(name(k) + abc[(i * j) % 26] for j in range(20)), f"l{k:03d}") for k in range(300) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(df)
+    assert len(model.langs) == 300
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, model).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.8 and len(set(got.values())) > 250
+    assert len(langid.fit(df, most_bytes=20_000).langs) < 300  # a documented bound on the labelled sample
+
 
 
 def brute_lm(rows):
