@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from fieldstat.llm import langid
-from fieldstat.llm.common import NO_ID, Scratch, kept_whole, table, without
+from fieldstat.llm.common import Scratch, kept_whole, table, without
 from fieldstat.llm.decontam import decontaminate
 from fieldstat.llm.exact import exact_duplicates
 from fieldstat.llm.minhash import near_duplicates
@@ -17,20 +16,22 @@ from fieldstat.session import ship_package
 ORACLE_SQL = None
 
 
-def _dropped(found: DataFrame, gone) -> DataFrame:
-    return found.filter(gone).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("k_id"), F.col("h").alias("k_h"))
+# What holds for every stage but the last: all columns of documents are returned, whatever others there are and however
+# they are named; a null text counts as empty; a null doc_id is an id like others; rows that repeat a doc_id and
+# text share their fate, but for exact, where one of them stays; texts of any length are read whole; an empty
+# table gives an empty table.
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language is recognised with enough confidence; all columns."""
+    """Rows whose language is recognised with enough confidence; texts that are null, empty or without a letter go."""
     ship_package(spark)
     return langid.accepted(docs, langid.fit(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts; of rows that repeat the same doc_id and text, one."""
+    """One row of each group of equal texts: the longest original text, of ties the smallest doc_id, a null one last."""
     found = exact_duplicates(docs)
-    out = without(docs, _dropped(found, ~F.col("kept")))
+    out = without(docs, found.filter("not kept"))
     twice = found.filter("kept").groupBy("doc_id", "h").count().filter("count > 1")
     if not twice.isEmpty():  # the same row several times
         out = out.dropDuplicates(["doc_id", "text"])
@@ -38,19 +39,20 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies, linked at a similarity of 0.8 or more."""
-    found = near_duplicates(docs, percent=80)
-    return without(docs, _dropped(found, ~F.col("kept")))
+    """One document of each component of near copies, linked at a similarity of 0.8 or more: the smallest doc_id.
+
+    Texts without words are linked with nothing and stay; where all ids of a component are null, one text stays.
+    """
+    return without(docs, near_duplicates(docs, percent=80).filter("not kept"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an occurrence of a benchmark window."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, _dropped(found, F.col("contaminated")))
+    """Documents without an occurrence of a benchmark window; an empty benchmark drops nothing."""
+    return without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents and their places in training sequences."""
+    """Pieces of all remaining documents and their places in training sequences; a null or empty text is its end id."""
     return pack(docs)
 
 
