@@ -149,15 +149,15 @@ def block_links(nodes, comps, sides, sets, percent: int):
 
 def _confirm_blocks(percent: int):
     def run(batches):
-        """Rows come sorted by (family, i, j): all rows of a block stand together."""
+        """Rows come sorted by (bucket, i, j): all rows of a block stand together."""
         key, rows = None, []
         for b in batches:
             out = []
-            for family, i, j, node, comp, side, raw in zip(*(c.to_pylist() for c in b.columns)):
-                if key != (family, i, j):
+            for bucket, i, j, node, comp, side, raw in zip(*(c.to_pylist() for c in b.columns)):
+                if key != (bucket, i, j):
                     if len(rows) > 1:
                         out += block_links(*zip(*rows), percent)
-                    key, rows = (family, i, j), []
+                    key, rows = (bucket, i, j), []
                 rows.append((node, comp, side, np.frombuffer(raw, np.uint64)))
             if out:
                 yield _edges(out)
@@ -185,9 +185,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, chunk: int = 100) -> Dat
     1. One pass hashes each text: each of 96 permutations is evaluated once and leaves its minimum and its
        maximum, 192 values in 32 bands of 6. A pair shares no band with probability 3e-7 at a similarity of 0.85, and 6e-5 at 0.8.
     2. In each band's bucket every node is compared with the least node of the bucket, on full sets.
-    3. Buckets joined by shared nodes are families. Where a family still has several components, the pairs
-       across them are compared on full sets, in blocks of two chunks of about ``chunk`` nodes, within tasks.
-       Only links that join components leave a task. So no link between nodes that share a bucket is lost.
+    3. Where a bucket still has nodes of several components, the pairs across them are compared on full sets, in
+       blocks of two chunks of about ``chunk`` nodes, within tasks. Buckets of the same nodes are compared once. Only links
+       that join components leave a task. So no link between nodes that share a bucket is lost, and nodes
+       that share none are not compared.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
@@ -198,7 +199,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, chunk: int = 100) -> Dat
     # 2. buckets of several nodes; bands of equal sets are equal, so a node is one row in a bucket
     rows = signed.filter("node is not null").select("node", F.explode("bands").alias("key")).distinct()
     leaders = rows.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    star = scratch.write(rows.join(leaders, "key").filter("node <> leader").select("leader", "node").distinct(), "star")
+    buckets = scratch.write(rows.join(leaders, "key"), "buckets")
+    star = scratch.write(buckets.filter("node <> leader").select("leader", "node").distinct(), "star")
     wanted = star.select("leader").union(star.select("node")).toDF("node").distinct()
     ids = scratch.write(names.join(wanted, "node").select("first_id").distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
@@ -212,19 +214,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, chunk: int = 100) -> Dat
     parts = _parts(spark)
     confirmed = scratch.write(both.repartition(parts, "leader", "salt").sortWithinPartitions("leader", "salt", "role").mapInArrow(_confirm_star(percent), "u bigint, v bigint"), "confirmed")
 
-    # 3. families that are not yet one component
+    # 3. buckets with several components
     joined = components(confirmed, scratch, "joined")
-    families = components(star.toDF("u", "v"), scratch, "families").withColumnRenamed("comp", "family")
-    placed = scratch.write(families.join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
-    open_ = placed.groupBy("family").agg(F.count("*").alias("n"), F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b")
-    open_ = open_.select("family", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
-    dealt = placed.join(open_, "family").withColumn("c", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+    placed = scratch.write(buckets.select("key", "node").join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
+    same = [F.count("*").alias("n"), F.min("node").alias("x"), F.max("node").alias("y"), F.bit_xor(F.xxhash64("node")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("t")]
+    open_ = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), *same).filter("a <> b")
+    open_ = open_.groupBy("n", "x", "y", "s", "t").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
+    dealt = placed.join(open_, "key").withColumn("c", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
     # blocks (i, j), i <= j: a chunk meets itself once and each other chunk once
-    blocks = dealt.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("family", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "node", "comp", F.when(F.col("c") > F.col("d"), 1).otherwise(0).alias("side"))
-    blocks = blocks.join(sets, "node").select("family", "i", "j", "node", "comp", "side", "hashes")
-    late = blocks.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_confirm_blocks(percent), "u bigint, v bigint")
+    blocks = dealt.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("key", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "node", "comp", F.when(F.col("c") > F.col("d"), 1).otherwise(0).alias("side"))
+    blocks = blocks.join(sets, "node").select("key", "i", "j", "node", "comp", "side", "hashes")
+    late = blocks.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_confirm_blocks(percent), "u bigint, v bigint")
     late = scratch.write(late, "late")
-    final = components(confirmed.union(late), scratch, "final")
+    final = components(joined.toDF("u", "v").union(late), scratch, "final")
 
     # the smallest doc_id of each component, then one lookup by node
     named = names.join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node"))

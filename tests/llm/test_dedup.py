@@ -1,3 +1,4 @@
+import numpy as np
 import hashlib
 import random
 
@@ -89,6 +90,30 @@ def test_signature_agrees_with_similarity():
     assert abs((minhash.signature(a) == minhash.signature(b)).mean() - true) < 0.12
 
 
+def test_components_of_random_graphs(spark, monkeypatch):
+    """Against a plain union-find; with hubs that are broadcast, and settled only when every edge leads to a least node."""
+    from fieldstat.llm import graph
+
+    monkeypatch.setattr(graph, "HUB", 3)
+    monkeypatch.setattr(graph, "HUB_SHARE", 100)
+    rng = np.random.default_rng(3)
+    for n, m, hub in ((40, 30, 0), (300, 280, 60), (200, 900, 0)):
+        edges = rng.integers(-n, n, (m, 2)).tolist() + [[7, int(x)] for x in rng.integers(-n, n, hub)] + [[2**63 - 1, -(2**63)]]
+        parent = {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            if a != b:
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+        got = dict(table(graph.components(spark.createDataFrame(edges, "u bigint, v bigint"), Scratch(spark, "t"), "c"), "node", "comp"))
+        assert got == {x: find(x) for x in list(parent)}
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(1, 70)] + [(100, 100 + i) for i in range(1, 50)] + [(5, 5)]
     got = dict(table(components(spark.createDataFrame(edges, "u bigint, v bigint"), Scratch(spark, "t"), "c"), "node", "comp"))
