@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ ROCKS = {
 }
 #: Digests of repeated texts above which their lookup shuffles instead of broadcasting (about 100 bytes each).
 BROADCAST_DIGESTS = 200_000
+#: Records of such texts above which their places are shuffled instead of broadcast (about 120 bytes each).
+BROADCAST_HITS = 200_000
 
 
 def normalised(text: Column) -> Column:
@@ -51,19 +54,38 @@ def read_state(spark: SparkSession, state: str) -> DataFrame:
         held = spark.read.format("statestore").load(state)
     best, n = (c for c in held.schema["value"].dataType.names)
     held = held.select(F.col("key")["digest"].alias("digest"), F.col("value")[best].alias("best"), F.col("value")[n].alias("group_size"))
+    # place: file and row of the best record's content; null where the table is not one of files
     return held.select("digest", F.bitwise_not("best.order").alias("keep_id"), F.col("best.chars").alias("keep_chars"), F.col("best.place").alias("place"), "group_size")
 
 
-def collided(docs: DataFrame, repeated: DataFrame, digest) -> DataFrame:
-    """Digests that name several different texts: every text behind a repeated digest is compared in full.
+def located(docs: DataFrame) -> DataFrame | None:
+    """doc_id, text, file (a hash of its path) and row of every row, where ``docs`` is read from files; else None."""
+    if "_metadata" in docs.columns:
+        return None
+    try:
+        return docs.select("doc_id", "text", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:
+        return None
 
-    Grouping by (digest, text) compares the bytes of each hit with those of its group, first within a task,
-    so a text copied any number of times leaves a task once.
+
+def collided(docs: DataFrame, light: DataFrame, repeated: DataFrame, digest) -> DataFrame:
+    """Digests that name several different texts: the bytes behind every record of a repeated digest are compared in full.
+
+    docs: doc_id, text, file, row; light: the records, with the place (file, row) of each. The texts are looked up
+    by place, so only they are normalised; where records have no place, by digest. Grouping by (digest, text)
+    compares the bytes of each hit with those of its group, first within a task, so a text copied any number
+    of times leaves a task once.
     """
     few = repeated.count() <= BROADCAST_DIGESTS
-    texts = docs.select(normalised(F.col("text")).alias("t")).withColumn("digest", digest(F.col("t")))
-    hits = texts.join(F.broadcast(repeated) if few else repeated, "digest", "left_semi")
-    return hits.groupBy("digest", "t").count().groupBy("digest").count().filter("count > 1").select("digest")
+    hits = light.join(F.broadcast(repeated) if few else repeated, "digest", "left_semi")
+    hits = hits.select("digest", F.col("record.place.file").alias("at_file"), F.col("record.place.row").alias("at_row"))
+    t = normalised(F.col("text")).alias("t")
+    if hits.filter("at_file IS NULL OR at_row IS NULL").isEmpty():
+        few = hits.count() <= BROADCAST_HITS
+        texts = docs.join(F.broadcast(hits) if few else hits, (F.col("file") == F.col("at_file")) & (F.col("row") == F.col("at_row"))).select("digest", t)
+    else:
+        texts = docs.select(t).withColumn("digest", digest(F.col("t"))).join(F.broadcast(repeated) if few else repeated, "digest", "left_semi")
+    return texts.groupBy("digest", "t").count().groupBy("digest").count().filter("count > 1").select("digest")
 
 
 def exact_duplicates(docs: DataFrame, digest=sha256) -> DataFrame:
@@ -72,7 +94,8 @@ def exact_duplicates(docs: DataFrame, digest=sha256) -> DataFrame:
     h: the text's xxhash64. Texts are equal when identical after deleting every character of ``[\\x20\\x09-\\x0D]``; null counts as
     empty. Of equal texts the row with the most code points in its original text, then the smallest doc_id,
     stays; a null doc_id loses to any other. Repeated rows (same doc_id, same text) all name that doc_id and
-    all count in group_size. Extra columns are not read. An empty table gives an empty table.
+    all count in group_size. A record's place is the file and row of its content, where ``docs`` is read from files;
+    hits are looked up there and compared byte by byte. Extra columns are not read. An empty table gives an empty table.
 
     Where two different texts share a digest, the texts themselves become the key for that digest.
     """
@@ -80,20 +103,22 @@ def exact_duplicates(docs: DataFrame, digest=sha256) -> DataFrame:
     scratch = Scratch(spark, "exact")
     text = normalised(F.col("text"))
     chars = F.length(F.coalesce("text", F.lit(""))).cast("long")
-    record = F.struct(chars.alias("chars"), F.bitwise_not("doc_id").alias("order"), F.input_file_name().alias("place"))
+    placed = located(docs)
+    docs = docs.select("doc_id", "text", F.lit(None).cast("bigint").alias("file"), F.lit(None).cast("bigint").alias("row")) if placed is None else placed
+    record = F.struct(chars.alias("chars"), F.bitwise_not("doc_id").alias("order"), F.struct("file", "row").alias("place"))
     light = scratch.write(docs.select("doc_id", F.xxhash64("text").alias("h"), digest(text).alias("digest"), sha256(text).alias("text_sha256"), record.alias("record")), "records")
     if light.isEmpty():
         scratch.drop()
         return light.selectExpr("doc_id", "h", "doc_id AS keep_id", "0L AS group_size", "true AS kept", "text_sha256").limit(0)
     run_stream(spark, scratch.path("records"), light.schema, scratch.path("state"))
     state = scratch.write(read_state(spark, scratch.path("state")).drop("place"), "held")
-    clash = scratch.write(collided(docs, state.filter("group_size > 1").select("digest"), digest), "clash")
+    clash = scratch.write(collided(docs, light, state.filter("group_size > 1").select("digest"), digest), "clash")
     out = light.join(state, "digest")
     if not clash.isEmpty():  # the digest is extended by the text for these
         out = out.join(clash, "digest", "left_anti")
         inner = docs.select("doc_id", F.xxhash64("text").alias("h"), chars.alias("chars"), text.alias("t"), digest(text).alias("digest"), sha256(text).alias("text_sha256")).join(clash, "digest", "left_semi")
         best = inner.groupBy("t").agg(F.max(F.struct("chars", F.bitwise_not("doc_id").alias("order"))).alias("best"), F.count("*").alias("group_size"))
-        inner = inner.withColumn("record", F.struct("chars", F.bitwise_not("doc_id").alias("order"), F.lit("").alias("place"))).join(best, "t")
+        inner = inner.withColumn("record", F.struct("chars", F.bitwise_not("doc_id").alias("order"), F.struct(F.lit(None).cast("bigint").alias("file"), F.lit(None).cast("bigint").alias("row")).alias("place"))).join(best, "t")
         inner = inner.select("digest", "doc_id", "h", "text_sha256", "record", F.bitwise_not("best.order").alias("keep_id"), F.col("best.chars").alias("keep_chars"), "group_size")
         out = out.unionByName(inner)
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("record.chars") == F.col("keep_chars"))

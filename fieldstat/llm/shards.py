@@ -21,6 +21,8 @@ from .words import ROWS
 LENGTH, END, PAD = 2048, 1, 0
 #: Sequences of a shard (16 MB of 2-byte ids at 2048 tokens).
 SHARD = 4096
+#: A task writes a range of shards: one up to TASKS shards, then more, but at most RANGE (1 GB).
+TASKS, RANGE = 20_000, 64
 MAGIC = b"FSTK0001"
 #: Magic, bytes of an id, tokens of a sequence, shard number, first slot, sequences here, sequences of a full shard, all sequences, key.
 HEADER = "<8sIIQQQQQQ"
@@ -85,14 +87,12 @@ def _sequences(path: str, length: int, dtype: str):
     return run
 
 
-def _slot(offsets: dict[int, int], n: int, key: int):
-    """Slot of a sequence by its partition and number there; only these two columns go to Python."""
-
+def _slot(n: int, key: int):
     @F.pandas_udf("bigint")
-    def slot(part: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series(feistel(part.map(offsets).to_numpy(np.int64) + k.to_numpy(np.int64), n, key))
+    def slot(number: pd.Series) -> pd.Series:
+        return pd.Series(feistel(number.to_numpy(np.int64), n, key))
 
-    return slot("part", "k")
+    return slot(F.col("first") + F.col("k"))
 
 
 def _write(folder: str, n: int, key: int, shard: int, length: int, size: int):
@@ -130,7 +130,7 @@ def write_shards(docs: DataFrame, folder: str, scratch: Scratch, key: int = 2024
 
     Each task joins its documents' ids, an end id after each, and cuts them into sequences of ``length``
     tokens; its last one is padded. Sequences are written down once, so their numbers are settled before
-    slots are drawn. Whole shards go to range partitions, each written in order of slot.
+    slots are drawn. Ranges of whole shards go to range partitions, each written in order of slot.
     """
     from tokenizers import Tokenizer
 
@@ -138,14 +138,17 @@ def write_shards(docs: DataFrame, folder: str, scratch: Scratch, key: int = 2024
     dtype = "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
     rows = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_sequences(path, length, dtype), _SEQ)
     rows = scratch.write(rows, "sequences")
-    counts = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}  # one for each input partition
-    offsets, n = {}, 0
-    for p in sorted(counts):
-        offsets[p], n = n, n + counts[p]
-    placed = rows.withColumn("slot", _slot(offsets, n, key)).withColumn("shard", F.floor(F.col("slot") / shard))
+    counts = [(r["part"], r["count"]) for r in rows.groupBy("part").count().collect()]  # one row, 16 bytes, for each input partition
+    counts.sort()
+    n = sum(c for _, c in counts)
+    firsts = [(p, int(at)) for (p, _), at in zip(counts, np.append(0, np.cumsum([c for _, c in counts])))]
+    firsts = F.broadcast(spark.createDataFrame(firsts, "part bigint, first bigint"))
+    placed = rows.join(firsts, "part").withColumn("slot", _slot(n, key)).withColumn("shard", F.floor(F.col("slot") / shard))
     placed = placed.select("shard", "slot", "n_tokens", "ids", "doc_ids")
-    # a shard is a range of slots; each goes to a task of its own
-    placed = placed.repartitionById(max(1, -(-n // shard)), F.col("shard").cast("int")).sortWithinPartitions("slot")
+    # a shard is a range of slots, a task's shards are a range too
+    shards = -(-n // shard)
+    each = min(RANGE, max(1, shards // TASKS))
+    placed = placed.repartitionById(max(1, -(-shards // each)), F.floor(F.col("shard") / each).cast("int")).sortWithinPartitions("slot")
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
     return scratch.write(placed.mapInArrow(_write(folder, n, key, shard, length, np.dtype(dtype).itemsize), "slot bigint, doc_ids array<bigint>"), "index")

@@ -146,6 +146,28 @@ def test_full_bytes_part_texts_whose_digests_collide(spark):
     assert table(exact_duplicates(docs(spark), digest=weak), *COLS) == brute_exact(awkward())
 
 
+def test_hits_are_read_at_their_place(spark, tmp_path):
+    """From files each record's place is file and row; texts behind equal digests are looked up there."""
+    docs(spark, clash=True).write.parquet(f"{tmp_path}/d")
+    df = spark.read.parquet(f"{tmp_path}/d")
+    assert exact.located(df) is not None and exact.located(spark.createDataFrame([(1, "a")], "doc_id bigint, text string")) is None
+    assert table(exact_duplicates(df), *COLS) == brute_exact(awkward())
+    weak = lambda t: F.substring(exact.sha256(t), 1, 1)
+    assert table(exact_duplicates(df, digest=weak), *COLS) == brute_exact(awkward())
+    row = exact.located(df).filter("doc_id = 14").first()
+    again = exact.located(df).filter((F.col("file") == row["file"]) & (F.col("row") == row["row"])).collect()
+    assert [r["doc_id"] for r in again] == [14]
+
+
+def test_ids_at_the_ends_of_their_range(spark):
+    """The least and the largest id beside null ids of the same text."""
+    rows = [(-(2**63), prose(1, 60)), (None, prose(1, 60)), (2**63 - 1, prose(2, 60)), (None, prose(2, 60)), (2**63 - 1, None), (None, None)]
+    assert table(exact_duplicates(docs(spark, rows)), *COLS) == brute_exact(rows)
+    got = sorted(((r["doc_id"], r["n_removed"]) for r in spans.remove_repeats(docs(spark, rows)).collect()), key=repr)
+    n = {t: len(spans.sentences(t)) for _, t in rows}
+    assert sorted(got, key=repr) == sorted([(i, n[t] if i is None and t else 0) for i, t in rows], key=repr)
+
+
 def test_stream_goes_on_where_it_stopped(spark):
     scratch = Scratch(spark, "resume")
     rec = spark.createDataFrame([("a", (5, ~1, "f")), ("b", (3, ~2, "f"))], "digest string, record struct<chars:bigint,order:bigint,place:string>")

@@ -120,6 +120,22 @@ def test_archives_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_archives_that_are_not_listed_are_not_read(spark, tmp_path):
+    """What a failed try left in the folder stays unread; a listed archive with other records is an error."""
+    rows, df = pages(spark)
+    scratch, folder = Scratch(spark, "warc-test"), f"file://{tmp_path}/out"
+    manifest = warc.write_archives(df, folder, scratch)
+    names = sorted((tmp_path / "out").glob("*.warc.zst"))
+    (tmp_path / "out" / "part-000000-9999.warc.zst").write_bytes(names[0].read_bytes())
+    assert warc.read_listed(manifest, folder).count() == len(rows) < warc.read_archives(spark, folder).count()
+    raw = names[0].read_bytes()
+    names[0].write_bytes(raw[: list(warc.frames(raw, "f"))[-1][0]])
+    with pytest.raises(Exception, match="were written"):
+        warc.read_listed(manifest, folder).count()
+    low = spark.createDataFrame([(-(2**63), "u", "x"), (None, "u", "x"), (5, "u", "x")], "page_id bigint, url string, html string")
+    assert table(warc.round_trip(low), "page_id", "record_type", "refers_to") == sorted([(-(2**63), "response", None), (None, "revisit", -(2**63)), (5, "revisit", -(2**63))], key=repr)
+
+
 def test_archive_layout_and_damage(spark, tmp_path):
     _, df = pages(spark)
     scratch = Scratch(spark, "warc-test")
@@ -212,6 +228,14 @@ def test_every_slot_holds_the_ids_and_documents_of_a_plain_version(spark, tmp_pa
     assert back == {k: (len(ids), zlib.crc32(np.array(ids, "<u2").tobytes()), k // 50) for k, (ids, _) in want.items()}
 
 
+def test_a_task_writes_a_range_of_shards(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shards, "TASKS", 3)
+    folder = f"file://{tmp_path}/s"
+    index = shards.write_shards(docs(spark), folder, Scratch(spark, "shards-test"), length=64, shard=50)
+    back = [s for s, _ in shards.read_from(folder)]
+    assert back == list(range(index.count())) and len(list((tmp_path / "s").glob("*.bin"))) == -(-len(back) // 50) > 20
+
+
 def test_materialise(spark):
     out = shards.materialise(docs(spark), length=128, shard=20)
     r = out.collect()

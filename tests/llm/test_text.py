@@ -274,3 +274,19 @@ def test_katz_scores_match_brute_force(spark, monkeypatch):
 def test_planes_round_trip():
     for a in (np.arange(1000, dtype=np.uint64) ** 3, np.zeros(0, "<u4"), np.array([1.5, -2.0]), np.array([True, False])):
         assert (lm._uz(lm._z(a), a.dtype) == a).all()
+
+
+def test_pair_counts_above_32_bits():
+    """Two blocks that saw a pair 3 billion times each."""
+    z = lm._z
+    ask = lambda block: (0, block, z(np.array([7, 7], np.uint64)), z(np.array([8, 9], np.uint64)), z(np.array([3_000_000_000, 1], "<u4")), z(np.array([5, 5], "<u8")), z(np.array([True, True])))
+    batch = lm._batch([ask(1), ask(2)], lm.PAIR_ASK[0])
+    out = [r for b in lm._merge_pairs(10**10, 100)([batch]) for r in b.to_pylist()]
+    assert [lm._uz(r["counts"], "<u8").tolist() for r in out] == [[6_000_000_000, 2]] * 3
+
+
+def test_a_full_index_gives_the_same_hits(spark):
+    rows, items = [*awkward(), (600, prose(900, 40))], spark.createDataFrame([(1, prose(900, 30)), (2, "one two three"), (3, None)], "item_id bigint, text string")
+    cols = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    a, b = (table(decontam.decontaminate(docs(spark, rows, clash=True), items, full_index=full), *cols) for full in (False, True))
+    assert a == b and sum(r[-1] for r in a) == 4
