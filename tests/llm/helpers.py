@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+
 SPACE = re.compile(r"[\x20\x09-\x0D]")
 NAMES = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
@@ -43,3 +45,28 @@ def low(text):
 def shingles(text, width=5):
     w = [x for x in SPACE.split(low(text)) if x]
     return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def mix(x):
+    m64 = 2**64 - 1
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & m64
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & m64
+    return x ^ (x >> 31)
+
+
+def plain_language(model, text):
+    """(language, score, rejected) of a text by plain loops over the trained model."""
+    words = (text or "").encode().lower().split()
+    if not any(map(str.isalpha, text or "")) or not words:
+        return "und", 0.0, True
+    total, n = np.zeros(16), 0
+    for w in words:
+        w = b"<" + w + b">"
+        for k in (2, 3, 4, 5):
+            for i in range(len(w) - k + 1):
+                total += model.table[mix(int.from_bytes(w[i : i + k], "little") + k & 2**64 - 1) >> 48]
+                n += 1
+    z = (total / n @ model.weights + model.bias) / model.temperature
+    p = np.exp(z - z.max())
+    p /= p.sum()
+    return model.langs[p.argmax()], float(p.max()), bool(p.max() < model.threshold)

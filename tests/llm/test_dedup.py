@@ -177,7 +177,7 @@ def test_stream_goes_on_where_it_stopped(spark):
     assert table(exact.read_state(spark, scratch.path("s")), "digest", "keep_id", "place", "group_size") == [("a", 7, "g", 2), ("b", 2, "f", 1)]
 
 
-def brute_spans(rows):
+def brute_spans(rows, every=False):
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
     first, out = {}, []
     occurrences = []
@@ -191,6 +191,8 @@ def brute_spans(rows):
             b = next((b for b in range(s - 1, -1, -1) if sum(n[b : s + 1]) >= 20), None)
             found |= {(s, e)} if e else set()
             found |= {(b, s + 1)} if b is not None else set()
+            if every:
+                found |= {(s, e) for e in range(s + 2, len(parts) + 1) if sum(n[s:e]) >= 20}
         occurrences.append((i, parts, low, sorted(found)))
     for i, _, low, found in occurrences:
         for s, e in found:
@@ -212,6 +214,17 @@ def test_span_removal_matches_brute_force(spark):
     assert spans.remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_shortest_spans_remove_what_every_run_would(spark):
+    """Runs of at least 2 sentences and 20 words, of any length: the shortest ones from and up to each sentence cover the same."""
+    rng = random.Random(5)
+    stock = [prose(300 + i, 3 + i % 9, 99) + "." for i in range(40)]
+    rows = [(i, " ".join(rng.choice(stock) for _ in range(rng.randrange(25)))) for i in range(60)]
+    for i in range(0, 60, 7):  # runs that repeat
+        rows.append((100 + i, " ".join(stock[:5]) + " " + (rows[i][1] or "") + " " + " ".join(stock[3:9])))
+    got = table(spans.remove_repeats(docs(spark, rows)), "doc_id", "n_sentences", "removed", "text")
+    assert got == brute_spans(rows) == brute_spans(rows, every=True) and sum(len(r[2]) for r in got) > 50
+
+
 def test_sentences_join_to_the_text():
     for _, t in awkward():
         assert "".join(spans.sentences(t)) == (t or "")

@@ -10,7 +10,7 @@ import xxhash
 from fieldstat.llm import decontam, langid, lm, toxicity
 from fieldstat.llm.common import Scratch
 
-from .helpers import awkward, docs, low, prose, table
+from .helpers import awkward, docs, low, mix, plain_language, prose, table
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -136,13 +136,6 @@ def test_toxicity_keeps_rare_words_beside_frequent_ones():
     assert min(model_scores(m, pos)) > 0.3 > 0.05 > max(model_scores(m, unl[880:]))
 
 
-def mix(x):
-    m64 = 2**64 - 1
-    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & m64
-    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & m64
-    return x ^ (x >> 31)
-
-
 def plain_features(text):
     """64-bit features of a text's words and stems, on Python integers."""
 
@@ -185,22 +178,7 @@ def test_languages_equal_a_plain_version(spark):
         df = df.withColumn(c, df["doc_id"])
     model = langid.fit(df)
 
-    def plain(text):
-        words = (text or "").encode().lower().split()
-        if not any(map(str.isalpha, text or "")) or not words:
-            return "und", 0.0, True
-        total, n = np.zeros(16), 0
-        for w in words:
-            w = b"<" + w + b">"
-            for k in (2, 3, 4, 5):
-                for i in range(len(w) - k + 1):
-                    total += model.table[mix(int.from_bytes(w[i : i + k], "little") + k & 2**64 - 1) >> 48]
-                    n += 1
-        z = (total / n @ model.weights + model.bias) / model.temperature
-        p = np.exp(z - z.max())
-        p /= p.sum()
-        return model.langs[p.argmax()], float(p.max()), bool(p.max() < model.threshold)
-
+    plain = lambda text: plain_language(model, text)
     want = sorted(((i, x[0], round(x[1], 4), x[2]) for i, t, _ in rows for x in [plain(t)]), key=repr)
     assert sorted(((r["doc_id"], r["lang_pred"], round(r["score"], 4), r["rejected"]) for r in langid.identify(df, model).collect()), key=repr) == want
     kept = langid.accepted(df, model)
