@@ -17,7 +17,7 @@ from .words import ROWS, KeyTable, keys, split_words
 #: Subwords: runs of 2 to 5 bytes of a word between marks; 2**16 buckets of 16 numbers.
 GRAMS, BUCKETS, DIM = (2, 3, 4, 5), 1 << 16, 16
 #: Words a worker's table holds (about 100 bytes each); new ones are worked out so many at a time.
-MOST_WORDS, PART = 200_000, 10_000
+MOST_WORDS, PART = 400_000, 10_000
 
 
 def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -40,8 +40,8 @@ def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Model:
     langs: list[str]
-    table: np.ndarray  # embedding of each bucket
-    weights: np.ndarray  # DIM x languages
+    table: np.ndarray  # embedding of each bucket, times the weights where that has fewer columns
+    weights: np.ndarray  # columns of the table x languages; the unit matrix if the table has been multiplied
     bias: np.ndarray
     temperature: float
     threshold: float  # confidence below which a document is rejected
@@ -113,6 +113,8 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.5
         threshold = float(min(0.5, np.quantile(right, lose))) if len(right) else 0.0
     else:
         temperature, threshold = 1.0, 0.0
+    if c < DIM:
+        emb, w = emb @ w, np.eye(c, dtype=np.float32)
     return Model(names, emb, w, bias, temperature, threshold)
 
 
@@ -139,17 +141,17 @@ def fit(docs: DataFrame, folds: int = 4, held: int = 2, per_lang: int = 600, mos
 
 
 class WordVectors(KeyTable):
-    """Word -> the sum of its subwords' embeddings and their number."""
+    """Word -> the sum of its subwords' rows of the model's table, and their number."""
 
     arrays = ("key", "uses", "sums")
 
     def __init__(self, model: Model, limit: int = MOST_WORDS):
-        self.model = model
+        self.model, self.width = model, model.table.shape[1]
         super().__init__(limit)
 
     def _new(self, room: int) -> None:
         super()._new(room)
-        self.sums = np.zeros((room, DIM + 1), np.float32)
+        self.sums = np.zeros((room, self.width + 1), np.float32)
 
     def rows_of(self, words: pa.Array) -> np.ndarray:
         key = keys(words)
@@ -161,9 +163,9 @@ class WordVectors(KeyTable):
             part = new[i : i + PART]
             rows[part] = self.new_rows(key[part])
             owner, bucket = word_grams(words.take(pa.array(part)).cast(pa.large_binary()).to_pylist())
-            for c in range(DIM):
+            for c in range(self.width):
                 self.sums[rows[part], c] = np.bincount(owner, self.model.table[bucket, c], len(part))
-            self.sums[rows[part], DIM] = np.bincount(owner, minlength=len(part))
+            self.sums[rows[part], -1] = np.bincount(owner, minlength=len(part))
         return rows
 
 
@@ -177,13 +179,13 @@ def _named(model: Model, known: WordVectors, texts: pa.Array):
     known.uses[rows] += np.bincount(which, minlength=len(rows)).astype(np.float32)
     rows[pc.equal(words, "").to_numpy(zero_copy_only=False)] = -1  # among split words, not a word
     rows = rows[which]
-    sums, owner = np.zeros((n, DIM + 1)), np.repeat(np.arange(n), np.diff(bounds))
+    sums, owner = np.zeros((n, known.width + 1)), np.repeat(np.arange(n), np.diff(bounds))
     for i in range(0, len(rows), 50_000):  # what a text's words add up to, so many words at a time
         r, o = rows[i : i + 50_000], owner[i : i + 50_000]
         starts = np.nonzero(np.diff(o, prepend=-1))[0]
         sums[o[starts]] += np.add.reduceat(known.sums[r] * (r >= 0)[:, None], starts, 0, dtype=np.float64)
-    lettered = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False) & (sums[:, DIM] > 0)
-    z = (sums[:, :DIM] / np.maximum(sums[:, DIM:], 1) @ model.weights + model.bias) / model.temperature
+    lettered = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False) & (sums[:, -1] > 0)
+    z = (sums[:, :-1] / np.maximum(sums[:, -1:], 1) @ model.weights + model.bias) / model.temperature
     p = np.exp(z - z.max(1, keepdims=True))
     p /= p.sum(1, keepdims=True)
     best = p.argmax(1)

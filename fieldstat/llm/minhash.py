@@ -186,9 +186,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, chunk: int = 100) -> Dat
        maximum, 192 values in 32 bands of 6. A pair shares no band with probability 3e-7 at a similarity of 0.85, and 6e-5 at 0.8.
     2. In each band's bucket every node is compared with the least node of the bucket, on full sets.
     3. Where a bucket still has nodes of several components, the pairs across them are compared on full sets, in
-       blocks of two chunks of about ``chunk`` nodes, within tasks. Buckets of the same nodes are compared once. Only links
-       that join components leave a task. So no link between nodes that share a bucket is lost, and nodes
-       that share none are not compared.
+       blocks of two chunks of about ``chunk`` nodes, within tasks. Buckets of the same nodes are compared once; buckets joined by
+       shared nodes are compared as one group where that sends fewer sets, else each by itself, so a chain of
+       loosely related buckets never becomes one large group. Only links that join components leave a task.
+       So no link between nodes that share a bucket is lost.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
@@ -214,15 +215,26 @@ def near_duplicates(docs: DataFrame, percent: int = 85, chunk: int = 100) -> Dat
     parts = _parts(spark)
     confirmed = scratch.write(both.repartition(parts, "leader", "salt").sortWithinPartitions("leader", "salt", "role").mapInArrow(_confirm_star(percent), "u bigint, v bigint"), "confirmed")
 
-    # 3. buckets with several components
+    # 3. buckets with several components: where comparing a family of buckets at once costs less, the family is the group
     joined = components(confirmed, scratch, "joined")
-    placed = scratch.write(buckets.select("key", "node").join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
+    placed = scratch.write(buckets.select("key", "leader", "node").join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
     same = [F.count("*").alias("n"), F.min("node").alias("x"), F.max("node").alias("y"), F.bit_xor(F.xxhash64("node")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("t")]
     open_ = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), *same).filter("a <> b")
-    open_ = open_.groupBy("n", "x", "y", "s", "t").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
-    dealt = placed.join(open_, "key").withColumn("c", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+    open_ = scratch.write(open_.groupBy("n", "x", "y", "s", "t").agg(F.min("key").alias("key")).select("key", "n"), "open")
+    inside = scratch.write(placed.join(open_, "key").select("key", "n", "leader", "node", "comp"), "inside")
+    family = components(inside.select("leader", "node").distinct().toDF("u", "v"), scratch, "family").withColumnRenamed("comp", "family")
+    inside = scratch.write(inside.join(family, "node"), "inside-family")
+    cost = lambda n: n * F.ceil(n / chunk)  # noqa: E731  sets sent when a group of n is compared in blocks
+    whole = inside.select("family", "node", "comp").distinct()
+    sizes = whole.groupBy("family").agg(F.count("*").alias("m"))
+    apart = inside.groupBy("family", "key").agg(F.first("n").alias("n")).groupBy("family").agg(F.sum(cost(F.col("n"))).alias("apart"))
+    choice = scratch.write(sizes.join(apart, "family").select("family", "m", (cost(F.col("m")) <= F.col("apart")).alias("at_once")), "choice")
+    at_once = whole.join(choice.filter("at_once"), "family").select(F.lit(True).alias("at_once"), F.col("family").alias("key"), F.col("m").alias("n"), "node", "comp")
+    apart = inside.join(choice.filter("NOT at_once").select("family"), "family", "left_semi").select(F.lit(False), "key", "n", "node", "comp")
+    dealt = at_once.union(apart).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")).withColumn("c", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
     # blocks (i, j), i <= j: a chunk meets itself once and each other chunk once
-    blocks = dealt.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("key", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "node", "comp", F.when(F.col("c") > F.col("d"), 1).otherwise(0).alias("side"))
+    blocks = dealt.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    blocks = blocks.select(F.xxhash64("at_once", "key").alias("key"), F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "node", "comp", F.when(F.col("c") > F.col("d"), 1).otherwise(0).alias("side"))
     blocks = blocks.join(sets, "node").select("key", "i", "j", "node", "comp", "side", "hashes")
     late = blocks.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_confirm_blocks(percent), "u bigint, v bigint")
     late = scratch.write(late, "late")

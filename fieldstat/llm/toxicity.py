@@ -226,7 +226,8 @@ def fit(
     if prior is None:
         prior = min(0.95, max(0.001, toxic / n)) if n else 0.01
     dice = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1_000_000)) / 1_000_000
-    yes = learn.join(marked.filter((F.col("toxic") == 1) & (dice < positives / max(1, toxic))).select("doc_id"), "doc_id", "left_semi")
+    drawn = marked.filter((F.col("toxic") == 1) & (dice < positives / max(1, toxic))).select("doc_id")  # about ``positives`` ids, each once
+    yes = learn.join(F.broadcast(drawn), "doc_id", "left_semi")
     yes = scratch.write(yes.withColumn("dice", F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1_000_000)) / 1_000_000), "positives")
     size = yes.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     yes = yes.filter(F.col("dice") < most_bytes / max(1, size))

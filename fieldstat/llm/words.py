@@ -26,7 +26,8 @@ def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarr
 
     Words stand between ASCII white space; A-Z are lower-cased if ``lower``. Among them may be the empty one.
     """
-    texts = texts.cast(pa.large_string())
+    # copied, so that its bytes begin at 0: lower-casing takes that for granted in an array that was cast from a slice
+    texts = pa.concat_arrays([texts, texts.slice(0, 0)]).cast(pa.large_string())
     words = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     each = words.values.dictionary_encode()
     return each.dictionary, each.indices.to_numpy(), words.offsets.to_numpy()

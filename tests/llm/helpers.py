@@ -59,7 +59,7 @@ def plain_language(model, text):
     words = (text or "").encode().lower().split()
     if not any(map(str.isalpha, text or "")) or not words:
         return "und", 0.0, True
-    total, n = np.zeros(16), 0
+    total, n = np.zeros(model.table.shape[1]), 0
     for w in words:
         w = b"<" + w + b">"
         for k in (2, 3, 4, 5):

@@ -5,10 +5,12 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from fieldstat.llm import decontam, langid, lm, toxicity
 from fieldstat.llm.common import Scratch
+from fieldstat.llm.words import split_words
 
 from .helpers import awkward, docs, low, mix, plain_language, prose, table
 
@@ -268,3 +270,17 @@ def test_a_full_index_gives_the_same_hits(spark):
     cols = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     a, b = (table(decontam.decontaminate(docs(spark, rows, clash=True), items, full_index=full), *cols) for full in (False, True))
     assert a == b and sum(r[-1] for r in a) == 4
+
+
+def test_words_of_slices():
+    """A batch that is cut out of another has its own words."""
+    texts = [None, "", *[t for _, t in awkward()], " Über  ZWEI\tdrei "]
+    for kind in (pa.string(), pa.large_string()):
+        whole = pa.array(texts, kind)
+        for at in range(0, len(texts), 5):
+            part = whole.slice(at, 7).slice(1, 5)
+            for lower in (True, False):
+                words, which, bounds = split_words(part, lower)
+                words = [w.encode() for w in words.to_pylist()]
+                want = [(t or "").encode().lower().split() if lower else (t or "").encode().split() for t in part.to_pylist()]
+                assert [[words[k] for k in which[i:j] if words[k]] for i, j in zip(bounds[:-1], bounds[1:])] == want and len(set(words)) == len(words)
