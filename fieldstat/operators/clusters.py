@@ -120,15 +120,18 @@ def passing(x: np.ndarray, threshold: float, tail: int) -> np.ndarray:
     return x <= threshold if tail == -1 else x >= threshold if tail == 1 else np.abs(x) >= threshold
 
 
-def exact_positive(x: np.ndarray, graph: Graph, e: float, h: float) -> np.ndarray:
+def exact_positive(x: np.ndarray, graph: Graph, e: float, h: float, unit: float | np.ndarray = 1.0) -> np.ndarray:
     """Exact enhancement of the positive part: the integral of extent^e * height^h under each feature.
 
+    unit: what a feature adds to its cluster's extent, such as the volume of a voxel or the area around a vertex; one number or one a feature.
+
     Features enter from the highest down; a cluster's integral grows only while its extent stays the same, and
     features keep their difference from their cluster's sum, so joining two clusters costs one step.
     """
     n, power = graph.n, h + 1
     up = np.arange(n)
     extra, total, level, size = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
+    unit = np.broadcast_to(np.asarray(unit, float), n)
 
     def root(i):
         while up[i] != i:
@@ -142,7 +145,7 @@ def exact_positive(x: np.ndarray, graph: Graph, e: float, h: float) -> np.ndarra
     order = [i for i in np.argsort(-x, kind="stable").tolist() if x[i] > 0]
     entered = np.zeros(n, bool)
     for i in order:
-        entered[i], size[i], level[i] = True, 1, x[i]
+        entered[i], size[i], level[i] = True, unit[i], x[i]
         for j in graph.near[i]:
             if entered[j]:
                 a, b = root(i), root(j)
@@ -165,13 +168,13 @@ def exact_positive(x: np.ndarray, graph: Graph, e: float, h: float) -> np.ndarra
     return out
 
 
-def exact_enhancement(x: np.ndarray, graph: Graph, e: float = 2 / 3, h: float = 2.0) -> np.ndarray:
+def exact_enhancement(x: np.ndarray, graph: Graph, e: float = 2 / 3, h: float = 2.0, unit: float | np.ndarray = 1.0) -> np.ndarray:
     """Positive and negative values are enhanced apart, and keep their signs; NaN counts as 0."""
     x = np.nan_to_num(np.asarray(x, float))
-    return exact_positive(x, graph, e, h) - exact_positive(-x, graph, e, h)
+    return exact_positive(x, graph, e, h, unit) - exact_positive(-x, graph, e, h, unit)
 
 
-def stepped_enhancement(x: np.ndarray, graph: Graph, dt: float = 0.1, e: float = 2 / 3, h: float = 2.0, tail: int = 0) -> np.ndarray:
+def stepped_enhancement(x: np.ndarray, graph: Graph, dt: float = 0.1, e: float = 2 / 3, h: float = 2.0, tail: int = 0, unit: float | np.ndarray = 1.0) -> np.ndarray:
     """Sum over thresholds dt apart of sign * extent^e * |threshold|^h * dt; tail 0 takes |x| and joins both signs."""
     x = np.asarray(x, float)
     out, side = np.zeros(graph.n), np.abs(x) if tail == 0 else x
@@ -180,10 +183,11 @@ def stepped_enhancement(x: np.ndarray, graph: Graph, dt: float = 0.1, e: float =
         return out
     grid = np.arange(some.max(), side.min() - dt, -dt) if tail == -1 else np.arange(some.min(), side.max() + dt, dt)
     sign = -1.0 if tail == -1 else 1.0
+    unit = np.broadcast_to(np.asarray(unit, float), graph.n)
     for t in grid:
         labels = graph.label(passing(x, t, tail))
         at = labels >= 0
-        extent = np.bincount(labels[at], minlength=graph.n)
+        extent = np.bincount(labels[at], unit[at], graph.n)
         out[at] += sign * extent[labels[at]] ** e * abs(t) ** h * dt
     return out
 
@@ -215,7 +219,7 @@ def find_clusters(maps: DataFrame, by: list[str], graph: Graph, threshold: float
 
 
 def enhance(maps: DataFrame, by: list[str], graph: Graph, value: str = "x", exact: bool = True, **options) -> DataFrame:
-    """(by, feature, tfce) of each map; exact, or stepped with dt and tail."""
+    """(by, feature, tfce) of each map; exact, or stepped with dt and tail; ``unit`` is what a feature adds to the extent."""
     kinds = dict(maps.dtypes)
     schema = ", ".join(f"{b} {kinds[b]}" for b in by) + ", feature int, tfce double"
 

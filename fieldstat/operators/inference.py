@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import tables
+
 
 def fdr(df: DataFrame, p: str, by: list[str], alpha: float = 0.05, method: str = "indep") -> DataFrame:
     """Adds q and reject within ``by``: Benjamini-Hochberg ("indep") or Benjamini-Yekutieli ("negcorr").
@@ -72,27 +74,24 @@ def _min_p(first: DataFrame, keep: list[str]) -> DataFrame:
 def histogram_pvalue(stats: DataFrame, null: DataFrame, tail: int, value: str = "t", null_value: str = "h") -> DataFrame:
     """Adds p = (count + 1) / (n + 1): null values at or below (-1), at or above (1), or at either end (0) of each statistic.
 
-    null: one value for each resampling run (or feature and run). Equal values are counted first; the sorted
-    distinct ones are one array, which is as long as there are runs and doesn't grow with the data.
+    null: any number of values, all of them counted. A null statistic has none at or past it.
     """
     if tail not in (-1, 0, 1):
         raise ValueError("tail is -1, 0 or 1")
-    n = null.agg(F.count("*").alias("n"))
-    h = null.select(F.col(null_value).cast("double").alias("v"))
-    grid = h.groupBy("v").agg(F.count("*").alias("c"))
-    lower = grid.withColumn("le", F.sum("c").over(Window.orderBy("v"))).withColumn("ge", F.sum("c").over(Window.orderBy(F.desc("v"))))
-    steps = lower.agg(F.array_sort(F.collect_list(F.struct("v", "le", "ge"))).alias("steps"))
-    out = stats.crossJoin(F.broadcast(steps)).crossJoin(F.broadcast(n))
-
-    def le(x):
-        return F.coalesce(F.array_max(F.transform(F.filter("steps", lambda s: s["v"] <= x), lambda s: s["le"])), F.lit(0))
-
-    def ge(x):
-        return F.coalesce(F.array_max(F.transform(F.filter("steps", lambda s: s["v"] >= x), lambda s: s["ge"])), F.lit(0))
-
     x = F.col(value).cast("double")
-    count = {-1: le(x), 1: ge(x), 0: ge(F.abs(x)) + le(-F.abs(x))}[tail]
-    return out.withColumn("p", (count + 1) / (F.col("n") + 1)).drop("steps", "n")
+    low, high = (-F.abs(x), F.abs(x)) if tail == 0 else (x, x)
+    asked = stats.select(low.alias("x")).union(stats.select(high.alias("x"))).distinct()
+    counts = tables.counted_below(null.select(F.col(null_value).cast("double").alias("v")), asked)
+    n = null.filter(F.col(null_value).isNotNull()).agg(F.count("*").alias("_n"))
+    out = stats.withColumns({"_low": low, "_high": high}).crossJoin(F.broadcast(n))
+    hits = F.lit(0)
+    if tail <= 0:
+        le = counts.select(F.col("x").alias("_low"), (F.col("below") + F.col("at")).alias("_le"))
+        out, hits = out.join(le, "_low", "left"), hits + F.coalesce("_le", F.lit(0))
+    if tail >= 0:
+        ge = counts.select(F.col("x").alias("_high"), (F.col("n") - F.col("below")).alias("_ge"))
+        out, hits = out.join(ge, "_high", "left"), hits + F.coalesce("_ge", F.lit(0))
+    return out.withColumn("p", (hits + 1) / (F.col("_n") + 1)).drop("_low", "_high", "_le", "_ge", "_n")
 
 
 def stable_features(z: DataFrame, boots: DataFrame, alpha: float = 0.05) -> DataFrame:

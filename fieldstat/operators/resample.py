@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .tables import numbered
+
 
 def _shuffle(seed: int, *cols: str):
     return F.md5(F.concat_ws("-", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
@@ -26,8 +28,7 @@ def balanced_boots(groups: DataFrame, boots: int, seed: int = 1) -> DataFrame:
     spark = groups.sparkSession
     copies = groups.select("grp").distinct().crossJoin(F.broadcast(spark.range(boots).select(F.col("id").alias("c"))))
     n = groups.select("grp").distinct().count()
-    pos = F.row_number().over(Window.orderBy(_shuffle(seed, "c", "grp"), "c", "grp")) - 1  # groups times boots rows, a small table
-    return copies.withColumn("pos", pos).select((F.floor(F.col("pos") / n) + 1).cast("int").alias("run"), (F.col("pos") % n).cast("int").alias("slot"), "grp")
+    return numbered(copies, "pos", _shuffle(seed, "c", "grp"), "c", "grp").select((F.floor(F.col("pos") / n) + 1).cast("int").alias("run"), (F.col("pos") % n).cast("int").alias("slot"), "grp")
 
 
 def jackknife(groups: DataFrame, folds: int, seed: int = 1) -> DataFrame:
@@ -35,8 +36,7 @@ def jackknife(groups: DataFrame, folds: int, seed: int = 1) -> DataFrame:
     if folds < 2:
         raise ValueError("a jackknife needs at least two parts")
     g = groups.select("grp").distinct()
-    part = ((F.row_number().over(Window.orderBy(_shuffle(seed, "grp"), "grp")) - 1) % folds + 1).cast("int")
-    parts = g.withColumn("part", part)
+    parts = numbered(g, "pos", _shuffle(seed, "grp"), "grp").select("grp", (F.col("pos") % folds + 1).cast("int").alias("part"))
     runs = g.sparkSession.range(1, folds + 1).select(F.col("id").cast("int").alias("run"))
     return parts.crossJoin(F.broadcast(runs)).filter("part <> run").select("run", "grp")
 

@@ -56,3 +56,43 @@ def joined_text(df: DataFrame, by: list[str], order: list[str], parts: list[Colu
     one = F.struct(*order, F.concat_ws(":", *[p.cast("string") for p in parts]).alias("_t"))
     rows = F.array_sort(F.collect_list(one))
     return df.groupBy(*by).agg(F.array_join(F.transform(rows, lambda r: r["_t"]), sep).alias("line"))
+
+
+def numbered(rows: DataFrame, name: str, text: Column, *ties: str) -> DataFrame:
+    """Adds ``name``: the place, from 0, of each row in the order of ``text``, a hexadecimal hash, and ``ties``.
+
+    Rows are dealt by the hash's first three digits; each of the 4096 ranges is numbered by itself behind the counts
+    of those before it, so no task sorts all rows.
+    """
+    rows = rows.withColumn("_h", text).withColumn("_range", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
+    counts = sorted(tuple(r) for r in rows.groupBy("_range").count().collect())  # at most 4096
+    first, before = [], 0
+    for k, n in counts:
+        first.append((k, before))
+        before += n
+    first = F.broadcast(rows.sparkSession.createDataFrame(first, "_range int, _first bigint"))
+    at = F.row_number().over(Window.partitionBy("_range").orderBy("_h", *ties)) - 1
+    return rows.join(first, "_range").withColumn(name, F.col("_first") + at).drop("_h", "_range", "_first")
+
+
+def counted_below(values: DataFrame, asked: DataFrame, ranges: int = 200) -> DataFrame:
+    """(x, below, at, n) for each distinct x of ``asked`` (x double): how many ``values`` (v double) are less, equal, and in all.
+
+    Both are dealt to ranges between quantiles of the values and counted range by range behind the sums of those
+    before, so no task sorts all values and no row is compared with all of them. Nulls are not counted; a null x gets no row.
+    """
+    spark = values.sparkSession
+    grid = values.filter("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("c"))
+    both = grid.select("v", "c", F.lit(0).alias("q")).union(asked.filter("x IS NOT NULL").select("x", F.lit(0), F.lit(1)))
+    both = both.groupBy("v").agg(F.sum("c").alias("c"), F.max("q").alias("q"))
+    bounds = sorted(set(both.approxQuantile("v", [i / ranges for i in range(1, ranges)], 0.002) or []))
+    edges = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
+    both = both.withColumn("_range", F.size(F.filter(edges, lambda b: b < F.col("v"))))
+    first, before = [], 0
+    for k, n in sorted(tuple(r) for r in both.groupBy("_range").agg(F.sum("c")).collect()):  # at most ``ranges``
+        first.append((k, before))
+        before += n
+    first = F.broadcast(spark.createDataFrame(first, "_range int, _first bigint"))
+    upto = F.sum("c").over(Window.partitionBy("_range").orderBy("v"))
+    out = both.join(first, "_range").withColumn("upto", F.col("_first") + upto)
+    return out.filter("q = 1").select(F.col("v").alias("x"), (F.col("upto") - F.col("c")).alias("below"), F.col("c").alias("at"), F.lit(before).cast("bigint").alias("n"))

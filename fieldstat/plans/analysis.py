@@ -103,35 +103,13 @@ def backproject(spark, sf):
     return linalg.backproject(c, fits).withColumns({"beta": tidy(F.col("beta"), 4), "t": tidy(F.col("t"), 4)})
 
 
-BALANCED = f"""{CELLS}, b AS (SELECT feature, grp, x FROM (SELECT *, row_number() OVER (PARTITION BY grp, feature ORDER BY row_id) AS k FROM cells) WHERE k <= 30),
-g AS (SELECT feature, grp, avg(x) AS m, sum(x * x) AS xx FROM b GROUP BY feature, grp),
-s AS (SELECT feature, avg(m) AS mu, count(*) AS a, 30 * var_samp(m) AS msb, (sum(xx) - 30 * sum(m * m)) / (count(*) * 29) AS msw, (sum(xx) - 30 * count(*) * avg(m) * avg(m)) / (count(*) * 30 - 1) AS mst FROM g GROUP BY feature)"""
-
-
-@query("lmm_random_intercept", f"""WITH {BALANCED} SELECT feature, round(mu, 5) + 0e0 AS beta, round(sqrt(CASE WHEN msb > msw THEN msb ELSE mst END / (a * 30)), 5) AS se, round(CASE WHEN msb > msw THEN msw ELSE mst END, 5) AS var_resid, round(CASE WHEN msb > msw THEN (msb - msw) / 30 ELSE 0 END, 5) + 0e0 AS var_group FROM s""")
+@query("lmm_random_intercept")
 def lmm_random_intercept(spark, sf):
-    """One mixed model for each feature on the first 30 rows of each subject, where restricted maximum likelihood has a closed form."""
-    x = long(spark, sf, "beh").withColumn("k", F.row_number().over(_w().orderBy("row_id"))).filter("k <= 30")
-    return _intercepts(x)
-
-
-@query("lmm_random_intercept_all")
-def lmm_random_intercept_all(spark, sf):
-    """The same on all rows of every subject, however many each has (held against dense fits in the tests)."""
-    return _intercepts(long(spark, sf, "beh"))
-
-
-def _intercepts(x):
-    m = mixed.fit_models(x, "x ~ 1 + (1|grp)", ["feature"])
+    """One mixed model for each feature on all rows of every subject, however many each has (held against dense fits, and the closed form of balanced data, in the tests)."""
+    m = mixed.fit_models(long(spark, sf, "beh"), "x ~ 1 + (1|grp)", ["feature"])
     return m.select("feature", tidy(F.col("beta"), 5).alias("beta"), tidy(F.col("se"), 5).alias("se"), tidy(F.col("var_resid"), 5).alias("var_resid"), tidy(F.col("re_var")[0], 5).alias("var_group"))
 
 
-def _w():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("grp", "feature")
-
-
 @query("lmm_random_slope")
 def lmm_random_slope(spark, sf):
     m = mixed.fit_models(long(spark, sf), "x ~ beh*cont + (beh|grp)", ["feature"])

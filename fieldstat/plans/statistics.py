@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import columns
 from ..functions.columns import average_rank, clamp, divisors, normal_quantile, pol2cart, t_two_tailed, tidy
 from ..operators import frames, linalg, scoring, tables
 from ..operators.inference import fdr, stable_features
@@ -11,7 +12,7 @@ from ..operators.resample import balanced_boots
 from ..sources.files import read_tables
 from ..streaming.running import running_moments
 from .catalogue import query
-from .data import CELLS, EMB, FEATURES, TMAP, Z, corr_sql, frame, long, p9_sql, tidy_sql
+from .data import CELLS, FEATURES, TMAP, Z, corr_sql, frame, long, p9_sql, tidy_sql
 
 
 @query("group_corr_fisher_t", f"WITH {TMAP} SELECT feature, n, {tidy_sql('mean_z')} AS mean_z, {tidy_sql('t')} AS t FROM tmap")
@@ -115,7 +116,13 @@ def ols_lineitem(spark, sf):
     return m.select("l_returnflag", "l_linestatus", F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"), F.round("r2", 6).alias("r2"), "n")
 
 
-@query("ols_multiple")
+@query("ols_multiple", """WITH c AS (SELECT l_returnflag AS f, l_quantity - avg(l_quantity) OVER g AS a, l_discount - avg(l_discount) OVER g AS b, l_tax - avg(l_tax) OVER g AS c, l_extendedprice - avg(l_extendedprice) OVER g AS y,
+avg(l_quantity) OVER g AS ma, avg(l_discount) OVER g AS mb, avg(l_tax) OVER g AS mc, avg(l_extendedprice) OVER g AS my FROM lineitem WINDOW g AS (PARTITION BY l_returnflag)),
+s AS (SELECT f, sum(a * a) AS aa, sum(a * b) AS ab, sum(a * c) AS ac, sum(b * b) AS bb, sum(b * c) AS bc, sum(c * c) AS cc, sum(a * y) AS ay, sum(b * y) AS by_, sum(c * y) AS cy, any_value(ma) AS ma, any_value(mb) AS mb, any_value(mc) AS mc, any_value(my) AS my FROM c GROUP BY f),
+d AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM s),
+k AS (SELECT f, my, ma, mb, mc, (ay * (bb * cc - bc * bc) - ab * (by_ * cc - bc * cy) + ac * (by_ * bc - bb * cy)) / det AS ka,
+(aa * (by_ * cc - bc * cy) - ay * (ab * cc - bc * ac) + ac * (ab * cy - by_ * ac)) / det AS kb, (aa * (bb * cy - by_ * bc) - ab * (ab * cy - by_ * ac) + ay * (ab * bc - bb * ac)) / det AS kc FROM d)
+SELECT f AS l_returnflag, term, round(coef, 4) AS coef FROM (SELECT f, '(Intercept)' AS term, my - ka * ma - kb * mb - kc * mc AS coef FROM k UNION ALL SELECT f, 'l_quantity', ka FROM k UNION ALL SELECT f, 'l_discount', kb FROM k UNION ALL SELECT f, 'l_tax', kc FROM k)""")
 def ols_multiple(spark, sf):
     """Least squares on several predictors by group, from cross products (held against a solver in the tests)."""
     m = frames.multiple_regression(read_tables(spark, sf, "lineitem"), ["l_returnflag"], ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
@@ -269,14 +276,14 @@ def polar_and_divisors(spark, sf):
     return p.withColumns({"x": tidy(F.col("x")), "y": tidy(F.col("y"))})
 
 
-@query("rank_correlation", f"""WITH {EMB}, c AS (SELECT grp, row_id, beh, CAST(embedding[1] AS DOUBLE) AS x FROM emb), r AS (SELECT grp, beh, rank() OVER (PARTITION BY grp ORDER BY x) + (count(*) OVER (PARTITION BY grp, x) - 1) / 2e0 AS rx FROM c)
-SELECT grp, {tidy_sql(corr_sql('rx', 'beh'))} AS r FROM r GROUP BY grp""")
+@query("rank_correlation", f"""WITH {CELLS}, r AS (SELECT grp, feature, beh, rank() OVER (PARTITION BY grp, feature ORDER BY x) + (count(*) OVER (PARTITION BY grp, feature, x) - 1) / 2e0 AS rx FROM cells)
+SELECT grp, feature, {tidy_sql(corr_sql('rx', 'beh'))} AS r FROM r GROUP BY grp, feature""")
 def rank_correlation(spark, sf):
-    """Correlation of the first feature's ranks with the condition."""
+    """Correlation of each feature's ranks with the condition."""
     from ..functions.columns import corr_guarded
 
-    x = frame(spark, sf).select("grp", "row_id", "beh", F.col("y")[0].alias("x")).withColumn("rx", average_rank("x", ["grp"]))
-    return x.groupBy("grp").agg(tidy(corr_guarded("rx", "beh")).alias("r"))
+    x = long(spark, sf, "beh").withColumn("rx", average_rank("x", ["grp", "feature"]))
+    return x.groupBy("grp", "feature").agg(tidy(corr_guarded("rx", "beh")).alias("r"))
 
 
 @query("gram_matrix", f"WITH {Z} SELECT a.grp AS a, b.grp AS b, {tidy_sql('sum(a.z * b.z)')} AS g FROM z a JOIN z b USING (feature) GROUP BY a.grp, b.grp")
@@ -287,7 +294,20 @@ def gram_matrix(spark, sf):
     return linalg.gram(z, "grp", "feature", "z").select("a", "b", tidy(F.col("g")).alias("g"))
 
 
-@query("normal_quantiles")
+def _horner(coefficients, x: str) -> str:
+    out = f"{coefficients[-1]!r}::DOUBLE"
+    for c in reversed(coefficients[:-1]):
+        out = f"({out} * {x} + {c!r}::DOUBLE)"
+    return out
+
+
+def _ratio(a: str, b: str, x: str) -> str:
+    return f"{_horner(getattr(columns, a), x)} / {_horner(getattr(columns, b), x)}"
+
+
+@query("normal_quantiles", f"""WITH p AS (SELECT i / 100e0 AS p, i / 100e0 - 0.5e0 AS q, sqrt(-ln(least(i / 100e0, 1 - i / 100e0))) AS r FROM unnest(range(1, 100)) AS t(i)),
+m AS (SELECT *, 0.180625e0 - q * q AS mid, r - 1.6e0 AS near FROM p)
+SELECT p, {tidy_sql(f"CASE WHEN abs(q) <= 0.425e0 THEN q * {_ratio('_A', '_B', 'mid')} ELSE sign(q) * {_ratio('_C', '_D', 'near')} END")} AS z FROM m""")
 def normal_quantiles(spark, sf):
     """Quantiles at the percents (held against the standard library in the tests)."""
     return spark.range(1, 100).select((F.col("id") / 100).alias("p"), tidy(normal_quantile(F.col("id") / 100)).alias("z"))

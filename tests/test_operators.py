@@ -259,3 +259,24 @@ def test_simulation_prefers_methods_that_find_the_signal(spark):
 
     out = {r["method"]: r for r in simulate(spark, subjects=8, observations=20, slope=2.0, shape=(6, 6), perms=19).collect()}
     assert set(out) == {"field", "glm", "lmm"} and all(r["auc"] > 0.9 for r in out.values())
+
+
+def test_enhancement_by_volume_and_area():
+    """A unit scales the extent; units of single features add up."""
+    one, two = (clusters.exact_enhancement(blocks(True), GRID, unit=u) for u in (1.0, 8.0))
+    assert np.allclose(two, one * 8 ** (2 / 3))
+    assert np.allclose(clusters.stepped_enhancement(blocks(True), GRID, unit=8.0), clusters.stepped_enhancement(blocks(True), GRID) * 8 ** (2 / 3))
+    g, unit = Graph.grid((4,)), np.array([2.0, 3.0, 5.0, 7.0])
+    got = clusters.exact_enhancement(np.array([1.0, 2.0, 0, 1.0]), g, e=1.0, h=0.0, unit=unit)
+    assert np.allclose(got, [5, 3 + 5, 0, 7])
+
+
+def test_histogram_pvalues_of_ties_nulls_and_nothing(spark):
+    null = spark.createDataFrame([(float(v),) for v in [-2, -1, -1, 0, 0, 0, 1, 3]] + [(None,)], "h double")
+    stats = [(0, -1.0), (1, 0.0), (2, 2.0), (3, 9.0), (4, None), (5, -9.0), (6, 1.0)]
+    x = np.array([-2, -1, -1, 0, 0, 0, 1, 3.0])
+    df = spark.createDataFrame(stats, "i int, t double")
+    for tail, count in ((-1, lambda t: (x <= t).sum()), (1, lambda t: (x >= t).sum()), (0, lambda t: (x >= abs(t)).sum() + (x <= -abs(t)).sum())):
+        got = {r["i"]: r["p"] for r in inference.histogram_pvalue(df, null, tail).collect()}
+        assert got == {i: ((0 if t is None else count(t)) + 1) / 9 for i, t in stats}
+    assert {r["p"] for r in inference.histogram_pvalue(df, null.limit(0), 0).collect()} == {1.0}

@@ -38,7 +38,7 @@ def test_random_slopes_of_all_features(spark, trials):
 
 def test_random_intercepts_of_all_rows(spark, trials):
     path, label, _, _, x = trials
-    got = {r["feature"]: r for r in entry.queries()["lmm_random_intercept_all"](spark, path).collect()}
+    got = {r["feature"]: r for r in entry.queries()["lmm_random_intercept"](spark, path).collect()}
     assert sorted(got) == list(range(FEATURES))
     one = np.ones((len(label), 1))
     for f in range(FEATURES):
@@ -50,5 +50,18 @@ def test_random_intercepts_of_all_rows(spark, trials):
 def test_shards_of_all_events(spark, tmp_path):
     rows = [(i, float(i) / 8) for i in range(1001)]
     spark.createDataFrame(rows, "event_id bigint, value double").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
-    got = sorted((r["run"], r["value"]) for r in entry.queries()["shard_union_all"](spark, str(tmp_path)).collect())
+    got = sorted((r["run"], r["value"]) for r in entry.queries()["shard_union"](spark, str(tmp_path)).collect())
     assert got == sorted((0 if i == 0 else i % 4 + 1, v) for i, v in rows if i == 0 or i >= 4)
+
+
+def test_random_intercepts_of_balanced_rows_have_a_closed_form(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    label = np.repeat(np.arange(6), 20)
+    x = (rng.standard_normal((6, FEATURES))[label] + rng.standard_normal((120, FEATURES))).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist(), int(g)) for i, (v, g) in enumerate(zip(x, label))], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["feature"]: r for r in entry.queries()["lmm_random_intercept"](spark, str(tmp_path)).collect()}
+    y = x.astype(float).reshape(6, 20, FEATURES)
+    between, within = 20 * y.mean(1).var(0, ddof=1), y.var(1, ddof=1).mean(0)
+    for f in np.nonzero(between > within)[0]:
+        r = got[f]
+        assert np.allclose([r["beta"], r["se"], r["var_resid"], r["var_group"]], [y[:, :, f].mean(), np.sqrt(between[f] / 120), within[f], (between[f] - within[f]) / 20], atol=1e-4)
