@@ -98,6 +98,8 @@ def remove_repeats(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, leas
     Rows that share a doc_id count as one document when looking for the first occurrence; null ids come last.
     Other columns are not read. An empty table gives an empty table.
 
+    The shortest spans remove what every run of at least so many sentences and words would: a run that repeats
+    is covered by the shortest spans from and up to its sentences, and these repeat wherever it does.
     Only hashes of spans are shuffled; a span that a third of the documents share leaves each task as one
     partial minimum, and the join back to its occurrences is by key with rows of a few bytes.
     """
@@ -107,9 +109,8 @@ def remove_repeats(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, leas
     each = found.select("doc_id", "h", F.inline("runs"))
     firsts = each.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).filter("n > 1").drop("n")
     firsts = scratch.write(firsts, "firsts")
-    few = firsts.count() <= BROADCAST_SPANS
     # the first document is the smallest id; null only if no occurrence has one
-    spans = each.join(F.broadcast(firsts) if few else firsts, "key").filter(~F.col("doc_id").eqNullSafe(F.col("first_doc")) | F.col("again"))
+    spans = each.join(firsts, "key").filter(~F.col("doc_id").eqNullSafe(F.col("first_doc")) | F.col("again"))
     spans = spans.groupBy("doc_id", "h").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     spans = scratch.write(spans.withColumnsRenamed({"doc_id": "s_id", "h": "s_h"}), "spans")
     few = (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_SPANS
