@@ -23,6 +23,8 @@ from ..operators.permuted import permuted_correlations
 
 #: Loadings sent to the tasks at once, in bytes; more runs are fitted in several passes.
 LOADINGS = 64 << 20
+#: Bytes of all correlations up to which they are broadcast to the tasks of bootstrap runs, and of one.
+GATHERED, CELL = 256 << 20, 40
 
 
 def t_two_sided(t: np.ndarray, df: int) -> np.ndarray:
@@ -222,12 +224,19 @@ class FieldModel:
             comps = r.groupBy("run").applyInPandas(loadings([]), schema)
         else:
             runs = self.spark.createDataFrame([(i // 16, [p[0] for p in plan[i : i + 16]]) for i in range(0, len(plan), 16)], "part int, runs array<int>")
-            each = r.crossJoin(F.broadcast(runs))
+            if len(groups) * len(terms) * nf * CELL <= GATHERED:  # sent to each worker once, whatever the number of runs
+                whole = self.spark.sparkContext.broadcast(r.toArrow().to_pandas())
 
-            def some(key, pdf):
-                return loadings([int(x) for x in pdf["runs"].iloc[0]])(key, pdf)
+                def some(key, pdf):
+                    return loadings([int(x) for x in pdf["runs"].iloc[0]])(key, whole.value)
 
-            comps = each.groupBy("part").applyInPandas(some, schema)
+                comps = runs.groupBy("part").applyInPandas(some, schema)
+            else:  # every 16 runs get a copy
+
+                def some(key, pdf):
+                    return loadings([int(x) for x in pdf["runs"].iloc[0]])(key, pdf)
+
+                comps = r.crossJoin(F.broadcast(runs)).groupBy("part").applyInPandas(some, schema)
         comps = comps.persist()
         n_runs = len(plan) if plan else perms.select("run").distinct().count()
         by_run = max(1, LOADINGS // max(1, nf * 8 * len(groups) * len(terms)))

@@ -1,4 +1,7 @@
+import pickle
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from fieldstat.sources import files
@@ -43,3 +46,23 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 3
     one = running_moments(spark.createDataFrame([("a", 1.0)], "k string, v double"), ["k"], "v", ddof=1).first()
     assert one["var"] is None
+
+
+def test_arrays_are_written_and_read(spark, tmp_path):
+    df = spark.createDataFrame([("a/b", 1, [1.0, 2.5]), ("c", 2, [3.0, -1.0]), (None, 3, None)], "term string, run int, y array<double>")
+    out = {r["path"].rsplit("/", 1)[1]: r["n"] for r in files.write_npy(df, f"file://{tmp_path}/maps", ["term", "run"]).collect()}
+    assert out == {"term-a_b_run-1.npy": 2, "term-c_run-2.npy": 2, "term-null_run-3.npy": 0}
+    assert np.load(f"{tmp_path}/maps/term-c_run-2.npy").tolist() == [3.0, -1.0] and len(list((tmp_path / "maps").iterdir())) == 3
+    back = files.read_npy(spark, f"{tmp_path}/maps").collect()
+    assert sorted(r["y"][0] for r in back) == [-1.0, 1.0, 2.5, 3.0]
+
+
+def test_pickled_arrays_are_read_and_nothing_is_run(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a.pkl").write_bytes(pickle.dumps({"x": np.arange(6.0).reshape(3, 2), "n": 4}))
+    (tmp_path / "p" / "b.pkl").write_bytes(pickle.dumps([1, 2.5]))
+    got = sorted(((r["name"], r["row"], r["y"]) for r in files.read_pickled(spark, f"{tmp_path}/p").collect()), key=repr)
+    assert got == sorted([("x", 0, [0.0, 1.0]), ("x", 1, [2.0, 3.0]), ("x", 2, [4.0, 5.0]), ("n", 0, [4.0]), (None, 0, [1.0]), (None, 1, [2.5])], key=repr)
+    (tmp_path / "p" / "c.pkl").write_bytes(pickle.dumps(print))
+    with pytest.raises(Exception, match="is not read from files"):
+        files.read_pickled(spark, f"{tmp_path}/p").count()
