@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .balls import CLUSTERS, DIMS, ROUNDS, ball_kmeans
 from .common import fold_of, table
 from .decontam import decontaminate
+from .divergence import audit
 from .exact import exact_duplicates
 from .langid import fit as fit_languages
 from .langid import identify
@@ -16,6 +18,7 @@ from .shards import materialise
 from .spans import remove_repeats
 from .toxicity import fit as fit_toxicity
 from .toxicity import rate
+from .tree import shard_rows
 from .packing import pack
 from .lm import katz_scores
 from .warc import round_trip
@@ -145,3 +148,109 @@ def op3_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_training_order_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token sequences in shards in training order, read back."""
     return materialise(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of a weighted hash tree, and where each stands once there are nine."""
+    return shard_rows(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "region", "rack")
+
+
+def _draw(path: str, children: list[str]) -> str:
+    """The child of least draw; all shards of the query weigh 1, so a child weighs as many as it has below."""
+    draws = [f"{{'d': -ln((CAST('0x' || substr(md5('{path}/{name}:' || key), 1, 13) AS BIGINT) + 0.5) / 4503599627370496) / {weight}, 'n': '{path}/{name}'}}" for name, weight in (c.split("*") for c in children)]
+    return f"list_sort([{', '.join(draws)}])[1].n"
+
+
+ORACLE["op11_hash_tree_sharding"] = f"""
+WITH k AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(CAST(doc_id AS VARCHAR), '') AS key FROM documents
+), r AS (
+  SELECT *, {_draw("", ["r0*4", "r1*4"])} AS region, {_draw("", ["r0*4", "r1*4", "r2*1"])} = '/r2' AS moves FROM k
+), c AS (
+  SELECT *, CASE region WHEN '/r0' THEN {_draw("/r0", ["k0*2", "k1*2"])} ELSE {_draw("/r1", ["k0*2", "k1*2"])} END AS rack FROM r
+), s AS (
+  SELECT *, CAST(split_part(CASE rack WHEN '/r0/k0' THEN {_draw("/r0/k0", ["0*1", "1*1"])} WHEN '/r0/k1' THEN {_draw("/r0/k1", ["2*1", "3*1"])}
+    WHEN '/r1/k0' THEN {_draw("/r1/k0", ["4*1", "5*1"])} ELSE {_draw("/r1/k1", ["6*1", "7*1"])} END, '/', 4) AS INTEGER) AS shard FROM c
+), t AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), CAST(range(0, 8) AS BIGINT[])), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c
+    FROM range(0, 256) AS r(i))
+), b AS (
+  SELECT *, list_transform(range(0, CAST(strlen(text) AS BIGINT)), lambda i: CAST('0x' || substr(hex(encode(text)), 2 * i + 1, 2) AS BIGINT)) AS bytes FROM s
+), o AS (
+  SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS size, shard, CASE WHEN moves THEN 8 ELSE shard END AS grown_shard, substr(region, 2) AS region, split_part(rack, '/', 3) AS rack,
+    xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda a, x: xor(a >> 8, t[CAST(xor(a & 255, x) + 1 AS BIGINT)])), 4294967295) AS text_crc32
+  FROM b, t
+)
+SELECT *, 'key' AS law, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot FROM o
+"""
+
+
+@query
+def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of all pairs of sources of a language, and each source's most telling terms."""
+    return audit(table(spark, sf_dir, "documents"))
+
+
+_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+ORACLE["op12_divergence_audit"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '{_TERM}') AS w FROM documents
+), t AS (
+  SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL
+), kept AS MATERIALIZED (
+  SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM t GROUP BY ALL HAVING count(*) >= 3
+), g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d), c AS (
+  SELECT lang, source, term, sum(t.n) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL
+), f AS (
+  SELECT lang, source, term, CAST(coalesce(c.n, 0) AS HUGEINT) AS n FROM g JOIN kept k USING (lang) LEFT JOIN c USING (lang, source, term)
+), p AS MATERIALIZED (
+  SELECT *, 1 + (1000000000 * (n + 1)) // (sum(n) OVER win + count(*) OVER win) AS p FROM f WINDOW win AS (PARTITION BY lang, source)
+), q AS (
+  SELECT lang, term, 1 + (1000000000 * (n + 1)) // (sum(n) OVER win + count(*) OVER win) AS q FROM kept WINDOW win AS (PARTITION BY lang)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL
+), u AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM u QUALIFY part = 'pair' OR rank <= 200
+"""
+
+
+@query
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all valid embeddings by exact ball k-means."""
+    return ball_kmeans(table(spark, sf_dir, "embeddings"))
+
+
+def _kmeans_sql() -> str:
+    steps = [f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {DIMS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {DIMS}
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS m FROM (SELECT sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM k ORDER BY h, v LIMIT {CLUSTERS})
+)"""]
+    for i in range(ROUNDS + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, min({{'d': d, 'c': c}}) AS x
+  FROM (SELECT r, c, CAST(list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM k, c{i}) GROUP BY r
+)""")
+        if i < ROUNDS:
+            steps.append(f"""s{i} AS (
+  SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m
+  FROM (SELECT x.c AS c, i, sum(v[i]) AS s, count(*) AS n FROM a{i} JOIN k USING (r), range(1, {DIMS} + 1) AS t(i) GROUP BY x.c, i) GROUP BY c
+), c{i + 1} AS MATERIALIZED (SELECT c, coalesce(s{i}.m, c{i}.m) AS m FROM c{i} LEFT JOIN s{i} USING (c))""")
+    return ",\n".join(steps) + f"""
+SELECT vec_id, CAST(x.c AS INTEGER) AS cluster, x.d AS distance, CAST(sum(x.d) OVER (PARTITION BY x.c) AS BIGINT) AS cluster_inertia, CAST(sum(x.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM k JOIN a{ROUNDS} USING (r) JOIN c{ROUNDS} ON c{ROUNDS}.c = x.c
+"""
+
+
+ORACLE["op13_ball_kmeans"] = _kmeans_sql()

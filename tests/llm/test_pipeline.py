@@ -120,5 +120,5 @@ def test_near_stage_drops_copies_of_similarity_0_8(spark, tmp_path):
 
 
 def test_registered():
-    assert [n.split("_")[0] for n in sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
-    assert set(queries.ORACLE) == {"op5_warc_round_trip", "op7_exact_dedup", "op8_benchmark_decontamination"}
+    assert [n.split("_")[0] for n in sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 14)]
+    assert set(queries.ORACLE) == {"op5_warc_round_trip", "op7_exact_dedup", "op8_benchmark_decontamination", "op11_hash_tree_sharding", "op12_divergence_audit", "op13_ball_kmeans"}
