@@ -1,4 +1,4 @@
-"""Mixed models over DataFrames: cross products by group first, fits on the sums."""
+"""Mixed models over DataFrames: cross products by level and by pair of levels first, fits on the sums."""
 
 from __future__ import annotations
 
@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formula import Formula, design, parse
-from ..functions.lmm import fit_crossed, fit_one_factor, random_effects
+from ..functions.levels import Structure
+from ..functions.lmm import fit_one_factor, random_effects
 
-FIT = "term string, beta double, se double, t double, loglik double, var_resid double, re_name array<string>, re_var array<double>"
+FIT = "term string, beta double, se double, t double, loglik double, var_resid double, re_name array<string>, re_var array<double>, re_cor_name array<string>, re_cor array<double>"
+#: Rows of a random effect's level: number of the random term, level, its conditional mean.
+MODE = "random int, level string, mode double"
 
 
 def _columns(df: DataFrame, f: Formula, factors):
@@ -19,62 +22,127 @@ def _columns(df: DataFrame, f: Formula, factors):
     return x, z
 
 
-def fit_models(df: DataFrame, formula: str, by: list[str] | None = None, response: str | None = None, factors=None) -> DataFrame:
-    """One model for each value of ``by``: (by, term, beta, se, t, loglik, var_resid, re_name, re_var).
+def level_sums(df: DataFrame, by: list[str], x: list, z: list[list], levels: list, y) -> DataFrame:
+    """(by, f, g, a, b, n, s): all that a fit needs of rows of any number.
 
-    With one random term, rows are reduced to cross products by (by, group) in one aggregation and only these
-    reach the fit. With several, each model's rows go to one task. Models that can't be fitted give one row
-    of nulls. Rows with a null in any variable are left out.
+    g = -1: a level ``a`` of random term f; s holds the products of its z with themselves and with x and y (upper triangle of [z, x, y] for
+    f = 0, whose sums over levels are those of all rows). Else a pair of levels a of f and b of g that occur together; s holds z_f by z_g.
+    Each is one aggregation by key with map-side sums.
     """
-    by, f = list(by or []), parse(formula)
+    out = []
+    for f, own in enumerate(z):
+        cols = [*own, *x, y]
+        pairs = [(i, j) for i in range(len(cols) if f == 0 else len(own)) for j in range(i, len(cols))]
+        level = df.groupBy(*by, levels[f].cast("string").alias("a")).agg(F.count("*").alias("n"), F.array(*[F.sum(cols[i] * cols[j]) for i, j in pairs]).alias("s"))
+        out.append(level.select(*by, F.lit(f).alias("f"), F.lit(-1).alias("g"), "a", F.lit(None).cast("string").alias("b"), "n", "s"))
+        for g in range(f + 1, len(z)):
+            both = df.groupBy(*by, levels[f].cast("string").alias("a"), levels[g].cast("string").alias("b")).agg(F.count("*").alias("n"), F.array(*[F.sum(p * q) for p in own for q in z[g]]).alias("s"))
+            out.append(both.select(*by, F.lit(f).alias("f"), F.lit(g).alias("g"), "a", "b", "n", "s"))
+    whole = out[0]
+    for more in out[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
+def solve_sums(pdf: pd.DataFrame, widths: list[int], p: int):
+    """(fit, level names by term) from the rows of :func:`level_sums` of one model."""
+    names, zz, zx, zy = [], [], [], []
+    whole = n = None
+    for f, q in enumerate(widths):
+        own = pdf[(pdf["f"] == f) & (pdf["g"] == -1)].sort_values("a")
+        s, k = np.stack(own["s"].to_numpy()), q + p + 1
+        m, at = np.zeros((len(own), k, k)), 0
+        for i in range(k if f == 0 else q):
+            m[:, i, i:] = s[:, at : at + k - i]
+            m[:, i:, i] = s[:, at : at + k - i]
+            at += k - i
+        names.append(own["a"].to_numpy())
+        zz.append(m[:, :q, :q])
+        zx.append(m[:, :q, q:-1])
+        zy.append(m[:, :q, -1])
+        if f == 0:
+            whole, n = m[:, q:, q:].sum(0), int(own["n"].sum())
+    xx, xy, yy = whole[:p, :p], whole[:p, p], float(whole[p, p])
+    if len(widths) == 1:
+        return fit_one_factor(zz[0], zx[0], zy[0], xx, xy, yy, n), names
+    pairs = {}
+    for (f, g), own in pdf[pdf["g"] >= 0].groupby(["f", "g"]):
+        pairs[f, g] = (np.searchsorted(names[f], own["a"]), np.searchsorted(names[g], own["b"]), np.stack(own["s"].to_numpy()).reshape(-1, widths[f], widths[g]))
+    return Structure(zz, pairs).fit(zx, zy, xx, xy, yy, n), names
+
+
+def _solved(df: DataFrame, formula: str, by: list[str], response: str | None, factors):
+    """Fits and modes in one table, and the formula and columns they are of; without ``by`` there is a column _all."""
+    f = parse(formula)
     y = response or f.response
     if not f.random:
         raise ValueError("a mixed model has at least one (terms|group)")
     df = df.dropna(subset=[*f.variables, y, *[r.group for r in f.random]])
     x, z = _columns(df, f, factors)
     kinds = dict(df.dtypes)
-    schema = "".join(f"`{b}` {kinds[b]}, " for b in by) + FIT
+    schema = "".join(f"`{b}` {kinds[b]}, " for b in by) + f"{FIT}, {MODE}"
     if not by:
-        df, by, schema = df.withColumn("_all", F.lit(0)), ["_all"], "_all int, " + FIT
-    names, x_names = [list(c) for c in z], list(x)
-    groups = [r.group for r in f.random]
-    one = len(f.random) == 1
+        df, by, schema = df.withColumn("_all", F.lit(0)), ["_all"], f"_all int, {FIT}, {MODE}"
+    z_names, x_names, groups = [list(c) for c in z], list(x), [r.group for r in f.random]
+    columns = [c.split(" ")[0] for c in f"{FIT}, {MODE}".split(", ")]
 
-    def rows(fit, key):
-        head = dict(zip(by, key if isinstance(key, tuple) else (key,)))
+    def solve(key, pdf):
+        head = dict(zip(by, key))
+        fit, levels = solve_sums(pdf, [len(c) for c in z_names], len(x_names))
         if fit is None:
-            return pd.DataFrame([{**head, "term": None, "beta": None, "se": None, "t": None, "loglik": None, "var_resid": None, "re_name": None, "re_var": None}])
-        var, _ = random_effects(fit, names, groups)
-        re = {"re_name": [v["Name"] for v in var[:-1]], "re_var": [v["Var"] for v in var[:-1]]}
-        return pd.DataFrame([{**head, "term": t, "beta": fit.beta[i], "se": fit.se[i], "t": fit.t[i], "loglik": fit.loglik, "var_resid": fit.sigma2, **re} for i, t in enumerate(x_names)])
-
-    if one:
-        cols = [*z[0].values(), *x.values(), F.col(y).cast("double")]
-        k, q, p = len(cols), len(z[0]), len(x)
-        pairs = [(i, j) for i in range(k) for j in range(i, k)]
-        sums = df.groupBy(*by, F.col(f.random[0].group).alias("_g")).agg(F.count("*").alias("_n"), *[F.sum(cols[i] * cols[j]).alias(f"s{i}_{j}") for i, j in pairs])
-
-        def solve(key, pdf):
-            pdf = pdf.sort_values("_g")
-            m = np.zeros((len(pdf), k, k))
-            for i, j in pairs:
-                m[:, i, j] = m[:, j, i] = pdf[f"s{i}_{j}"]
-            t = m.sum(0)
-            fx = slice(q, q + p)
-            return rows(fit_one_factor(m[:, :q, :q], m[:, :q, fx], m[:, :q, -1], t[fx, fx], t[fx, -1], t[-1, -1], int(pdf["_n"].sum())), key)
-
-        out = sums.groupBy(*by).applyInPandas(solve, schema)
-    else:
-        xs = [c.alias(f"x{i}") for i, c in enumerate(x.values())]
-        zs = [c.alias(f"z{i}_{j}") for i, d in enumerate(z) for j, c in enumerate(d.values())]
-        gs = [F.col(r.group).cast("string").alias(f"g{i}") for i, r in enumerate(f.random)]
-        flat = df.select(*by, *xs, *zs, *gs, F.col(y).cast("double").alias("_y"))
-        widths, nx = [len(d) for d in z], len(xs)
-
-        def solve_rows(key, pdf):
-            fx = pdf[[f"x{i}" for i in range(nx)]].to_numpy(float)
-            fs = [(pdf[[f"z{i}_{j}" for j in range(w)]].to_numpy(float), np.unique(pdf[f"g{i}"], return_inverse=True)[1]) for i, w in enumerate(widths)]
-            return rows(fit_crossed(fx, pdf["_y"].to_numpy(float), fs), key)
-
-        out = flat.groupBy(*by).applyInPandas(solve_rows, schema)
-    return out.drop("_all")
+            return pd.DataFrame([{**head, **dict.fromkeys(columns)}])
+        var, cor = random_effects(fit, z_names, groups)
+        re = {"re_name": [v["Name"] for v in var[:-1]], "re_var": [v["Var"] for v in var[:-1]], "re_cor_name": [f"{c['IV1']}~{c['IV2']}" for c in cor or []], "re_cor": [c["Corr"] for c in cor or []]}
+        rows = [{**head, "term": t, "beta": fit.beta[i], "se": fit.se[i], "t": fit.t[i], "loglik": fit.loglik, "var_resid": fit.sigma2, **re} for i, t in enumerate(x_names)]
+        none = dict.fromkeys(re)  # a missing list is null, not NaN
+        rows += [{**head, **none, "term": t, "random": k, "level": level, "mode": fit.modes[k][i, j]} for k, own in enumerate(levels) for i, level in enumerate(own) for j, t in enumerate(z_names[k])]
+        out = pd.DataFrame(rows, columns=[*by, *columns])
+        out["random"] = out["random"].astype("Int32")
+        return out
+
+    sums = level_sums(df, by, list(x.values()), [list(c.values()) for c in z], [F.col(g) for g in groups], F.col(y).cast("double"))
+    return sums.groupBy(*by).applyInPandas(solve, schema), df, f, x, z, by
+
+
+def fit_models(df: DataFrame, formula: str, by: list[str] | None = None, response: str | None = None, factors=None) -> DataFrame:
+    """One model for each value of ``by``: (by, term, beta, se, t, loglik, var_resid, re_name, re_var, re_cor_name, re_cor).
+
+    Rows are reduced to cross products by (by, level) of each random term, and by (by, pair of levels) of each two, and only these reach
+    the fit; random terms may be nested or crossed, and share a grouping column. re_var, re_cor: variances of the random effects, and correlations of those
+    of one term. Models that can't be fitted give one row of nulls. Rows with a null in any variable are left out.
+    """
+    solved, *_ = _solved(df, formula, list(by or []), response, factors)
+    return solved.filter("random IS NULL").drop("_all", "random", "level", "mode")
+
+
+def random_modes(df: DataFrame, formula: str, by: list[str] | None = None, response: str | None = None, factors=None) -> DataFrame:
+    """(by, grp, random, level, term, mode): conditional means of the random effects; grp: the grouping column of random term number ``random``."""
+    solved, _, f, *_ = _solved(df, formula, list(by or []), response, factors)
+    group = F.element_at(F.array(*[F.lit(r.group) for r in f.random]), F.col("random") + 1)
+    return solved.filter("random IS NOT NULL").select(*(by or []), group.alias("grp"), "random", "level", "term", "mode")
+
+
+def residuals(df: DataFrame, formula: str, by: list[str] | None = None, response: str | None = None, factors=None) -> DataFrame:
+    """``df``'s rows with ``fitted`` and ``residual``: the response less fixed and random effects, null where the model can't be fitted.
+
+    Coefficients and modes are joined to the rows by key; rows with a null in any variable are left out.
+    """
+    solved, rows, f, x, z, keys = _solved(df, formula, list(by or []), response, factors)
+    solved, names = solved.persist(), list(rows.columns)
+    rows = rows.select(*names, F.array(*x.values()).alias("_x"), *[F.array(*c.values()).alias(f"_z{k}") for k, c in enumerate(z)], *[F.col(r.group).cast("string").alias(f"_g{k}") for k, r in enumerate(f.random)])
+
+    def listed(of: DataFrame, value: str, order: list[str], *by: str) -> DataFrame:
+        """The terms' values as one array, in the order of ``order``."""
+        found = of.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("term", value))).alias("m"))
+        return found.select(*by, F.array(*[F.col("m")[t] for t in order]).alias("v"))
+
+    def dot(a: str, b: str):
+        return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+    fitted = listed(solved.filter("random IS NULL AND term IS NOT NULL"), "beta", list(x), *keys).withColumnRenamed("v", "_b")
+    rows, total = rows.join(fitted, keys, "left"), dot("_x", "_b")
+    for k, c in enumerate(z):
+        modes = listed(solved.filter(F.col("random") == k), "mode", list(c), *keys, "level").withColumnsRenamed({"level": f"_g{k}", "v": f"_u{k}"})
+        rows, total = rows.join(modes, [*keys, f"_g{k}"], "left"), total + dot(f"_z{k}", f"_u{k}")
+    rows = rows.withColumn("fitted", total).withColumn("residual", F.col(response or f.response) - F.col("fitted"))
+    return rows.select(*[n for n in names if n != "_all"], "fitted", "residual")
