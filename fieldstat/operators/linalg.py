@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Components with less of the variance than this are numerically nothing.
@@ -70,9 +70,10 @@ def term_summaries(components: DataFrame, fits: DataFrame) -> DataFrame:
     return both.groupBy("term").agg(F.sum(F.col("beta") * w).alias("beta"), F.sum(F.col("t") * w).alias("t"))
 
 
-def residual_errors(rss: DataFrame, mm: float, n: int, rank: int = 1) -> DataFrame:
-    """(feature, sterr) from (feature, rss): sqrt of m'm times sqrt of rss / (n - rank)."""
-    return rss.select("feature", (F.lit(mm) ** 0.5 * F.sqrt(F.col("rss") / (n - rank))).alias("sterr"))
+def residual_errors(rss: DataFrame, mm: float | Column, n: int, rank: int | Column = 1) -> DataFrame:
+    """Adds sterr to rows with rss, the residuals' sum of squares: sqrt of m'm times sqrt of rss / (n - rank), m the term's column of n numbers."""
+    mm = F.lit(mm) if isinstance(mm, (int, float)) else mm
+    return rss.withColumn("sterr", F.sqrt(mm) * F.sqrt(F.col("rss") / (n - rank)))
 
 
 def blockwise_product(left: DataFrame, right: np.ndarray, y: str = "y", block: int = 1 << 16) -> DataFrame:

@@ -16,34 +16,58 @@ def permuted_designs(frame: DataFrame, perms: DataFrame, terms: list[str]) -> Da
     return met.groupBy(F.col("src_row_id").alias("row_id")).agg(F.flatten(F.transform(runs, lambda r: r["d"])).alias("a"))
 
 
+#: Bytes of sums that a task keeps before it hands them on.
+HELD = 64 << 20
+
+
+def matrix(column: pa.Array, n: int) -> np.ndarray:
+    """An Arrow column of ``n`` lists of equal length as rows; null numbers are NaN."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(n, -1)
+
+
 def cross_products(rows: DataFrame, left: str = "a", right: str = "y") -> DataFrame:
     """(grp, k, j, s) of rows (grp, left, right), both arrays: sums over rows of left[k] * right[j], with k or j = -1 for ones and k = -2 for squares.
 
-    Each batch becomes one small matrix product for each group in it, and the partial sums are added up by
-    key with map-side combination: a group of any size is never gathered.
+    Each batch becomes one small matrix product for each group in it, added to that group's sum, which leaves the task at its end or
+    when its sums take HELD bytes; those are added up by key: a group of any size is never gathered.
     """
 
+    def out(held, kind):
+        for g, (s, yy, aa) in held.items():
+            p, q = len(aa), len(yy)
+            k, j = np.meshgrid(np.arange(-1, p), np.arange(-1, q), indexing="ij")
+            k, j = np.concatenate([k.ravel(), np.full(q, -2), np.arange(p)]), np.concatenate([j.ravel(), np.arange(q), np.full(p, -2)])
+            yield pa.RecordBatch.from_arrays([pa.array([g] * len(k), kind), pa.array(k, pa.int32()), pa.array(j, pa.int32()), pa.array(np.concatenate([s.ravel(), yy, aa]))], ["grp", "k", "j", "s"])
+
     def run(batches):
+        held, size, kind = {}, 0, None
         for b in batches:
             if not b.num_rows:
                 continue
-            grp = np.array(b.column(0).to_pylist(), dtype=object)
-            a, y = (np.array(b.column(i).to_pylist(), float).reshape(b.num_rows, -1) for i in (1, 2))
-            for g in dict.fromkeys(grp.tolist()):
-                at = grp == g
+            grp, kind = b.column(0).dictionary_encode(), b.schema.field(0).type
+            code, names = grp.indices.to_numpy(zero_copy_only=False), grp.dictionary.to_pylist()
+            a, y = matrix(b.column(1), b.num_rows), matrix(b.column(2), b.num_rows)
+            for i, g in enumerate(names):
+                at = code == i
                 x, z = np.c_[np.ones(at.sum()), a[at]], np.c_[np.ones(at.sum()), y[at]]
-                s = x.T @ z
-                k, j = np.meshgrid(np.arange(-1, a.shape[1]), np.arange(-1, y.shape[1]), indexing="ij")
-                ks, js, ss = [k.ravel(), np.full(y.shape[1], -2), np.arange(a.shape[1])], [j.ravel(), np.arange(y.shape[1]), np.full(a.shape[1], -2)], [s.ravel(), (y[at] ** 2).sum(0), (a[at] ** 2).sum(0)]
-                k, j, s = np.concatenate(ks), np.concatenate(js), np.concatenate(ss)
-                yield pa.RecordBatch.from_arrays([pa.array([g] * len(k), b.schema.field(0).type), pa.array(k, pa.int32()), pa.array(j, pa.int32()), pa.array(s)], ["grp", "k", "j", "s"])
+                new = [x.T @ z, (y[at] ** 2).sum(0), (a[at] ** 2).sum(0)]
+                if g in held:
+                    for s, m in zip(held[g], new):
+                        s += m
+                else:
+                    held[g] = new
+                    size += sum(m.nbytes for m in new)
+            if size > HELD:
+                yield from out(held, kind)
+                held, size = {}, 0
+        yield from out(held, kind)
 
     kind = dict(rows.dtypes)["grp"]
     return rows.select("grp", left, right).mapInArrow(run, f"grp {kind}, k int, j int, s double").groupBy("grp", "k", "j").agg(F.sum("s").alias("s"))
 
 
-def permuted_correlations(frame: DataFrame, perms: DataFrame, terms: list[str], use_norm: bool = True) -> DataFrame:
-    """(run, grp, term, feature, r), run 0 as observed; r null where a side does not vary."""
+def permuted_correlations(frame: DataFrame, perms: DataFrame, terms: list[str], use_norm: bool = True, runs: list[int] | None = None) -> DataFrame:
+    """(run, grp, term, feature, r), run 0 as observed; r null where a side does not vary. runs: those in ``perms``, if not 0, 1, ..."""
     rows = frame.select("row_id", "grp", "y").join(permuted_designs(frame, perms, terms), "row_id")
     s = cross_products(rows)
     n = s.filter("k = -1 and j = -1").select("grp", F.col("s").alias("n"))
@@ -56,7 +80,9 @@ def permuted_correlations(frame: DataFrame, perms: DataFrame, terms: list[str],
     r = cov / F.sqrt(vx * va) if use_norm else cov / F.sqrt(va)
     t = len(terms)
     name = F.element_at(F.array(*[F.lit(x) for x in terms]), (F.col("k") % t + 1).cast("int"))
-    return both.select(F.floor(F.col("k") / t).cast("int").alias("run"), "grp", name.alias("term"), F.col("j").alias("feature"), F.when((F.col("n") > 1) & (vx > least) & (va > 1e-12), r).alias("r"))
+    place = F.floor(F.col("k") / t).cast("int")
+    run = place if runs is None else F.element_at(F.array(*[F.lit(k) for k in sorted(runs)]), place + 1)
+    return both.select(run.alias("run"), "grp", name.alias("term"), F.col("j").alias("feature"), F.when((F.col("n") > 1) & (vx > least) & (va > 1e-12), r).alias("r"))
 
 
 def permutation_test(rows: DataFrame, side: str, runs: int, seed: int = 1) -> DataFrame:
