@@ -6,6 +6,7 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -122,12 +123,13 @@ def fit(docs: DataFrame, folds: int = 4, held: int = 2, per_lang: int = 600, mos
     """Learn from text and non-null lang of rows outside the held-out fold; every lang value there is learned.
 
     A sample of labelled rows by hash of doc_id: about ``per_lang`` rows a language, fewer where that makes more than
-    ``most_rows`` rows or ``most_bytes`` bytes of text in all (but, as far as bytes allow, one a language). The
-    texts go to the driver, so these bound its memory.
+    ``most_rows`` rows or ``most_bytes`` bytes of text in all. A language that this leaves without a row gets one: that of the least hash among its rows of at most
+    its even share of ``most_bytes``, or its shortest one if all are longer. The texts go to the driver, so these bound its memory.
     """
     spark = docs.sparkSession
     usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id"), folds) != held))
-    counts = [tuple(r) for r in usable.groupBy("lang").agg(F.count("*"), F.sum(F.octet_length("text").cast("bigint"))).collect()]  # one row a language
+    size = F.octet_length("text").cast("bigint")
+    counts = [tuple(r) for r in usable.groupBy("lang").agg(F.count("*"), F.sum(size)).collect()]  # one row a language
     if not counts:
         return Model([], np.zeros((BUCKETS, DIM), np.float32), np.zeros((DIM, 1), np.float32), np.zeros(1, np.float32), 1.0, 0.0)
     per_lang = max(1, min(per_lang, most_rows // len(counts)))
@@ -136,6 +138,13 @@ def fit(docs: DataFrame, folds: int = 4, held: int = 2, per_lang: int = 600, mos
     shares = spark.createDataFrame([(lang, share * less) for lang, share in shares], "lang string, share double")
     dice = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) / 1_000_000
     rows = usable.join(F.broadcast(shares), "lang").filter(dice < F.col("share")).select("text", "lang").toPandas()
+    lost = sorted({lang for lang, *_ in counts} - set(rows["lang"]))
+    if lost:
+        even = most_bytes // len(counts)
+        first = F.struct(F.greatest(size, F.lit(even)), dice, F.xxhash64("text"), F.xxhash64("text", F.lit(1)))
+        few = F.broadcast(spark.createDataFrame([(x,) for x in lost], "lang string"))
+        more = usable.join(few, "lang").groupBy("lang").agg(F.min_by("text", first).alias("text"))  # one text a language leaves each task
+        rows = pd.concat([rows, more.select("text", "lang").toPandas()])
     rows = rows.sort_values(["lang", "text"])  # the same model whatever order the rows came in
     return train(rows["text"].tolist(), rows["lang"].tolist())
 

@@ -187,6 +187,32 @@ def test_languages_equal_a_plain_version(spark):
     assert kept.columns == df.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == sorted(i or 0 for i, t, _ in rows if not plain(t)[2])
 
 
+def test_no_language_is_lost_to_a_small_share(spark):
+    """Bounds that leave far less than one row a language on average still leave one each, of bounded size."""
+    from pyspark.sql import functions as F
+
+    from fieldstat.llm import langid
+
+    seen, plain = [], langid.train
+    a, b, c = [i for i in range(5000, 5100) if zlib.crc32(str(i).encode()) % 4 != 2][:3]
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string"), F.when(F.col("id") % 10 == 1, F.repeat(F.lit(" long"), 2000)).otherwise("")).alias("text"), F.concat(F.lit("l"), F.floor(F.col("id") / 10).cast("string")).alias("lang"))
+    same = spark.createDataFrame([(a, f"one id {i}", "same") for i in range(50)] + [(b, "x" * 100_000, "only long"), (c, "y" * 90_000, "only long")], "doc_id bigint, text string, lang string")
+    rows = rows.union(same)
+    langid.train = lambda texts, langs: seen.append((texts, langs))
+    try:
+        langid.fit(rows, most_rows=300)
+        langid.fit(rows, most_bytes=30_000)
+        langid.fit(rows.repartition(7), most_bytes=30_000)
+    finally:
+        langid.train = plain
+    for texts, langs in seen:
+        assert len(set(langs)) == 302 and len(langs) < 700
+    assert seen[1] == seen[2]  # the same rows however they are dealt
+    texts, langs = seen[1]
+    assert sum(map(len, texts)) < 250_000 and sum(len(t) > 100 for t in texts) < 10  # of 3.2 million; languages without a drawn row give a short one
+    assert dict(zip(langs, texts))["only long"][0] == "y"
+
+
 def test_every_language_is_learned(spark):
     abc = "abcdefghijklmnopqrstuvwxyz"
     name = lambda k: (abc[k % 26] + abc[k // 26]) * 2
