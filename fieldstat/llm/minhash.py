@@ -48,27 +48,38 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return mix64((v * BAND_MULT).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
 
 
-def node_of(s: np.ndarray) -> int | None:
-    """A 64-bit name of a shingle set: equal sets, and only they but for hash collisions, share it."""
-    return int(np.frombuffer(xxhash.xxh3_64_digest(s.tobytes()), ">i8")[0]) if len(s) else None
+def node_of(s: np.ndarray, bits: int = 64) -> tuple[int | None, int | None]:
+    """A name of a shingle set in two halves, node and check: equal sets, and only they, share it. Of node ``bits`` bits are used."""
+    if not len(s):
+        return None, None
+    node, check = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), ">i8").tolist()
+    return node >> (64 - bits), check
 
 
-def _sign(batches):
-    hashes = worker_table("hashes", WordHash)
-    for b in small_batches(batches):
-        rows = []
-        for doc_id, text, h in zip(*(c.to_pylist() for c in b.columns)):
-            s = shingle_set(text, hashes)
-            rows.append((doc_id, h, len(s), node_of(s), band_keys(signature(s)).view(np.int64).tolist() if len(s) else None))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], ["doc_id", "h", "n_shingles", "node", "bands"])
+def _sign(bits: int):
+    def run(batches):
+        hashes = worker_table("hashes", WordHash)
+        for b in small_batches(batches):
+            rows = []
+            for doc_id, text, h in zip(*(c.to_pylist() for c in b.columns)):
+                s = shingle_set(text, hashes)
+                rows.append((doc_id, h, len(s), *node_of(s, bits), band_keys(signature(s)).view(np.int64).tolist() if len(s) else None))
+            types = (*[pa.int64()] * 5, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], ["doc_id", "h", "n_shingles", "node", "check", "bands"])
+
+    return run
 
 
-def _sets(batches):
-    hashes = worker_table("hashes", WordHash)
-    for b in small_batches(batches):
-        sets = [shingle_set(t, hashes) for t in b.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"])
+def _sets(bits: int):
+    def run(batches):
+        hashes = worker_table("hashes", WordHash)
+        for b in small_batches(batches):
+            sets = [shingle_set(t, hashes) for t in b.column(0).to_pylist()]
+            names = [node_of(s, bits) for s in sets]
+            cols = [*[pa.array([n[i] for n in names], pa.int64()) for i in (0, 1)], pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["node", "check", "hashes"])
+
+    return run
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -170,14 +181,14 @@ def _confirm_blocks(percent: int):
 BROADCAST_IDS = 500_000
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, chunk: int = 100) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, chunk: int = 100, bits: int = 64) -> DataFrame:
     """(doc_id, h, n_shingles, node, component_id, kept) for every row of ``docs`` (doc_id bigint, text string).
 
     h: the text's xxhash64; node: the shingle set's. Words: A-Z lower-cased, runs of ``[^\\x20\\x09-\\x0D]``. A document's set holds the hashes of its distinct
     5-word shingles; one of fewer words has its whole sequence as one shingle; null, empty or blank texts have
     an empty set (n_shingles 0) and stand alone. Documents are linked where
     100 * intersection >= percent * union, and component_id is the smallest doc_id reachable by links.
-    Equal sets are one node, so exact copies cost one row each. Rows that share a doc_id share a component
+    Equal sets are one node, so exact copies cost one row each; sets that share a node's ``bits`` bits but not its other 64 are told apart. Rows that share a doc_id share a component
     only if their texts link; a null doc_id is never a component's name unless all its ids are null.
     kept: the row has its component's id; where all ids are null, it has the text of the least h.
     Other columns, whatever their names, are not read. An empty table gives an empty table.
@@ -194,7 +205,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, chunk: int = 100) -> Dat
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
-    signed = scratch.write(docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(_sign, "doc_id bigint, h bigint, n_shingles bigint, node bigint, bands array<bigint>"), "signed")
+    signed = scratch.write(docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(_sign(bits), "doc_id bigint, h bigint, n_shingles bigint, node bigint, check bigint, bands array<bigint>"), "signed")
+    clash = signed.filter("node is not null").groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b")).filter("a <> b")
+    clash = scratch.write(clash.select(F.col("node").alias("c_node")), "clash")
+    clear = clash.isEmpty()
+
+    def named_apart(rows: DataFrame) -> DataFrame:
+        """Nodes that different sets share get a name from both halves."""
+        if clear:
+            return rows
+        both = rows.join(clash, F.col("node") == F.col("c_node"), "left")
+        return both.withColumn("node", F.when(F.col("c_node").isNotNull(), F.xxhash64("node", "check")).otherwise(F.col("node"))).drop("c_node")
+
+    if not clear:
+        signed = scratch.write(named_apart(signed), "signed-apart")
     names = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("h").alias("first_h"))
 
     # 2. buckets of several nodes; bands of equal sets are equal, so a node is one row in a bucket
@@ -206,7 +230,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, chunk: int = 100) -> Dat
     ids = scratch.write(names.join(wanted, "node").select("first_id").distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").select("text")
-    sets = scratch.write(texts.mapInArrow(_sets, "node bigint, hashes binary").dropDuplicates(["node"]).filter("node is not null"), "sets")
+    sets = named_apart(texts.mapInArrow(_sets(bits), "node bigint, check bigint, hashes binary").filter("node is not null"))
+    sets = scratch.write(sets.select("node", "hashes").dropDuplicates(["node"]), "sets")
 
     sizes = star.groupBy("leader").agg(F.ceil(F.count("*") / chunk).cast("int").alias("salts"))
     members = star.join(sizes, "leader").withColumn("salt", F.pmod(F.xxhash64("node"), "salts").cast("int"))

@@ -18,8 +18,9 @@ SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?=\s|$)\s*|\n\s*|[.!?]+)|[^.!?\n]+")
 LEAST_SENTENCES, LEAST_WORDS = 2, 20
 _M = 0x9E3779B97F4A7C15
 _M_INVERSE = pow(_M, -1, 2**64)
-_RUNS = "doc_id bigint, h bigint, n_sentences bigint, runs array<struct<key:bigint,first:int,last:int,again:boolean>>"
-_RUN_TYPE = pa.list_(pa.struct([("key", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("again", pa.bool_())]))
+#: A span's name has 96 bits, key and more: two of a million million different spans share one with a probability of 6e-6.
+_RUNS = "doc_id bigint, h bigint, n_sentences bigint, runs array<struct<key:bigint,more:int,first:int,last:int,again:boolean>>"
+_RUN_TYPE = pa.list_(pa.struct([("key", pa.int64()), ("more", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("again", pa.bool_())]))
 #: Repeated spans above which their lookup shuffles instead of broadcasting (some 16 bytes each).
 BROADCAST_SPANS = 500_000
 
@@ -36,27 +37,33 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def runs(parts: list[str], least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS):
-    """(keys, first, last) of the shortest sufficient span from each sentence on, and up to each sentence.
+    """(key, more, first, last) of the shortest sufficient span from each sentence on, and up to each sentence.
 
-    Equal spans (A-Z lower-cased, white space apart) have equal keys wherever they stand.
+    Equal spans (A-Z lower-cased, white space apart) have equal names (key, more) wherever they stand. Both parts come from sums over
+    independent hashes of the sentences, 64 bits each.
     """
     n = len(parts)
     if n < least_sentences:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
     words = [p.encode("utf-8", "surrogatepass").lower().split() for p in parts]
     sizes = np.fromiter(map(len, words), np.int64, n)
-    h = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(w)) for w in words), np.uint64, n)
+    both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(w)) for w in words), "<u8").reshape(n, 2)
     total = np.append(0, np.cumsum(sizes))
     s = np.arange(n)
     ahead = np.maximum(np.searchsorted(total, total[:-1] + least_words), s + least_sentences)
     behind = np.minimum(np.searchsorted(total, total[1:] - least_words, "right") - 1, s + 1 - least_sentences)
     first = np.concatenate([s[ahead <= n], behind[behind >= 0]])
     end = np.concatenate([ahead[ahead <= n], (s + 1)[behind >= 0]])
-    both = np.unique(first * (n + 1) + end)
-    first, end = both // (n + 1), both % (n + 1)
-    sums = np.append(np.uint64(0), np.cumsum(h * _powers(_M, n), dtype=np.uint64))
-    key = mix64((sums[end] - sums[first]) * _powers(_M_INVERSE, n)[first] + (end - first).astype(np.uint64))
-    return key.view(np.int64), first, end - 1
+    place = np.unique(first * (n + 1) + end)
+    first, end = place // (n + 1), place % (n + 1)
+    powers, back = _powers(_M, n), _powers(_M_INVERSE, n)[first]
+
+    def name(h):
+        sums = np.append(np.uint64(0), np.cumsum(h * powers, dtype=np.uint64))
+        return mix64((sums[end] - sums[first]) * back + (end - first).astype(np.uint64))
+
+    more = (name(both[:, 1]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return name(both[:, 0]).view(np.int64), more, first, end - 1
 
 
 def _find(least_sentences: int, least_words: int):
@@ -65,10 +72,11 @@ def _find(least_sentences: int, least_words: int):
             out = []
             for doc_id, h, text in zip(*(c.to_pylist() for c in b.columns)):
                 parts = sentences(text)
-                key, first, last = runs(parts, least_sentences, least_words)
+                key, more, first, last = runs(parts, least_sentences, least_words)
                 again = np.ones(len(key), bool)
-                again[np.unique(key, return_index=True)[1]] = False
-                out.append((doc_id, h, len(parts), [{"key": k, "first": f, "last": e, "again": a} for k, f, e, a in zip(key.tolist(), first.tolist(), last.tolist(), again.tolist())]))
+                again[np.unique(np.c_[key, more], axis=0, return_index=True)[1]] = False
+                each = zip(key.tolist(), more.tolist(), first.tolist(), last.tolist(), again.tolist())
+                out.append((doc_id, h, len(parts), [{"key": k, "more": m, "first": f, "last": e, "again": a} for k, m, f, e, a in each]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), _RUN_TYPE))], ["doc_id", "h", "n_sentences", "runs"])
 
     return run
@@ -107,10 +115,10 @@ def remove_repeats(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, leas
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     found = scratch.write(docs.mapInArrow(_find(least_sentences, least_words), _RUNS), "runs")
     each = found.select("doc_id", "h", F.inline("runs"))
-    firsts = each.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    firsts = each.groupBy("key", "more").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).filter("n > 1").drop("n")
     firsts = scratch.write(firsts, "firsts")
     # the first document is the smallest id; null only if no occurrence has one
-    spans = each.join(firsts, "key").filter(~F.col("doc_id").eqNullSafe(F.col("first_doc")) | F.col("again"))
+    spans = each.join(firsts, ["key", "more"]).filter(~F.col("doc_id").eqNullSafe(F.col("first_doc")) | F.col("again"))
     spans = spans.groupBy("doc_id", "h").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     spans = scratch.write(spans.withColumnsRenamed({"doc_id": "s_id", "h": "s_h"}), "spans")
     few = (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_SPANS

@@ -40,6 +40,13 @@ def test_near_duplicates_match_brute_force(spark):
         assert got == brute_near(awkward())
 
 
+def test_sets_that_share_a_short_name_are_told_apart(spark):
+    """With 3 bits of a node's name nearly every node is shared by different sets."""
+    rows = awkward() + [(100 + i, prose(60 + i, 40)) for i in range(20)]
+    got = table(minhash.near_duplicates(docs(spark, rows), bits=3), "doc_id", "n_shingles", "component_id")
+    assert got == brute_near(rows)
+
+
 def test_near_duplicates_lose_no_link_in_a_large_family(spark):
     """A family whose members mostly miss the threshold with each other: blocks of several chunks must find every link."""
     rng = random.Random(5)
@@ -228,3 +235,12 @@ def test_shortest_spans_remove_what_every_run_would(spark):
 def test_sentences_join_to_the_text():
     for _, t in awkward():
         assert "".join(spans.sentences(t)) == (t or "")
+
+
+def test_spans_that_share_the_first_half_of_their_name_are_told_apart(spark, monkeypatch):
+    key, more, first, last = spans.runs(spans.sentences(prose(1, 90) + " " + prose(1, 90)), 2, 20)
+    names = {}
+    for k, m, f, e in zip(key.tolist(), more.tolist(), first.tolist(), last.tolist()):
+        text = " ".join("".join(spans.sentences(prose(1, 90) + " " + prose(1, 90))[f : e + 1]).split())
+        assert names.setdefault((k, m), text) == text
+    assert 1 < len(names) < len(key) and len(set(more.tolist())) == len(names)
