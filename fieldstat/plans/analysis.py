@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import fisher_z, tidy
 from ..operators import clusters, frames, linalg, mixed
+from ..operators.bands import enhance_large
 from ..sources.files import read_tables
-from .catalogue import query
+from .catalogue import ORACLE, query
 from .data import CELLS, FEATURES, SHAPE, frame, long, tidy_sql
 from .model import FieldModel
 
@@ -67,6 +68,15 @@ def tfce_exact(spark, sf):
     return clusters.enhance(_maps(spark, sf), ["grp"], clusters.Graph.grid(SHAPE), e=2 / 3, h=2.0).withColumn("tfce", tidy(F.col("tfce")))
 
 
+@query("tfce_bands", None)
+def tfce_bands(spark, sf):
+    """As tfce_exact, a band of heights at a time."""
+    return enhance_large(_maps(spark, sf), ["grp"], clusters.grid_edges(spark, SHAPE), bands=3).withColumn("tfce", tidy(F.col("tfce")))
+
+
+ORACLE["tfce_bands"] = ORACLE["tfce_exact"]
+
+
 @query("tfce_step", f"""WITH RECURSIVE {GRID}, {MAPS}, s AS (SELECT grp, feature, abs(x) AS x FROM maps), m AS (SELECT grp, min(x) FILTER (x > 0) AS lo, max(x) AS hi FROM s GROUP BY grp),
 l AS (SELECT grp, i, lo + i * 0.05e0 AS lev FROM m, unnest(range(0, 1000)) AS t(i) WHERE i < ceil((hi + 0.05e0 - lo) / 0.05e0)),
 n AS (SELECT l.grp, i, lev, feature FROM l JOIN s ON s.grp = l.grp AND s.x >= lev),
@@ -103,6 +113,20 @@ def backproject(spark, sf):
     return linalg.backproject(c, fits).withColumns({"beta": tidy(F.col("beta"), 4), "t": tidy(F.col("t"), 4)})
 
 
+@query("svd_trials")
+def svd_trials(spark, sf):
+    """The eight largest components of all trials, whatever their number, by block iteration (held against a dense decomposition in the tests)."""
+    c = linalg.top_components(frame(spark, sf).select("y"), 8)
+    return c.withColumns({"s": tidy(F.col("s"), 4), "share": tidy(F.col("share")), "v": tidy(F.col("v"), 4)})
+
+
+@query("svd_trials_total", f"WITH {CELLS} SELECT {tidy_sql('sum(x * x)')} AS total FROM cells")
+def svd_trials_total(spark, sf):
+    """All squared singular values of the trials add up to the sum of squares."""
+    c = linalg.top_components(frame(spark, sf).select("y"), FEATURES).select("comp", "s").distinct()
+    return c.agg(tidy(F.sum(F.col("s") * F.col("s"))).alias("total"))
+
+
 @query("lmm_random_intercept")
 def lmm_random_intercept(spark, sf):
     """One mixed model for each feature on all rows of every subject, however many each has (held against dense fits, and the closed form of balanced data, in the tests)."""
@@ -124,8 +148,38 @@ def lmm_orders(spark, sf):
     return m.select("term", F.round("beta", 1).alias("beta"), F.round("t", 2).alias("t"))
 
 
-def _model(spark, sf):
-    return FieldModel(frame(spark, sf), "val ~ beh + cont + (1|subj)", shape=SHAPE, feat_nboot=200, feat_thresh=0.2)
+@query("lmm_crossed")
+def lmm_crossed(spark, sf):
+    """Values of events by part of the day, with crossed effects of users and kinds of event (held against dense fits in the tests)."""
+    e = read_tables(spark, sf, "events").select("user_id", "event_type", "value", (F.hour("ts") / 24.0).alias("day"))
+    m = mixed.fit_models(e, "value ~ day + (1|user_id) + (1|event_type)")
+    return m.select("term", F.round("beta", 3).alias("beta"), F.round("se", 3).alias("se"), F.round("var_resid", 2).alias("var_resid"))
+
+
+@query("lmm_slope_residuals")
+def lmm_slope_residuals(spark, sf):
+    """Residual sums of squares by subject and feature, from fits with random slopes and crossed items; all trials."""
+    x = long(spark, sf, "beh", "row_id").withColumn("item", F.col("row_id") % 25)
+    r = mixed.residuals(x, "x ~ beh + (beh|grp) + (1|item)", ["feature"])
+    return r.groupBy("grp", "feature").agg(F.count("*").alias("n"), F.round(F.sum(F.col("residual") * F.col("residual")), 2).alias("rss"))
+
+
+def _model(spark, sf, formula="val ~ beh + cont + (1|subj)"):
+    trials = frame(spark, sf)
+    return FieldModel(trials.withColumn("item", F.col("row_id") % 25), formula, shape=SHAPE, feat_nboot=200, feat_thresh=0.2)
+
+
+@query("pipeline_crossed")
+def pipeline_crossed(spark, sf):
+    """Corrected p-values by permutation where items cross the subjects; six runs and four more."""
+    m = _model(spark, sf, "val ~ beh + cont + (1|subj) + (1|item)").run_perms(6).run_perms(4)
+    return m.p_features().withColumn("p", F.round("p", 6))
+
+
+@query("pipeline_residual")
+def pipeline_residual(spark, sf):
+    """Corrected p-values by bootstraps without inner replicates: errors come from the residuals."""
+    return _model(spark, sf).run_boots(5, inner=0).p_features().withColumn("p", F.round("p", 6))
 
 
 @query("pipeline_perm")
