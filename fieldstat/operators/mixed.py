@@ -101,7 +101,8 @@ def _solved(df: DataFrame, formula: str, by: list[str], response: str | None, fa
         return out
 
     sums = level_sums(df, by, list(x.values()), [list(c.values()) for c in z], [F.col(g) for g in groups], F.col(y).cast("double"))
-    return sums.groupBy(*by).applyInPandas(solve, schema), df, f, x, z, by
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated: fits take long for few bytes, and would be put together
+    return sums.repartition(tasks, *by).groupBy(*by).applyInPandas(solve, schema), df, f, x, z, by
 
 
 def fit_models(df: DataFrame, formula: str, by: list[str] | None = None, response: str | None = None, factors=None) -> DataFrame:

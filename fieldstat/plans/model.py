@@ -28,6 +28,8 @@ from ..sources.ledger import RunLedger
 LOADINGS = 64 << 20
 #: Bytes of all correlations, as an array of doubles, up to which they are broadcast to the tasks of bootstrap runs.
 GATHERED = 256 << 20
+#: Tasks that the runs of a part are dealt to.
+MOST_TASKS = 64
 #: Levels of a random term's grouping column beside the subjects.
 MOST_LEVELS = 8_000
 #: A run's maps, by term and feature; feature -1: what the term's component fits add up to; feature -2: the sum of the singular values.
@@ -322,12 +324,14 @@ class FieldModel:
             return pd.DataFrame({"run": run, "comp": np.arange(len(s)), "s": s, "v": v.tolist(), "mask": [stable.any(0).tolist()] * len(s)})
 
         schema = "run int, comp int, s double, v array<double>, mask array<boolean>"
+        order = [p[0] for p in plan] if plan else sorted(row[0] for row in perms.select("run").distinct().collect())
+        tasks = min(len(order), MOST_TASKS)  # stated, as work isn't in proportion to bytes
         if slots is None:
 
             def one(key, pdf):
                 return decomposed(int(key[0]), cube_of(pdf["g"], pdf["k"], pdf["feature"], pdf["r"]))
 
-            comps = r.groupBy("run").applyInPandas(one, schema)
+            comps = r.repartition(tasks, "run").groupBy("run").applyInPandas(one, schema)
         else:
             runs = self.spark.createDataFrame([(i // 16, [p[0] for p in plan[i : i + 16]]) for i in range(0, len(plan), 16)], "part int, runs array<int>")
             if len(groups) * len(terms) * nf * 8 <= GATHERED:  # sent to each worker once, whatever the number of runs
@@ -337,7 +341,7 @@ class FieldModel:
                 def some(key, pdf):
                     return pd.concat([decomposed(int(k), whole.value[slots[int(k)]]) for k in pdf["runs"].iloc[0]])
 
-                comps = runs.groupBy("part").applyInPandas(some, schema)
+                comps = runs.repartition(tasks, "part").groupBy("part").applyInPandas(some, schema)
             else:  # every 16 runs get a copy, by a join on their number
 
                 def some(key, pdf):
@@ -346,10 +350,6 @@ class FieldModel:
 
                 comps = r.crossJoin(F.broadcast(runs)).groupBy("part").applyInPandas(some, schema)
         comps = comps.persist()
-        if plan:
-            order = [p[0] for p in plan]
-        else:
-            order = sorted(row[0] for row in perms.select("run").distinct().collect())
         total = self.total
         if total is None:
             total = comps.filter("run = 0").agg(F.sum("s")).first()[0] or 0.0
@@ -502,7 +502,7 @@ class FieldModel:
             ends = pd.DataFrame([(run, name, -1, float(betas[ok, m] @ share[ok]), float(ts[ok, m] @ share[ok]), None, None) for m, name in enumerate(x_names)], columns=list(maps.columns))
             return pd.concat([maps.astype({"mask": object, "rss": object}), ends])
 
-        return partial.groupBy("i").applyInPandas(fit, "run int, term string, feature int, beta double, t double, mask boolean, rss double")
+        return partial.repartition(min(len(order), MOST_TASKS), "i").groupBy("i").applyInPandas(fit, "run int, term string, feature int, beta double, t double, mask boolean, rss double")
 
     # -- results
 
