@@ -69,15 +69,17 @@ def random_points(spark: SparkSession, share: float, shape: tuple[int, int], see
     return spark.range(n).select(at.cast("int").alias("feature")).distinct()
 
 
-def trials(spark: SparkSession, subjects: int, observations: int, pattern: DataFrame, slope: float, slope_noise: bool = False, continuous: bool = False, items: float = 0.0, subject_noise: float = 0.0, field_noise: float = 1.0, seed: int = 1) -> DataFrame:
+def trials(spark: SparkSession, subjects: int, observations: int, pattern: DataFrame, slope: float, slope_noise: bool = False, continuous: bool = False, items: float = 0.0, subject_noise: float = 0.0, field_noise: float = 1.0, seed: int = 1, mod_cont: bool = True, over: DataFrame | None = None) -> DataFrame:
     """(row_id, subj, item, beh, cont, y): a balanced -0.5/0.5 condition, y an array over pattern (feature, signal).
 
     An odd number of observations is rounded down. Each item belongs to one condition. Subjects and items
     shift the intercepts (items and subject_noise scale them); with ``slope_noise`` subjects shift slopes
-    too, and then the slope of beh x cont is slope squared, else slope.
+    too, and then the slope of beh x cont is slope squared, else slope. mod_cont: False leaves cont out of the table, though with
+    ``continuous`` it shapes the values. over: rows (id, subj, item) of a given design instead of ``subjects`` times ``observations``.
     """
     n = observations // 2 * 2
-    rows = spark.range(subjects * n).select("id", (F.col("id") / n).cast("int").alias("subj"), (F.col("id") % n).cast("int").alias("item"))
+    made = spark.range(subjects * n).select("id", (F.col("id") / n).cast("int").alias("subj"), (F.col("id") % n).cast("int").alias("item"))
+    rows = made if over is None else over.select("id", "subj", "item")
     rows = rows.withColumn("beh", F.when(F.col("item") % 2 == 0, -0.5).otherwise(0.5)).withColumn("cont", normal(seed, F.lit("cont"), "id"))
 
     def noise(kind, key, scale, k):
@@ -93,7 +95,14 @@ def trials(spark: SparkSession, subjects: int, observations: int, pattern: DataF
     fields = F.array_sort(F.collect_list(F.struct("feature", "signal")))
     rows = rows.crossJoin(F.broadcast(pattern.agg(fields.alias("f"))))
     y = F.transform("f", lambda v: v["signal"] * F.col("signal_size") + normal(seed, F.lit("y"), "id", v["feature"]) * field_noise)
-    return rows.select(F.col("id").alias("row_id"), "subj", "item", "beh", "cont", y.alias("y"))
+    return rows.select(F.col("id").alias("row_id"), "subj", "item", "beh", *(["cont"] if mod_cont else []), y.alias("y"))
+
+
+def planted(frame: DataFrame, pattern: DataFrame, slope: float, condition: str = "beh") -> DataFrame:
+    """Given trials (y, an array over features) with slope * condition * signal added to each cell of ``pattern`` (feature, signal)."""
+    fields = F.array_sort(F.collect_list(F.struct("feature", "signal")))
+    rows = frame.crossJoin(F.broadcast(pattern.agg(F.transform(fields, lambda v: v["signal"]).alias("_f"))))
+    return rows.withColumn("y", F.zip_with("y", "_f", lambda v, s: v + s * slope * F.col(condition))).drop("_f")
 
 
 def field_summary(frame: DataFrame, pattern: DataFrame) -> DataFrame:

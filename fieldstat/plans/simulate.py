@@ -14,17 +14,19 @@ from ..operators.inference import fdr
 from .model import FieldModel
 
 
-def simulate(spark: SparkSession, subjects: int = 8, observations: int = 20, slope: float = 1.0, shape: tuple[int, int] = (8, 8), perms: int = 19, seed: int = 1, methods: tuple[str, ...] = ("field", "glm", "lmm")) -> DataFrame:
+def simulate(spark: SparkSession, subjects: int = 8, observations: int = 20, slope: float = 1.0, shape: tuple[int, int] = (8, 8), perms: int = 19, seed: int = 1, methods: tuple[str, ...] = ("field", "glm", "lmm"), noise: DataFrame | None = None) -> DataFrame:
     """(method, auc, rates at p <= 0.05, seconds): how well each method's map of beh finds the planted block.
 
     field: the whole analysis by permutation; glm: least squares within subjects, then a t over subjects; lmm:
-    one mixed model for each feature. The last two are corrected by false discovery rate.
+    one mixed model for each feature. The last two are corrected by false discovery rate. noise: given trials (row_id, grp, beh, y)
+    that the block is planted in, instead of ``subjects`` times ``observations`` generated ones.
     """
     import numpy as np
 
     field = generate.block_pattern(shape, shape[0] // 3, shape[1] // 3, np.ones((max(1, shape[0] // 3), max(1, shape[1] // 3))))
     pattern = generate.pattern_frame(spark, field)
-    data = generate.trials(spark, subjects, observations, pattern, slope, seed=seed).withColumnRenamed("subj", "grp").persist()
+    data = generate.trials(spark, subjects, observations, pattern, slope, seed=seed).withColumnRenamed("subj", "grp") if noise is None else generate.planted(noise, pattern, slope)
+    data = data.persist()
     truth, out = pattern.select("feature", (F.col("signal") != 0).alias("real")), None
     for method in methods:
         began = time.perf_counter()
@@ -37,7 +39,8 @@ def simulate(spark: SparkSession, subjects: int = 8, observations: int = 20, slo
             result = fdr(t.select(F.lit(0).alias("g"), "feature", "t", t_two_tailed(F.col("t"), (F.col("n") - 1).cast("int")).alias("p")), "p", ["g"]).select("feature", "t", F.col("q").alias("p"))
         elif method == "lmm":
             t = mixed.fit_models(cells(data, "beh"), "x ~ beh + (1|grp)", ["feature"]).filter("term = 'beh'")
-            df = subjects * (observations // 2 * 2) - subjects - 1
+            rows, groups = data.agg(F.count("*"), F.countDistinct("grp")).first()
+            df = rows - groups - 1
             result = fdr(t.select(F.lit(0).alias("g"), "feature", "t", t_two_tailed(F.col("t"), F.lit(df)).alias("p")), "p", ["g"]).select("feature", "t", F.col("q").alias("p"))
         else:
             raise ValueError(f"method {method!r}")

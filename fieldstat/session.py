@@ -33,9 +33,8 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir; where that is unset, a temporary one, in local mode alone."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir as a URI; where that is unset, a temporary one, in local mode alone."""
     if not spark.sparkContext.getCheckpointDir():
         folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
@@ -43,4 +42,10 @@ def kept(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="fieldstat-")
         spark.sparkContext.setCheckpointDir(folder)
+    return re.sub(r"^file:/+", "file:///", spark.sparkContext.getCheckpointDir())
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in :func:`shared_folder`."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

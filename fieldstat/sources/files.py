@@ -50,11 +50,11 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "path string, row bigint, y array<double>")
 
 
-def write_npy(df: DataFrame, folder: str, keys: list[str], y: str = "y") -> DataFrame:
-    """One ``.npy`` file for each row, named by the row's keys; (path, n) of the files.
+def write_each(df: DataFrame, folder: str, keys: list[str], y: str, encode, ending: str) -> DataFrame:
+    """One file for each row, named by the row's keys, its bytes ``encode`` of the array y; (path, n) of the files, n the array's length.
 
     folder: a URI that the executors share. A file is written beside its place and moved there, so it is whole or not there at all, and a
-    task run again writes the same bytes. Keys must tell rows apart; a null array is an empty file of no numbers.
+    task run again writes the same bytes. Keys must tell rows apart.
     """
     name = F.concat_ws("_", *[F.concat(F.lit(f"{k}-"), F.regexp_replace(F.coalesce(F.col(k).cast("string"), F.lit("null")), r"[^\w.-]", "_")) for k in keys])
 
@@ -64,18 +64,28 @@ def write_npy(df: DataFrame, folder: str, keys: list[str], y: str = "y") -> Data
         for b in batches:
             done = []
             for n, values in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                out, temp, a = io.BytesIO(), f"{root}/_{uuid.uuid4().hex}", np.array(values or [], float)
-                np.save(out, a, allow_pickle=False)
+                temp = f"{root}/_{uuid.uuid4().hex}"
                 with fs.open_output_stream(temp) as f:
-                    f.write(out.getvalue())
-                fs.move(temp, f"{root}/{n}.npy")
-                done.append((f"{root}/{n}.npy", len(a)))
+                    f.write(encode(values))
+                fs.move(temp, f"{root}/{n}{ending}")
+                done.append((f"{root}/{n}{ending}", len(values or [])))
             paths, sizes = zip(*done) if done else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["path", "n"])
 
     return df.select(name.alias("name"), F.col(y).cast("array<double>")).mapInArrow(run, "path string, n bigint")
 
 
+def write_npy(df: DataFrame, folder: str, keys: list[str], y: str = "y") -> DataFrame:
+    """One ``.npy`` file for each row, as :func:`write_each`; a null array is an empty file of no numbers."""
+
+    def encode(values):
+        out = io.BytesIO()
+        np.save(out, np.array(values or [], float), allow_pickle=False)
+        return out.getvalue()
+
+    return write_each(df, folder, keys, y, encode, ".npy")
+
+
 class _Plain(pickle.Unpickler):
     """Reads numbers, text, containers and numpy arrays; anything else in a file is an error, never run."""
 
