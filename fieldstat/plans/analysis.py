@@ -9,7 +9,7 @@ from ..operators import clusters, frames, linalg, mixed
 from ..operators.bands import enhance_large
 from ..sources.files import read_tables
 from .catalogue import ORACLE, query
-from .data import CELLS, FEATURES, SHAPE, frame, long, tidy_sql
+from .data import CELLS, FEATURES, SHAPE, Z, frame, long, tidy_sql
 from .model import FieldModel
 
 GRID = """edges AS (SELECT CAST(i AS INTEGER) AS src, CAST(i + 1 AS INTEGER) AS dst FROM unnest(range(0, 64)) AS t(i) WHERE i % 8 < 7
@@ -21,21 +21,37 @@ def _maps(spark, sf):
     return long(spark, sf, "beh").groupBy("grp", "feature").agg((F.avg("x") * 10).alias("x"))
 
 
-@query("grid_edges", f"WITH {GRID} SELECT src, dst FROM edges")
+def _steps(maps, edges):
+    """(grp, src, dst, step): how much a map falls along each edge."""
+    a, b = maps.select("grp", F.col("feature").alias("src"), F.col("x").alias("xa")), maps.select("grp", F.col("feature").alias("dst"), F.col("x").alias("xb"))
+    return a.join(edges, "src").join(b, ["grp", "dst"]).select("grp", "src", "dst", tidy(F.col("xa") - F.col("xb")).alias("step"))
+
+
+def _steps_sql(edges: str) -> str:
+    return f"SELECT a.grp, src, dst, {tidy_sql('a.x - b.x')} AS step FROM {edges} JOIN maps a ON a.feature = src JOIN maps b ON b.feature = dst AND b.grp = a.grp"
+
+
+@query("grid_edges", f"WITH {GRID}, {MAPS} {_steps_sql('edges')}")
 def grid_edges(spark, sf):
-    return clusters.grid_edges(spark, SHAPE)
+    """Each subject's map along the edges of the grid."""
+    return _steps(_maps(spark, sf), clusters.grid_edges(spark, SHAPE))
 
 
-@query("path_and_product_edges", f"WITH {GRID}, p AS (SELECT CAST(i AS INTEGER) AS src, CAST(i + 1 AS INTEGER) AS dst FROM unnest(range(0, 7)) AS t(i)) SELECT 'grid' AS kind, src, dst FROM edges UNION ALL SELECT 'path', src, dst FROM p")
+@query("path_and_product_edges", f"""WITH {GRID}, {MAPS}, p AS (SELECT CAST(i AS INTEGER) AS src, CAST(i + 1 AS INTEGER) AS dst FROM unnest(range(0, 7)) AS t(i))
+SELECT 'grid' AS kind, * FROM ({_steps_sql('edges')}) UNION ALL SELECT 'path', * FROM ({_steps_sql('p')})""")
 def path_and_product_edges(spark, sf):
-    p = clusters.path_edges(spark, 8)
-    return clusters.product_edges([p, p], [8, 8]).select(F.lit("grid").alias("kind"), "src", "dst").union(p.select(F.lit("path"), "src", "dst"))
+    """Each subject's map along a path, and along the grid that is the product of two paths."""
+    p, maps = clusters.path_edges(spark, 8), _maps(spark, sf)
+    grid, path = _steps(maps, clusters.product_edges([p, p], [8, 8])), _steps(maps, p)
+    return grid.select(F.lit("grid").alias("kind"), "*").union(path.select(F.lit("path"), "*"))
 
 
-@query("masked_edges", f"WITH {GRID} SELECT src, dst FROM edges WHERE src % 3 <> 0 AND dst % 3 <> 0")
+@query("masked_edges", f"WITH {GRID}, {MAPS}, keep AS (SELECT feature FROM maps GROUP BY feature HAVING avg(x) > 0), inside AS (SELECT src, dst FROM edges WHERE src IN (FROM keep) AND dst IN (FROM keep)) {_steps_sql('inside')}")
 def masked_edges(spark, sf):
-    keep = spark.range(FEATURES).select(F.col("id").cast("int").alias("feature")).filter("feature % 3 <> 0")
-    return clusters.inside(clusters.grid_edges(spark, SHAPE), keep)
+    """Edges among the features whose mean over subjects is positive."""
+    maps = _maps(spark, sf)
+    keep = maps.groupBy("feature").agg(F.avg("x").alias("m")).filter("m > 0").select("feature")
+    return _steps(maps, clusters.inside(clusters.grid_edges(spark, SHAPE), keep))
 
 
 LABELS = f"""WITH RECURSIVE {GRID}, {MAPS}, n AS (SELECT grp, feature, x FROM maps WHERE abs(x) >= 0.2e0),
@@ -106,11 +122,16 @@ def svd_total(spark, sf):
     return c.agg(tidy(F.sum(F.col("s") * F.col("s"))).alias("total"))
 
 
-@query("backproject")
+@query("backproject", f"""WITH {Z}, g AS (SELECT a.grp AS a, b.grp AS b, sum(a.z * b.z) AS g FROM z a JOIN z b USING (feature) GROUP BY a.grp, b.grp),
+m AS (SELECT g.b AS grp, z.feature, sum(g * z.z) AS t FROM g JOIN z ON z.grp = g.a GROUP BY g.b, z.feature)
+SELECT CAST(grp AS VARCHAR) AS term, feature, {tidy_sql('z')} AS beta, {tidy_sql('t')} AS t FROM z JOIN m USING (grp, feature)""")
 def backproject(spark, sf):
-    c = linalg.svd_components(_z(spark, sf))
-    fits = c.select("comp").distinct().select("comp", F.lit("beh").alias("term"), (F.col("comp") + 1.0).alias("beta"), (1 / (F.col("comp") + 1)).alias("t"))
-    return linalg.backproject(c, fits).withColumns({"beta": tidy(F.col("beta"), 4), "t": tidy(F.col("t"), 4)})
+    """Each subject's map from its loadings: as beta they give the map back, times s as t the map times the matrix's cross product, whatever the signs."""
+    z = _z(spark, sf)
+    c = linalg.svd_components(z)
+    fits = c.join(z, "feature").groupBy("comp", "s", F.col("row").cast("string").alias("term")).agg(F.sum(F.col("x") * F.col("v")).alias("beta"))
+    fits = fits.select("comp", "term", "beta", (F.col("beta") * F.col("s")).alias("t"))
+    return linalg.backproject(c, fits).withColumns({"beta": tidy(F.col("beta")), "t": tidy(F.col("t"))})
 
 
 @query("svd_trials")
@@ -203,9 +224,12 @@ def alpha_map(spark, sf):
     return clusters.alpha_map(_maps(spark, sf), ["grp"], clusters.Graph.grid(SHAPE), 0.1, table)
 
 
-@query("smoothed_maps")
+@query("smoothed_maps", f"""WITH {CELLS}, m AS (SELECT grp, feature, avg(x) AS x FROM cells GROUP BY grp, feature),
+k AS (SELECT d, exp(-0.5e0 * d * d) / sum(exp(-0.5e0 * d * d)) OVER () AS w FROM unnest(range(-4, 5)) AS t(d)),
+axis AS (SELECT i, CASE WHEN i + d < 0 THEN -1 - i - d WHEN i + d > 7 THEN 15 - i - d ELSE i + d END AS s, w FROM k, unnest(range(0, 8)) AS t(i))
+SELECT grp, CAST(a.i * 8 + b.i AS INTEGER) AS feature, {tidy_sql('sum(a.w * b.w * x)')} AS x FROM axis a, axis b, m WHERE m.feature = a.s * 8 + b.s GROUP BY grp, a.i, b.i""")
 def smoothed_maps(spark, sf):
-    """Maps smoothed along both axes (held against a direct convolution in the tests)."""
+    """Maps smoothed along both axes (also held against a direct convolution in the tests)."""
     from ..operators.frames import cells
 
     x = cells(clusters.smooth(frame(spark, sf).select("row_id", "grp", "y"), SHAPE, (1.0, 1.0)))
@@ -214,7 +238,43 @@ def smoothed_maps(spark, sf):
 
 @query("simulation")
 def simulation(spark, sf):
-    """Methods compared on generated trials with a known signal."""
+    """Methods compared on the table's trials, with a block of known signal planted in them."""
     from .simulate import simulate
 
-    return simulate(spark, shape=(6, 6), perms=5).drop("seconds")
+    return simulate(spark, shape=SHAPE, slope=0.1, perms=5, noise=frame(spark, sf).select("row_id", "grp", "beh", "y")).drop("seconds")
+
+
+@query("masked_volumes", f"""WITH {MAPS}, keep AS (SELECT feature FROM maps GROUP BY feature HAVING avg(x) > 0)
+SELECT grp, feature, {tidy_sql('x')} AS x FROM maps WHERE feature IN (FROM keep)""")
+def masked_volumes(spark, sf):
+    """Subjects' maps written as volumes of 4 x 4 x 4 to the shared folder, read back by slabs and masked by a volume of their mean."""
+    import uuid
+
+    import numpy as np
+
+    from ..session import kept, shared_folder
+    from ..sources import nifti
+
+    shape, folder, maps = (4, 4, 4), f"{shared_folder(spark)}/volumes-{uuid.uuid4().hex}", _maps(spark, sf)
+    mask = maps.groupBy("feature").agg(F.when(F.avg("x") > 0, 1.0).otherwise(0.0).alias("x")).withColumn("grp", F.lit("mask"))
+    rows = maps.select(F.col("grp").cast("string").alias("grp"), "feature", "x").unionByName(mask)
+    pairs = F.array_sort(F.collect_list(F.struct("feature", "x")))
+    rows = rows.groupBy("grp").agg(F.transform(pairs, lambda v: v["x"]).alias("y"))
+    nifti.write_volumes(rows, folder, ["grp"], shape, np.diag([4.0, 4.0, 4.0, 1.0])).foreach(lambda r: None)
+    v = nifti.read_volumes(spark, folder).withColumn("grp", F.regexp_extract("path", r"grp-(\w+)\.nii", 1))
+    out = nifti.in_mask(v.filter("grp <> 'mask'"), v.filter("grp = 'mask'"))
+    return kept(out.select(F.col("grp").cast("int").alias("grp"), "feature", tidy(F.col("value")).alias("x")))
+
+
+@query("resampled_volumes", f"""WITH {MAPS}, p AS (SELECT i * 9 + j * 3 + k AS feature, i * 1.5e0 AS x, j * 1.5e0 AS y, k * 1.5e0 AS z FROM unnest(range(0, 3)) AS a(i), unnest(range(0, 3)) AS b(j), unnest(range(0, 3)) AS c(k)),
+w AS (SELECT p.feature, CAST((a * 4 + b) * 4 + c AS INTEGER) AS source, (1 - abs(a - x)) * (1 - abs(b - y)) * (1 - abs(c - z)) AS w FROM p, unnest(range(0, 4)) AS d(a), unnest(range(0, 4)) AS e(b), unnest(range(0, 4)) AS f(c) WHERE abs(a - x) < 1 AND abs(b - y) < 1 AND abs(c - z) < 1)
+SELECT grp, CAST(w.feature AS INTEGER) AS feature, {tidy_sql('sum(w * x)')} AS x FROM w JOIN maps m ON m.feature = source GROUP BY grp, w.feature""")
+def resampled_volumes(spark, sf):
+    """Subjects' maps as volumes of 4 x 4 x 4 voxels of one unit, on a grid of 3 x 3 x 3 of one and a half."""
+    import numpy as np
+
+    from ..sources import nifti
+
+    cells = _maps(spark, sf).select(F.col("grp").alias("path"), F.lit(0).alias("t"), "feature", F.col("x").alias("value"))
+    r = nifti.resample(cells, (4, 4, 4), np.eye(4), (3, 3, 3), np.diag([1.5, 1.5, 1.5, 1.0]))
+    return r.select(F.col("path").alias("grp"), "feature", tidy(F.col("value")).alias("x"))

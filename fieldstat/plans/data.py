@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import columns
 from ..operators.frames import cells, model_frame
 from ..sources.files import read_tables
 
@@ -60,3 +61,31 @@ def p9_sql(t: str) -> str:
     """Two-tailed p for 9 degrees of freedom (ten subjects): the finite series written out."""
     th = f"atan(abs({t}) / 3e0)"
     return f"greatest(least(1 - 2 / pi() * ({th} + sin({th}) * (cos({th}) + 2e0 / 3 * pow(cos({th}), 3) + 8e0 / 15 * pow(cos({th}), 5) + 48e0 / 105 * pow(cos({th}), 7))), 1e0), 0e0)"
+
+
+def _horner(coefficients, x: str) -> str:
+    out = f"{coefficients[-1]!r}::DOUBLE"
+    for c in reversed(coefficients[:-1]):
+        out = f"({out} * {x} + {c!r}::DOUBLE)"
+    return out
+
+
+def quantile_sql(p: str) -> str:
+    """The normal quantile of the column p, strictly between 0 and 1."""
+    q, r = f"({p} - 0.5e0)", f"sqrt(-ln(least({p}, 1 - {p})))"
+    ratio = lambda a, b, x: f"{_horner(a, x)} / {_horner(b, x)}"
+    mid = ratio(columns._A, columns._B, f"(0.180625e0 - {q} * {q})")
+    near, far = ratio(columns._C, columns._D, f"({r} - 1.6e0)"), ratio(columns._E, columns._F, f"({r} - 5e0)")
+    return f"CASE WHEN abs({q}) <= 0.425e0 THEN {q} * {mid} WHEN {r} <= 5 THEN sign({q}) * {near} ELSE sign({q}) * {far} END"
+
+
+def one_sided_p_sql(t: str, df: str) -> str:
+    """One-sided p of t for whole degrees of freedom of any number: terms of the finite series from gamma functions; half the two-tailed p and machine epsilon, turned for t > 0."""
+    th = f"atan(abs({t}) / sqrt({df}))"
+    odd = "2 * k * ln(2e0) + 2 * lgamma(k + 1) - lgamma(2 * k + 2)"
+    even = "lgamma(2 * k + 1) - 2 * lgamma(k + 1) - 2 * k * ln(2e0)"
+    c2 = f"ln(cos({th}) * cos({th}))"
+    terms = lambda c, m: f"(1 + coalesce(list_sum(list_transform(range(1, CAST({m} AS BIGINT) + 1), lambda k: exp({c} + k * {c2}))), 0))"
+    inside = f"CASE WHEN {df} = 1 THEN 2 / pi() * {th} WHEN {df} % 2 = 1 THEN 2 / pi() * ({th} + sin({th}) * cos({th}) * {terms(odd, f'({df} - 3) // 2')}) ELSE sin({th}) * {terms(even, f'({df} - 2) // 2')} END"
+    half = f"(greatest(least(1 - ({inside}), 1e0), 0e0) / 2 + 2.220446049250313e-16)"
+    return f"CASE WHEN {t} > 0 THEN 1 - {half} ELSE {half} END"

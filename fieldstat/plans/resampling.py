@@ -9,7 +9,7 @@ from ..operators import frames, inference, resample
 from ..operators.permuted import permuted_correlations
 from ..sources.files import read_tables
 from .catalogue import query
-from .data import CELLS, frame, long, tidy_sql, z_sql, corr_sql
+from .data import CELLS, corr_sql, frame, long, one_sided_p_sql, quantile_sql, tidy_sql, z_sql
 
 RUNS = 20
 
@@ -163,15 +163,18 @@ def _two_samples(spark, sf):
     return permutation_test(x, "side", 10, seed=12)
 
 
-@query("permutation_test", f"""WITH {CELLS}, flat AS (SELECT 0 AS grp, row_id FROM emb), {_perm_sql('flat', 10, 12)},
+TWO_SAMPLES = f"""{CELLS}, flat AS (SELECT 0 AS grp, row_id FROM emb), {_perm_sql('flat', 10, 12)},
 px AS (SELECT p.run, e.beh, c.feature, c.x FROM perms p JOIN emb e ON e.row_id = p.row_id JOIN cells c ON c.row_id = p.src_row_id),
-s AS (SELECT run, feature, count(*) FILTER (beh < 0) AS na, count(*) FILTER (beh > 0) AS nb, avg(x) FILTER (beh < 0) AS ma, avg(x) FILTER (beh > 0) AS mb, var_samp(x) FILTER (beh < 0) AS va, var_samp(x) FILTER (beh > 0) AS vb FROM px GROUP BY run, feature)
-SELECT run, feature, {tidy_sql('(ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1e0 / na + 1e0 / nb))')} AS t, CAST(na + nb - 2 AS INTEGER) AS df FROM s""")
+s AS (SELECT run, feature, count(*) FILTER (beh < 0) AS na, count(*) FILTER (beh > 0) AS nb, avg(x) FILTER (beh < 0) AS ma, avg(x) FILTER (beh > 0) AS mb, var_samp(x) FILTER (beh < 0) AS va, var_samp(x) FILTER (beh > 0) AS vb FROM px GROUP BY run, feature),
+u AS (SELECT run, feature, (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1e0 / na + 1e0 / nb)) AS t, CAST(na + nb - 2 AS INTEGER) AS df FROM s)"""
+
+
+@query("permutation_test", f"WITH {TWO_SAMPLES} SELECT run, feature, {tidy_sql('t')} AS t, df FROM u")
 def permutation_test_query(spark, sf):
     """Two samples dealt anew over all rows."""
     return _two_samples(spark, sf).select("run", "feature", tidy(F.col("t")).alias("t"), "df")
 
 
-@query("permutation_test_z")
+@query("permutation_test_z", f"WITH {TWO_SAMPLES}, o AS (SELECT run, feature, {one_sided_p_sql('t', 'df')} AS p FROM u) SELECT run, feature, {tidy_sql(quantile_sql('p'))} AS z FROM o")
 def permutation_test_z(spark, sf):
     return _two_samples(spark, sf).select("run", "feature", tidy(F.col("z")).alias("z"))

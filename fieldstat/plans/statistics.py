@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import columns
 from ..functions.columns import average_rank, clamp, divisors, normal_quantile, pol2cart, t_two_tailed, tidy
 from ..operators import frames, linalg, scoring, tables
 from ..operators.inference import fdr, stable_features
@@ -12,7 +11,7 @@ from ..operators.resample import balanced_boots
 from ..sources.files import read_tables
 from ..streaming.running import running_moments
 from .catalogue import query
-from .data import CELLS, FEATURES, TMAP, Z, corr_sql, frame, long, p9_sql, tidy_sql
+from .data import CELLS, FEATURES, TMAP, Z, corr_sql, frame, long, one_sided_p_sql, p9_sql, quantile_sql, tidy_sql
 
 
 @query("group_corr_fisher_t", f"WITH {TMAP} SELECT feature, n, {tidy_sql('mean_z')} AS mean_z, {tidy_sql('t')} AS t FROM tmap")
@@ -91,9 +90,9 @@ def pooled_t(spark, sf):
     return t.select("feature", "df", tidy(F.col("t")).alias("t"))
 
 
-@query("one_sided_z")
+@query("one_sided_z", f"WITH {POOLED}, o AS (SELECT feature, {one_sided_p_sql('t', 'df')} AS p FROM p) SELECT feature, {tidy_sql(quantile_sql('p'))} AS z FROM o")
 def one_sided_z(spark, sf):
-    """Normal deviates of one-sided p-values (held against numerical integration in the tests)."""
+    """Normal deviates of one-sided p-values (also held against numerical integration in the tests)."""
     t = frames.pooled_t(long(spark, sf, "beh"), ["feature"], F.col("beh") < 0, "x")
     return t.select("feature", tidy(frames.one_sided_z(F.col("t"), F.col("df"))).alias("z"))
 
@@ -267,12 +266,14 @@ def error_rates(spark, sf):
     return scoring.error_rates(maps, pvals, truth, 0.05).select(tidy(F.col("tpr")).alias("tpr"), tidy(F.col("fpr")).alias("fpr"))
 
 
-@query("polar_and_divisors", """SELECT CAST(i AS INTEGER) AS i, round(2 * cos(radians(i * 15e0)), 6) + 0e0 AS x, round(2 * sin(radians(i * 15e0)), 6) + 0e0 AS y, CAST(i AS DOUBLE) AS z,
-array_to_string(list_filter(range(1, i + 1), lambda k: i % k = 0), ' ') AS divisors FROM unnest(range(1, 25)) AS t(i)""")
+@query("polar_and_divisors", """SELECT event_id, round((event_id % 7) * cos(radians(value * 3.6e0)), 6) + 0e0 AS x, round((event_id % 7) * sin(radians(value * 3.6e0)), 6) + 0e0 AS y, value AS z,
+array_to_string(list_filter(range(1, event_id % 24 + 2), lambda k: (event_id % 24 + 1) % k = 0), ' ') AS divisors FROM events""")
 def polar_and_divisors(spark, sf):
-    n = spark.range(1, 25).select(F.col("id").cast("int").alias("i"))
-    x, y, z = pol2cart(F.col("i") * 15.0, F.lit(2.0), F.col("i").cast("double"), radians=False)
-    p = n.select("i", x, y, z, F.array_join(F.transform(divisors(F.col("i")), lambda v: v.cast("string")), " ").alias("divisors"))
+    """Events placed on circles by their value, and the divisors of a number of each."""
+    e = read_tables(spark, sf, "events")
+    x, y, z = pol2cart(F.col("value") * 3.6, (F.col("event_id") % 7).cast("double"), F.col("value"), radians=False)
+    number = (F.col("event_id") % 24 + 1).cast("int")
+    p = e.select("event_id", x, y, z, F.array_join(F.transform(divisors(number), lambda v: v.cast("string")), " ").alias("divisors"))
     return p.withColumns({"x": tidy(F.col("x")), "y": tidy(F.col("y"))})
 
 
@@ -294,23 +295,13 @@ def gram_matrix(spark, sf):
     return linalg.gram(z, "grp", "feature", "z").select("a", "b", tidy(F.col("g")).alias("g"))
 
 
-def _horner(coefficients, x: str) -> str:
-    out = f"{coefficients[-1]!r}::DOUBLE"
-    for c in reversed(coefficients[:-1]):
-        out = f"({out} * {x} + {c!r}::DOUBLE)"
-    return out
-
-
-def _ratio(a: str, b: str, x: str) -> str:
-    return f"{_horner(getattr(columns, a), x)} / {_horner(getattr(columns, b), x)}"
-
-
-@query("normal_quantiles", f"""WITH p AS (SELECT i / 100e0 AS p, i / 100e0 - 0.5e0 AS q, sqrt(-ln(least(i / 100e0, 1 - i / 100e0))) AS r FROM unnest(range(1, 100)) AS t(i)),
-m AS (SELECT *, 0.180625e0 - q * q AS mid, r - 1.6e0 AS near FROM p)
-SELECT p, {tidy_sql(f"CASE WHEN abs(q) <= 0.425e0 THEN q * {_ratio('_A', '_B', 'mid')} ELSE sign(q) * {_ratio('_C', '_D', 'near')} END")} AS z FROM m""")
+@query("normal_quantiles", f"""WITH p AS (SELECT user_id, (count(*) FILTER (event_type = 'click') + 0.5e0) / (count(*) + 1) AS p FROM events GROUP BY user_id)
+SELECT user_id, round(p, 9) AS p, {tidy_sql(quantile_sql('p'))} AS z FROM p""")
 def normal_quantiles(spark, sf):
-    """Quantiles at the percents (held against the standard library in the tests)."""
-    return spark.range(1, 100).select((F.col("id") / 100).alias("p"), tidy(normal_quantile(F.col("id") / 100)).alias("z"))
+    """The normal deviate of each user's share of clicks, half a click added (the quantile is held against the standard library in the tests)."""
+    share = (F.count(F.when(F.col("event_type") == "click", 1)) + 0.5) / (F.count("*") + 1)
+    p = read_tables(spark, sf, "events").groupBy("user_id").agg(share.alias("p"))
+    return p.select("user_id", F.round("p", 9).alias("p"), tidy(normal_quantile(F.col("p"))).alias("z"))
 
 
 @query("roc_at_values", f"""WITH s AS (SELECT lang, n_chars AS thr, quality = 1 AS y FROM documents JOIN labels USING (doc_id)), a AS (SELECT lang, thr, count(*) FILTER (y) AS p, count(*) FILTER (NOT y) AS n FROM s GROUP BY lang, thr)

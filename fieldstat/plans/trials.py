@@ -9,7 +9,7 @@ from ..functions.columns import tidy
 from ..operators import generate, tables
 from ..sources.files import read_tables
 from .catalogue import query
-from .data import FEATURES, TMAP, p9_sql, tidy_sql
+from .data import CELLS, FEATURES, TMAP, long, p9_sql, quantile_sql, tidy_sql
 
 
 def _events(spark, sf):
@@ -94,7 +94,6 @@ def threshold_scatter(spark, sf):
     """A masked map put back on the grid, and what passes the threshold."""
     from ..functions.columns import t_two_tailed
     from ..operators.frames import fisher_t, group_correlations
-    from .data import long
 
     t = fisher_t(group_correlations(long(spark, sf, "beh"), ["beh"])).filter("feature % 3 <> 0")
     t = t.select("feature", "t", t_two_tailed(F.col("t"), (F.col("n") - 1).cast("int")).alias("p"))
@@ -107,36 +106,46 @@ _RECTANGLES += [(name, y, x, h, w) for name, (ys, xs, h, w) in generate.LATTICE.
 _PICTURES = ", ".join(f"('{name}', '{text.strip()}')" for name, text in generate.PLACED.items())
 
 
-@query("hide_blobs", f"""WITH r AS (SELECT * FROM (VALUES {", ".join(map(str, _RECTANGLES))}) AS t(name, y, x, h, w)),
+@query("hide_blobs", f"""WITH {CELLS}, m AS (SELECT grp, feature, avg(x) AS x FROM cells GROUP BY grp, feature), r AS (SELECT * FROM (VALUES {", ".join(map(str, _RECTANGLES))}) AS t(name, y, x, h, w)),
 p AS (SELECT name, string_split(text, chr(10)) AS lines FROM (VALUES {_PICTURES}) AS t(name, text)),
 l AS (SELECT name, i, string_split(lines[i + 1], ' ') AS cells FROM p, unnest(range(0, len(lines))) AS t(i)),
 c AS (SELECT name, i, j, CAST(cells[j + 1] AS DOUBLE) AS signal FROM l, unnest(range(0, len(cells))) AS t(j)),
 g AS (SELECT 'final' AS name, 5 * half + dy AS i, 4 * k + dx AS j, (1 - 2 * half) * (k + 1) / 6e0 AS signal
-      FROM unnest(range(0, 2)) AS a(half), unnest(range(0, 6)) AS b(k), unnest(range(0, 3)) AS c(dy), unnest(range(0, 2)) AS d(dx))
-SELECT name, CAST(y + dy AS INTEGER) AS i, CAST(x + dx AS INTEGER) AS j, 1e0 AS signal FROM r, unnest(range(0, h)) AS t(dy), unnest(range(0, w)) AS u(dx)
+      FROM unnest(range(0, 2)) AS a(half), unnest(range(0, 6)) AS b(k), unnest(range(0, 3)) AS c(dy), unnest(range(0, 2)) AS d(dx)),
+s AS (SELECT name, CAST(y + dy AS INTEGER) AS i, CAST(x + dx AS INTEGER) AS j, 1e0 AS signal FROM r, unnest(range(0, h)) AS t(dy), unnest(range(0, w)) AS u(dx)
 UNION ALL SELECT name, CAST(i AS INTEGER), CAST(j AS INTEGER), signal FROM c WHERE signal <> 0
-UNION ALL SELECT name, CAST(i AS INTEGER), CAST(j AS INTEGER), {tidy_sql('signal')} FROM g""")
+UNION ALL SELECT name, CAST(i AS INTEGER), CAST(j AS INTEGER), signal FROM g)
+SELECT grp, name, i, j, {tidy_sql('x + signal')} AS x FROM s JOIN m ON m.feature = i % 8 * 8 + j % 8""")
 def hide_blobs(spark, sf):
-    """The signal cells of every named pattern."""
+    """The signal cells of every named pattern, hidden in each subject's mean map, which repeats over the field."""
     out = None
     for name in [*generate.CENTRAL, *generate.LATTICE, *generate.PLACED, "final"]:
-        one = generate.pattern_frame(spark, generate.named_pattern(name)).filter("signal <> 0").select(F.lit(name).alias("name"), "i", "j", tidy(F.col("signal")).alias("signal"))
+        one = generate.pattern_frame(spark, generate.named_pattern(name)).filter("signal <> 0").select(F.lit(name).alias("name"), "i", "j", "signal")
         out = one if out is None else out.union(one)
-    return out
+    m = long(spark, sf, "beh").groupBy("grp", "feature").agg(F.avg("x").alias("x"))
+    hidden = out.withColumn("feature", F.col("i") % 8 * 8 + F.col("j") % 8).join(m, "feature")
+    return hidden.select("grp", "name", "i", "j", tidy(F.col("x") + F.col("signal")).alias("x"))
 
 
-@query("synth_data")
+def _design(spark, sf):
+    """The table's trials as a design: subject and one of 25 items."""
+    e = read_tables(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), F.col("label").alias("subj"), (F.col("vec_id") % 25).cast("int").alias("item"))
+
+
+@query("synth_data", f"""WITH {CELLS}, f AS (SELECT feature, sign(avg(x)) AS signal FROM cells GROUP BY feature),
+u AS (SELECT grp AS subj, CASE WHEN row_id % 25 % 2 = 0 THEN -0.5e0 ELSE 0.5e0 END AS beh, feature, signal, (CAST('0x' || substr(md5('9-y-' || row_id || '-' || feature), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0 AS p FROM emb, f)
+SELECT subj, beh, feature, {tidy_sql(f"avg(signal * beh * 2 + ({quantile_sql('p')}))")} AS mean FROM u GROUP BY subj, beh, feature""")
 def synth_data(spark, sf):
-    """Generated trials: mean of each condition by subject and feature."""
-    pattern = generate.pattern_frame(spark, generate.block_pattern((8, 8), 2, 2, generate.np.ones((3, 3))))
-    x = generate.trials(spark, 8, 50, pattern, slope=2.0, seed=9)
+    """Trials generated for the table's subjects and items, with the signs of its mean map as signal: mean of each condition."""
+    pattern = long(spark, sf, "beh").groupBy("feature").agg(F.signum(F.avg("x")).alias("signal"))
+    x = generate.trials(spark, 0, 0, pattern, slope=2.0, seed=9, over=_design(spark, sf))
     cells = x.select("subj", "beh", F.posexplode("y").alias("feature", "x"))
     return cells.groupBy("subj", "beh", "feature").agg(tidy(F.avg("x")).alias("mean"))
 
 
-@query("synth_design", """WITH r AS (SELECT id, CAST(id // 10 AS INTEGER) AS subj, CAST(id % 10 AS INTEGER) AS item FROM unnest(range(0, 80)) AS t(id))
-SELECT id AS row_id, subj, item, CASE WHEN item % 2 = 0 THEN -0.5e0 ELSE 0.5e0 END AS beh FROM r""")
+@query("synth_design", """SELECT vec_id AS row_id, label AS subj, CAST(vec_id % 25 AS INTEGER) AS item, CASE WHEN vec_id % 25 % 2 = 0 THEN -0.5e0 ELSE 0.5e0 END AS beh FROM embeddings""")
 def synth_design(spark, sf):
-    """An odd number of observations is rounded down, each item has one condition."""
+    """The design of trials over given rows: each item has one condition; a hidden continuous predictor stays out of the table."""
     pattern = generate.pattern_frame(spark, generate.np.ones((1, 1)))
-    return generate.trials(spark, 8, 11, pattern, slope=1.0).select("row_id", "subj", "item", "beh")
+    return generate.trials(spark, 0, 0, pattern, slope=1.0, continuous=True, mod_cont=False, over=_design(spark, sf)).drop("y")

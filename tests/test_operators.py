@@ -280,3 +280,16 @@ def test_histogram_pvalues_of_ties_nulls_and_nothing(spark):
         got = {r["i"]: r["p"] for r in inference.histogram_pvalue(df, null, tail).collect()}
         assert got == {i: ((0 if t is None else count(t)) + 1) / 9 for i, t in stats}
     assert {r["p"] for r in inference.histogram_pvalue(df, null.limit(0), 0).collect()} == {1.0}
+
+
+def test_a_hidden_predictor_stays_out_and_patterns_are_planted_in_given_trials(spark):
+    pattern = generate.pattern_frame(spark, np.array([[1.0, 0.0], [0.0, -2.0]]))
+    given = spark.createDataFrame([(7, "a", 3), (9, "b", 4)], "id bigint, subj string, item int")
+    kw = dict(slope=1.0, continuous=True, field_noise=0.0, seed=2, over=given)
+    shown, hidden = (generate.trials(spark, 0, 0, pattern, mod_cont=m, **kw).orderBy("row_id").collect() for m in (True, False))
+    assert [r["y"] for r in shown] == [r["y"] for r in hidden] and [r["beh"] for r in shown] == [0.5, -0.5]
+    assert "cont" in shown[0].asDict() and "cont" not in hidden[0].asDict() and hidden[0]["subj"] == "a"
+    assert all(abs(r["y"][0] - (r["beh"] + r["cont"] + r["beh"] * r["cont"])) < 1e-12 for r in shown)
+    rows = spark.createDataFrame([(1, 0.5, [1.0, 2.0, 3.0, 4.0]), (2, -0.5, [0.0, 0.0, 0.0, None]), (3, 0.5, None)], "row_id int, beh double, y array<double>")
+    got = {r["row_id"]: r["y"] for r in generate.planted(rows, pattern, 10.0).collect()}
+    assert got == {1: [6.0, 2.0, 3.0, -6.0], 2: [-5.0, 0.0, 0.0, None], 3: None}
