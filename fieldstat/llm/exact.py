@@ -22,6 +22,8 @@ ROCKS = {
 BROADCAST_DIGESTS = 200_000
 #: Records of such texts above which their places are shuffled instead of broadcast (about 120 bytes each).
 BROADCAST_HITS = 200_000
+#: Files up to which a lookup names those to open; where its rows lie in more, files are told apart by the join alone.
+NAMED_FILES = 2000
 
 
 def normalised(text: Column) -> Column:
@@ -59,30 +61,49 @@ def read_state(spark: SparkSession, state: str) -> DataFrame:
 
 
 def located(docs: DataFrame) -> DataFrame | None:
-    """doc_id, text, file (a hash of its path) and row of every row, where ``docs`` is read from files; else None."""
+    """doc_id, text, path, file (a hash of the path) and row of every row, where ``docs`` is read from files; else None."""
     if "_metadata" in docs.columns:
         return None
     try:
-        return docs.select("doc_id", "text", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        path = F.col("_metadata.file_path")
+        return docs.select("doc_id", "text", path.alias("path"), F.xxhash64(path).alias("file"), F.col("_metadata.row_index").alias("row"))
     except AnalysisException:
         return None
 
 
-def collided(docs: DataFrame, light: DataFrame, repeated: DataFrame, digest) -> DataFrame:
+def paths_of(docs: DataFrame) -> DataFrame:
+    """(file, path) of the files of located ``docs``: what a place's file, a short number in the state, is called. Reads no text."""
+    return docs.select("file", "path").distinct()
+
+
+def opened(docs: DataFrame, places: DataFrame, files: DataFrame) -> DataFrame:
+    """``places`` (at_file, at_row and other columns) with text, the content at each place.
+
+    docs: located; files: as :func:`paths_of`. Only the files that the places lie in are opened, where they are NAMED_FILES at most: Spark
+    leaves the others out when it lists files, by their path. Places without a file, or that ``docs`` hasn't, are not returned.
+    """
+    named = [r["path"] for r in files.join(places.select(F.col("at_file").alias("file")).distinct(), "file", "left_semi").select("path").limit(NAMED_FILES + 1).collect()]
+    if len(named) <= NAMED_FILES:
+        docs = docs.filter(F.col("path").isin(named) if named else F.lit(False))
+    few = places.limit(BROADCAST_HITS + 1).count() <= BROADCAST_HITS
+    there = (F.col("file") == F.col("at_file")) & (F.col("row") == F.col("at_row"))
+    return docs.select("file", "row", "text").join(F.broadcast(places) if few else places, there).select(*places.columns, "text")
+
+
+def collided(docs: DataFrame, light: DataFrame, repeated: DataFrame, digest, files: DataFrame | None = None) -> DataFrame:
     """Digests that name several different texts: the bytes behind every record of a repeated digest are compared in full.
 
-    docs: doc_id, text, file, row; light: the records, with the place (file, row) of each. The texts are looked up
-    by place, so only they are normalised; where records have no place, by digest. Grouping by (digest, text)
-    compares the bytes of each hit with those of its group, first within a task, so a text copied any number
-    of times leaves a task once.
+    docs: doc_id, text, and if they are located path, file, row; light: the records, with the place (file, row) of each; files: as
+    :func:`paths_of`. The texts are opened by place, so only they are normalised; where records have no place, by digest. Grouping by
+    (digest, text) compares the bytes of each hit with those of its group, first within a task, so a text copied any number of times
+    leaves a task once.
     """
     few = repeated.count() <= BROADCAST_DIGESTS
     hits = light.join(F.broadcast(repeated) if few else repeated, "digest", "left_semi")
     hits = hits.select("digest", F.col("record.place.file").alias("at_file"), F.col("record.place.row").alias("at_row"))
     t = normalised(F.col("text")).alias("t")
-    if hits.filter("at_file IS NULL OR at_row IS NULL").isEmpty():
-        few = hits.count() <= BROADCAST_HITS
-        texts = docs.join(F.broadcast(hits) if few else hits, (F.col("file") == F.col("at_file")) & (F.col("row") == F.col("at_row"))).select("digest", t)
+    if files is not None and hits.filter("at_file IS NULL OR at_row IS NULL").isEmpty():
+        texts = opened(docs, hits, files).select("digest", t)
     else:
         texts = docs.select(t).withColumn("digest", digest(F.col("t"))).join(F.broadcast(repeated) if few else repeated, "digest", "left_semi")
     return texts.groupBy("digest", "t").count().groupBy("digest").count().filter("count > 1").select("digest")
@@ -94,8 +115,8 @@ def exact_duplicates(docs: DataFrame, digest=sha256) -> DataFrame:
     h: the text's xxhash64. Texts are equal when identical after deleting every character of ``[\\x20\\x09-\\x0D]``; null counts as
     empty. Of equal texts the row with the most code points in its original text, then the smallest doc_id,
     stays; a null doc_id loses to any other. Repeated rows (same doc_id, same text) all name that doc_id and
-    all count in group_size. A record's place is the file and row of its content, where ``docs`` is read from files;
-    hits are looked up there and compared byte by byte. Extra columns are not read. An empty table gives an empty table.
+    all count in group_size. A record's place is the file and row of its content, where ``docs`` is read from files; a table
+    beside the state holds the files' paths. Hits are opened there, and compared byte by byte. Extra columns are not read. An empty table gives an empty table.
 
     Where two different texts share a digest, the texts themselves become the key for that digest.
     """
@@ -110,9 +131,11 @@ def exact_duplicates(docs: DataFrame, digest=sha256) -> DataFrame:
     if light.isEmpty():
         scratch.drop()
         return light.selectExpr("doc_id", "h", "doc_id AS keep_id", "0L AS group_size", "true AS kept", "text_sha256").limit(0)
+    files = None if placed is None else scratch.write(paths_of(placed), "files")
     run_stream(spark, scratch.path("records"), light.schema, scratch.path("state"))
-    state = scratch.write(read_state(spark, scratch.path("state")).drop("place"), "held")
-    clash = scratch.write(collided(docs, light, state.filter("group_size > 1").select("digest"), digest), "clash")
+    state = scratch.write(read_state(spark, scratch.path("state")), "held")
+    clash = scratch.write(collided(docs, light, state.filter("group_size > 1").select("digest"), digest, files), "clash")
+    state = state.drop("place")
     out = light.join(state, "digest")
     if not clash.isEmpty():  # the digest is extended by the text for these
         out = out.join(clash, "digest", "left_anti")

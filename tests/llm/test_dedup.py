@@ -1,7 +1,8 @@
-import numpy as np
 import hashlib
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from fieldstat.llm import exact, minhash, spans
@@ -166,6 +167,26 @@ def test_hits_are_read_at_their_place(spark, tmp_path):
     assert [r["doc_id"] for r in again] == [14]
 
 
+def test_only_files_with_hits_are_opened(spark, tmp_path, monkeypatch):
+    """Files without a repeated text are spoilt once the records are written: hits are still opened, by the path their place names."""
+    parts = [[(1, "a b"), (2, "c")], [(3, "ab"), (4, "d")], [(5, "e")]]
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/d/part={i}")
+    df = exact.located(spark.read.schema("doc_id bigint, text string, part int").parquet(f"{tmp_path}/d"))
+    files = spark.createDataFrame([tuple(r) for r in exact.paths_of(df).collect()], "file bigint, path string")
+    assert files.count() == 3
+    places = spark.createDataFrame([(r["doc_id"], r["file"], r["row"]) for r in df.collect()], "doc_id bigint, at_file bigint, at_row bigint")
+    for f in (tmp_path / "d" / "part=2").glob("*.parquet"):
+        f.write_bytes(b"spoilt" * 100)
+    hits = places.filter("doc_id IN (1, 3)")
+    assert sorted((r["doc_id"], r["text"]) for r in exact.opened(df, hits, files).collect()) == [(1, "a b"), (3, "ab")]
+    assert exact.opened(df, hits.limit(0), files).count() == 0
+    assert exact.opened(df, spark.createDataFrame([(9, None, 0), (8, 5, 0)], places.schema), files).count() == 0
+    monkeypatch.setattr(exact, "NAMED_FILES", 1)
+    with pytest.raises(Exception, match="(?i)parquet"):  # too many to name: all are looked through
+        exact.opened(df, hits, files).collect()
+
+
 def test_ids_at_the_ends_of_their_range(spark):
     """The least and the largest id beside null ids of the same text."""
     rows = [(-(2**63), prose(1, 60)), (None, prose(1, 60)), (2**63 - 1, prose(2, 60)), (None, prose(2, 60)), (2**63 - 1, None), (None, None)]
