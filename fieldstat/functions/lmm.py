@@ -117,6 +117,61 @@ def fit_one_factor(zz, zx, zy, xx, xy, yy: float, n: int) -> Fit | None:
     return Fit(beta, se, beta / se, s2, [s2 * low @ low.T], -d / 2, [modes[..., 0]], theta)
 
 
+def fit_sizes(sizes, counts, outer, whole, n: int, rest: list[tuple[int, int]] | None = None, place: int = 0) -> Fit | None:
+    """A random intercept from sums over all levels of one size, so that nothing grows with its levels; beside it other terms of few levels.
+
+    A level's share in the likelihood depends on its number of rows and on squares of its sums v over the columns [of the levels of ``rest``, x, y].
+    sizes: the numbers of rows that occur; counts: levels of each size; outer: sizes x k x k, the sums of v v' over these levels; whole: k x k cross
+    products of all rows; n: rows; rest: (levels, columns) of the other terms; place: of the intercept among the terms. Its own modes are None.
+    """
+    sizes, counts, rest = np.asarray(sizes, float), np.asarray(counts, float), rest or []
+    d = sum(k * q for k, q in rest)
+    p = len(whole) - d - 1
+    if n <= p or np.linalg.matrix_rank(whole[d:-1, d:-1]) < p:
+        return None
+    shapes = [*rest[:place], None, *rest[place:]]
+    widths = [s[1] if s else 1 for s in shapes]
+    cuts = np.cumsum([0, *[q * (q + 1) // 2 for q in widths]])
+
+    def at(theta):
+        lows = [_lower(theta[a:b], q) for q, a, b in zip(widths, cuts[:-1], cuts[1:])]
+        v = float(lows[place][0, 0]) ** 2
+        s = whole - np.tensordot(v / (1 + v * sizes), outer, 1)
+        logdet, right, low, first = (counts * np.log1p(v * sizes)).sum(), s[d:, d:], np.zeros((d, d)), 0
+        for shape, own in zip(shapes, lows):
+            if shape:
+                k = shape[0] * shape[1]
+                low[first : first + k, first : first + k] = np.kron(np.eye(shape[0]), own)
+                first += k
+        c = np.linalg.cholesky(np.eye(d) + low.T @ s[:d, :d] @ low)
+        if d:
+            a = np.linalg.solve(c, low.T @ s[:d, d:])
+            logdet, right = logdet + 2 * np.log(np.diag(c)).sum(), right - a.T @ a
+        return *_finish(right[:p, :p], right[:p, p], right[p, p], logdet, n), lows, low, c, s
+
+    def dev(theta):
+        try:
+            return at(theta)[0]
+        except np.linalg.LinAlgError:
+            return np.inf
+
+    if cuts[-1] == 1:
+        theta = _golden(lambda v: dev(np.array([v])))
+    else:
+        theta = minimise(dev, np.concatenate([np.eye(q)[np.tril_indices(q)] for q in widths]))
+    try:
+        value, beta, s2, c, lows, low, own, s = at(theta)
+    except np.linalg.LinAlgError:
+        return None
+    u = low @ np.linalg.solve(own @ own.T, low.T @ (s[:d, -1] - s[:d, d:-1] @ beta)) if d else np.zeros(0)
+    modes, first = [], 0
+    for shape in shapes:
+        modes.append(u[first : first + shape[0] * shape[1]].reshape(shape) if shape else None)
+        first += shape[0] * shape[1] if shape else 0
+    se = np.sqrt(s2 * np.diag(np.linalg.inv(c @ c.T)))
+    return Fit(beta, se, beta / se, s2, [s2 * v @ v.T for v in lows], -value / 2, modes, theta)
+
+
 def _golden(f) -> np.ndarray:
     """Least f(v), v >= 0: a coarse grid, then golden sections; 0 itself is tried."""
     grid = np.append(0.0, np.geomspace(1e-3, 1e3, 49))

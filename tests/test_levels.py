@@ -149,3 +149,57 @@ def test_yields_of_batches(spark):
     assert np.allclose([r["beta"], r["se"], r["t"], r["loglik"], r["var_resid"], r["re_var"][0]], [1527.5, 19.38341215, 78.80449469, -159.8271384, 2451.25, 1764.05], rtol=1e-5) and r["re_cor"] == []
     m = mixed.random_modes(df, "yield ~ 1 + (1|batch)").agg(F.sum("mode")).first()[0]
     assert abs(m) < 1e-6
+
+
+def subjects_of(spark, n=3000, subjects=400):
+    """Many subjects of one to twenty rows, few items, two models of which one lacks an item."""
+    rng = np.random.default_rng(12)
+    s = np.minimum(rng.geometric(0.01, n), subjects)
+    i, b = rng.integers(0, 4, n), rng.standard_normal(n)
+    k = np.where(i == 3, 0, rng.integers(0, 2, n))
+    y = 1 + 2 * b + rng.standard_normal(subjects + 1)[s] + (i - 1.5) * (1 + 0.5 * b) + rng.standard_normal(n)
+    return spark.createDataFrame([tuple(map(float, r)) for r in zip(k, s, i, b, y)], "k double, subj double, item double, beh double, val double").selectExpr("int(k) k", "int(subj) subj", "int(item) item", "beh", "val"), k, s, i, b, y
+
+
+@pytest.mark.parametrize("formula", ["val ~ beh + (1|subj)", "val ~ beh + (1|subj) + (1|item)"])
+def test_what_reaches_a_fit_does_not_grow_with_levels(spark, monkeypatch, formula):
+    from pyspark.sql import GroupedData
+
+    seen, apply = [], GroupedData.applyInPandas
+    monkeypatch.setattr(GroupedData, "applyInPandas", lambda self, *a: seen.append(self._df.count()) or apply(self, *a))
+    for levels in (1500, 6000):
+        df = spark.range(levels * 3).selectExpr(f"id % {levels} AS subj", "id % 5 AS item", "sin(id) AS beh", "sin(id) + cos(id * id) AS val")
+        assert len(mixed.fit_models(df, formula).collect()) == 2
+    assert seen == [2, 2]  # all rows, and the levels of three rows
+
+
+def test_intercepts_summed_up_by_size_equal_dense_fits(spark):
+    df, k, s, i, b, y = subjects_of(spark)
+    f, x = "val ~ beh + (1|subj)", np.c_[np.ones(len(b)), b]
+    got = {(r["k"], r["term"]): r for r in mixed.fit_models(df, f, ["k"]).collect()}
+    modes = {(r["k"], r["grp"], r["level"], r["term"]): r["mode"] for r in mixed.random_modes(df, f, ["k"]).collect()}
+    assert len(modes) == len(set(zip(k, s)))
+    for m in (0, 1):
+        at = k == m
+        want = fit_crossed(x[at], y[at], [(x[at][:, :1], np.unique(s[at], return_inverse=True)[1])])
+        for j, term in enumerate(("(Intercept)", "beh")):
+            r = got[m, term]
+            assert np.allclose([r["beta"], r["se"], r["var_resid"], r["re_var"][0]], [want.beta[j], want.se[j], want.sigma2, want.cov[0][0, 0]], rtol=1e-4) and abs(r["loglik"] - want.loglik) < 1e-6
+    for r in mixed.residuals(df, f, ["k"]).groupBy("k", "subj").agg(F.sum("residual").alias("e")).collect():  # the modes solve their own equations
+        own = got[r["k"], "beh"]
+        assert abs(modes[r["k"], "subj", str(r["subj"]), "(Intercept)"] - own["re_var"][0] / own["var_resid"] * r["e"]) < 1e-8
+
+
+@pytest.mark.parametrize("formula", ["val ~ beh + (1|subj) + (1|item)", "val ~ beh + (beh|item) + (1|subj)"])
+def test_intercepts_summed_up_beside_other_terms(spark, monkeypatch, formula):
+    df, *_ = subjects_of(spark)
+    out = {}
+    for few in (10, 10**9):  # summed up by size; all levels
+        monkeypatch.setattr(mixed, "FEW_LEVELS", few)
+        fits = {(r["k"], r["term"]): [r["beta"], r["se"], r["loglik"], r["var_resid"], *r["re_var"], *r["re_cor"]] for r in mixed.fit_models(df, formula, ["k"]).collect()}
+        out[few] = fits, {(r["k"], r["grp"], r["level"], r["term"]): r["mode"] for r in mixed.random_modes(df, formula, ["k"]).collect()}
+    for a, b in zip(out[10], out[10**9]):
+        assert a.keys() == b.keys() and all(np.allclose(a[key], b[key], rtol=1e-3, atol=1e-4) for key in a)
+    monkeypatch.setattr(mixed, "FEW_LEVELS", 10)
+    none = df.withColumn("beh", F.lit(1.0))
+    assert [r["term"] for r in mixed.fit_models(none, formula).collect()] == [None] and mixed.random_modes(none, formula).count() == 0
